@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, interpolation, language, simhash
+from . import byte_bpe, decontaminate, interpolation, language, licenses, repetition, simhash
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +24,30 @@ def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation.learn_and_score(read(spark, sf_dir, "documents"))
 
 
+def op4_license_setjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finds license notices in all lines of all documents."""
+    found = licenses.find(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    base = F.filter("matches", lambda m: m.base)
+    places = F.transform(base, lambda m: m.first_word)
+    labels = lambda some: F.array_join(F.array_sort(F.array_distinct(F.transform(some, lambda m: m.label))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(places).alias("first_word"),
+        F.array_max(places).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("matches")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m.containment)), F.lit(0.0)).alias("score"),
+    )
+
+
+def op7_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures all documents and judges their repetition."""
+    found = repetition.measure(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    return found.withColumn("base_failed", repetition.base_failed()).withColumn("kept", ~F.col("base_failed") & repetition.accepted())
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from three of four documents and predicts all."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out())
@@ -67,7 +91,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_deleted_interpolation, op6_language_id, op8_decontamination, op9_simhash_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_deleted_interpolation, op4_license_setjoin, op6_language_id, op7_suffix_repetition, op8_decontamination, op9_simhash_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
