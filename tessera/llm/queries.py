@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, interpolation, language, licenses, repetition, simhash, warc
+from . import byte_bpe, chat, decontaminate, interpolation, language, licenses, paragraphs, repetition, simhash, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op2_warc_seekable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finds the passages that documents share, and what to remove of each."""
+    return paragraphs.find(read(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op4_license_setjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finds license notices in all lines of all documents."""
     found = licenses.find(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
@@ -105,7 +110,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_deleted_interpolation, op2_warc_seekable, op4_license_setjoin, op5_chat_format, op6_language_id, op7_suffix_repetition, op8_decontamination, op9_simhash_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_deleted_interpolation, op2_warc_seekable, op3_paragraph_minhash, op4_license_setjoin, op5_chat_format, op6_language_id, op7_suffix_repetition, op8_decontamination, op9_simhash_dedup, op10_byte_bpe)}
 
 
 OP2_SQL = r"""
