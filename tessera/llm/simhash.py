@@ -265,14 +265,15 @@ def links(prints: DataFrame, fp: str = "fp", distance: int = DISTANCE) -> DataFr
 
 
 def components(prints: DataFrame, fp: str = "fingerprint", doc_id: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
-    """(fp, component_id): for each distinct fingerprint of the table the
-    smallest ``doc_id`` whose fingerprint is reachable."""
+    """(fp, component, component_id): for each distinct fingerprint of the table
+    its component (the smallest fingerprint in it) and the smallest ``doc_id``
+    whose fingerprint is reachable."""
     nodes = prints.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("least"))
     nodes = written(nodes, "simhash-nodes")
     found = connected_components(links(nodes, "fp", distance), "u", "v", "simhash-components")
     placed = nodes.join(found, nodes.fp == found.id, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    return placed.join(ids, "component").select("fp", "component_id")
+    return placed.join(ids, "component").select("fp", "component", "component_id")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
@@ -280,3 +281,20 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", d
     prints = written(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), keep_text=False), "simhash-fingerprints")
     found = components(prints, distance=distance)
     return prints.join(found, prints.fingerprint == found.fp).select("doc_id", "fingerprint", "component_id")
+
+
+def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """One row of each component of ``df``, columns unchanged: that of the
+    smallest ``doc_id`` (null ids last), of equal ids the smallest text hash;
+    of rows equal in both any one."""
+    place = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
+    prints = written(fingerprints(df.select(place.alias("place"), place["id"].alias("doc_id"), F.col(text).alias("text")), keep_text=False), "simhash-fingerprints")
+    found = components(prints, distance=distance)
+    kept = prints.join(found, prints.fingerprint == found.fp).groupBy("component").agg(F.min("place").alias("place"))
+    own_id, own_hash, key_id, key_hash = (fresh(df, n) for n in ("_own_id", "_own_hash", "_key_id", "_key_hash"))
+    # a null id becomes a text no id has, so that it can be joined on
+    marked = lambda no_id, i: F.when(no_id, F.lit("-")).otherwise(i.cast("string"))
+    keys = kept.select(marked(F.col("place.no_id"), F.col("place.id")).alias(key_id), F.col("place.hash").alias(key_hash))
+    rows = df.withColumn(own_id, marked(F.col(doc_id).isNull(), F.col(doc_id))).withColumn(own_hash, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    same = (F.col(own_id) == F.col(key_id)) & (F.col(own_hash) == F.col(key_hash))
+    return rows.join(keys, same, "left_semi").dropDuplicates([own_id, own_hash]).drop(own_id, own_hash)
