@@ -35,7 +35,7 @@ from . import kernels as K
 from .shared import drop, parts, written
 
 #: A block has about so many bytes of text.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 14 << 20
 #: Contexts fall in buckets 0 (unseen) to BUCKETS - 1 by the logarithm of their frequency.
 BUCKETS = 41
 #: EM events are gathered in cells of 1 / GRID of an octave of either estimate.
@@ -82,6 +82,11 @@ def _bigrams(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return K.pair(before, words)
 
 
+def _by_frequency(often: np.ndarray) -> np.ndarray:
+    """Places of the words, the most frequent first; equals in order of their keys."""
+    return np.argsort(-often.astype(np.int64), kind="stable")
+
+
 def _count(index: np.ndarray, n: int, which: np.ndarray | None = None) -> np.ndarray:
     return np.bincount(index if which is None else index[which], minlength=n).astype(np.uint32)
 
@@ -120,8 +125,10 @@ def _blocks(n: int):
         batch = pa.RecordBatch.from_arrays([ids], names=["id"])
         with pa.ipc.new_stream(sink, batch.schema) as w:
             w.write_batch(batch)
-        stream = place.astype(np.uint32)
-        rows.append((block % n, block, BODY, _pack_keys(vocabulary), _pack(stream), _pack(sizes.astype(np.uint32)), _pack(folds.astype(np.uint8)), sink.getvalue().to_pybytes(), b""))
+        often = _count(place, len(vocabulary))
+        number = np.empty(len(vocabulary), np.uint32)  # frequent words get small numbers, which pack well
+        number[_by_frequency(often)] = np.arange(len(vocabulary), dtype=np.uint32)
+        rows.append((block % n, block, BODY, b"", _pack(number[place]), _pack(sizes.astype(np.uint32)), _pack(folds.astype(np.uint8)), sink.getvalue().to_pybytes(), _pack(often)))
         for lo in range(0, len(rows), 64):
             yield _sent(rows[lo : lo + 64])
 
@@ -177,7 +184,7 @@ def _answers(batches):
             for j in range(len(own)):
                 replies[j].append(_pack(sums[index[cut[j] : cut[j + 1]]]))
     for r, reply in zip(own, replies, strict=True):
-        yield _sent([(r["dest"], r["block"], ANSWER, *reply, b"", b"")])
+        yield _sent([(r["dest"], r["block"], ANSWER, *reply, r["a"], b"")])
     yield _sent([(own[0]["dest"], -1 - own[0]["dest"], TOTAL, types_seen.to_bytes(8, "little"), b"", b"", b"", b"", b"")])
 
 
@@ -185,19 +192,25 @@ COUNTED = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("d
 
 
 def _planes(a: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """One packed little-endian array of 32-bit counts a text (64-bit ones are clipped)."""
-    a = np.minimum(a, np.uint64(0xFFFFFFFF)).astype("<u4")
-    return K.binary_column(a.view(np.uint8), sizes * 4)
+    """32-bit counts (larger ones are clipped), for each text its four byte planes."""
+    a = np.minimum(a, np.uint64(0xFFFFFFFF)).astype("<u4").view(np.uint8).reshape(-1, 4)
+    begin, size = np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(sizes, sizes)
+    at = np.arange(len(a)) + 3 * begin
+    out = np.empty(a.size, np.uint8)
+    for k in range(4):
+        out[at + k * size] = a[:, k]
+    return K.binary_column(out, sizes * 4)
 
 
 def _counted(batches):
     """Task body: a block's word stream and all its answers become rows of texts."""
 
     def close(body, answers):
-        vocabulary, stream = _unpack_keys(body["a"]), _unpack(body["b"], np.uint32)
+        answers.sort(key=lambda r: r["dest"])
+        vocabulary = np.concatenate([_unpack_keys(r["e"]) for r in answers])
+        stream = _by_frequency(_unpack(body["f"], np.uint32))[_unpack(body["b"], np.uint32)]
         sizes, folds = _unpack(body["c"], np.uint32).astype(np.int64), _unpack(body["d"], np.uint8)
         ids = pa.ipc.open_stream(body["e"]).read_all().column(0).combine_chunks()
-        answers.sort(key=lambda r: r["dest"])
         uni, uni_own, big, big_own = (np.concatenate([_unpack(r[c], np.uint64) for r in answers]) for c in "abcd")
         _, index = np.unique(_bigrams(vocabulary[stream], sizes), return_inverse=True)
         cut = np.concatenate(([0], np.cumsum(sizes)))
@@ -261,8 +274,26 @@ def _estimates(big: np.ndarray, uni: np.ndarray, sizes: np.ndarray, texts: int,
     return bucket, np.divide(big, context, out=np.zeros(len(uni)), where=context > 0), uni / max(n, 1)
 
 
-def _u4(column) -> np.ndarray:
-    return np.frombuffer(K.buffers(column)[0].tobytes(), "<u4").astype(np.float64)
+def _unplanes(column) -> np.ndarray:
+    """The inverse of ``_planes``, of all texts end to end."""
+    data, offsets = K.buffers(column)
+    sizes = np.diff(offsets) // 4
+    begin, size = np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(sizes, sizes)
+    at = np.arange(len(begin)) + 3 * begin
+    out = np.zeros(len(begin))
+    for k in range(4):
+        out += data[at + k * size] * float(1 << (8 * k))
+    return out
+
+
+def _slices(batch: pa.RecordBatch, size: int = 1 << 19):
+    """The batch in runs of rows with about ``size`` events, one row at least."""
+    cut = np.concatenate(([0], np.cumsum(batch.column(3).to_numpy(zero_copy_only=False))))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(cut, cut[lo] + size, "right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 def fit(counted: DataFrame, rounds: int = 60) -> Model:
@@ -282,11 +313,9 @@ def fit(counted: DataFrame, rounds: int = 60) -> Model:
     main_texts = totals.texts - totals.fold_texts
 
     def cells(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             sizes = batch.column(3).to_numpy(zero_copy_only=False)
-            big, uni, big_own, uni_own = (_u4(batch.column(k)) for k in range(4, 8))
-            if not len(big):
-                continue
+            big, uni, big_own, uni_own = (_unplanes(batch.column(k)) for k in range(4, 8))
             b, two, one = _estimates(big - big_own, uni - uni_own, sizes, main_texts, n - n_fold)
             q = [np.where(p > 0, np.round(-GRID * np.log2(np.where(p > 0, p, 1))) + 1, 0).astype(np.int64) for p in (two, one)]
             key, index = np.unique((b << 40) | (q[0] << 20) | q[1], return_inverse=True)
@@ -318,11 +347,9 @@ def score(counted: DataFrame, model: Model) -> DataFrame:
     """Scores each counted text under the model and under the smoothed unigrams."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             sizes = batch.column(3).to_numpy(zero_copy_only=False)
-            if not len(sizes):
-                continue
-            big, uni = _u4(batch.column(4)), _u4(batch.column(5))
+            big, uni = _unplanes(batch.column(4)), _unplanes(batch.column(5))
             first = np.cumsum(sizes) - sizes
             b, two, one = _estimates(big, uni, sizes, model.texts, model.n)
             w = model.weights[:, b]
