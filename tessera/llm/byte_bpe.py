@@ -33,7 +33,7 @@ from .shared import fresh
 #: Pieces longer than this many bytes are merged one by one with a heap, and not cached.
 LONG_PIECE = 96
 #: At so many pieces the cache becomes the old one, whose pieces return when met again.
-CACHE = 150_000
+CACHE = 100_000
 #: No rank.
 NONE = 1 << 60
 
@@ -169,16 +169,33 @@ def read_ranks(path: str) -> bytes:
         return f.read()
 
 
-class Encoder:
+class Decoder:
+    """The tokens of a rank file, end to end in one array."""
+
+    def __init__(self, rank_file: bytes):
+        tokens = {int(b): base64.b64decode(a) for a, b in (line.split() for line in rank_file.splitlines() if line)}
+        size = max(tokens) + 1
+        self.lengths = np.array([len(tokens.get(i, b"")) for i in range(size)], np.int64)
+        self.places = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(size)), np.uint8)
+
+    def decode(self, ids: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+        """The bytes of ids, each token's put at its start (by default end to end)."""
+        lengths = self.lengths[ids]
+        out = self.bytes[K.ranges(self.places[ids], lengths)]
+        if starts is not None and len(starts):
+            placed = np.zeros(int(starts[-1] + lengths[-1]), np.uint8)
+            placed[K.ranges(starts, lengths)] = out
+            return placed
+        return out
+
+
+class Encoder(Decoder):
     """Merges of pieces under a rank file, with a bounded cache of pieces."""
 
     def __init__(self, rank_file: bytes):
+        super().__init__(rank_file)
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line)}
-        self.tokens = {i: t for t, i in self.ranks.items()}
-        size = max(self.tokens) + 1
-        self.lengths = np.array([len(self.tokens.get(i, b"")) for i in range(size)], np.int64)
-        self.places = np.cumsum(self.lengths) - self.lengths
-        self.bytes = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(size)), np.uint8)
         self.cache: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
@@ -300,28 +317,16 @@ class Encoder:
         total = np.concatenate(([0], np.cumsum(counts)))
         return ids, np.diff(total[np.searchsorted(starts, offsets)])
 
-    def decode(self, ids: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
-        """The bytes of ids, each token's put at its start (by default end to end)."""
-        lengths = self.lengths[ids]
-        out = self.bytes[K.ranges(self.places[ids], lengths)]
-        if starts is not None and len(starts):
-            placed = np.zeros(int(starts[-1] + lengths[-1]), np.uint8)
-            placed[K.ranges(starts, lengths)] = out
-            return placed
-        return out
-
 
-_encoders: dict[int, Encoder] = {}
+#: One encoder or decoder of each kind in a worker process.
+_kept: dict[type, tuple[int, Decoder]] = {}
 
 
-def _encoder(rank_file) -> Encoder:
-    """One encoder in each worker process."""
-    raw = rank_file.value if hasattr(rank_file, "value") else rank_file
-    key = hash(raw)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(raw)
-    return _encoders[key]
+def _of(kind: type, rank_file) -> Decoder:
+    key = hash(rank_file.value)
+    if _kept.get(kind, (None,))[0] != key:
+        _kept[kind] = (key, kind(rank_file.value))
+    return _kept[kind][1]
 
 
 def _extended(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
@@ -343,7 +348,7 @@ def encode(df: DataFrame, rank_path: str, text: str = "text", ids: str = "ids",
     at, names = df.columns.index(text), schema.names
 
     def run(batches):
-        encoder = _encoder(rank_file)
+        encoder = _of(Encoder, rank_file)
         for batch in batches:
             for lo, hi, data, offsets in K.chunks(batch.column(at)):
                 got, counts = encoder.encode(data, offsets)
@@ -369,19 +374,19 @@ def decode(df: DataFrame, rank_path: str, ids: str = "ids", starts: str | None =
     names = schema.names
 
     def run(batches):
-        encoder = _encoder(rank_file)
+        decoder = _of(Decoder, rank_file)
         for batch in batches:
             for lo, hi, data, offsets in K.chunks(batch.column(at)):
                 rows = batch.slice(lo, hi - lo)
                 got = np.frombuffer(data.tobytes(), "<u4")
-                lengths = encoder.lengths[got]
+                lengths = decoder.lengths[got]
                 sums = np.concatenate(([0], np.cumsum(lengths)))
                 sizes = np.diff(sums[offsets // 4])
                 begin = None
                 if place is not None:
                     begin = np.frombuffer(K.buffers(rows.column(place))[0].tobytes(), "<u4").astype(np.int64) + np.repeat(np.cumsum(sizes) - sizes, np.diff(offsets // 4))
                 columns = [rows.column(i) for i in kept]
-                yield pa.RecordBatch.from_arrays([*columns, K.binary_column(encoder.decode(got, begin), sizes)], names=names)
+                yield pa.RecordBatch.from_arrays([*columns, K.binary_column(decoder.decode(got, begin), sizes)], names=names)
 
     return df.mapInArrow(run, schema)
 
