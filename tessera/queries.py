@@ -509,10 +509,10 @@ def col_tile_bounds(spark, sf):
     return tiling.tile_bounds(D.edges(spark, sf), 100)
 
 
-@query(with_("n edges", """SELECT CAST(tile AS BIGINT) AS tile, dst, lag(tile) OVER w IS NULL AS first, lead(tile) OVER w IS NULL AS last, CAST(lead(tile) OVER w AS BIGINT) AS next_tile
+@query(with_("n edges", """SELECT CAST(tile AS BIGINT) AS tile, dst, lag(tile) OVER w IS NULL AS first, lead(tile) OVER w IS NULL AS last, CAST(coalesce(lead(tile) OVER w, -1) AS BIGINT) AS next_tile
   FROM (SELECT DISTINCT src // 100 AS tile, dst FROM edges) WINDOW w AS (PARTITION BY dst ORDER BY tile)"""))
 def tile_work_mask(spark, sf):
-    return tiling.work_mask(D.edges(spark, sf), 100)
+    return tiling.work_mask(D.edges(spark, sf), 100).withColumn("next_tile", F.coalesce("next_tile", F.lit(-1).cast("long")))
 
 
 @query(with_("n edges", "SELECT CAST(dst // 64 AS BIGINT) AS tile, count(DISTINCT dst) AS rows, count(*) AS n FROM edges GROUP BY 1"))
