@@ -2,30 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from tessera.functions import pointwise as P
-from tessera.graph import Graph
+from tessera.graph import Graph, undirected
 from tessera.operators import edges as E
 from tessera.operators import nodes as N
+from tessera.operators import sampling, tiling
 from tessera.operators.subgraphs import receptive_field
 
 from . import spec as S
-from .spec import ModelSpec
+from .spec import ModelSpec, Op, Schedule
 
 Matrix = Sequence[Sequence[float]]
 
 
-def execute(m: ModelSpec, graph: Graph, features: DataFrame, weights: Mapping[str, Matrix], width: int, rows: DataFrame | None = None, known: Mapping[str, DataFrame] | None = None, biases: Mapping[str, Sequence[float]] | None = None) -> dict[str, DataFrame]:
+def execute(m: ModelSpec, graph: Graph, features: DataFrame, weights: Mapping[str, Matrix], width: int, rows: DataFrame | None = None, known: Mapping[str, DataFrame] | None = None, biases: Mapping[str, Sequence[float]] | None = None, schedule: Schedule | None = None, rng: np.random.Generator | None = None, keep: Callable[[Op, DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
     """Every named value of the program.
 
     ``rows`` names the nodes whose results are wanted; aggregates that carry a
     hop then read that receptive field only (Spark does not push a semi-join
     through an aggregate).  ``known`` has values made before, such as those of
-    invariant operations.
+    invariant operations.  ``schedule`` asks for sampled or tiled aggregates;
+    ``keep`` may materialise each value as it is made.
     """
+    sample, tile = (schedule.kernel_sample, schedule.col_tile) if schedule else (None, None)
     env: dict[str, DataFrame] = {"features": features, **(known or {})}
     dims = {"features": width}
     hops = max((op.hop for op in m.ops), default=0)
@@ -37,7 +41,8 @@ def execute(m: ModelSpec, graph: Graph, features: DataFrame, weights: Mapping[st
         x = [env[i] for i in op.inputs if i != "graph"]
         own = graph.with_edges(fields[op.hop - 1]) if fields and op.hop else graph
         if op.kind == S.DEGREES:
-            out = N.degrees(graph.edges)
+            # sampled aggregates read the same number of edges of every node
+            out = N.constant(features, sample) if sample else N.degrees(graph.edges)
         elif op.kind == S.POWER:
             out = N.norm(x[0], op.value)
         elif op.kind == S.CONSTANT:
@@ -48,7 +53,14 @@ def execute(m: ModelSpec, graph: Graph, features: DataFrame, weights: Mapping[st
             values = None
             if len(x) == 2:
                 values = x[0] if own is graph else x[0].join(own.edges.select("dst", "src"), ["dst", "src"], "left_semi")
-            out = N.aggregate(own, x[-1], op.fn, dims[op.inputs[-1]], values)
+            width_in = dims[op.inputs[-1]]
+            if sample:
+                own = own.with_edges(sampled(own.edges, schedule, rng))
+                values = values.join(own.edges, ["dst", "src"]) if values is not None else None
+            if tile and values is None and not own.weighted and op.fn == "sum" and width_in <= N.WIDE:
+                out = tiling.tiled_aggregate(own.edges, x[-1], tile, width_in)
+            else:
+                out = N.aggregate(own, x[-1], op.fn, width_in, values)
         elif op.kind == S.FFN:
             out = N.ffn(x[0], weights[op.weight], (biases or {}).get(op.weight))
         elif op.kind == S.ADD:
@@ -69,10 +81,34 @@ def execute(m: ModelSpec, graph: Graph, features: DataFrame, weights: Mapping[st
             out = E.softmax(x[0])
         else:
             raise ValueError(f"no such operation: {op.kind}")
-        env[op.out] = out
+        env[op.out] = keep(op, out) if keep else out
     return env
 
 
+def sampled(edges: DataFrame, schedule: Schedule, rng: np.random.Generator | None = None) -> DataFrame:
+    """The edges an aggregate with in-kernel sampling reads; repeats stay."""
+    if schedule.dynamic:
+        return sampling.dynamic(edges, schedule.kernel_sample, rng or np.random.default_rng()).select("dst", "src")
+    return sampling.affine(edges, schedule.kernel_sample).select("dst", "src")
+
+
+def prepare(graph: Graph, schedule: Schedule) -> Graph:
+    """The graph as a schedule wants it: mirrored, without weights, sampled once."""
+    edges = graph.edges
+    if schedule.undirected and not graph.undirected:
+        edges = undirected(edges)
+    if schedule.unweighted:
+        edges = edges.select("dst", "src")
+    if schedule.data_sample:
+        edges = sampling.affine(edges, schedule.data_sample).select("dst", "src")
+    return Graph(edges, schedule.undirected, schedule.unweighted, schedule.sparse)
+
+
+def run_program(m: ModelSpec, graph: Graph, features: DataFrame, weights: Mapping[str, Matrix], width: int, rng: np.random.Generator | None = None, **how) -> DataFrame:
+    """A parsed program under its own schedule."""
+    return run(m, prepare(graph, m.schedule), features, weights, width, schedule=m.schedule, rng=rng, **how)
+
+
 def run(m: ModelSpec, graph: Graph, features: DataFrame, weights: Mapping[str, Matrix], width: int, **how) -> DataFrame:
     """The program's result as vectors; of ``rows`` only, if these are given."""
     out = execute(m, graph, features, weights, width, **how)[m.result]

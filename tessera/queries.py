@@ -19,7 +19,7 @@ from tessera.graph import Graph, to_long, transpose, undirected, with_self_loops
 from tessera.operators import edges as E
 from tessera.operators import generate, reorder, sampling, statistics, subgraphs, tiling
 from tessera.operators import nodes as N
-from tessera.plans import dsl, lower, rewrites, training
+from tessera.plans import autodiff, dsl, lower, rewrites, training
 from tessera.plans import spec as S
 from tessera.sources import matrix_market, npy
 from tessera.sources import tables as D
@@ -734,6 +734,40 @@ for _kind in BODIES:
     query(LAYER[_kind], f"dsl_{_kind}")(_program)
 
 
+def scheduled(spark, sf, kind: str, *lines: str) -> DataFrame:
+    text = PROGRAM.format(fn="mul_mean" if kind == "sage" else "mul_sum", body=BODIES[kind]) + "\n".join(lines)
+    m = dsl.parse(text)[0]
+    return to_long(lower.run_program(rewrites.optimise(m), D.graph(spark, sf), D.features(spark, sf), bind(m), 64))
+
+
+@query(GCN.replace(CTE["edges"], CTE["edges"].replace("edges AS", "e0 AS", 1) + ",\nedges AS (SELECT dst, src FROM e0 UNION SELECT src, dst FROM e0)"))
+def dsl_gcn_undirected(spark, sf):
+    return scheduled(spark, sf, "gcn", "G=G.set_undirected(true);")
+
+
+@query(GIN)
+def dsl_gin_tiled(spark, sf):
+    return scheduled(spark, sf, "gin", "G=G.col_tile(100);")
+
+
+@query(with_("n edges feat w h", f"""SELECT s.dst AS id, j, {r('greatest(0.0, sum(v) / 20)')} AS v FROM ({_sampled(5, 7, 20).split(CTE['edges'])[1]}) s JOIN h ON h.id = s.src GROUP BY s.dst, j"""))
+def dsl_gcn_data_sample(spark, sf):
+    return scheduled(spark, sf, "gcn", "G=G.sample(20);", "G=G.is_sparser(false);")
+
+
+@query(with_("n edges feat w h", f"""SELECT s.dst AS id, j, {r('greatest(0.0, sum(v) / 20)')} AS v FROM ({_sampled(5, 7, 20).split(CTE['edges'])[1]}) s JOIN h ON h.id = s.src GROUP BY s.dst, j"""))
+def dsl_gcn_kernel_sample(spark, sf):
+    return scheduled(spark, sf, "gcn", "aggrFn=aggrFn.sample(20);", "G=G.is_sparser(false);")
+
+
+@query()
+def train_gat(spark, sf):
+    """Two steps of training by the general gradients; rows only."""
+    g, x, y, m = D.load(spark, sf)
+    _, history = autodiff.train(rewrites.hoist(S.model("gat", (64, H, 10))), g, x, y, m, 64, 2)
+    return spark.createDataFrame([(r["step"], r["loss"], r["accuracy"]) for r in history], "step int, loss double, accuracy double")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

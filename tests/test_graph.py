@@ -265,3 +265,30 @@ def test_streamed_degrees(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.id, r.s) for r in spark.table("degrees_stream").collect()) == [(1, 2), (2, 1)]
+
+
+@pytest.mark.parametrize("kind", sorted(S.LAYERS))
+def test_gradients_of_every_model(spark, small, kind):
+    from tessera.plans import autodiff
+
+    g, x = small
+    m = S.model(kind, (WIDTH, 4, 3))
+    w = {k: np.array(v) for k, v in weights(m, 2).items()}
+    y = spark.createDataFrame([(i, i % 3) for i in range(9)], "id long, label int")
+
+    def loss(w):
+        z = numpy_model(m, w)[:9]
+        p = z - np.log(np.exp(z).sum(1, keepdims=True))
+        return -p[np.arange(9), np.arange(9) % 3].mean()
+
+    now = {k: v.tolist() for k, v in w.items()}
+    env = {k: v.persist() for k, v in lower.execute(m, g, x, now, WIDTH).items()}
+    got = autodiff.backward(m, g, env, now, autodiff.widths(m, WIDTH), autodiff.loss_gradient(env[m.result], y, 9), lambda d: d.persist())
+    assert set(got) == set(w)
+    for k in w:
+        for i in [(0, 0), (w[k].shape[0] - 1, w[k].shape[1] - 1)]:
+            up, down = {**w, k: w[k].copy()}, {**w, k: w[k].copy()}
+            up[k][i] += 1e-6
+            down[k][i] -= 1e-6
+            assert abs(got[k][i] - (loss(up) - loss(down)) / 2e-6) < 1e-6
+    spark.catalog.clearCache()
