@@ -282,8 +282,8 @@ def test_gradients_of_every_model(spark, small, kind):
         return -p[np.arange(9), np.arange(9) % 3].mean()
 
     now = {k: v.tolist() for k, v in w.items()}
-    env = {k: v.persist() for k, v in lower.execute(m, g, x, now, WIDTH).items()}
-    got = autodiff.backward(m, g, env, now, autodiff.widths(m, WIDTH), autodiff.loss_gradient(env[m.result], y, 9), lambda d: d.persist())
+    env = lower.execute(m, g, x, now, WIDTH, keep=lambda op, d: training._kept(d, "t-value"))
+    got = autodiff.backward(m, g, env, now, autodiff.widths(m, WIDTH), autodiff.loss_gradient(env[m.result], y, 9), lambda d: training._kept(d, "t-grad"))
     assert set(got) == set(w)
     for k in w:
         for i in [(0, 0), (w[k].shape[0] - 1, w[k].shape[1] - 1)]:
@@ -291,4 +291,3 @@ def test_gradients_of_every_model(spark, small, kind):
             up[k][i] += 1e-6
             down[k][i] -= 1e-6
             assert abs(got[k][i] - (loss(up) - loss(down)) / 2e-6) < 1e-6
-    spark.catalog.clearCache()
