@@ -34,6 +34,8 @@ from .shared import fresh
 LONG_PIECE = 96
 #: At so many pieces the cache becomes the old one, whose pieces return when met again.
 CACHE = 100_000
+#: Bytes of texts, or of ids, worked on at a time.
+CHUNK = 1 << 20
 #: No rank.
 NONE = 1 << 60
 
@@ -350,15 +352,16 @@ def encode(df: DataFrame, rank_path: str, text: str = "text", ids: str = "ids",
     def run(batches):
         encoder = _of(Encoder, rank_file)
         for batch in batches:
-            for lo, hi, data, offsets in K.chunks(batch.column(at)):
+            for lo, hi, data, offsets in K.chunks(batch.column(at), CHUNK):
                 got, counts = encoder.encode(data, offsets)
                 ends = np.cumsum(encoder.lengths[got])
                 begin = ends - encoder.lengths[got] - np.repeat(offsets[:-1], counts)
                 columns = [c for i, c in enumerate(batch.slice(lo, hi - lo).columns) if keep_text or i != at]
                 columns += [K.binary_column(got.view(np.uint8), counts * 4), K.binary_column(begin.astype("<u4").view(np.uint8), counts * 4)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        encoder.old = {}
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(K.task(run), schema)
 
 
 def decode(df: DataFrame, rank_path: str, ids: str = "ids", starts: str | None = "token_starts", out: str = "decoded", drop: bool = True) -> DataFrame:
@@ -376,7 +379,7 @@ def decode(df: DataFrame, rank_path: str, ids: str = "ids", starts: str | None =
     def run(batches):
         decoder = _of(Decoder, rank_file)
         for batch in batches:
-            for lo, hi, data, offsets in K.chunks(batch.column(at)):
+            for lo, hi, data, offsets in K.chunks(batch.column(at), CHUNK):
                 rows = batch.slice(lo, hi - lo)
                 got = np.frombuffer(data.tobytes(), "<u4")
                 lengths = decoder.lengths[got]
@@ -388,7 +391,7 @@ def decode(df: DataFrame, rank_path: str, ids: str = "ids", starts: str | None =
                 columns = [rows.column(i) for i in kept]
                 yield pa.RecordBatch.from_arrays([*columns, K.binary_column(decoder.decode(got, begin), sizes)], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(K.task(run), schema)
 
 
 def n_tokens(ids: Column) -> Column:

@@ -118,7 +118,7 @@ def _scan(docs: DataFrame, text: str, patterns: list[tuple[str, list]], names: t
                 rows = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(words, pa.int64()), pa.array(spans, spans_type), pa.array(ids, pa.list_(arrow_id))], names=columns)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(K.task(run), schema)
 
 
 def find(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:

@@ -103,13 +103,13 @@ def counts(df: DataFrame, text: str, lang: str) -> DataFrame:
                     if len(tables) >= MAX_LANGUAGES:
                         raise ValueError(f"more than {MAX_LANGUAGES} languages")
                     tables[name] = np.zeros(BUCKETS, np.int64)
-                for _, _, raw, offsets in K.chunks(own, 1 << 20):
+                for _, _, raw, offsets in K.chunks(own, 1 << 19):
                     tables[name] += np.bincount(features(raw, offsets)[0], minlength=BUCKETS)
         for name, table in tables.items():
             some = np.flatnonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(table[some])], names=["lang", "bucket", "n"])
 
-    return data.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return data.mapInArrow(K.task(run), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
@@ -162,7 +162,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", names: tuple[str, s
         model = shared.value
         labels = np.array([*model.languages, UND], object)
         for batch in batches:
-            for lo, hi, data, offsets in K.chunks(batch.column(at), 1 << 20):
+            for lo, hi, data, offsets in K.chunks(batch.column(at), 1 << 19):
                 n = hi - lo
                 best, share, near = np.full(n, len(model.languages)), np.zeros(n), np.zeros(n, bool)
                 if model.languages and len(data):
@@ -181,7 +181,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", names: tuple[str, s
                 rows = batch.slice(lo, n)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(labels[best], pa.string()), pa.array(share), pa.array(near)], names=columns)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(K.task(run), schema)
 
 
 def held_out(doc_id: str = "doc_id", modulus: int = 4, remainder: int = 2):

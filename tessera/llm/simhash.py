@@ -150,7 +150,7 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint", ke
                 columns = [c for i, c in enumerate(batch.slice(lo, hi - lo).columns) if keep_text or i != at]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(chunk_fingerprints(data, offsets, size).view(np.int64))], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(K.task(run), schema)
 
 
 def variants(prints: DataFrame, fp: str = "fp") -> DataFrame:
@@ -261,7 +261,7 @@ def links(prints: DataFrame, fp: str = "fp", distance: int = DISTANCE) -> DataFr
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
-    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct()
+    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(K.task(run), "u long, v long").distinct()
 
 
 def components(prints: DataFrame, fp: str = "fingerprint", doc_id: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
