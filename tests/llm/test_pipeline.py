@@ -54,7 +54,7 @@ def test_run(spark, sf, stages):
 
 
 def test_odd_rows(spark, sf, docs, odd):
-    extra = odd.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("n_chars"))
+    extra = odd.select((F.col("doc_id") + 100_000).alias("doc_id"), "text", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("n_chars"))
     now = docs.unionByName(extra)
     for _, f in corpus_pipeline.STAGES:
         now = written(f(spark, now, sf), "t-odd")
