@@ -13,8 +13,10 @@ stands, whatever is around it.  Equal windows are one class.
 A class that occurs in two or more documents is repeated.  The document of the
 smallest id keeps its occurrences; in the others their spans are removed.
 
-Scale: a bucket links its members to a centre, never all pairs; members that
-the centre does not confirm meet other centres in further rounds.  Equal lines
+Scale: a bucket first links its members to a centre, in a few rounds.  Buckets
+whose members are not all linked then are searched for every pair that is left,
+by prefixes of the shingle sets, rarest shingle first, with filters of length
+and position; all pairs that pass are verified.  Equal lines
 collapse to one representative first.  All grouping is by aggregates combined
 before the shuffle (smallest and largest document of a key), joined back, so a
 passage in a third of all documents is a skewed join key and not one group.
@@ -46,7 +48,7 @@ ROWS = 3
 #: Lines of fewer words are not paragraphs: common short lines are no passages.
 MIN_WORDS = 36
 WINDOW, STEP = 36, 15
-#: Rounds of centres in buckets whose members are not all linked.
+#: Rounds of centres, before the pairs that are left are searched.
 ROUNDS = 3
 LINE, PASSAGE, TEXT = range(3)
 _MUL = K.mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
@@ -194,6 +196,28 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(K.task(run), "key long, shingles array<long>").dropDuplicates(["key"])
 
 
+def _left_pairs(lines: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): all pairs of ``lines`` (key, label) with different labels that can reach the threshold.
+
+    The first shingle that two sets have in common, in one order of all, leaves
+    the whole of the common part after it, hence stands in a prefix of both.
+    """
+    sized = lines.join(sets, "key").select("key", "label", "shingles", F.size("shingles").alias("n"))
+    every = sized.select("key", "label", "n", F.explode("shingles").alias("s"))
+    often = every.groupBy("s").agg(F.count("*").alias("often"))
+    ordered = every.join(often, "s").groupBy("key", "label", "n").agg(
+        F.count(F.when(F.col("often") == 1, F.lit(1))).cast("int").alias("alone"),
+        F.sort_array(F.collect_list(F.when(F.col("often") > 1, F.struct("often", "s")))).alias("shared"),
+    )
+    prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
+    places = ordered.select("key", "label", "n", "alone", F.posexplode(F.slice("shared", F.lit(1), F.greatest(prefix - F.col("alone"), F.lit(0)))).alias("after", "t"))
+    places = places.select("key", "label", "n", (F.col("n") - F.col("alone") - F.col("after")).alias("rest"), F.col("t.s").alias("s"))
+    other = places.select(F.col("key").alias("v"), F.col("label").alias("other"), F.col("n").alias("m"), F.col("rest").alias("other_rest"), "s")
+    fits = F.least("rest", "other_rest") >= F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("m")) - 1e-9
+    long = F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m") - 1e-9
+    return places.join(other, "s").where((F.col("key") < F.col("v")) & (F.col("label") != F.col("other")) & long & fits).select(F.col("key").alias("u"), "v").distinct()
+
+
 def line_links(lines: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
     """(key, component) of the distinct lines that are linked to another one."""
     reps = written(lines.groupBy("key").agg(F.min(F.struct("doc_id", "text_key", "start_byte", "end_byte")).alias("at"), F.first("bands").alias("bands")), "paragraph-lines")
@@ -203,15 +227,19 @@ def line_links(lines: DataFrame, docs: DataFrame, threshold: float = THRESHOLD,
     wanted = reps.join(members.select("key").distinct(), "key").select("key", "at.*")
     sets = written(_shingle_sets(docs, wanted), "paragraph-shingles")
     links = components = tested = None
-    for k in range(rounds):
-        labelled = members.withColumn("label", F.col("key")) if components is None else members.join(components, members.key == components.id, "left").select(members.key, "bucket", F.coalesce("component", "key").alias("label"))
-        centres = labelled.groupBy("bucket").agg(F.min_by(F.struct("key", "label"), F.xxhash64("key", F.lit(k))).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        pairs = labelled.join(centres, "bucket").where("label <> c.label").select(F.least("key", "c.key").alias("u"), F.greatest("key", "c.key").alias("v")).distinct()
+    label = lambda: members.withColumn("label", F.col("key")) if components is None else members.join(components, members.key == components.id, "left").select(members.key, "bucket", F.coalesce("component", "key").alias("label"))
+
+    def judge(pairs):
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         a, b = sets.select(F.col("key").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("key").alias("v"), F.col("shingles").alias("b"))
         common = F.size(F.array_intersect("a", "b"))
-        judged = written(pairs.join(a, "u").join(b, "v").select("u", "v", (common >= F.lit(threshold) * (F.size("a") + F.size("b") - common)).alias("near")), "paragraph-pairs")
+        return written(pairs.join(a, "u").join(b, "v").select("u", "v", (common >= F.lit(threshold) * (F.size("a") + F.size("b") - common)).alias("near")), "paragraph-pairs")
+
+    for k in range(rounds):
+        labelled = label()
+        centres = labelled.groupBy("bucket").agg(F.min_by(F.struct("key", "label"), F.xxhash64("key", F.lit(k))).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        judged = judge(labelled.join(centres, "bucket").where("label <> c.label").select(F.least("key", "c.key").alias("u"), F.greatest("key", "c.key").alias("v")).distinct())
         tested = judged.select("u", "v") if tested is None else tested.unionByName(judged.select("u", "v"))
         near = judged.where("near").select("u", "v")
         found = near.agg(F.count("*")).first()[0]
@@ -219,6 +247,14 @@ def line_links(lines: DataFrame, docs: DataFrame, threshold: float = THRESHOLD,
             break
         links = near if links is None else links.unionByName(near)
         components = connected_components(links, "u", "v", "paragraph-components")
+    # what the centres left open: all other pairs of buckets that are not one component
+    labelled = label()
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+    open_lines = written(labelled.join(mixed, "bucket").select("key", "label").distinct(), "paragraph-open")
+    near = judge(_left_pairs(open_lines, sets, threshold)).where("near").select("u", "v")
+    if near.first() is not None:
+        components = connected_components(near if links is None else links.unionByName(near), "u", "v", "paragraph-components")
+    drop(open_lines)
     drop(sets)
     drop(members)
     drop(reps)

@@ -329,3 +329,20 @@ def test_bands_reach_the_recall():
         s = paragraphs.line_signatures(both, np.array([0, 120]), np.array([120, 240]), n)
         found += bool((s[0] == s[1]).any())
     assert found >= 57
+
+
+def test_all_links_of_a_bucket_with_many_families(spark):
+    rng = np.random.default_rng(12)
+    common, data = passage(rng, 200).split(), []
+    for f in range(40):
+        w = list(common)
+        for k in rng.choice(190, 4, replace=False):
+            w[k] = f"f{f}x{k}"
+        data += [(2 * f + copy, " ".join([*w[:-1], f"end{f}x{copy}"])) for copy in range(2)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("text_key", F.xxhash64("text")).select("doc_id", "text_key", "text")
+    units = paragraphs.units(docs, paragraphs.bands()).where(F.col("kind") == paragraphs.LINE)
+    doc = {r.key: r.doc_id for r in units.collect()}
+    got = collections.defaultdict(set)
+    for r in paragraphs.line_links(units, docs).collect():
+        got[r.component].add(doc[r.key])
+    assert sorted(map(sorted, got.values())) == [[2 * f, 2 * f + 1] for f in range(40)]
