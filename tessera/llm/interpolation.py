@@ -192,8 +192,10 @@ COUNTED = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("d
 
 
 def _planes(a: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """32-bit counts (larger ones are clipped), for each text its four byte planes."""
-    a = np.minimum(a, np.uint64(0xFFFFFFFF)).astype("<u4").view(np.uint8).reshape(-1, 4)
+    """32-bit counts (larger ones are an error), for each text its four byte planes."""
+    if len(a) and a.max() > 0xFFFFFFFF:
+        raise OverflowError(f"a count of {a.max()} does not fit in 32 bits")
+    a = a.astype("<u4").view(np.uint8).reshape(-1, 4)
     begin, size = np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(sizes, sizes)
     at = np.arange(len(a)) + 3 * begin
     out = np.empty(a.size, np.uint8)

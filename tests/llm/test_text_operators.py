@@ -328,3 +328,11 @@ def test_decontamination_odd_rows(spark, odd):
     assert {len(r.hit_spans) for r in decontaminate.find(odd, none).collect()} == {0}
     word = spark.createDataFrame([(1, "word word")], "item_id long, text string")
     assert decontaminate.find(odd, word).where("doc_id = 7").select(decontaminate.n_hit()).first()[0] == 30000
+
+
+def test_counts_beyond_32_bits_are_an_error():
+    sizes = np.array([2])
+    counts = np.array([7, 0xFFFFFFFF], np.uint64)
+    assert len(interpolation._planes(counts, sizes)) == 1
+    with pytest.raises(OverflowError):
+        interpolation._planes(counts + np.uint64(1), sizes)
