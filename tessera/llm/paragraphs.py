@@ -1,29 +1,39 @@
 """Substring deduplication by paragraph MinHash banding.
 
-Paragraphs are of two kinds.  Lines of at least ``MIN_WORDS`` words are compared
-as near-duplicates: MinHash signatures of five-word shingles are cut into bands
-tuned for recall at the threshold, lines that collide in a band are joined,
-exact Jaccard similarity of their shingle sets decides, and links make
-components.  A passage that was put into other text stands in no line of its
-own, so windows of ``WINDOW`` words are paragraphs too: of every ``STEP``
-consecutive places the window of least hash is taken, hence any passage of
-``WINDOW + STEP - 1`` = 50 words or more yields the same window wherever it
-stands, whatever is around it.  Equal windows are one class.
-
-A class that occurs in two or more documents is repeated.  The document of the
-smallest id keeps its occurrences; in the others their spans are removed.
-
-Scale: a bucket first links its members to a centre, in a few rounds.  Buckets
-whose members are not all linked then are searched for every pair that is left,
-by prefixes of the shingle sets, rarest shingle first, with filters of length
-and position; all pairs that pass are verified.  Equal lines
-collapse to one representative first.  All grouping is by aggregates combined
-before the shuffle (smallest and largest document of a key), joined back, so a
-passage in a third of all documents is a skewed join key and not one group.
+A paragraph is what stands between blank lines, so hard-wrapped lines are one;
+in a text without a blank line each line is a paragraph.  Paragraphs of
+``SHINGLE`` words or more are compared: MinHash signatures of five-word shingles
+are cut into bands tuned for recall at the threshold, paragraphs that collide in
+a band are joined, exact Jaccard similarity of their shingle sets decides, and
+links make components.  A passage that was put into other text stands in no
+paragraph of its own, so runs of ``RUN`` words are compared as well: of every
+``STEP`` consecutive places the window of ``WINDOW`` words with the least hash
+is taken, hence equal runs of ``WINDOW + STEP - 1`` = ``RUN`` words have the same
+window wherever they stand.  Where that window is repeated, the hash of the run
+itself decides; overlapping repeated runs are joined, so that a passage is found
+from its first word to its last.
+
+Paragraphs and runs that occur in two or more documents are repeated.  The
+document of the smallest id keeps its occurrences; in the others the spans of
+runs, and of paragraphs of ``MIN_WORDS`` words or more, are removed.  Shorter
+paragraphs are linked and counted (``n_similar``), and removed if ``min_words``
+says so.
+
+Scale: equal paragraphs collapse to one first.  A bucket's shingle sets meet in
+one task if they are small together (``GROUP`` shingles); there all pairs that
+are not yet connected are compared, by an index of their rarest shingles.  Larger
+buckets are dealt over blocks which all hold one centre; what is then not
+connected to the bucket's main component is compared with every block.  So no
+pair of a bucket is passed over, and no task holds more than a few blocks.
+Buckets with the same members count once.  Other grouping is by aggregates
+combined before the shuffle (smallest and largest document of a key), joined
+back, so a passage in a third of all documents is a skewed join key.
 
 Defined results: null and empty texts have no paragraph; rows with a null
 ``doc_id`` take no part and stay unchanged; rows that share a ``doc_id`` are
-one document, whose own repeats stay; other columns stay as they are.
+one document, whose own repeats stay; other columns stay as they are, whatever
+their names.  Ids must be integers or cast to them.  A very long text is held
+whole by one task, with about a hundred bytes a word; its rows are not.
 """
 
 from __future__ import annotations
@@ -32,7 +42,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,12 +55,14 @@ THRESHOLD = 0.8
 #: Share of pairs at the threshold that some band must bring together.
 RECALL = 0.995
 ROWS = 3
-#: Lines of fewer words are not paragraphs: common short lines are no passages.
+#: Shorter paragraphs are linked and counted, but not removed.
 MIN_WORDS = 36
-WINDOW, STEP = 36, 15
-#: Rounds of centres, before the pairs that are left are searched.
-ROUNDS = 3
-LINE, PASSAGE, TEXT = range(3)
+WINDOW, STEP = 26, 25
+#: Words of the shortest run that is repeated.
+RUN = WINDOW + STEP - 1
+#: Shingles of the paragraphs that are compared in one group.
+GROUP = 1 << 18
+PARAGRAPH, ANCHOR, TEXT = range(3)
 _MUL = K.mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 _ADD = K.mix(np.arange(257, 513, dtype=np.uint64))
 _R = np.uint64(0x9FB21C651E98DF25)
@@ -88,29 +100,45 @@ def _of_words(prefix: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarra
     return K.mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64))
 
 
-def passages(prefix, word_ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first words, hashes) of the chosen windows; ``word_ends`` is, for each
-    word, its text's end.  Texts of fewer than WINDOW words have none."""
-    fits = np.arange(n) + WINDOW <= word_ends
-    h = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    at = np.flatnonzero(fits)
-    if not len(at):
-        return at, h[:0]
+def windows(prefix, word_ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of the window at each word, where a run begins, the least hash of
+    the run's windows); ``word_ends`` is, for each word, its text's end."""
+    most = np.iinfo(np.uint64).max
+    h = np.full(n, most, np.uint64)
+    at = np.flatnonzero(np.arange(n) + WINDOW <= word_ends)
     h[at] = _of_words(prefix, at, at + WINDOW)
-    least = _sliding(h, STEP, np.minimum, np.iinfo(np.uint64).max)
-    # a run of places counts if it is whole, or the first of a text that has no whole one
-    whole = fits.copy()
-    whole[: n - STEP + 1] &= fits[STEP - 1 :]
-    whole[max(0, n - STEP + 1) :] = False
-    first = np.concatenate(([True], word_ends[1:] != word_ends[:-1]))
-    whole |= first & fits
-    least[~whole] = 0
+    return h, np.arange(n) + RUN <= word_ends, _sliding(h, STEP, np.minimum, most)
+
+
+def anchors(prefix, word_ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, hashes) of the windows that are the least of a run."""
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h, whole, least = windows(prefix, word_ends, n)
     # the largest minimum among the runs that hold a place
+    least[~whole] = 0
     back = _sliding(least[::-1], STEP, np.maximum, 0)[::-1]
-    chosen = np.flatnonzero(fits & (h == back))
+    chosen = np.flatnonzero((np.arange(n) + WINDOW <= word_ends) & (h == back))
     return chosen, h[chosen]
 
 
+def blocks(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The paragraphs of all texts, as ranges of their words."""
+    a, b = K.spans(data != 0x0A, offsets)
+    a, b = np.searchsorted(starts, a), np.searchsorted(starts, b)
+    a, b = a[b > a], b[b > a]
+    if not len(a):
+        return a, b
+    owner = np.searchsorted(offsets, starts[a], "right") - 1
+    breaks = np.flatnonzero(data == 0x0A)
+    between = np.searchsorted(breaks, starts[a[1:]]) - np.searchsorted(breaks, ends[b[:-1] - 1])
+    same = owner[1:] == owner[:-1]
+    wrapped = np.zeros(len(offsets), bool)
+    wrapped[owner[1:][same & (between > 1)]] = True
+    first = np.concatenate(([True], ~same | ~wrapped[owner[1:]] | (between > 1)))
+    return a[first], b[np.append(first[1:], True)]
+
+
 def line_signatures(words: np.ndarray, a: np.ndarray, b: np.ndarray, n_bands: int, rows: int = ROWS) -> np.ndarray:
     """Band hashes (lines x bands) of lines of words [a, b), of SHINGLE words at least."""
     grams = K.ngram_hashes(words, SHINGLE)
@@ -133,40 +161,45 @@ def line_signatures(words: np.ndarray, a: np.ndarray, b: np.ndarray, n_bands: in
 UNITS = "kind int, key long, doc_id long, text_key long, first_word int, end_word int, start_byte int, end_byte int, bands array<long>"
 
 
+def _read(data: np.ndarray, offsets: np.ndarray):
+    """(word starts, word ends, word hashes, bounds of the texts' words, the end of each word's text)."""
+    lower = K.LOWER[data]
+    starts, ends = K.spans(K.GRAPHIC[lower], offsets)
+    bounds = np.searchsorted(starts, offsets)
+    return starts, ends, K.span_hashes(lower, starts, ends), bounds, np.repeat(bounds[1:], np.diff(bounds))
+
+
 def units(df: DataFrame, n_bands: int) -> DataFrame:
-    """All paragraphs of (doc_id, text_key, text), and a row of kind TEXT for each row with its words."""
+    """All paragraphs and anchors of (doc_id, text_key, text), and a row of kind
+    TEXT for each row with its words and paragraphs (``end_word``, ``first_word``)."""
 
     def run(batches):
         names = [f.split()[0] for f in UNITS.split(", ")]
         for batch in batches:
             for lo, hi, data, offsets in K.chunks(batch.column(2), 1 << 20):
-                lower = K.LOWER[data]
-                starts, ends = K.spans(K.GRAPHIC[lower], offsets)
-                words = K.span_hashes(lower, starts, ends)
-                bounds = np.searchsorted(starts, offsets)
-                counts = np.diff(bounds)
-                owner = np.repeat(np.arange(hi - lo), counts)
+                starts, ends, words, bounds, word_ends = _read(data, offsets)
+                owner = np.repeat(np.arange(hi - lo), np.diff(bounds))
                 prefix = _prefix(words)
-                la, lb = K.spans(data != 0x0A, offsets)
-                la, lb = np.searchsorted(starts, la), np.searchsorted(starts, lb)
-                long = lb - la >= MIN_WORDS
-                la, lb = la[long], lb[long]
-                pa_, ph = passages(prefix, np.repeat(bounds[1:], counts), len(words))
-                n_line, n_pass, n_text = len(la), len(pa_), hi - lo
-                a, b = np.concatenate((la, pa_)), np.concatenate((lb, pa_ + WINDOW))
-                own = owner[a]
-                kind = np.repeat(np.array([LINE, PASSAGE, TEXT], np.int32), [n_line, n_pass, n_text])
-                key = np.concatenate((_of_words(prefix, la, lb), ph, np.zeros(n_text, np.uint64))).view(np.int64)
-                row = np.concatenate((own, np.arange(n_text)))
+                la, lb = blocks(data, offsets, starts, ends)
+                many = np.bincount(owner[la], minlength=hi - lo) if len(la) else np.zeros(hi - lo)
+                la, lb = la[lb - la >= SHINGLE], lb[lb - la >= SHINGLE]
+                ja, jh = anchors(prefix, word_ends, len(words))
+                once = np.unique(K.pair(owner[ja].astype(np.uint64), jh), return_index=True)[1]
+                ja, jh = ja[once], jh[once]
+                n_line, n_pass, n_text = len(la), len(ja), hi - lo
+                row = np.concatenate((owner[la], owner[ja], np.arange(n_text)))
                 signature = line_signatures(words, la, lb, n_bands) if n_line else np.zeros((0, n_bands), np.uint64)
                 offs = np.concatenate((np.arange(n_line + 1) * n_bands, np.full(n_pass + n_text, n_line * n_bands))).astype(np.int32)
-                ints = lambda x, y: pa.array(np.concatenate((x, y)).astype(np.int32))
+                ints = lambda *x: pa.array(np.concatenate(x).astype(np.int32))
+                own, none = bounds[:-1], np.zeros(n_pass + n_text)
                 rows = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(kind), pa.array(key), rows.column(0).take(pa.array(row)), rows.column(1).take(pa.array(row)),
-                        ints(a - bounds[own], np.zeros(n_text)), ints(b - bounds[own], counts),
-                        ints(starts[a] - offsets[own] if len(a) else a, np.zeros(n_text)), ints(ends[b - 1] - offsets[own] if len(a) else a, np.diff(offsets)),
+                        pa.array(np.repeat(np.array([PARAGRAPH, ANCHOR, TEXT], np.int32), [n_line, n_pass, n_text])),
+                        pa.array(np.concatenate((_of_words(prefix, la, lb), jh, np.zeros(n_text, np.uint64))).view(np.int64)),
+                        rows.column(0).take(pa.array(row)), rows.column(1).take(pa.array(row)),
+                        ints(la - own[owner[la]], ja - own[owner[ja]], many), ints(lb - own[owner[la]], np.zeros(n_pass), np.diff(bounds)),
+                        ints(starts[la] - offsets[owner[la]], none), ints(ends[lb - 1] - offsets[owner[la]], none),
                         pa.ListArray.from_arrays(pa.array(offs), pa.array(signature.ravel().view(np.int64))),
                     ],
                     names=names,
@@ -175,90 +208,215 @@ def units(df: DataFrame, n_bands: int) -> DataFrame:
     return df.mapInArrow(K.task(run), UNITS)
 
 
-def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, shingles): the shingle sets of lines named by (key, doc_id, text_key, start_byte, end_byte)."""
-    by_text = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("key", "start_byte", "end_byte")).alias("lines"))
-    joined = docs.join(by_text, ["doc_id", "text_key"]).select("text", "lines")
+MARKS = "kind int, key long, doc_id long, text_key long, first_word int, start_byte int, end_byte int, shingles array<long>"
+
+
+def _marks(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """The shingle sets of wanted paragraphs, and every run whose anchor is repeated.
+
+    ``places`` has (doc_id, key, text_key, first_word, end_word): the words of a
+    paragraph in one text of the document, or an ``end_word`` of 0 for an anchor
+    that is repeated, wherever it stands.
+    """
+    by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("key", "text_key", "first_word", "end_word")).alias("places"))
+    joined = docs.join(by_doc, "doc_id").select("doc_id", "text_key", "places", "text")
 
     def run(batches):
+        names = [f.split()[0] for f in MARKS.split(", ")]
         for batch in batches:
-            for text, lines in zip(batch.column(0), batch.column(1), strict=True):
-                raw = np.frombuffer(text.as_buffer(), np.uint8)
-                keys, sets = [], []
-                for line in lines.as_py():
-                    lower = K.LOWER[raw[line["start_byte"] : line["end_byte"]]]
-                    starts, ends = K.spans(K.GRAPHIC[lower], np.array([0, len(lower)]))
-                    keys.append(line["key"])
-                    sets.append(np.unique(K.ngram_hashes(K.span_hashes(lower, starts, ends), SHINGLE)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
+            for lo, hi, data, offsets in K.chunks(batch.column(3), 1 << 20):
+                starts, ends, words, bounds, word_ends = _read(data, offsets)
+                rows = batch.slice(lo, hi - lo)
+                nested = rows.column(2)
+                key, of_text, first, end = (c.to_numpy(zero_copy_only=False) for c in nested.flatten().flatten())
+                row = np.repeat(np.arange(hi - lo), nested.value_lengths().to_numpy(zero_copy_only=False))
+                at, anchor = bounds[row], end == 0
+                line = ~anchor & (of_text == rows.column(1).to_numpy(zero_copy_only=False)[row])
+                a, b = at[line] + first[line], at[line] + end[line]
+                sizes = b - a - SHINGLE + 1
+                grams, of = K.ngram_hashes(words, SHINGLE)[K.ranges(a, sizes)], np.repeat(np.arange(len(a)), sizes)
+                order = np.lexsort((grams, of))
+                grams, of = grams[order], of[order]
+                new = np.ones(len(of), bool)
+                new[1:] = (grams[1:] != grams[:-1]) | (of[1:] != of[:-1])
+                grams, of = grams[new], of[new]
+                prefix = _prefix(words)
+                _, whole, least = windows(prefix, word_ends, len(words))
+                begin = np.flatnonzero(whole & np.isin(least, key[anchor].view(np.uint64)))
+                owner = np.searchsorted(bounds, begin, "right") - 1
+                n_set, n_run = len(a), len(begin)
+                none = np.zeros(n_set, np.int32)
+                ids = np.concatenate((np.zeros(n_set, np.int64), owner))
+                offs = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=n_set)), np.full(n_run, len(grams)))).astype(np.int32)
+                ints = lambda x, y: pa.array(np.concatenate((x, y)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(np.array([PARAGRAPH, ANCHOR], np.int32), [n_set, n_run])),
+                        pa.array(np.concatenate((key[line].view(np.uint64), _of_words(prefix, begin, begin + RUN))).view(np.int64)),
+                        rows.column(0).take(pa.array(ids)), rows.column(1).take(pa.array(ids)),
+                        ints(none, begin - bounds[owner]), ints(none, starts[begin] - offsets[owner]), ints(none, ends[begin + RUN - 1] - offsets[owner]),
+                        pa.ListArray.from_arrays(pa.array(offs), pa.array(grams.view(np.int64))),
+                    ],
+                    names=names,
+                )
 
-    # rows that share a document and a text name the same line
-    return joined.mapInArrow(K.task(run), "key long, shingles array<long>").dropDuplicates(["key"])
+    return joined.mapInArrow(K.task(run), MARKS)
+
+
+def link_group(values: np.ndarray, offsets: np.ndarray, label: np.ndarray, centre: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """Links that connect what all links of Jaccard >= threshold between the sets
+    ``values[offsets[i] : offsets[i + 1]]`` connect, given that equal labels are
+    connected.  Only pairs with a member of ``centre`` are looked at."""
+    n = len(label)
+    sizes = np.diff(offsets)
+    _, ids, often = np.unique(values, return_inverse=True, return_counts=True)
+    member = np.repeat(np.arange(n), sizes)
+    order = np.lexsort((ids, often[ids], member))
+    ids = ids[order]  # of each set, the rarest first
+    by_token = np.argsort(ids, kind="stable")
+    holders, first = member[by_token], np.concatenate(([0], np.cumsum(often)))
+    _, comp = np.unique(label, return_inverse=True)
+    todo, every, found = centre.copy(), bool(centre.all()), []
+    mask = np.zeros(len(often), bool)
+    while True:
+        rest = todo
+        if every:  # the main component's members are compared from the other side
+            rest = todo & (comp != np.bincount(comp).argmax())
+        left = np.flatnonzero(rest)
+        if not len(left):
+            return found
+        c = int(left[0])
+        todo[c] = False
+        own = ids[offsets[c] : offsets[c + 1]]
+        head = own[: len(own) - math.ceil(threshold * len(own) - 1e-9) + 1]
+        near = np.unique(holders[K.ranges(first[head], often[head])])
+        near = near[(comp[near] != comp[c]) & (np.minimum(sizes[near], sizes[c]) >= threshold * np.maximum(sizes[near], sizes[c]) - 1e-9)]
+        if not len(near):
+            continue
+        mask[own] = True
+        common = np.add.reduceat(mask[ids[K.ranges(offsets[near], sizes[near])]].astype(np.int64), np.cumsum(sizes[near]) - sizes[near])
+        mask[own] = False
+        for x in near[common >= threshold * (sizes[near] + sizes[c] - common) - 1e-9].tolist():
+            if comp[x] != comp[c]:
+                found.append((c, x))
+                comp[comp == comp[x]] = comp[c]
+
+
+def _link_pairs(values: np.ndarray, offsets: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sets 2 k and 2 k + 1 are linked, for every k."""
+    sizes = np.diff(offsets)
+    pair = np.repeat(np.arange(len(sizes)) // 2, sizes)
+    order = np.lexsort((values, pair))
+    twice = (values[order][1:] == values[order][:-1]) & (pair[order][1:] == pair[order][:-1])
+    common = np.bincount(pair[order][1:][twice], minlength=len(sizes) // 2)
+    return common >= threshold * (sizes[::2] + sizes[1::2] - common) - 1e-9
+
+
+GROUPS = ["bucket", "block", "key", "label", "centre", "shingles"]
+
+
+def _verify(groups: DataFrame, threshold: float) -> DataFrame:
+    """(u, v) of links in groups (bucket, block) of (key, label, centre, shingles)."""
+    dealt = groups.select(*GROUPS).withColumn("part", F.xxhash64("bucket", "block")).repartition("part").sortWithinPartitions("bucket", "block").drop("part")
+
+    def close(parts):
+        keys, labels, centres, values = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        offsets = np.concatenate(([0], np.cumsum(np.concatenate([p[4] for p in parts]))))
+        return [(keys[a], keys[b]) for a, b in link_group(values, offsets, labels, centres, threshold)]
 
+    def run(batches):
+        held, now = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket, block, keys, labels, centres = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            sets = batch.column(5)
+            values = sets.flatten().to_numpy(zero_copy_only=False)
+            sizes = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            offsets = np.concatenate(([0], np.cumsum(sizes)))
+            cut = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1]), [True])))
+            found, pairs = [], []
+            for k, (lo, hi) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
+                name = (bucket[lo], block[lo])
+                if held and name != now:
+                    found += close(held)
+                    held = []
+                now = name
+                if hi == cut[-1] or held:
+                    held.append((keys[lo:hi], labels[lo:hi], centres[lo:hi], values[offsets[lo] : offsets[hi]], sizes[lo:hi]))
+                elif hi - lo == 2:
+                    pairs.append(lo)
+                else:
+                    found += close([(keys[lo:hi], labels[lo:hi], centres[lo:hi], values[offsets[lo] : offsets[hi]], sizes[lo:hi])])
+            if pairs:
+                both = np.stack((pairs, np.array(pairs) + 1), 1).ravel()
+                near = _link_pairs(values[K.ranges(offsets[both], sizes[both])], np.concatenate(([0], np.cumsum(sizes[both]))), threshold)
+                near &= (labels[both[::2]] != labels[both[1::2]]) & (centres[both[::2]] | centres[both[1::2]])
+                found += zip(keys[both[::2]][near], keys[both[1::2]][near], strict=True)
+            if found:
+                yield _links(found)
+        if held:
+            found = close(held)
+            if found:
+                yield _links(found)
+
+    return dealt.mapInArrow(K.task(run), "u long, v long")
+
+
+def _links(found: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([int(u) for u, _ in found], pa.int64()), pa.array([int(v) for _, v in found], pa.int64())], names=["u", "v"])
+
+
+def candidates(paragraphs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(distinct paragraphs with the place of one occurrence, members of buckets
+    with two or more of them); buckets of the same members count once."""
+    at = F.min(F.struct("doc_id", "text_key", "first_word", "end_word")).alias("at")
+    reps = written(paragraphs.groupBy("key").agg(at, F.first("bands").alias("bands")), "paragraph-distinct")
+    banded = reps.select("key", (F.col("at.end_word") - F.col("at.first_word")).cast("long").alias("size"), F.explode("bands").alias("bucket"))
+    ends = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.bit_xor(F.xxhash64("key")).alias("x"), F.sum("size").alias("weight")).where("low < high")
+    once = ends.groupBy("n", "low", "high", "x").agg(F.min("bucket").alias("bucket"), F.first("weight").alias("weight"))
+    return reps, written(banded.drop("size").join(once.select("bucket", "weight"), "bucket"), "paragraph-buckets")
+
+
+def paragraph_components(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
+    """(key, component) of the distinct paragraphs that are linked to another one."""
+    n = F.ceil(F.col("weight") / group)
+    block = F.pmod(F.xxhash64("key"), n)
+    heavy = members.where(F.col("weight") > group)
+    plain = members.select("bucket", block.alias("block"), "key", F.col("key").alias("label"), F.lit(True).alias("centre"))
+    # one centre stands in every block of its bucket
+    centres = heavy.groupBy("bucket").agg(F.min_by("key", F.xxhash64("key", F.lit(1))).alias("key"), F.first("weight").alias("weight"))
+    spread = centres.select("bucket", "key", block.alias("home"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("block")).where("block <> home")
+    groups = plain.unionByName(spread.select("bucket", "block", "key", F.col("key").alias("label"), F.lit(True).alias("centre")))
+    links = written(_verify(groups.join(sets, "key"), threshold), "paragraph-links")
+    components = connected_components(links, "u", "v", "paragraph-components")
+    if heavy.first() is not None:
+        # what is outside a bucket's main component meets every block of the bucket
+        labelled = heavy.join(components.select(F.col("id").alias("key"), "component"), "key", "left").withColumn("label", F.coalesce("component", "key"))
+        counted = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.first("weight").alias("weight"))
+        main = counted.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"), F.sum("n").alias("all"), F.first("weight").alias("whole")).where("outside > 0")
+        far = labelled.join(main, "bucket")
+        m = F.ceil(F.col("whole") / group)
+        s = F.ceil(F.col("whole") * F.col("outside") / F.col("all") / group)
+        upto = lambda x: F.explode(F.sequence(F.lit(0).cast("long"), x - 1))
+        own_m, own_s = F.pmod(F.xxhash64("key"), m), F.pmod(F.xxhash64("key", F.lit(2)), s)
+        one = far.where("label <> main").select("bucket", "key", "label", F.lit(True).alias("centre"), own_s.alias("i"), m.alias("m"), upto(m).alias("j"))
+        two = far.select("bucket", "key", "label", F.lit(False).alias("centre"), own_m.alias("j"), m.alias("m"), upto(s).alias("i"))
+        pairs = one.unionByName(two).withColumn("block", F.col("i") * F.col("m") + F.col("j"))
+        more = written(_verify(pairs.join(sets, "key"), threshold), "paragraph-links")
+        if more.first() is not None:
+            components = connected_components(links.unionByName(more), "u", "v", "paragraph-components")
+        drop(more)
+    drop(links)
+    return components.select(F.col("id").alias("key"), "component")
 
-def _left_pairs(lines: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(u, v): all pairs of ``lines`` (key, label) with different labels that can reach the threshold.
 
-    The first shingle that two sets have in common, in one order of all, leaves
-    the whole of the common part after it, hence stands in a prefix of both.
-    """
-    sized = lines.join(sets, "key").select("key", "label", "shingles", F.size("shingles").alias("n"))
-    every = sized.select("key", "label", "n", F.explode("shingles").alias("s"))
-    often = every.groupBy("s").agg(F.count("*").alias("often"))
-    ordered = every.join(often, "s").groupBy("key", "label", "n").agg(
-        F.count(F.when(F.col("often") == 1, F.lit(1))).cast("int").alias("alone"),
-        F.sort_array(F.collect_list(F.when(F.col("often") > 1, F.struct("often", "s")))).alias("shared"),
-    )
-    prefix = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9).cast("int") + 1
-    places = ordered.select("key", "label", "n", "alone", F.posexplode(F.slice("shared", F.lit(1), F.greatest(prefix - F.col("alone"), F.lit(0)))).alias("after", "t"))
-    places = places.select("key", "label", "n", (F.col("n") - F.col("alone") - F.col("after")).alias("rest"), F.col("t.s").alias("s"))
-    other = places.select(F.col("key").alias("v"), F.col("label").alias("other"), F.col("n").alias("m"), F.col("rest").alias("other_rest"), "s")
-    fits = F.least("rest", "other_rest") >= F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("m")) - 1e-9
-    long = F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m") - 1e-9
-    return places.join(other, "s").where((F.col("key") < F.col("v")) & (F.col("label") != F.col("other")) & long & fits).select(F.col("key").alias("u"), "v").distinct()
-
-
-def line_links(lines: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
-    """(key, component) of the distinct lines that are linked to another one."""
-    reps = written(lines.groupBy("key").agg(F.min(F.struct("doc_id", "text_key", "start_byte", "end_byte")).alias("at"), F.first("bands").alias("bands")), "paragraph-lines")
-    banded = reps.select("key", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
-    members = written(banded.join(shared.select("bucket"), "bucket"), "paragraph-buckets")
+def paragraph_links(paragraphs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
+    """(key, component) of paragraphs (rows of ``units``) of ``docs`` that are linked to another one."""
+    reps, members = candidates(paragraphs)
     wanted = reps.join(members.select("key").distinct(), "key").select("key", "at.*")
-    sets = written(_shingle_sets(docs, wanted), "paragraph-shingles")
-    links = components = tested = None
-    label = lambda: members.withColumn("label", F.col("key")) if components is None else members.join(components, members.key == components.id, "left").select(members.key, "bucket", F.coalesce("component", "key").alias("label"))
-
-    def judge(pairs):
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        a, b = sets.select(F.col("key").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("key").alias("v"), F.col("shingles").alias("b"))
-        common = F.size(F.array_intersect("a", "b"))
-        return written(pairs.join(a, "u").join(b, "v").select("u", "v", (common >= F.lit(threshold) * (F.size("a") + F.size("b") - common)).alias("near")), "paragraph-pairs")
-
-    for k in range(rounds):
-        labelled = label()
-        centres = labelled.groupBy("bucket").agg(F.min_by(F.struct("key", "label"), F.xxhash64("key", F.lit(k))).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        judged = judge(labelled.join(centres, "bucket").where("label <> c.label").select(F.least("key", "c.key").alias("u"), F.greatest("key", "c.key").alias("v")).distinct())
-        tested = judged.select("u", "v") if tested is None else tested.unionByName(judged.select("u", "v"))
-        near = judged.where("near").select("u", "v")
-        found = near.agg(F.count("*")).first()[0]
-        if not found and k:
-            break
-        links = near if links is None else links.unionByName(near)
-        components = connected_components(links, "u", "v", "paragraph-components")
-    # what the centres left open: all other pairs of buckets that are not one component
-    labelled = label()
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    open_lines = written(labelled.join(mixed, "bucket").select("key", "label").distinct(), "paragraph-open")
-    near = judge(_left_pairs(open_lines, sets, threshold)).where("near").select("u", "v")
-    if near.first() is not None:
-        components = connected_components(near if links is None else links.unionByName(near), "u", "v", "paragraph-components")
-    drop(open_lines)
-    drop(sets)
-    drop(members)
-    drop(reps)
-    return components.select(F.col("id").alias("key"), "component")
+    sets = written(_marks(docs, wanted).dropDuplicates(["key"]).select("key", "shingles"), "paragraph-sets")
+    return paragraph_components(members, sets, threshold, group)
 
 
 SPAN = "struct<first_word:int,end_word:int,start_byte:int,end_byte:int>"
@@ -274,8 +432,7 @@ def _union_spans(df: DataFrame) -> DataFrame:
         for batch in batches:
             spans, total = [], []
             for row in batch.column(at):
-                flat = row.values.flatten() if hasattr(row.values, "flatten") else row.values
-                s = np.stack([f.to_numpy(zero_copy_only=False) for f in flat])
+                s = np.stack([f.to_numpy(zero_copy_only=False) for f in row.values.flatten()])
                 s = s[:, np.lexsort((s[1], s[0]))]
                 reach = np.maximum.accumulate(s[1])
                 cut = np.concatenate(([True], s[0][1:] > reach[:-1]))
@@ -291,33 +448,52 @@ def _union_spans(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def _repeated(rows: DataFrame, key: str = "key") -> DataFrame:
+    """(key, keeper): the keys of two or more documents and the smallest of these."""
+    return rows.groupBy(key).agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("high")).where("keeper < high").drop("high")
+
+
+def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each distinct (doc_id, text): its words and paragraphs, how
-    many are repeated in other documents, its class (the smallest document
-    reachable by repeated paragraphs), and the spans to remove."""
+    many repeated passages it has (runs, and paragraphs of ``min_words``), how
+    many paragraphs of any length have a like in other documents, its class (the
+    smallest document reachable by repeated passages), and the spans to remove."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), F.col(text).alias("text")).where("doc_id is not null")
     every = written(units(docs, bands(threshold, recall)), "paragraph-units")
-    lines, windows = every.where(F.col("kind") == LINE), every.where(F.col("kind") == PASSAGE)
-    linked = line_links(lines, docs, threshold)
-    ends = lambda x, *by: x.groupBy(*by).agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    of_lines = lines.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    classed = of_lines.join(linked, "key", "left").withColumn("class", F.coalesce("component", "key"))
-    repeated_lines = classed.select("key", "class").join(ends(classed, "class").where("low < high"), "class").select(F.lit(LINE).alias("kind"), "key", F.col("low").alias("keeper"))
-    of_windows = windows.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    repeated = repeated_lines.unionByName(of_windows.select(F.lit(PASSAGE).alias("kind"), "key", F.col("low").alias("keeper")))
-    found = written(every.drop("bands").join(repeated, ["kind", "key"]), "paragraph-repeats")
-    links = found.where("doc_id <> keeper").select("doc_id", "keeper").distinct()
+    paragraphs, by = every.where(F.col("kind") == PARAGRAPH), ["doc_id", "text_key"]
+    reps, members = candidates(paragraphs)
+    wanted = reps.join(members.select("key").distinct(), "key").select("key", "at.*")
+    starts = every.where(F.col("kind") == ANCHOR).select("key", "doc_id")
+    anchored = starts.join(_repeated(starts), "key").select("key", "doc_id")
+    places = anchored.select("doc_id", "key", F.lit(0).cast("long").alias("text_key"), F.lit(0).alias("first_word"), F.lit(0).alias("end_word"))
+    marks = written(_marks(docs, places.unionByName(wanted)), "paragraph-marks")
+    drop(reps)
+    sets = marks.where(F.col("kind") == PARAGRAPH).select("key", "shingles").dropDuplicates(["key"])
+    linked = paragraph_components(members, sets, threshold)
+    drop(members)
+
+    slim = paragraphs.select("key", *by, "first_word", "end_word", "start_byte", "end_byte")
+    classed = slim.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).join(linked, "key", "left").withColumn("class", F.coalesce("component", "key"))
+    keepers = classed.groupBy("class").agg(F.min("low").alias("keeper"), F.max("high").alias("high")).where("keeper < high")
+    alike = slim.join(classed.select("key", "class").join(keepers, "class").select("key", "keeper"), "key").drop("key").withColumn("long", F.col("end_word") - F.col("first_word") >= min_words)
+
+    runs = marks.where(F.col("kind") == ANCHOR).select("key", *by, "first_word", "start_byte", "end_byte")
+    again = runs.join(_repeated(runs), "key").drop("key").withColumn("cut", F.col("doc_id") != F.col("keeper"))
+    # overlapping runs are one passage: their first words follow each other
+    order = Window.partitionBy(*by, "cut").orderBy("first_word")
+    islands = again.withColumn("island", F.col("first_word") - F.dense_rank().over(order)).groupBy(*by, "cut", "keeper", "island")
+    passages = islands.agg(F.min("first_word").alias("first_word"), (F.max("first_word") + RUN).alias("end_word"), F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte")).drop("cut", "island")
+    found = written(alike.unionByName(passages.withColumn("long", F.lit(None).cast("boolean")), allowMissingColumns=True), "paragraph-repeats")
+    drop(marks)
+
+    links = found.where("doc_id <> keeper and coalesce(long, true)").select("doc_id", "keeper").distinct()
     classes = connected_components(links, "doc_id", "keeper", "paragraph-classes").select(F.col("id").alias("doc_id"), F.col("component").alias("class_id"))
-    by = ["doc_id", "text_key"]
-    counted = every.groupBy(*by).agg(F.max(F.when(F.col("kind") == TEXT, F.col("end_word"))).cast("long").alias("n_words"), F.count(F.when(F.col("kind") != TEXT, F.lit(1))).alias("n_paragraphs"))
-    repeats = found.groupBy(*by).agg(F.count("*").alias("n_repeated"))
-    spans = _union_spans(found.where("doc_id <> keeper").groupBy(*by).agg(F.collect_set(F.struct("first_word", "end_word", "start_byte", "end_byte")).alias("spans")))
+    counted = every.where(F.col("kind") == TEXT).groupBy(*by).agg(F.max("end_word").cast("long").alias("n_words"), F.max("first_word").cast("long").alias("n_paragraphs"))
+    repeats = found.groupBy(*by).agg(F.count(F.when(F.coalesce("long", F.lit(True)), F.lit(1))).alias("n_repeated"), F.count("long").alias("n_similar"))
+    spans = _union_spans(found.where("doc_id <> keeper and coalesce(long, true)").groupBy(*by).agg(F.collect_set(F.struct("first_word", "end_word", "start_byte", "end_byte")).alias("spans")))
     out = counted.join(repeats, by, "left").join(spans, by, "left").join(classes, "doc_id", "left")
-    return out.select(
-        "doc_id", "text_key", F.coalesce("class_id", "doc_id").alias("class_id"), "n_words", "n_paragraphs",
-        F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"), F.coalesce("removed_words", F.lit(0)).alias("removed_words"),
-        F.coalesce("spans", F.expr(f"cast(array() as array<{SPAN}>)")).alias("spans"),
-    )
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("doc_id", "text_key", F.coalesce("class_id", "doc_id").alias("class_id"), "n_words", "n_paragraphs", none("n_repeated"), none("n_similar"), none("removed_words"), F.coalesce("spans", F.expr(f"cast(array() as array<{SPAN}>)")).alias("spans"))
 
 
 def remove(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import itertools
 import hashlib
 
 import duckdb
@@ -340,9 +341,131 @@ def test_all_links_of_a_bucket_with_many_families(spark):
             w[k] = f"f{f}x{k}"
         data += [(2 * f + copy, " ".join([*w[:-1], f"end{f}x{copy}"])) for copy in range(2)]
     docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("text_key", F.xxhash64("text")).select("doc_id", "text_key", "text")
-    units = paragraphs.units(docs, paragraphs.bands()).where(F.col("kind") == paragraphs.LINE)
+    units = paragraphs.units(docs, paragraphs.bands()).where(F.col("kind") == paragraphs.PARAGRAPH)
     doc = {r.key: r.doc_id for r in units.collect()}
     got = collections.defaultdict(set)
-    for r in paragraphs.line_links(units, docs).collect():
+    for r in paragraphs.paragraph_links(units, docs).collect():
         got[r.component].add(doc[r.key])
     assert sorted(map(sorted, got.values())) == [[2 * f, 2 * f + 1] for f in range(40)]
+
+
+def shingles(text, n=5):
+    w = graphic(lower(text))
+    return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+
+
+def jaccard_groups(data, threshold=0.8):
+    """Components of all pairs of texts at the threshold, those of one text left out."""
+    sets = [(i, shingles(t)) for i, t in data]
+    near = [(i, j) for (i, a), (j, b) in itertools.combinations(sets, 2) if len(a & b) >= threshold * len(a | b)]
+    return sorted(g for g in map(sorted, groups(near)) if len(g) > 1)
+
+
+def boilerplate(families, seed):
+    """Families of two near copies (about 0.87), all alike by shared words (about 0.79)."""
+    rng = np.random.default_rng(seed)
+    common, data = passage(rng, 120).split(), []
+    for f in range(families):
+        w = list(common)
+        for k in (5, 115):
+            w[k] = f"f{f}x{k}"
+        for copy in range(2):
+            v = list(w)
+            v[40 + 30 * copy] = f"c{f}x{copy}"
+            data.append((2 * f + copy, " ".join(v)))
+    return data
+
+
+@pytest.mark.parametrize("group", [paragraphs.GROUP, 4000])
+def test_no_link_among_boilerplate_is_lost(spark, group):
+    data = boilerplate(150, 13)
+    sets = [shingles(t) for _, t in data[:4]]
+    share = lambda a, b: len(a & b) / len(a | b)
+    assert share(sets[0], sets[1]) >= 0.8 > share(sets[0], sets[2])
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("text_key", F.xxhash64("text")).select("doc_id", "text_key", "text")
+    units = paragraphs.units(docs, paragraphs.bands()).where(F.col("kind") == paragraphs.PARAGRAPH)
+    doc = {r.key: r.doc_id for r in units.collect()}
+    got = collections.defaultdict(list)
+    for r in paragraphs.paragraph_links(units, docs, group=group).collect():
+        got[r.component].append(doc[r.key])
+    want = jaccard_groups(data)
+    together = {frozenset(p) for g in got.values() for p in itertools.combinations(g, 2)}
+    pairs = {frozenset(p) for g in want for p in itertools.combinations(g, 2)}
+    assert together <= pairs and len(together) >= 0.99 * len(pairs)
+
+
+def test_link_group_equals_all_pairs():
+    rng = np.random.default_rng(14)
+    for trial in range(30):
+        base = [rng.choice(400, rng.integers(3, 60), replace=False) for _ in range(6)]
+        sets = []
+        for _ in range(rng.integers(2, 40)):
+            b = set(base[rng.integers(6)].tolist())
+            b |= {int(x) for x in rng.choice(4000, rng.integers(0, 8))}
+            sets.append(np.array(sorted(b), np.int64))
+        n = len(sets)
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+        near = [(i, j) for i, j in itertools.combinations(range(n), 2) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+        got = paragraphs.link_group(np.concatenate(sets), offsets, np.arange(n), np.ones(n, bool))
+        solo = [(i, i) for i in range(n)]
+        assert groups([*solo, *got]) == groups([*solo, *near])
+        assert set(map(frozenset, got)) <= set(map(frozenset, near))
+        # split over two blocks and a second pass from one side
+        half = np.arange(n) % 2 == 0
+        first = [*solo, *(p for p in got if half[p[0]] == half[p[1]])]
+        label = np.zeros(n, np.int64)
+        for g in groups(first):
+            label[list(g)] = min(g)
+        rest = paragraphs.link_group(np.concatenate(sets), offsets, label, np.ones(n, bool) if trial % 2 else label != np.bincount(label).argmax())
+        assert groups([*first, *rest]) == groups([*solo, *near])
+        pairs = [k for p in itertools.combinations(range(min(n, 8)), 2) for k in p]
+        linked = paragraphs._link_pairs(np.concatenate([sets[k] for k in pairs]), np.concatenate(([0], np.cumsum([len(sets[k]) for k in pairs]))), 0.8)
+        assert linked.tolist() == [(a, b) in near for a, b in zip(pairs[::2], pairs[1::2], strict=True)]
+
+
+def test_near_paragraphs_of_the_table(spark, sf, texts):
+    rows = {r.doc_id: r for r in queries.op3_paragraph_minhash(spark, sf).collect()}
+    lines = collections.defaultdict(set)
+    for i, t in texts.items():
+        for line in (t or "").split("\n"):
+            if len(graphic(line)) >= 5:
+                lines[tuple(graphic(lower(line)))].add(i)
+    keys = list(lines)
+    number = {k: n for n, k in enumerate(keys)}
+    holders = collections.defaultdict(list)
+    for k in keys:
+        for s in shingles(" ".join(k)):
+            holders[s].append(number[k])
+    sets = [shingles(" ".join(k)) for k in keys]
+    tested = {p for h in holders.values() for p in itertools.combinations(sorted(h), 2)}
+    near = [(a, b) for a, b in tested if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    alike = {n for g in groups([*((n, n) for n in range(len(keys))), *near]) for n in g if len({i for m in g for i in lines[keys[m]]}) > 1}
+    want = collections.Counter(i for i, t in texts.items() for line in (t or "").split("\n") if len(graphic(line)) >= 5 and number[tuple(graphic(lower(line)))] in alike)
+    got = collections.Counter({i: r.n_similar for i, r in rows.items() if r.n_similar})
+    assert sum((want & got).values()) >= 0.99 * sum(want.values()) and not got - want
+
+
+def test_wrapped_paragraphs_meet(spark):
+    rng = np.random.default_rng(15)
+    w = passage(rng, 80).split()
+    v = [*w[:40], "changed", *w[41:]]
+    wrap = lambda x, n: "\n".join(" ".join(x[k : k + n]) for k in range(0, len(x), n))
+    data = [(1, f"{passage(rng, 20)}\n\n{wrap(w, 9)}\n \n{passage(rng, 20)}"), (2, f"{passage(rng, 20)}\n\n\n{wrap(v, 13)}"), (3, f"{passage(rng, 20)}\n{' '.join(w[:39])} other {' '.join(w[40:])}")]
+    got = {r.doc_id: r for r in paragraphs.find(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert [got[k].class_id for k in (1, 2, 3)] == [1, 1, 1] and [got[k].removed_words for k in (1, 2, 3)] == [0, 80, 80]
+    assert [got[k].n_paragraphs for k in (1, 2, 3)] == [3, 2, 2]
+
+
+def test_removed_words_are_the_whole_runs(spark, sf, texts):
+    found = {r.doc_id: r for r in paragraphs.find(spark.read.parquet(f"{sf}/documents.parquet"), min_words=10**6).collect()}
+    seen, size = {}, paragraphs.RUN
+    for i in sorted(texts):
+        w = graphic(lower(texts[i]))
+        for k in range(len(w) - size + 1):
+            seen.setdefault(tuple(w[k : k + size]), i)
+    for i, t in texts.items():
+        w = graphic(lower(t))
+        cut = {x for k in range(len(w) - size + 1) if seen[tuple(w[k : k + size])] != i for x in range(k, k + size)}
+        assert {x for s in found[i].spans for x in range(s.first_word, s.end_word)} == cut
+        assert found[i].removed_words == len(cut)
+    assert any(r.removed_words for r in found.values())
