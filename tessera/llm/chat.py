@@ -8,20 +8,27 @@ text lies within its span is found by rendering the turn once more around a
 probe text.  Assistant texts under the loss mask follow from these spans.
 
 Rows are dealt by conversation and sorted by turn; tasks stream over them and
-hold one conversation's prefix at most.  A template that declares a ``window``
-(a turn's output depends on that many turns before it only) is rendered over
-the window, which the first turns check against full prefixes; then a task
-holds a few turns however long a conversation is.
+hold one conversation.  Every prefix is rendered and compared with the one
+before, which takes the square of the number of turns.  Only a template that
+declares a ``window`` (a turn's output depends on that many turns before it
+only) is spared that in long conversations: after ``FULL`` turns it is rendered
+over its window, and the whole conversation is rendered whenever it has grown by
+a quarter, and at its end, and compared by digest with all that was put out.  A
+rewrite that lasts is flagged there at the latest; one that is undone before the
+next such turn is not seen.
 
 Defined results: a null text or role is empty; turns are ordered by (turn, role,
 text), nulls first, so ties have one order and repeated rows are turns of their
 own; rows with a null ``conv_id`` are one conversation; an empty table gives no
-rows.  Columns other than the four named are not read.
+rows.  Columns other than the four named are not read.  A turn whose text isn't
+found in its span has start and end -1 and is reported as ``unplaced``; it is
+outside the loss mask.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterable, Iterator
 
@@ -33,8 +40,8 @@ from .shared import parts
 
 #: Text that stands in for a turn's own while its place is located.
 PROBE = "\ue000probe\ue000"
-#: Turns whose windowed rendering is checked against the full prefix.
-CHECKED = 4
+#: Turns whose prefixes are all rendered, whatever window a template declares.
+FULL = 512
 
 
 def escape(text: str) -> str:
@@ -76,81 +83,102 @@ class MarkedTurns:
 class Spans:
     """Renders the successive prefixes of one conversation."""
 
-    def __init__(self, template):
-        self.template, self.window = template, getattr(template, "window", None)
+    def __init__(self, template, full: int = FULL):
+        self.template, self.window, self.full = template, getattr(template, "window", None), full
         self.messages: list[tuple[str, str]] = []
         self.output, self.count, self.rewrites = "", 0, False
+        self.digest, self.check = hashlib.sha256(), math.ceil(1.25 * full)
 
-    def push(self, role: str, text: str) -> tuple[str, int, int]:
+    def push(self, role: str, text: str, last: bool = False) -> tuple[str, int, int]:
         """(the turn's piece of the output, start and end of its text in the
-        piece); start is -1 if the template rewrote what it had rendered."""
+        piece); start is -1 if the text isn't found there, or if the template
+        rewrote what it had rendered: then the piece is the whole output."""
         self.messages.append((role, text))
         self.count += 1
-        whole = self.template(self.messages)
-        if self.window is not None and self.count > CHECKED:
-            before = self.template(self.messages[:-1])
+        if self.window is None or self.rewrites or self.count <= self.full:
+            near, before = self.messages, self.output
         else:
-            before = self.output
-        if not whole.startswith(before):
-            self.rewrites = True
-            self.output = whole
-            return whole, -1, -1
-        piece = whole[len(before) :]
-        if self.window is not None and self.count <= CHECKED:
-            near = self.messages[-self.window - 1 : -1]
-            if self.template([*near, (role, text)]) != self.template(near) + piece:
-                raise ValueError("the template looks further back than its window")
-        probed = self.template([*self.messages[:-1], (role, PROBE)])
+            near = self.messages[-self.window - 1 :]
+            before = self.template(near[:-1])
+        output = self.template(near)
+        if not output.startswith(before):
+            return self._rewritten()
+        piece = output[len(before) :]
+        if near is self.messages:
+            self.output = output
+            if self.window is not None and not self.rewrites:
+                near = self.messages[-self.window - 1 :]
+                before = self.template(near[:-1])
+                if self.template(near) != before + piece:
+                    raise ValueError("the template looks further back than its window")
+        if self.window is not None and not self.rewrites:
+            self.digest.update(piece.encode("utf-8", "surrogatepass"))
+            if self.count > self.full and (last or self.count >= self.check):
+                self.check = math.ceil(1.25 * self.count)
+                if hashlib.sha256(self.template(self.messages).encode("utf-8", "surrogatepass")).digest() != self.digest.digest():
+                    return self._rewritten()
+        probed = self.template([*near[:-1], (role, PROBE)])
         at = probed.find(PROBE, len(before))
         tail = len(probed) - at - len(PROBE)
         start, end = at - len(before), len(piece) - tail
         if at < 0 or not probed.startswith(before) or start > end:
             start = end = -1
-        self.output = whole
-        if self.window is not None and self.count >= CHECKED:
-            self.messages = self.messages[-self.window :] if self.window else []
-            self.output = ""
         return piece, start, end
 
+    def _rewritten(self) -> tuple[str, int, int]:
+        self.rewrites, self.output = True, self.template(self.messages)
+        return self.output, -1, -1
 
-PIECES = "conv_id long, piece string, text_start int, text_end int, in_loss boolean, rewrites boolean"
 
+PIECES = "conv_id long, piece string, text_start int, text_end int, in_loss boolean, rewrites boolean, unplaced boolean"
 
-def format_turns(df: DataFrame, template, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_roles: Iterable[str] = ("assistant",)) -> DataFrame:
+
+def _turns(batches) -> Iterator[tuple]:
+    """(conversation, role, text, whether it is the conversation's last) of sorted rows."""
+    held = None
+    for batch in batches:
+        for row in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if held is not None:
+                yield *held, held[0] != row[0]
+            held = row
+    if held is not None:
+        yield *held, True
+
+
+def format_turns(df: DataFrame, template, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_roles: Iterable[str] = ("assistant",), full: int = FULL) -> DataFrame:
     """One row a turn: its piece of the conversation's output (the pieces in
     order are the output), the span of its text in the piece, whether that span
-    is under the loss mask, and whether history was rewritten."""
+    is under the loss mask, whether history was rewritten, and whether a text
+    that belongs under the mask has no place."""
     loss = frozenset(loss_roles)
     rows = df.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     dealt = rows.repartition(parts(df.sparkSession, df), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches):
-        now, spans = object(), None
-        for batch in batches:
-            out: list[tuple] = []
-            size = 0
-            for conv, r, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if conv != now:
-                    now, spans = conv, Spans(template)
-                piece, start, end = spans.push(r, t)
-                out.append((conv, piece, start, end, r in loss and start >= 0, spans.rewrites))
-                size += len(piece)
-                if size > 1 << 20:
-                    yield _batch(out)
-                    out, size = [], 0
-            if out:
+        spans, out, size = None, [], 0
+        for conv, r, t, last in _turns(batches):
+            spans = spans or Spans(template, full)
+            piece, start, end = spans.push(r, t, last)
+            out.append((conv, piece, start, end, r in loss and start >= 0, spans.rewrites, r in loss and start < 0))
+            size += len(piece)
+            if last:
+                spans = None
+            if size > 1 << 20 or len(out) >= 10_000:
                 yield _batch(out)
+                out, size = [], 0
+        if out:
+            yield _batch(out)
 
     return dealt.mapInArrow(run, PIECES)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()]
-    names = ["conv_id", "piece", "text_start", "text_end", "in_loss", "rewrites"]
+    types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_()]
+    names = [f.split()[0] for f in PIECES.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
 
-DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites boolean"
+DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites boolean, unplaced long"
 
 
 def read_back(pieces: DataFrame, template) -> DataFrame:
@@ -168,13 +196,13 @@ def read_back(pieces: DataFrame, template) -> DataFrame:
             if state is not None:
                 if state["left"]:
                     raise ValueError(f"conversation {now}: its output does not end with a turn")
-                done.append((now, state["turns"], state["all"].hexdigest(), state["chars"], state["loss"].hexdigest(), state["size"], state["rewrites"]))
+                done.append((now, state["turns"], state["all"].hexdigest(), state["chars"], state["loss"].hexdigest(), state["size"], state["rewrites"], state["unplaced"]))
 
         for batch in batches:
             for r in batch.to_pylist():
                 if r["conv_id"] != now:
                     close()
-                    now, state = r["conv_id"], {"turns": 0, "all": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "size": 0, "left": "", "rewrites": False}
+                    now, state = r["conv_id"], {"turns": 0, "all": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "size": 0, "left": "", "rewrites": False, "unplaced": 0}
                 if r["rewrites"] and not state["rewrites"]:
                     state |= {"turns": 0, "all": hashlib.sha256(), "size": 0, "left": "", "rewrites": True}
                 state["size"] += len(r["piece"])
@@ -182,6 +210,7 @@ def read_back(pieces: DataFrame, template) -> DataFrame:
                 for role, text in turns:
                     state["turns"] += 1
                     state["all"].update(f"{role}\n{text}\n".encode())
+                state["unplaced"] += r["unplaced"]
                 if r["in_loss"]:
                     text = unescape(r["piece"][r["text_start"] : r["text_end"]])
                     state["chars"] += len(text)
@@ -197,5 +226,5 @@ def read_back(pieces: DataFrame, template) -> DataFrame:
 
 
 def _digests(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64()]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=[f.split()[0] for f in DIGESTS.split(", ")])

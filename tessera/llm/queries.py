@@ -58,7 +58,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", trap), (-1, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
     rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(extra)
     template = chat.MarkedTurns()
-    return chat.read_back(chat.format_turns(rows, template), template).drop("rewrites")
+    return chat.read_back(chat.format_turns(rows, template), template).drop("rewrites", "unplaced")
 
 
 def op7_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:

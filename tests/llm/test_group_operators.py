@@ -2,8 +2,8 @@
 
 import base64
 import collections
-import itertools
 import hashlib
+import itertools
 
 import duckdb
 import numpy as np
@@ -143,6 +143,53 @@ def test_black_box_templates():
         s.push("user", "b")
 
 
+class Forgetful:
+    """Drops its first turn once it has so many, and says it looks back on nothing."""
+
+    window = 0
+
+    def __init__(self, at):
+        self.at = at
+
+    def __call__(self, messages):
+        return "".join(f"[{r}] {t}\n" for r, t in (messages[1:] if len(messages) >= self.at else messages))
+
+
+@pytest.mark.parametrize("at", [6, 40, 100])
+@pytest.mark.parametrize("full", [chat.FULL, 4])
+def test_rewrites_at_any_turn_are_flagged(spark, at, full):
+    data = [(1, k, "assistant" if k % 2 else "user", f"text {k}") for k in range(110)] + [(2, k, "assistant" if k % 2 else "user", f"text {k}") for k in range(at - 1)]
+    got = chat.format_turns(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"), Forgetful(at), full=full).collect()
+    flags = [r.rewrites for r in got if r.conv_id == 1]
+    assert flags[-1] and not any(flags[: at - 1]) and (flags[at - 1] or full < at)
+    assert not any(r.rewrites for r in got if r.conv_id == 2)
+    last = max(k for k, r in enumerate(got) if r.conv_id == 1 and r.rewrites and r.piece.count("\n") > 1)
+    rows = [r for r in got[last:] if r.conv_id == 1]
+    assert "".join(r.piece for r in rows) == Forgetful(at)([(r, t) for _, _, r, t in data[:110]])
+
+
+def test_windows_give_the_spans_of_full_prefixes():
+    rng = np.random.default_rng(3)
+    turns = [("assistant" if k % 2 else "user", "".join(rng.choice(list("a<|\\\n>"), rng.integers(0, 9)))) for k in range(80)]
+    short, whole = chat.Spans(chat.MarkedTurns(), full=4), chat.Spans(chat.MarkedTurns())
+    for k, (r, t) in enumerate(turns):
+        assert short.push(r, t, k == 79) == whole.push(r, t, k == 79)
+    assert not short.rewrites and not whole.rewrites
+
+
+class Trimmed:
+    def __call__(self, messages):
+        return "".join(f"[{r}] {t.strip()}\n" for r, t in messages)
+
+
+def test_unplaced_texts_are_reported(spark):
+    t = Trimmed()
+    data = [(1, 0, "user", "a"), (1, 1, "assistant", "  "), (1, 2, "assistant", "b")]
+    got = chat.format_turns(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"), t).collect()
+    assert all(r.in_loss != r.unplaced for r in got if r.conv_id == 1 and "assistant" in r.piece)
+    assert got[2].piece[got[2].text_start : got[2].text_end] == "b"
+
+
 def test_chat_rows(spark):
     data = [(1, k, "assistant" if k % 2 else "user", f"text {k} <|im_end|>") for k in range(30)] + [(2, 0, "assistant", None), (2, 0, "assistant", "tie"), (2, 0, "assistant", "tie"), (None, None, None, "x"), (3, 1, "as<|sistant\n", "y")]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit(0))
@@ -358,7 +405,10 @@ def jaccard_groups(data, threshold=0.8):
     """Components of all pairs of texts at the threshold, those of one text left out."""
     sets = [(i, shingles(t)) for i, t in data]
     near = [(i, j) for (i, a), (j, b) in itertools.combinations(sets, 2) if len(a & b) >= threshold * len(a | b)]
-    return sorted(g for g in map(sorted, groups(near)) if len(g) > 1)
+    out = collections.defaultdict(list)
+    for i, c in groups(near).items():
+        out[c].append(i)
+    return list(out.values())
 
 
 def boilerplate(families, seed):
@@ -414,8 +464,8 @@ def test_link_group_equals_all_pairs():
         half = np.arange(n) % 2 == 0
         first = [*solo, *(p for p in got if half[p[0]] == half[p[1]])]
         label = np.zeros(n, np.int64)
-        for g in groups(first):
-            label[list(g)] = min(g)
+        for i, c in groups(first).items():
+            label[i] = c
         rest = paragraphs.link_group(np.concatenate(sets), offsets, label, np.ones(n, bool) if trial % 2 else label != np.bincount(label).argmax())
         assert groups([*first, *rest]) == groups([*solo, *near])
         pairs = [k for p in itertools.combinations(range(min(n, 8)), 2) for k in p]
@@ -439,7 +489,10 @@ def test_near_paragraphs_of_the_table(spark, sf, texts):
     sets = [shingles(" ".join(k)) for k in keys]
     tested = {p for h in holders.values() for p in itertools.combinations(sorted(h), 2)}
     near = [(a, b) for a, b in tested if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    alike = {n for g in groups([*((n, n) for n in range(len(keys))), *near]) for n in g if len({i for m in g for i in lines[keys[m]]}) > 1}
+    component, held = groups([*((n, n) for n in range(len(keys))), *near]), collections.defaultdict(set)
+    for n, c in component.items():
+        held[c] |= lines[keys[n]]
+    alike = {n for n, c in component.items() if len(held[c]) > 1}
     want = collections.Counter(i for i, t in texts.items() for line in (t or "").split("\n") if len(graphic(line)) >= 5 and number[tuple(graphic(lower(line)))] in alike)
     got = collections.Counter({i: r.n_similar for i, r in rows.items() if r.n_similar})
     assert sum((want & got).values()) >= 0.99 * sum(want.values()) and not got - want
