@@ -177,7 +177,7 @@ def _answers(batches):
         del every
         cut = np.cumsum([0, *map(len, keys)])
         for col in (t, f):
-            # sums of 32-bit counts are exact in the 53 bits of a double
+            # exact in the 53 bits of a double: up to 9e15 events
             sums = np.bincount(index, np.concatenate([_unpack(r[col], np.uint32) for r in own]), len(distinct)).astype(np.uint64)
             if side == 0 and col == t:
                 types_seen = int(np.count_nonzero(sums))
@@ -192,16 +192,15 @@ COUNTED = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("d
 
 
 def _planes(a: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    """32-bit counts (larger ones are an error), for each text its four byte planes."""
-    if len(a) and a.max() > 0xFFFFFFFF:
-        raise OverflowError(f"a count of {a.max()} does not fit in 32 bits")
-    a = a.astype("<u4").view(np.uint8).reshape(-1, 4)
+    """Counts as byte planes, for each text as many as the largest count needs."""
+    width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+    a = a.astype("<u8").view(np.uint8).reshape(-1, 8)
     begin, size = np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(sizes, sizes)
-    at = np.arange(len(a)) + 3 * begin
-    out = np.empty(a.size, np.uint8)
-    for k in range(4):
+    at = np.arange(len(a)) + (width - 1) * begin
+    out = np.empty(len(a) * width, np.uint8)
+    for k in range(width):
         out[at + k * size] = a[:, k]
-    return K.binary_column(out, sizes * 4)
+    return K.binary_column(out, sizes * width)
 
 
 def _counted(batches):
@@ -276,15 +275,18 @@ def _estimates(big: np.ndarray, uni: np.ndarray, sizes: np.ndarray, texts: int,
     return bucket, np.divide(big, context, out=np.zeros(len(uni)), where=context > 0), uni / max(n, 1)
 
 
-def _unplanes(column) -> np.ndarray:
-    """The inverse of ``_planes``, of all texts end to end."""
+def _unplanes(column, sizes: np.ndarray) -> np.ndarray:
+    """The inverse of ``_planes``, of all texts end to end; a text has its size
+    of counts or none."""
     data, offsets = K.buffers(column)
-    sizes = np.diff(offsets) // 4
-    begin, size = np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(sizes, sizes)
-    at = np.arange(len(begin)) + 3 * begin
-    out = np.zeros(len(begin))
-    for k in range(4):
-        out += data[at + k * size] * float(1 << (8 * k))
+    lengths = np.diff(offsets)
+    own = np.where(lengths > 0, sizes, 0)
+    width = lengths // np.maximum(own, 1)
+    begin = np.cumsum(own) - own
+    out = np.zeros(int(own.sum()))
+    for k in range(int(width.max(initial=0))):
+        some = np.flatnonzero(width > k)
+        out[K.ranges(begin[some], own[some])] += data[K.ranges(offsets[some] + k * own[some], own[some])] * float(1 << (8 * k))
     return out
 
 
@@ -317,7 +319,7 @@ def fit(counted: DataFrame, rounds: int = 60) -> Model:
     def cells(batches):
         for batch in (part for whole in batches for part in _slices(whole)):
             sizes = batch.column(3).to_numpy(zero_copy_only=False)
-            big, uni, big_own, uni_own = (_unplanes(batch.column(k)) for k in range(4, 8))
+            big, uni, big_own, uni_own = (_unplanes(batch.column(k), sizes) for k in range(4, 8))
             b, two, one = _estimates(big - big_own, uni - uni_own, sizes, main_texts, n - n_fold)
             q = [np.where(p > 0, np.round(-GRID * np.log2(np.where(p > 0, p, 1))) + 1, 0).astype(np.int64) for p in (two, one)]
             key, index = np.unique((b << 40) | (q[0] << 20) | q[1], return_inverse=True)
@@ -351,7 +353,7 @@ def score(counted: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for batch in (part for whole in batches for part in _slices(whole)):
             sizes = batch.column(3).to_numpy(zero_copy_only=False)
-            big, uni = _unplanes(batch.column(4)), _unplanes(batch.column(5))
+            big, uni = _unplanes(batch.column(4), sizes), _unplanes(batch.column(5), sizes)
             first = np.cumsum(sizes) - sizes
             b, two, one = _estimates(big, uni, sizes, model.texts, model.n)
             w = model.weights[:, b]

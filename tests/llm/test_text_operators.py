@@ -330,9 +330,18 @@ def test_decontamination_odd_rows(spark, odd):
     assert decontaminate.find(odd, word).where("doc_id = 7").select(decontaminate.n_hit()).first()[0] == 30000
 
 
-def test_counts_beyond_32_bits_are_an_error():
-    sizes = np.array([2])
-    counts = np.array([7, 0xFFFFFFFF], np.uint64)
-    assert len(interpolation._planes(counts, sizes)) == 1
-    with pytest.raises(OverflowError):
-        interpolation._planes(counts + np.uint64(1), sizes)
+def test_counts_of_any_size_keep_their_value():
+    sizes = [np.array([2, 3]), np.array([1, 0, 2]), np.array([1])]
+    counts = [np.array([7, 0xFFFFFFFF, 0, 255, 256], np.uint64), np.array([1 << 33, 3, (1 << 52) + 1], np.uint64), np.array([0], np.uint64)]
+    rows = pa.concat_arrays([interpolation._planes(c, s) for c, s in zip(counts, sizes, strict=True)])
+    assert interpolation._unplanes(rows, np.concatenate(sizes)).tolist() == np.concatenate(counts).tolist()
+    none = pa.array([b"", *rows[:1].to_pylist()], pa.binary())
+    assert interpolation._unplanes(none, np.array([4, 2])).tolist() == [7, 0xFFFFFFFF]
+
+
+def test_block_counts_above_32_bits_are_added_up():
+    key = interpolation._pack_keys(np.array([5, 9], np.uint64))
+    most = interpolation._pack(np.array([0xFFFFFFFF, 1], np.uint32))
+    rows = [(0, block, interpolation.KEYS, key, most, most, key, most, most) for block in range(3)]
+    got = [r for b in interpolation._answers([interpolation._sent(rows)]) for r in b.to_pylist()]
+    assert [interpolation._unpack(r["a"], np.uint64).tolist() for r in got if r["kind"] == interpolation.ANSWER] == [[3 * 0xFFFFFFFF, 3]] * 3
