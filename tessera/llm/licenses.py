@@ -1,20 +1,26 @@
 """License scans by an exact set-similarity join of text blocks and templates.
 
-A block is a line of a text; a template is the word set of a license notice.
-All pairs with containment |block & template| / |template| >= threshold are
-found.  Tokens are put in one global order, rarest first, by their frequency
-over all texts.  A template must share one of its first |T| - ceil(t |T|) + 1
-tokens with any such block, so only these prefixes are indexed; a block with
-too few tokens (length filter) or with too few left after the shared one
-(positional filter) is passed over; what remains is verified exactly.
+A template is the word set of a license notice.  A block is a line of a text, or
+consecutive lines which together have at most ``SLACK`` times the template's
+words and ``MARGIN`` more, so that a notice may be wrapped over lines.  All blocks with
+containment |block & template| / |template| >= threshold are found; of blocks
+that overlap the best is reported, the last to begin among equals.  Tokens are
+put in one global order, rarest first, by their frequency over all texts.  A
+template must share one of its first |T| - ceil(t |T|) + 1 tokens with any such
+block, so only these prefixes are indexed; a text with too few tokens (length
+filter) or with too few left after the shared one (positional filter) has no
+such block and is passed over.  In what remains the blocks are verified exactly.
 Phrases are templates whose words must stand consecutively, in order.
 
 Only template words matter, so both passes keep a bounded vocabulary; the
 templates and their token counts are all that is broadcast.
 
 Defined results: null and empty texts have no words, no match and score 0; a
-template that a text meets in several lines counts once in its labels; equal
-frequencies are ordered by the token.  Rows are independent; other columns stay.
+template that a text meets in several blocks counts once in its labels; equal
+frequencies are ordered by the token; without templates and phrases nothing
+matches.  Rows are independent, repeated ones included; other columns stay, and
+output columns get underscores where a name is taken.  A very long text is held
+whole by one task, with about 60 bytes a word.
 """
 
 from __future__ import annotations
@@ -32,6 +38,9 @@ from . import kernels as K
 from .shared import fresh
 
 THRESHOLD = 0.9
+#: Lines are joined to blocks of at most so many times a template's words, and
+#: so many more: the lines it begins and ends in may have other words as well.
+SLACK, MARGIN = 2, 24
 
 #: Phrases whose words must stand consecutively, and their labels (fixed values).
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -54,6 +63,47 @@ TEMPLATES = {
     "released under the bsd license": "bsd",
     "distributed under the boost software license version 1 0": "bsl-1.0",
     "copyright all rights reserved no part may be reproduced without permission": "reserved",
+    # whole notices, as they head files
+    """permission is hereby granted free of charge to any person obtaining a copy of this software and associated
+    documentation files the software to deal in the software without restriction including without limitation the rights
+    to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to
+    whom the software is furnished to do so subject to the following conditions the above copyright notice and this
+    permission notice shall be included in all copies or substantial portions of the software""": "mit",
+    """licensed under the apache license version 2 0 the license you may not use this file except in compliance with the
+    license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable
+    law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties
+    or conditions of any kind either express or implied see the license for the specific language governing permissions
+    and limitations under the license""": "apache-2.0",
+    """this program is free software you can redistribute it and or modify it under the terms of the gnu general public
+    license as published by the free software foundation either version 3 of the license or at your option any later
+    version this program is distributed in the hope that it will be useful but without any warranty without even the
+    implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more
+    details""": "gpl-3.0",
+    """this program is free software you can redistribute it and or modify it under the terms of the gnu general public
+    license as published by the free software foundation either version 2 of the license or at your option any later
+    version this program is distributed in the hope that it will be useful but without any warranty without even the
+    implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more
+    details""": "gpl-2.0",
+    """this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general
+    public license as published by the free software foundation either version 2 1 of the license or at your option any
+    later version this library is distributed in the hope that it will be useful but without any warranty""": "lgpl",
+    """this program is free software you can redistribute it and or modify it under the terms of the gnu affero general
+    public license as published by the free software foundation either version 3 of the license or at your option any
+    later version""": "agpl",
+    """redistribution and use in source and binary forms with or without modification are permitted provided that the
+    following conditions are met redistributions of source code must retain the above copyright notice this list of
+    conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this
+    list of conditions and the following disclaimer in the documentation and or other materials provided with the
+    distribution""": "bsd",
+    """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not
+    distributed with this file you can obtain one at http mozilla org mpl 2 0""": "mpl-2.0",
+    """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+    provided that the above copyright notice and this permission notice appear in all copies""": "isc",
+    """this software is provided as is without any express or implied warranty in no event will the authors be held liable
+    for any damages arising from the use of this software permission is granted to anyone to use this software for any
+    purpose including commercial applications and to alter it and redistribute it freely""": "zlib",
+    """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use
+    compile sell or distribute this software""": "unlicense",
 }
 
 
@@ -64,6 +114,7 @@ class Index:
     tokens: tuple[str, ...]
     order: np.ndarray
     needed: np.ndarray
+    most: np.ndarray
     sets: np.ndarray
     postings: tuple[tuple[int, int, int], ...]
     labels: tuple[str, ...]
@@ -79,6 +130,8 @@ def _ids(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, order: np.ndar
     lower = K.LOWER[data]
     starts, ends = K.spans(K.ALNUM[lower], offsets)
     h = K.span_hashes(lower, starts, ends)
+    if not len(keys):
+        return starts, np.full(len(h), -1)
     at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
     return starts, np.where(keys[at] == h, order[at], -1)
 
@@ -117,7 +170,8 @@ def index(counts: dict[str, int], templates: dict[str, str] | None = None, phras
         least = math.ceil(threshold * len(own) - 1e-9)
         needed.append(least)
         postings += [(r, k, place) for place, r in enumerate(own[: len(own) - least + 1])]
-    return Index(tokens, _keys(tokens)[1], np.array(needed), sets, tuple(sorted(postings)), tuple(templates.values()), tuple((tuple(rank[w] for w in p.split()), label) for p, label in phrases.items()))
+    most = np.array([SLACK * len(t.split()) + MARGIN for t in templates], np.int64)
+    return Index(tokens, _keys(tokens)[1], np.array(needed, np.int64), most, sets, tuple(sorted(postings)), tuple(templates.values()), tuple((tuple(rank[w] for w in p.split()), label) for p, label in phrases.items()))
 
 
 def join_blocks(block: np.ndarray, token: np.ndarray, ix: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,6 +184,8 @@ def join_blocks(block: np.ndarray, token: np.ndarray, ix: Index) -> tuple[np.nda
     sizes = np.diff(np.append(first, len(block)))
     number = np.repeat(np.arange(len(first)), sizes)
     after = sizes[number] - (np.arange(len(block)) - first[number])  # tokens of the block from this one on
+    if not ix.postings:
+        return none, none, np.zeros(0)
     rank, template, place = np.array(ix.postings, np.int64).reshape(-1, 3).T
     lo, hi = np.searchsorted(rank, token), np.searchsorted(rank, token, "right")
     hit = K.ranges(lo, hi - lo)
@@ -148,12 +204,50 @@ def join_blocks(block: np.ndarray, token: np.ndarray, ix: Index) -> tuple[np.nda
     return block[first][b[good]], t[good], shared[good] / size[t[good]]
 
 
+def blocks(word: np.ndarray, token: np.ndarray, line: np.ndarray, begin: np.ndarray, end: np.ndarray, needed: int, most: int) -> list[tuple[int, int]]:
+    """(first word, shared tokens) of the blocks of one text that meet a template.
+
+    ``word``, ``token`` and ``line`` are of the places of the template's tokens,
+    in order; ``begin`` and ``end`` are the first word and the end of each line.
+    A block that begins with a token's line goes as far as ``most`` allows: all
+    shorter ones from there share no more.
+    """
+    place, lines = word.tolist(), line.tolist()
+    begins, reach = begin[line], end[line]
+    # the last line that still fits; the block's own line always does
+    last = np.maximum(np.searchsorted(end, begins + most, "right") - 1, line)
+    stop = np.searchsorted(word, np.maximum(reach, end[last]))
+    out, seen, j = [], {}, 0
+    best, until = None, -1
+    for k in range(len(place)):
+        if k and lines[k] == lines[k - 1]:
+            continue
+        if k:
+            for t in token[before:k].tolist():
+                seen[t] -= 1
+                if not seen[t]:
+                    del seen[t]
+        before = k
+        for t in token[j : stop[k]].tolist():
+            seen[t] = seen.get(t, 0) + 1
+        j = max(j, int(stop[k]))
+        if len(seen) < needed:
+            continue
+        if lines[k] > until and best is not None:
+            out.append(best)
+            best = None
+        if best is None or len(seen) >= best[1]:
+            best = (place[k], len(seen))
+        until = max(until, int(last[k]))
+    return out if best is None else [*out, best]
+
+
 MATCH = T.StructType([T.StructField("label", T.StringType(), False), T.StructField("base", T.BooleanType(), False), T.StructField("first_word", T.LongType(), False), T.StructField("containment", T.DoubleType(), False)])
 
 
 def scan(df: DataFrame, ix: Index, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Adds ``n_words`` and ``matches``: every place of a phrase (``base``) and
-    every line that meets a template, with the place of its first word."""
+    every block that meets a template, with the place of the first word they share."""
     n_words, matches = fresh(df, "n_words"), fresh(df, "matches")
     schema = T.StructType([*(f for f in df.schema.fields if keep_text or f.name != text), T.StructField(n_words, T.LongType()), T.StructField(matches, T.ArrayType(MATCH, False))])
     at, columns = df.columns.index(text), schema.names
@@ -180,14 +274,20 @@ def scan(df: DataFrame, ix: Index, text: str = "text", keep_text: bool = True) -
                     for f, d in zip(first.tolist(), owner.tolist(), strict=True):
                         found[d].append({"label": label, "base": True, "first_word": f - int(bounds[d]), "containment": 1.0})
                 if len(known):
-                    breaks = np.flatnonzero(data == 0x0A)
                     owner = np.searchsorted(bounds, known, "right") - 1
-                    line = np.searchsorted(breaks, starts[known]) + owner  # no line goes on in the next text
-                    pair = np.unique(line * len(ix.tokens) + ids[known])
-                    for b, t, share in zip(*join_blocks(pair // len(ix.tokens), pair % len(ix.tokens), ix), strict=True):
-                        one = int(np.searchsorted(line, b))
-                        d = int(owner[one])
-                        found[d].append({"label": ix.labels[t], "base": False, "first_word": int(known[one] - bounds[d]), "containment": float(share)})
+                    pair = np.unique(owner * len(ix.tokens) + ids[known])
+                    texts, templates, _ = join_blocks(pair // len(ix.tokens), pair % len(ix.tokens), ix)
+                    breaks = np.flatnonzero(data == 0x0A) if len(texts) else None
+                    for d, t in zip(texts.tolist(), templates.tolist(), strict=True):
+                        a, b = int(bounds[d]), int(bounds[d + 1])
+                        own = known[np.searchsorted(known, a) : np.searchsorted(known, b)]
+                        own = own[ix.sets[t][ids[own]]]
+                        of_word = np.searchsorted(breaks, starts[a:b])  # no line goes on in the next text
+                        begin = K.runs(of_word)
+                        line = np.searchsorted(begin, own - a, "right") - 1
+                        size = int(ix.sets[t].sum())
+                        for first, common in blocks(own - a, ids[own], line, begin, np.append(begin[1:], b - a), int(ix.needed[t]), int(ix.most[t])):
+                            found[d].append({"label": ix.labels[t], "base": False, "first_word": first, "containment": common / size})
                 rows = [c for i, c in enumerate(batch.slice(lo, hi - lo).columns) if keep_text or i != at]
                 yield pa.RecordBatch.from_arrays([*rows, pa.array(np.diff(bounds)), pa.array(found, kind)], names=columns)
 

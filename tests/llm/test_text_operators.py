@@ -149,35 +149,95 @@ def test_em_finds_the_better_estimate(spark):
 # 4
 
 
+def brute_blocks(text, template, threshold):
+    """Greatest containment over all lines and all short runs of lines, or 0."""
+    own = set(template.split())
+    lines = [w for line in lower(text).split("\n") if (w := alnum(line))]
+    best = 0
+    for i in range(len(lines)):
+        block, n = set(), 0
+        for j in range(i, len(lines)):
+            n += len(lines[j])
+            if j > i and n > licenses.SLACK * len(template.split()) + licenses.MARGIN:
+                break
+            block |= own & set(lines[j])
+            best = max(best, len(block))
+    return best / len(own) if best >= math.ceil(threshold * len(own) - 1e-9) else 0
+
+
 def test_licenses_equal_brute_force(spark):
     notice = list(licenses.TEMPLATES)
     rng = np.random.default_rng(1)
-    lines = []
-    for k in range(120):
-        w = notice[rng.integers(len(notice))].split()
-        keep = [x for x in w if rng.random() > 0.08] + ["zu"] * int(rng.integers(3))
-        rng.shuffle(keep)
-        lines.append(" ".join(keep))
-    data = [(k, "\n".join(lines[3 * k : 3 * k + 3]).upper()) for k in range(40)] + [(100, "CC-BY, cc by; GNU General\nPublic License. All rights\treserved"), (101, None), (102, ""), (102, "cc by")]
+    data = []
+    for k in range(60):
+        lines = []
+        for _ in range(3):
+            w = notice[rng.integers(len(notice))].split()
+            keep = [x for x in w if rng.random() > 0.06] + ["zu"] * int(rng.integers(3))
+            if rng.random() < 0.5:
+                rng.shuffle(keep)
+            step = int(rng.integers(3, 200))
+            lines += [" ".join(keep[a : a + step]) for a in range(0, len(keep), step)] + [""] * int(rng.integers(2))
+        data.append((k, "\n".join(lines).upper()))
+    data += [(100, "CC-BY, cc by; GNU General\nPublic License. All rights\treserved"), (101, None), (102, ""), (102, "cc by"), (103, "released under\n" * 40 + "the mit license")]
     df = spark.createDataFrame(data, "doc_id long, text string").withColumn("matches", F.lit(1))
     for t in (0.6, licenses.THRESHOLD, 1.0):
-        got = collections.Counter()
+        got, phrases = collections.Counter(), collections.Counter()
         for r in licenses.find(df, threshold=t).collect():
-            got.update((r.doc_id, m.label, m.base) for m in r._matches)
-        want = collections.Counter()
+            for m in r._matches:
+                if m.base:
+                    phrases[r.doc_id, m.label] += 1
+                else:
+                    got[r.doc_id, m.label] = max(got[r.doc_id, m.label], round(m.containment, 9))
+        want, want_phrases = collections.Counter(), collections.Counter()
         for i, text in data:
-            for line in lower(text).split("\n"):
-                block = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line))
-                for n, label in licenses.TEMPLATES.items():
-                    own = set(n.split())
-                    if block and len(block & own) >= math.ceil(t * len(own) - 1e-9):
-                        want[i, label, False] += 1
+            for n, label in licenses.TEMPLATES.items():
+                if best := brute_blocks(text, n, t):
+                    want[i, label] = max(want[i, label], round(best, 9))
             w = alnum(text)
             for p, label in licenses.PHRASES.items():
                 n = sum(w[k : k + len(p.split())] == p.split() for k in range(len(w)))
                 if n:
-                    want[i, label, True] += n
-        assert got == want
+                    want_phrases[i, label] += n
+        assert got == want and phrases == want_phrases
+
+
+HEADERS = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+ of this software and associated documentation files (the "Software"), to deal
+ in the Software without restriction, including without limitation the rights""",
+    "gpl-3.0": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.""",
+    "bsd": """// Redistribution and use in source and binary forms, with or without
+// modification, are permitted provided that the following conditions are met:""",
+    "apache-2.0": """ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at""",
+    "mpl-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */""",
+}
+
+
+def test_wrapped_notices_are_found(spark):
+    rng = np.random.default_rng(2)
+    other = "\n".join(" ".join(f"w{x}" for x in rng.integers(0, 999, 9)) for _ in range(30))
+    df = spark.createDataFrame([(k, f"{other}\n{v}\n{other}") for k, v in HEADERS.items()] + [("none", other)], "name string, text string")
+    got = {r.name: {m.label for m in r.matches} for r in licenses.find(df).collect()}
+    assert got.pop("none") == set()
+    assert all(k in labels for k, labels in got.items())
+
+
+def test_no_templates_no_matches(spark):
+    df = spark.createDataFrame([(1, "cc by the mit license")], "doc_id long, text string")
+    assert licenses.scan(df, licenses.index({}, {}, {})).first().matches == []
 
 
 def test_op4(spark, sf, texts):
