@@ -5,11 +5,19 @@ Benchmark items are normalised to words; each window of 13 consecutive words
 end.  A document's normal form is scanned once; a match's end gives the matched
 words, and the words' byte spans give offsets in the original text.
 
+An automaton is held by every worker, so it serves while the windows fit in
+``AUTOMATON_BYTES``.  The windows of a larger benchmark are joined: hashes of a
+document's windows that pass a Bloom filter of fixed size (the only thing that
+is broadcast) meet the benchmark's windows by 128 bits of hash, and spans and
+items are gathered by text.
+
 Defined results: a null or empty text has no words and no hit; a null or empty
 item has no window; windows that several items share report all of them; a
-repeated ``item_id`` counts once.  Matches of different windows are unioned.
-Rows are independent, so ties, repeated documents and null keys need no rule.
-Other columns are kept, and output columns get underscores where a name is taken.
+repeated ``item_id`` counts once, a null one is no item.  Matches of different
+windows are unioned.  Rows are independent, so ties, repeated documents and null
+keys need no rule.  Other columns are kept, and output columns get underscores
+where a name is taken.  A very long text is held whole by one task, with some 60
+bytes a word, and its spans are one row.
 """
 
 from __future__ import annotations
@@ -26,8 +34,10 @@ from . import kernels as K
 from .shared import fresh
 
 WINDOW = 13
-#: An automaton holds at most so many pattern bytes; more are dealt to further automata.
-SHARD_BYTES = 8 << 20
+#: An automaton holds at most so many pattern bytes; more are joined.
+AUTOMATON_BYTES = 8 << 20
+#: Bits of the filter that spares most of the documents' windows the join.
+FILTER_BITS = 1 << 27
 
 SPAN = T.StructType([T.StructField(n, T.LongType(), False) for n in ("first_word", "end_word", "start_byte", "end_byte")])
 
@@ -51,11 +61,17 @@ def normalise(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray,
     return out.tobytes(), starts, ends, begin + lengths
 
 
+SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _lower(text: str):
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def windows(items: DataFrame, item_id: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
     """Distinct (window, item_id) of a benchmark table, DataFrame operations only."""
-    low = F.expr(f"translate(`{text}`, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
-    words = F.filter(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
-    some = items.select(F.col(item_id).alias("item_id"), words.alias("words")).where(F.size("words") > 0)
+    words = F.filter(F.split(_lower(text), SEPARATORS), lambda w: w != "")
+    some = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), words.alias("words")).where(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - size + 1))
     return some.select("item_id", F.explode(F.transform(starts, lambda i: F.concat_ws(" ", F.slice("words", i, size)))).alias("window")).distinct()
 
@@ -121,38 +137,119 @@ def _scan(docs: DataFrame, text: str, patterns: list[tuple[str, list]], names: t
     return docs.mapInArrow(K.task(run), schema)
 
 
-def find(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``docs`` with ``n_words``, ``hit_spans`` (disjoint spans of hit words, in
-    words and in bytes of the original text) and ``hit_items``.
+def _hashes(data: np.ndarray, offsets: np.ndarray, sizes: list[int]):
+    """(word starts, word ends, bounds of the texts' words, and for each size the
+    first words of all windows with two hashes of each)."""
+    lower = K.LOWER[data]
+    starts, ends = K.spans(K.ALNUM[lower], offsets)
+    words = K.span_hashes(lower, starts, ends)
+    bounds = np.searchsorted(starts, offsets)
+    left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(words))
+    # the sizes share their prefixes: a window is hashed from its last word on
+    one, two, out = words.copy(), K.mix(words ^ np.uint64(0x5DEECE66D)), {}
+    other = two.copy()
+    for n in range(1, max(sizes, default=0) + 1):
+        if n > 1:
+            one[: len(words) - n + 1] = K.pair(one[: len(words) - n + 1], words[n - 1 :])
+            two[: len(words) - n + 1] = K.pair(two[: len(words) - n + 1], other[n - 1 :])
+        if n in sizes:
+            first = np.flatnonzero(left >= n)
+            out[n] = (first, one[first], two[first])
+    return starts, ends, bounds, out
+
 
-    One automaton serves while the windows fit in ``shard_bytes``, which is
-    counted first.  A larger benchmark is dealt over several automata by a hash
-    of the window; each scans all documents and adds to what is found.
-    """
-    n_words, hit_spans, hit_items = (fresh(docs, n) for n in ("n_words", "hit_spans", "hit_items"))
+def _bits(h: np.ndarray, bits: int) -> np.ndarray:
+    """The filter's places of each hash."""
+    return np.stack([(K.mix(h + np.uint64(k)) % np.uint64(bits)).astype(np.int64) for k in range(3)])
+
+
+WINDOWS = [T.StructField("size", T.IntegerType()), T.StructField("one", T.LongType()), T.StructField("two", T.LongType())]
+HITS = "text_one long, text_two long, size int, one long, two long, first_word long, end_word long, start_byte long, end_byte long"
+
+
+def _join(docs: DataFrame, every: DataFrame, text: str, names: tuple[str, str, str], id_type: T.DataType, bits: int) -> DataFrame:
+    """``docs`` with the hits of ``every`` (window, ids), by a join of window hashes."""
+
+    def of_windows(batches):
+        for batch in batches:
+            for lo, hi, data, offsets in K.chunks(batch.column(0)):
+                sizes = np.diff(np.searchsorted(K.spans(K.ALNUM[K.LOWER[data]], offsets)[0], offsets))
+                found = _hashes(data, offsets, np.unique(sizes).tolist())[3]
+                first = np.cumsum(sizes) - sizes
+                h = np.zeros((2, hi - lo), np.uint64)
+                for n, (at, one, two) in found.items():
+                    own = np.flatnonzero(sizes == n)
+                    place = np.searchsorted(at, first[own])
+                    h[0][own], h[1][own] = one[place], two[place]
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(sizes.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in h)], names=["window", "ids", *(f.name for f in WINDOWS)])
+
+    keyed = every.mapInArrow(K.task(of_windows), T.StructType([*every.schema.fields, *WINDOWS])).drop("window")
+
+    def places(batches):
+        for batch in batches:
+            at = _bits(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], names=["at", "mask"])
+
+    # at most bits / 64 rows, whatever the benchmark's size
+    cells = keyed.select("one").mapInArrow(K.task(places), "at long, mask long").groupBy("at").agg(F.expr("bit_or(mask)").alias("mask")).toPandas()
+    table = np.zeros(bits >> 6, np.uint64)
+    table[cells["at"].to_numpy(np.int64)] = cells["mask"].to_numpy(np.int64).view(np.uint64)
+    lengths = sorted(r[0] for r in keyed.select("size").distinct().collect())
+    shared = docs.sparkSession.sparkContext.broadcast((table, lengths))
+
+    def hits(batches):
+        table, lengths = shared.value
+        for batch in batches:
+            for lo, hi, data, offsets in K.chunks(batch.column(0)):
+                starts, ends, bounds, found = _hashes(data, offsets, lengths)
+                for n, (first, one, two) in found.items():
+                    some = np.ones(len(first), bool)
+                    for at in _bits(one, bits):
+                        some &= (table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+                    first, one, two = first[some], one[some], two[some]
+                    if not len(first):
+                        continue
+                    d = np.searchsorted(bounds, first, "right") - 1
+                    rows = pa.array(d + lo)
+                    longs = [first - bounds[d], first + n - bounds[d], starts[first] - offsets[d], ends[first + n - 1] - offsets[d]]
+                    yield pa.RecordBatch.from_arrays([batch.column(1).take(rows), batch.column(2).take(rows), pa.array(np.full(len(first), n, np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *map(pa.array, longs)], names=[f.split()[0] for f in HITS.split(", ")])
+
+    # rows with one text have one result, so texts are the keys
+    seeded = lambda k: F.xxhash64(F.lit(k), F.col(text))
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(text), seeded(1).alias("a"), seeded(2).alias("b"))
+    raw = texts.mapInArrow(K.task(hits), HITS)
+    span = F.struct("first_word", "end_word", "start_byte", "end_byte")
+    ids, spans = fresh(docs, "hit_ids"), fresh(docs, "hit_places")
+    by_text = raw.join(keyed, ["size", "one", "two"]).groupBy("text_one", "text_two").agg(F.collect_set(span).alias(spans), F.collect_set("ids").alias(ids))
+    merged = F.aggregate(F.array_sort(F.col(spans)), F.lit(None).cast(T.ArrayType(SPAN, False)), _absorb)
+    one, two = fresh(docs, "hit_one"), fresh(docs, "hit_two")
+    found = by_text.select(F.col("text_one").alias(one), F.col("text_two").alias(two), merged.alias(names[1]), F.array_sort(F.array_distinct(F.flatten(ids))).alias(names[2]))
+    words = F.filter(F.split(_lower(text), SEPARATORS), lambda w: w != "")
+    out = docs.withColumn(names[0], F.coalesce(F.size(words).cast("long"), F.lit(0).cast("long"))).withColumn(names[0], F.greatest(F.col(names[0]), F.lit(0).cast("long")))
+    joined = out.join(found, (seeded(1) == F.col(one)) & (seeded(2) == F.col(two)), "left").drop(one, two)
+    none = lambda t: F.array().cast(t)
+    return joined.withColumn(names[1], F.coalesce(names[1], none(T.ArrayType(SPAN, False)))).withColumn(names[2], F.coalesce(names[2], none(T.ArrayType(id_type))))
+
+
+def find(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES, filter_bits: int = FILTER_BITS, names: tuple[str, str, str] = ("n_words", "hit_spans", "hit_items")) -> DataFrame:
+    """``docs`` with ``n_words``, ``hit_spans`` (disjoint spans of hit words, in
+    words and in bytes of the original text) and ``hit_items``, or other
+    ``names``.  The bytes of all windows are counted first: an automaton scans
+    the texts while they are at most ``automaton_bytes``, a join is made beyond."""
+    names = tuple(fresh(docs, n) for n in names)
     id_type = items.schema[item_id].dataType
     if id_type.simpleString() not in ("bigint", "int", "string"):
         items, id_type = items.withColumn(item_id, F.col(item_id).cast("string")), T.StringType()
     every = windows(items, item_id, item_text, size).groupBy("window").agg(F.sort_array(F.collect_list("item_id")).alias("ids"))
     total = every.agg(F.sum(F.octet_length("window") + 8 * F.size("ids"))).first()[0] or 0
-    shards = -(-total // shard_bytes) or 1
-    out = docs
-    for k in range(shards):
-        own = every if shards == 1 else every.where(F.pmod(F.xxhash64("window"), F.lit(shards)) == k)
-        patterns = [(r[0].encode().decode("latin-1"), list(r[1])) for r in own.collect()]
-        if k == 0:
-            out = _scan(out, text, patterns, (n_words, hit_spans, hit_items), id_type)
-            continue
-        out = _scan(out, text, patterns, ("_w", "_s", "_i"), id_type)
-        # the unions of both: spans that overlap merge, in order of their start
-        spans = F.array_sort(F.concat(hit_spans, "_s"))
-        merge = F.aggregate(spans, F.expr("cast(array() as array<struct<first_word:bigint,end_word:bigint,start_byte:bigint,end_byte:bigint>>)"), _absorb)
-        out = out.withColumn(hit_spans, merge).withColumn(hit_items, F.array_sort(F.array_union(hit_items, "_i"))).drop("_w", "_s", "_i")
-    return out
+    if total > automaton_bytes:
+        return _join(docs, every, text, names, id_type, filter_bits)
+    patterns = [(r[0].encode().decode("latin-1"), list(r[1])) for r in every.collect()]
+    return _scan(docs, text, patterns, names, id_type)
 
 
 def _absorb(found, s):
-    """``found`` with span ``s``, which begins no earlier than its last one."""
+    """``found`` (or null) with span ``s``, which begins no earlier than its last one."""
     last = F.element_at(found, -1)
     joined = F.struct(
         last.first_word.alias("first_word"),
@@ -160,7 +257,7 @@ def _absorb(found, s):
         last.start_byte.alias("start_byte"),
         F.greatest(last.end_byte, s.end_byte).alias("end_byte"),
     )
-    return F.when((F.size(found) > 0) & (F.try_element_at(found, F.lit(-1)).end_word >= s.first_word), F.concat(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(found, F.array(s)))
+    return F.when(found.isNull(), F.array(s)).when(last.end_word >= s.first_word, F.concat(F.slice(found, 1, F.size(found) - 1), F.array(joined))).otherwise(F.concat(found, F.array(s)))
 
 
 def n_hit(spans: str = "hit_spans"):

@@ -1,7 +1,7 @@
 """Tables and files in the folder that driver and executors share.
 
 The cluster names that folder in ``spark.checkpoint.dir``.  Only where it is
-unset, as in tests on one machine, a temporary folder is made and used.
+unset and the master is local, as in tests, a temporary folder is made and used.
 """
 
 from __future__ import annotations
@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; its setting is read from the session."""
+    """The shared folder; its setting is read from the session.  Executors on
+    other machines could not see a temporary one, so there it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", found)

@@ -357,18 +357,19 @@ def brute_hits(items, text):
     return len(w), len(hit), ids
 
 
-@pytest.mark.parametrize("shard", [1 << 20, 700])
-def test_decontamination(spark, shard):
+@pytest.mark.parametrize("most", [1 << 20, 700])
+def test_decontamination(spark, most):
     rng = np.random.default_rng(2)
     words = [f"w{k}" for k in range(40)] + ["é", "7"]
     text = lambda n: " ".join(rng.choice(words, n))
     items = [(k, text(int(rng.integers(1, 40)))) for k in range(30)] + [(50, None), (51, "..."), (52, "W1  w2-w3"), (52, "w1 w2 w3"), (53, "w1 w2 w3")]
     docs = [(k, text(60)) for k in range(10)] + [(20 + k, f"{text(20)} {items[k][1].upper()}, {text(20)}") for k in range(30)] + [(90, None), (91, ""), (92, items[3][1]), (None, "zz W1, W2 .w3")]
     b = spark.createDataFrame(items, "item_id long, text string")
-    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_words", F.lit("taken"))
-    for r in decontaminate.find(df, b, shard_bytes=shard).collect():
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("n_words", F.lit("taken")).withColumn("hit_one", F.lit("kept"))
+    for r in decontaminate.find(df, b, automaton_bytes=most, filter_bits=1 << 16).collect():
         n, hit, ids = brute_hits(items, r.text)
         spans = [tuple(s) for s in r.hit_spans]
+        assert r.hit_one == "kept" and r.n_words == "taken"
         assert r._n_words == n and sum(e - s for s, e, _, _ in spans) == hit and sorted(r.hit_items, key=str) == sorted(ids, key=str)
         raw = (r.text or "").encode()
         for s, e, x, y in spans:
@@ -405,3 +406,14 @@ def test_block_counts_above_32_bits_are_added_up():
     rows = [(0, block, interpolation.KEYS, key, most, most, key, most, most) for block in range(3)]
     got = [r for b in interpolation._answers([interpolation._sent(rows)]) for r in b.to_pylist()]
     assert [interpolation._unpack(r["a"], np.uint64).tolist() for r in got if r["kind"] == interpolation.ANSWER] == [[3 * 0xFFFFFFFF, 3]] * 3
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace as Obj
+
+    from tessera.llm import shared
+
+    conf = Obj(get=lambda *_: None, set=lambda *_: None)
+    cluster = Obj(conf=conf, sparkContext=Obj(master="spark://host:7077", getConf=lambda: conf))
+    with pytest.raises(RuntimeError, match=r"checkpoint\.dir"):
+        shared.shared_dir(cluster)
