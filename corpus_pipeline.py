@@ -1,12 +1,16 @@
 """From documents to token ids: five stages, each by one operator of ``tessera.llm``.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
-kept; between stages the documents are Parquet files.  All but the last stage
-return the columns of documents.
+kept; between stages the documents are Parquet files, each deleted once the next
+is written.  All but the last stage return the columns of documents, and judge by
+columns of their own, whatever else the documents carry.
 
 Defined results: null and empty texts have no language and are rejected by the
 first stage; null labels are not learned from; rows with a null ``doc_id`` pass
-as documents of their own; an empty table passes through as one.
+as documents of their own (the second stage keeps one of those with like texts);
+of repeated rows and of ties the second stage keeps one; columns with the names
+of a stage's outputs are kept and not read; a very long text is one row of each
+stage, held by one task; an empty table passes through as one.
 """
 
 from __future__ import annotations
@@ -16,16 +20,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import byte_bpe, decontaminate, language, paragraphs, simhash
-from tessera.llm.shared import written
+from tessera.llm.shared import drop, fresh, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a recognised language and ambiguous ones; the
     others keep their label, or get the prediction where they have none."""
     model = language.fit(docs.where(~language.held_out()))
-    found = language.predict(docs, model, names=("lang_pred", "lang_score", "lang_ambiguous"))
-    kept = found.where((F.col("lang_pred") != language.UND) & ~F.col("lang_ambiguous"))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    lang, score, ambiguous = names = tuple(fresh(docs, n) for n in ("lang_pred", "lang_score", "lang_ambiguous"))
+    found = language.predict(docs, model, names=names)
+    kept = found.where((F.col(lang) != language.UND) & ~F.col(ambiguous))
+    return kept.withColumn("lang", F.coalesce("lang", lang)).select(*docs.columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +46,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of which one word in twenty or more is a benchmark's."""
-    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(~decontaminate.contaminated()).select(*docs.columns)
+    words, spans, _ = names = tuple(fresh(docs, n) for n in ("n_words", "hit_spans", "hit_items"))
+    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), names=names)
+    return found.where(~decontaminate.contaminated(words, spans)).select(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,8 +82,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
