@@ -65,3 +65,21 @@ def test_odd_rows(spark, sf, docs, odd):
         empty = written(f(spark, empty, sf), "t-empty")
     assert empty.count() == 0
     assert len(ODD) == 10
+
+
+TAKEN = ["lang_pred", "lang_score", "lang_ambiguous", "n_words", "hit_spans", "hit_items", "_doc", "_key", "_cut", "_words", "_left", "fingerprint", "component_id", "ids", "token_starts", "decoded", "token_ids", "hit_ids", "text_key", "spans"]
+
+
+def test_columns_with_clashing_names_change_nothing(spark, sf, docs, stages):
+    now, before = docs, docs
+    for name, f in corpus_pipeline.STAGES:
+        given = now
+        for k, c in enumerate(TAKEN):
+            given = given.withColumn(c, F.lit("und" if c == "lang_pred" else f"own {k}"))
+        got = written(f(spark, given, sf), "t-names")
+        if name != "byte_bpe":
+            assert got.columns == given.columns
+            assert all(set(r) == {"und" if c == "lang_pred" else f"own {k}" for k, c in enumerate(TAKEN)} for r in got.select(*TAKEN).distinct().collect())
+        assert sorted(map(str, got.select(stages[name].columns).collect())) == sorted(map(str, stages[name].collect())), name
+        before, now = now, stages[name]
+    assert before is not docs
