@@ -6,12 +6,12 @@ in a text without a blank line each line is a paragraph.  Paragraphs of
 are cut into bands tuned for recall at the threshold, paragraphs that collide in
 a band are joined, exact Jaccard similarity of their shingle sets decides, and
 links make components.  A passage that was put into other text stands in no
-paragraph of its own, so runs of ``RUN`` words are compared as well: of every
-``STEP`` consecutive places the window of ``WINDOW`` words with the least hash
-is taken, hence equal runs of ``WINDOW + STEP - 1`` = ``RUN`` words have the same
-window wherever they stand.  Where that window is repeated, the hash of the run
-itself decides; overlapping repeated runs are joined, so that a passage is found
-from its first word to its last.
+paragraph of its own, so runs of ``RUN`` words are compared as well.  A run's
+anchor is the least hash of its ``STEP`` windows of ``WINDOW`` words, so equal
+runs have equal anchors wherever they stand; neighbouring runs of one anchor make
+a unit.  Where an anchor is repeated, equal units are compared as wholes, and the
+runs of one of each by their own hashes.  Overlapping repeated runs are joined,
+so that a passage is found from its first word to its last.
 
 Paragraphs and runs that occur in two or more documents are repeated.  The
 document of the smallest id keeps its occurrences; in the others the spans of
@@ -62,7 +62,7 @@ WINDOW, STEP = 26, 25
 RUN = WINDOW + STEP - 1
 #: Shingles of the paragraphs that are compared in one group.
 GROUP = 1 << 18
-PARAGRAPH, ANCHOR, TEXT = range(3)
+PARAGRAPH, ANCHOR, TEXT, RUNS = range(4)
 _MUL = K.mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 _ADD = K.mix(np.arange(257, 513, dtype=np.uint64))
 _R = np.uint64(0x9FB21C651E98DF25)
@@ -100,26 +100,19 @@ def _of_words(prefix: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarra
     return K.mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64))
 
 
-def windows(prefix, word_ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of the window at each word, where a run begins, the least hash of
-    the run's windows); ``word_ends`` is, for each word, its text's end."""
+def anchors(prefix, word_ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first run, end of the last run, anchor) of each unit, in words; a run lies
+    in one text, and ``word_ends`` is, for each word, its text's end."""
     most = np.iinfo(np.uint64).max
     h = np.full(n, most, np.uint64)
     at = np.flatnonzero(np.arange(n) + WINDOW <= word_ends)
     h[at] = _of_words(prefix, at, at + WINDOW)
-    return h, np.arange(n) + RUN <= word_ends, _sliding(h, STEP, np.minimum, most)
-
-
-def anchors(prefix, word_ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first words, hashes) of the windows that are the least of a run."""
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h, whole, least = windows(prefix, word_ends, n)
-    # the largest minimum among the runs that hold a place
-    least[~whole] = 0
-    back = _sliding(least[::-1], STEP, np.maximum, 0)[::-1]
-    chosen = np.flatnonzero((np.arange(n) + WINDOW <= word_ends) & (h == back))
-    return chosen, h[chosen]
+    runs = np.flatnonzero(np.arange(n) + RUN <= word_ends)
+    least = _sliding(h, STEP, np.minimum, most)[runs]
+    if not len(runs):
+        return runs, runs, least
+    first = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (runs[1:] != runs[:-1] + 1))))
+    return runs[first], runs[np.append(first[1:], len(runs)) - 1] + RUN, least[first]
 
 
 def blocks(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +151,7 @@ def line_signatures(words: np.ndarray, a: np.ndarray, b: np.ndarray, n_bands: in
     return out
 
 
-UNITS = "kind int, key long, doc_id long, text_key long, first_word int, end_word int, start_byte int, end_byte int, bands array<long>"
+UNITS = "kind int, key long, whole long, doc_id long, text_key long, first_word int, end_word int, start_byte int, end_byte int, bands array<long>"
 
 
 def _read(data: np.ndarray, offsets: np.ndarray):
@@ -170,8 +163,9 @@ def _read(data: np.ndarray, offsets: np.ndarray):
 
 
 def units(df: DataFrame, n_bands: int) -> DataFrame:
-    """All paragraphs and anchors of (doc_id, text_key, text), and a row of kind
-    TEXT for each row with its words and paragraphs (``end_word``, ``first_word``)."""
+    """All paragraphs and units (kind ANCHOR; ``key`` is the anchor's hash, ``whole``
+    the unit's) of (doc_id, text_key, text), and a row of kind TEXT for each row
+    with its words and paragraphs (``end_word``, ``first_word``)."""
 
     def run(batches):
         names = [f.split()[0] for f in UNITS.split(", ")]
@@ -183,22 +177,22 @@ def units(df: DataFrame, n_bands: int) -> DataFrame:
                 la, lb = blocks(data, offsets, starts, ends)
                 many = np.bincount(owner[la], minlength=hi - lo) if len(la) else np.zeros(hi - lo)
                 la, lb = la[lb - la >= SHINGLE], lb[lb - la >= SHINGLE]
-                ja, jh = anchors(prefix, word_ends, len(words))
-                once = np.unique(K.pair(owner[ja].astype(np.uint64), jh), return_index=True)[1]
-                ja, jh = ja[once], jh[once]
+                ja, jb, jh = anchors(prefix, word_ends, len(words))
                 n_line, n_pass, n_text = len(la), len(ja), hi - lo
                 row = np.concatenate((owner[la], owner[ja], np.arange(n_text)))
                 signature = line_signatures(words, la, lb, n_bands) if n_line else np.zeros((0, n_bands), np.uint64)
                 offs = np.concatenate((np.arange(n_line + 1) * n_bands, np.full(n_pass + n_text, n_line * n_bands))).astype(np.int32)
                 ints = lambda *x: pa.array(np.concatenate(x).astype(np.int32))
                 own, none = bounds[:-1], np.zeros(n_pass + n_text)
+                keys = lambda *x: pa.array(np.concatenate(x).view(np.int64))
+                zeros = np.zeros(n_text, np.uint64)
                 rows = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.repeat(np.array([PARAGRAPH, ANCHOR, TEXT], np.int32), [n_line, n_pass, n_text])),
-                        pa.array(np.concatenate((_of_words(prefix, la, lb), jh, np.zeros(n_text, np.uint64))).view(np.int64)),
+                        keys(_of_words(prefix, la, lb), jh, zeros), keys(np.zeros(n_line, np.uint64), _of_words(prefix, ja, jb), zeros),
                         rows.column(0).take(pa.array(row)), rows.column(1).take(pa.array(row)),
-                        ints(la - own[owner[la]], ja - own[owner[ja]], many), ints(lb - own[owner[la]], np.zeros(n_pass), np.diff(bounds)),
+                        ints(la - own[owner[la]], ja - own[owner[ja]], many), ints(lb - own[owner[la]], jb - own[owner[ja]], np.diff(bounds)),
                         ints(starts[la] - offsets[owner[la]], none), ints(ends[lb - 1] - offsets[owner[la]], none),
                         pa.ListArray.from_arrays(pa.array(offs), pa.array(signature.ravel().view(np.int64))),
                     ],
@@ -208,31 +202,28 @@ def units(df: DataFrame, n_bands: int) -> DataFrame:
     return df.mapInArrow(K.task(run), UNITS)
 
 
-MARKS = "kind int, key long, doc_id long, text_key long, first_word int, start_byte int, end_byte int, shingles array<long>"
+MARKS = "kind int, key long, doc_id long, text_key long, first_word int, end_word int, start_byte int, end_byte int, keeper long, high long, shingles array<long>"
 
 
 def _marks(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """The shingle sets of wanted paragraphs, and every run whose anchor is repeated.
-
-    ``places`` has (doc_id, key, text_key, first_word, end_word): the words of a
-    paragraph in one text of the document, or an ``end_word`` of 0 for an anchor
-    that is repeated, wherever it stands.
-    """
-    by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("key", "text_key", "first_word", "end_word")).alias("places"))
-    joined = docs.join(by_doc, "doc_id").select("doc_id", "text_key", "places", "text")
+    """What is asked of the texts at ``places``, ranges of words of (doc_id,
+    text_key): the shingle set of a PARAGRAPH; of a unit (ANCHOR) its bytes, and if
+    its document is the keeper of all like it, every RUN in its place."""
+    by_text = places.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("kind", "key", "first_word", "end_word", "keeper", "high")).alias("places"))
+    joined = docs.join(by_text, ["doc_id", "text_key"]).select("doc_id", "text_key", "places", "text")
 
     def run(batches):
         names = [f.split()[0] for f in MARKS.split(", ")]
         for batch in batches:
             for lo, hi, data, offsets in K.chunks(batch.column(3), 1 << 20):
-                starts, ends, words, bounds, word_ends = _read(data, offsets)
+                starts, ends, words, bounds, _ = _read(data, offsets)
                 rows = batch.slice(lo, hi - lo)
                 nested = rows.column(2)
-                key, of_text, first, end = (c.to_numpy(zero_copy_only=False) for c in nested.flatten().flatten())
+                kind, key, first, end, keeper, high = (c.to_numpy(zero_copy_only=False) for c in nested.flatten().flatten())
                 row = np.repeat(np.arange(hi - lo), nested.value_lengths().to_numpy(zero_copy_only=False))
-                at, anchor = bounds[row], end == 0
-                line = ~anchor & (of_text == rows.column(1).to_numpy(zero_copy_only=False)[row])
-                a, b = at[line] + first[line], at[line] + end[line]
+                first, end = first + bounds[row], end + bounds[row]
+                line = kind == PARAGRAPH
+                a, b = first[line], end[line]
                 sizes = b - a - SHINGLE + 1
                 grams, of = K.ngram_hashes(words, SHINGLE)[K.ranges(a, sizes)], np.repeat(np.arange(len(a)), sizes)
                 order = np.lexsort((grams, of))
@@ -240,21 +231,23 @@ def _marks(docs: DataFrame, places: DataFrame) -> DataFrame:
                 new = np.ones(len(of), bool)
                 new[1:] = (grams[1:] != grams[:-1]) | (of[1:] != of[:-1])
                 grams, of = grams[new], of[new]
-                prefix = _prefix(words)
-                _, whole, least = windows(prefix, word_ends, len(words))
-                begin = np.flatnonzero(whole & np.isin(least, key[anchor].view(np.uint64)))
-                owner = np.searchsorted(bounds, begin, "right") - 1
+                kept = keeper == rows.column(0).to_numpy(zero_copy_only=False)[row]
+                copies, units = np.flatnonzero(~line & ~kept), np.flatnonzero(~line & kept)
+                many = end[units] - RUN + 1 - first[units]
+                unit, begin = np.repeat(units, many), K.ranges(first[units], many)
+                # one row a paragraph, a copy and a run
+                place = np.concatenate((np.flatnonzero(line), copies, unit))
                 n_set, n_run = len(a), len(begin)
-                none = np.zeros(n_set, np.int32)
-                ids = np.concatenate((np.zeros(n_set, np.int64), owner))
-                offs = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=n_set)), np.full(n_run, len(grams)))).astype(np.int32)
-                ints = lambda x, y: pa.array(np.concatenate((x, y)).astype(np.int32))
+                x, y = np.concatenate((a, first[copies], begin)), np.concatenate((b, end[copies], begin + RUN))
+                hashes = np.concatenate((key[line], key[copies], _of_words(_prefix(words), begin, begin + RUN).view(np.int64)))
+                offs = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=n_set)), np.full(len(place) - n_set, len(grams)))).astype(np.int32)
+                ids, base, byte = pa.array(row[place]), bounds[row[place]], offsets[row[place]]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.repeat(np.array([PARAGRAPH, ANCHOR], np.int32), [n_set, n_run])),
-                        pa.array(np.concatenate((key[line].view(np.uint64), _of_words(prefix, begin, begin + RUN))).view(np.int64)),
-                        rows.column(0).take(pa.array(ids)), rows.column(1).take(pa.array(ids)),
-                        ints(none, begin - bounds[owner]), ints(none, starts[begin] - offsets[owner]), ints(none, ends[begin + RUN - 1] - offsets[owner]),
+                        pa.array(np.repeat(np.array([PARAGRAPH, ANCHOR, RUNS], np.int32), [n_set, len(copies), n_run])), pa.array(hashes),
+                        rows.column(0).take(ids), rows.column(1).take(ids),
+                        *(pa.array(v.astype(np.int32)) for v in (x - base, y - base, starts[x] - byte, ends[y - 1] - byte)),
+                        pa.array(keeper[place]), pa.array(high[place]),
                         pa.ListArray.from_arrays(pa.array(offs), pa.array(grams.view(np.int64))),
                     ],
                     names=names,
@@ -372,10 +365,19 @@ def candidates(paragraphs: DataFrame) -> tuple[DataFrame, DataFrame]:
     with two or more of them); buckets of the same members count once."""
     at = F.min(F.struct("doc_id", "text_key", "first_word", "end_word")).alias("at")
     reps = written(paragraphs.groupBy("key").agg(at, F.first("bands").alias("bands")), "paragraph-distinct")
-    banded = reps.select("key", (F.col("at.end_word") - F.col("at.first_word")).cast("long").alias("size"), F.explode("bands").alias("bucket"))
-    ends = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.bit_xor(F.xxhash64("key")).alias("x"), F.sum("size").alias("weight")).where("low < high")
-    once = ends.groupBy("n", "low", "high", "x").agg(F.min("bucket").alias("bucket"), F.first("weight").alias("weight"))
-    return reps, written(banded.drop("size").join(once.select("bucket", "weight"), "bucket"), "paragraph-buckets")
+    banded = reps.select("key", F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
+    sizes = reps.select("key", (F.col("at.end_word") - F.col("at.first_word")).cast("long").alias("size"))
+    full = written(banded.join(shared.select("bucket"), "bucket").join(sizes, "key"), "paragraph-buckets")
+    same = full.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.bit_xor(F.xxhash64("key")).alias("x"), F.sum("size").alias("weight"))
+    once = same.groupBy("n", "low", "high", "x").agg(F.min("bucket").alias("bucket"), F.first("weight").alias("weight"))
+    return reps, full.drop("size").join(once.select("bucket", "weight"), "bucket")
+
+
+def _wanted(reps: DataFrame, members: DataFrame) -> DataFrame:
+    """One place of every paragraph that stands in a bucket with others."""
+    none = F.lit(0).cast("long")
+    return reps.join(members.select("key").distinct(), "key").select(F.lit(PARAGRAPH).alias("kind"), "key", "at.*", none.alias("keeper"), none.alias("high"))
 
 
 def paragraph_components(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
@@ -414,36 +416,41 @@ def paragraph_components(members: DataFrame, sets: DataFrame, threshold: float =
 def paragraph_links(paragraphs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, group: int = GROUP) -> DataFrame:
     """(key, component) of paragraphs (rows of ``units``) of ``docs`` that are linked to another one."""
     reps, members = candidates(paragraphs)
-    wanted = reps.join(members.select("key").distinct(), "key").select("key", "at.*")
-    sets = written(_marks(docs, wanted).dropDuplicates(["key"]).select("key", "shingles"), "paragraph-sets")
+    sets = written(_marks(docs, _wanted(reps, members)).dropDuplicates(["key"]).select("key", "shingles"), "paragraph-sets")
     return paragraph_components(members, sets, threshold, group)
 
 
-SPAN = "struct<first_word:int,end_word:int,start_byte:int,end_byte:int>"
+_SPANS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("first_word", "end_word", "start_byte", "end_byte")])
 
 
 def _union_spans(df: DataFrame) -> DataFrame:
-    """Replaces ``spans`` by their union in order, and counts its words."""
-    schema = T.StructType([*df.schema.fields, T.StructField("removed_words", T.LongType())])
-    at, names = df.columns.index("spans"), [f.name for f in schema.fields]
-    kind = pa.list_(pa.struct([pa.field(n, pa.int32()) for n in ("first_word", "end_word", "start_byte", "end_byte")]))
+    """Replaces ``spans`` (each with ``cut`` and ``run``) by the union of those to
+    cut, in order; counts its words, and the passages that all runs make."""
+    extra = [T.StructField("removed_words", T.LongType()), T.StructField("n_runs", T.LongType())]
+    at = df.columns.index("spans")
+    schema = T.StructType([*(T.StructField("spans", T.ArrayType(_SPANS)) if f.name == "spans" else f for f in df.schema.fields), *extra])
+    kind = pa.list_(pa.struct([pa.field(f.name, pa.int32()) for f in _SPANS.fields]))
+
+    def union(s):
+        s = s[:, np.lexsort((s[1], s[0]))]
+        reach = np.maximum.accumulate(s[1])
+        cut = np.concatenate(([True], s[0][1:] > reach[:-1]))[: len(reach)]
+        last = np.append(np.flatnonzero(cut)[1:] - 1, len(reach) - 1)[: cut.sum()]
+        return np.stack([s[0][cut], reach[last], s[2][cut], np.maximum.accumulate(s[3])[last]], axis=1)
 
     def run(batches):
         for batch in batches:
-            spans, total = [], []
+            spans, words, runs = [], [], []
             for row in batch.column(at):
-                s = np.stack([f.to_numpy(zero_copy_only=False) for f in row.values.flatten()])
-                s = s[:, np.lexsort((s[1], s[0]))]
-                reach = np.maximum.accumulate(s[1])
-                cut = np.concatenate(([True], s[0][1:] > reach[:-1]))
-                last = np.append(np.flatnonzero(cut)[1:] - 1, len(reach) - 1)
-                top = np.maximum.accumulate(s[3])
-                rows = np.stack([s[0][cut], reach[last], s[2][cut], top[last]], axis=1)
-                spans.append([dict(zip(("first_word", "end_word", "start_byte", "end_byte"), r, strict=True)) for r in rows.tolist()])
-                total.append(int((rows[:, 1] - rows[:, 0]).sum()))
+                *s, cut, of_run = (f.to_numpy(zero_copy_only=False) for f in row.values.flatten())
+                s = np.stack(s)
+                rows = union(s[:, cut.astype(bool)])
+                spans.append([dict(zip(_SPANS.names, r, strict=True)) for r in rows.tolist()])
+                words.append(int((rows[:, 1] - rows[:, 0]).sum()))
+                runs.append(len(union(s[:, of_run.astype(bool)])))
             columns = list(batch.columns)
             columns[at] = pa.array(spans, kind)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(words, pa.int64()), pa.array(runs, pa.int64())], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -462,38 +469,50 @@ def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: f
     every = written(units(docs, bands(threshold, recall)), "paragraph-units")
     paragraphs, by = every.where(F.col("kind") == PARAGRAPH), ["doc_id", "text_key"]
     reps, members = candidates(paragraphs)
-    wanted = reps.join(members.select("key").distinct(), "key").select("key", "at.*")
-    starts = every.where(F.col("kind") == ANCHOR).select("key", "doc_id")
-    anchored = starts.join(_repeated(starts), "key").select("key", "doc_id")
-    places = anchored.select("doc_id", "key", F.lit(0).cast("long").alias("text_key"), F.lit(0).alias("first_word"), F.lit(0).alias("end_word"))
-    marks = written(_marks(docs, places.unionByName(wanted)), "paragraph-marks")
+    units_of = every.where(F.col("kind") == ANCHOR).select("key", "whole", *by, "first_word", "end_word")
+    # units of repeated anchors, and the first and last document of all that are equal
+    anchored = written(units_of.join(_repeated(units_of).select("key"), "key").drop("key"), "paragraph-units-repeated")
+    ends = anchored.groupBy("whole").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("high"))
+    places = anchored.join(ends, "whole").withColumnRenamed("whole", "key").withColumn("kind", F.lit(ANCHOR))
+    marks = written(_marks(docs, places.unionByName(_wanted(reps, members))), "paragraph-marks")
+    drop(anchored)
     drop(reps)
     sets = marks.where(F.col("kind") == PARAGRAPH).select("key", "shingles").dropDuplicates(["key"])
     linked = paragraph_components(members, sets, threshold)
-    drop(members)
 
-    slim = paragraphs.select("key", *by, "first_word", "end_word", "start_byte", "end_byte")
+    place = ["first_word", "end_word", "start_byte", "end_byte"]
+    slim = paragraphs.select("key", *by, *place)
     classed = slim.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).join(linked, "key", "left").withColumn("class", F.coalesce("component", "key"))
     keepers = classed.groupBy("class").agg(F.min("low").alias("keeper"), F.max("high").alias("high")).where("keeper < high")
-    alike = slim.join(classed.select("key", "class").join(keepers, "class").select("key", "keeper"), "key").drop("key").withColumn("long", F.col("end_word") - F.col("first_word") >= min_words)
+    alike = slim.join(classed.select("key", "class").join(keepers, "class").select("key", "keeper"), "key").drop("key").withColumn("run", F.lit(False))
 
-    runs = marks.where(F.col("kind") == ANCHOR).select("key", *by, "first_word", "start_byte", "end_byte")
-    again = runs.join(_repeated(runs), "key").drop("key").withColumn("cut", F.col("doc_id") != F.col("keeper"))
+    runs = marks.where(F.col("kind") == RUNS).drop("kind", "keeper", "shingles", "end_word")
+    again = runs.drop("high").join(runs.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("high").alias("high")).where("keeper < high").drop("high"), "key").drop("key")
     # overlapping runs are one passage: their first words follow each other
-    order = Window.partitionBy(*by, "cut").orderBy("first_word")
-    islands = again.withColumn("island", F.col("first_word") - F.dense_rank().over(order)).groupBy(*by, "cut", "keeper", "island")
-    passages = islands.agg(F.min("first_word").alias("first_word"), (F.max("first_word") + RUN).alias("end_word"), F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte")).drop("cut", "island")
-    found = written(alike.unionByName(passages.withColumn("long", F.lit(None).cast("boolean")), allowMissingColumns=True), "paragraph-repeats")
+    order = Window.partitionBy(*by, "keeper").orderBy("first_word")
+    islands = again.withColumn("island", F.col("first_word") - F.dense_rank().over(order)).groupBy(*by, "keeper", "island")
+    passages = islands.agg(F.min("first_word").alias("first_word"), (F.max("first_word") + RUN).alias("end_word"), F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte")).drop("island")
+    copies = marks.where(F.col("kind") == ANCHOR).select(*by, *place, "keeper")
+    found = written(alike.unionByName(passages.unionByName(copies).withColumn("run", F.lit(True))), "paragraph-repeats")
     drop(marks)
 
-    links = found.where("doc_id <> keeper and coalesce(long, true)").select("doc_id", "keeper").distinct()
+    whole = F.col("run") | (F.col("end_word") - F.col("first_word") >= min_words)
+    cut = F.col("doc_id") != F.col("keeper")
+    links = found.where(whole & cut).select("doc_id", "keeper").distinct()
     classes = connected_components(links, "doc_id", "keeper", "paragraph-classes").select(F.col("id").alias("doc_id"), F.col("component").alias("class_id"))
     counted = every.where(F.col("kind") == TEXT).groupBy(*by).agg(F.max("end_word").cast("long").alias("n_words"), F.max("first_word").cast("long").alias("n_paragraphs"))
-    repeats = found.groupBy(*by).agg(F.count(F.when(F.coalesce("long", F.lit(True)), F.lit(1))).alias("n_repeated"), F.count("long").alias("n_similar"))
-    spans = _union_spans(found.where("doc_id <> keeper and coalesce(long, true)").groupBy(*by).agg(F.collect_set(F.struct("first_word", "end_word", "start_byte", "end_byte")).alias("spans")))
-    out = counted.join(repeats, by, "left").join(spans, by, "left").join(classes, "doc_id", "left")
-    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return out.select("doc_id", "text_key", F.coalesce("class_id", "doc_id").alias("class_id"), "n_words", "n_paragraphs", none("n_repeated"), none("n_similar"), none("removed_words"), F.coalesce("spans", F.expr(f"cast(array() as array<{SPAN}>)")).alias("spans"))
+    gathered = found.groupBy(*by).agg(
+        F.count(F.when(whole & ~F.col("run"), F.lit(1))).alias("n_long"),
+        F.count(F.when(~F.col("run"), F.lit(1))).alias("n_similar"),
+        F.collect_set(F.when(whole & (cut | F.col("run")), F.struct(*place, cut.alias("cut"), "run"))).alias("spans"),
+    )
+    out = counted.join(_union_spans(gathered), by, "left").join(classes, "doc_id", "left")
+    none = lambda c: F.coalesce(c, F.lit(0))
+    return out.select(
+        "doc_id", "text_key", F.coalesce("class_id", "doc_id").alias("class_id"), "n_words", "n_paragraphs",
+        (none("n_long") + none("n_runs")).alias("n_repeated"), none("n_similar").alias("n_similar"), none("removed_words").alias("removed_words"),
+        F.coalesce("spans", F.array().cast(T.ArrayType(_SPANS))).alias("spans"),
+    )
 
 
 def remove(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
