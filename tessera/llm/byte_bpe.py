@@ -33,7 +33,7 @@ from .shared import fresh
 #: Pieces longer than this many bytes are merged one by one with a heap, and not cached.
 LONG_PIECE = 96
 #: At so many pieces the cache becomes the old one, whose pieces return when met again.
-CACHE = 100_000
+CACHE = 40_000
 #: Bytes of texts, or of ids, worked on at a time.
 CHUNK = 1 << 20
 #: No rank.
@@ -320,21 +320,52 @@ class Encoder(Decoder):
         return ids, np.diff(total[np.searchsorted(starts, offsets)])
 
 
-#: One encoder or decoder of each kind in a worker process.
-_kept: dict[type, tuple[int, Decoder]] = {}
+#: The encoder or decoder of a worker process and the rank file it is of.
+_kept: dict[int, Decoder] = {}
 
 
 def _of(kind: type, rank_file) -> Decoder:
+    """An encoder serves as a decoder as well."""
     key = hash(rank_file.value)
-    if _kept.get(kind, (None,))[0] != key:
-        _kept[kind] = (key, kind(rank_file.value))
-    return _kept[kind][1]
+    if not isinstance(_kept.get(key), kind):
+        _kept.clear()
+        _kept[key] = kind(rank_file.value)
+    return _kept[key]
 
 
 def _extended(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(n, t, True) for n, t in fields)])
 
 
+def _encoded(encoder: Encoder, batches, at: int, keep_text: bool, names: list[str]):
+    """Batches with the ids and offsets of the texts in column ``at``."""
+    for batch in batches:
+        for lo, hi, data, offsets in K.chunks(batch.column(at), CHUNK):
+            got, counts = encoder.encode(data, offsets)
+            ends = np.cumsum(encoder.lengths[got])
+            begin = ends - encoder.lengths[got] - np.repeat(offsets[:-1], counts)
+            columns = [c for i, c in enumerate(batch.slice(lo, hi - lo).columns) if keep_text or i != at]
+            columns += [K.binary_column(got.view(np.uint8), counts * 4), K.binary_column(begin.astype("<u4").view(np.uint8), counts * 4)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+    encoder.old = {}
+
+
+def _decoded(decoder: Decoder, batches, at: int, place: int | None, kept: list[int], names: list[str]):
+    """Batches with the bytes of the packed ids in column ``at``."""
+    for batch in batches:
+        for lo, hi, data, offsets in K.chunks(batch.column(at), CHUNK):
+            rows = batch.slice(lo, hi - lo)
+            got = np.frombuffer(data.tobytes(), "<u4")
+            lengths = decoder.lengths[got]
+            sums = np.concatenate(([0], np.cumsum(lengths)))
+            sizes = np.diff(sums[offsets // 4])
+            begin = None
+            if place is not None:
+                begin = np.frombuffer(K.buffers(rows.column(place))[0].tobytes(), "<u4").astype(np.int64) + np.repeat(np.cumsum(sizes) - sizes, np.diff(offsets // 4))
+            columns = [rows.column(i) for i in kept]
+            yield pa.RecordBatch.from_arrays([*columns, K.binary_column(decoder.decode(got, begin), sizes)], names=names)
+
+
 def encode(df: DataFrame, rank_path: str, text: str = "text", ids: str = "ids", starts: str = "token_starts", keep_text: bool = True) -> DataFrame:
     """Adds ``ids`` and ``token_starts``: token ids and the byte offsets in the
     UTF-8 text at which they begin, both as packed little-endian uint32.
@@ -348,20 +379,7 @@ def encode(df: DataFrame, rank_path: str, text: str = "text", ids: str = "ids",
     if not keep_text:
         schema = T.StructType([f for f in schema.fields if f.name != text])
     at, names = df.columns.index(text), schema.names
-
-    def run(batches):
-        encoder = _of(Encoder, rank_file)
-        for batch in batches:
-            for lo, hi, data, offsets in K.chunks(batch.column(at), CHUNK):
-                got, counts = encoder.encode(data, offsets)
-                ends = np.cumsum(encoder.lengths[got])
-                begin = ends - encoder.lengths[got] - np.repeat(offsets[:-1], counts)
-                columns = [c for i, c in enumerate(batch.slice(lo, hi - lo).columns) if keep_text or i != at]
-                columns += [K.binary_column(got.view(np.uint8), counts * 4), K.binary_column(begin.astype("<u4").view(np.uint8), counts * 4)]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-        encoder.old = {}
-
-    return df.mapInArrow(K.task(run), schema)
+    return df.mapInArrow(K.task(lambda batches: _encoded(_of(Encoder, rank_file), batches, at, keep_text, names)), schema)
 
 
 def decode(df: DataFrame, rank_path: str, ids: str = "ids", starts: str | None = "token_starts", out: str = "decoded", drop: bool = True) -> DataFrame:
@@ -375,21 +393,22 @@ def decode(df: DataFrame, rank_path: str, ids: str = "ids", starts: str | None =
     at, place = df.columns.index(ids), df.columns.index(starts) if starts else None
     kept = [i for i, c in enumerate(df.columns) if c not in gone]
     names = schema.names
+    return df.mapInArrow(K.task(lambda batches: _decoded(_of(Decoder, rank_file), batches, at, place, kept, names)), schema)
+
+
+def round_trip(df: DataFrame, rank_path: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``df`` without its texts, with their ids and the bytes these decode to:
+    ``decode(encode(df))`` in one task, so that one worker holds the tables."""
+    rank_file = df.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
+    ids, out = fresh(df, ids), fresh(df, out)
+    schema = T.StructType([f for f in _extended(df, (ids, T.BinaryType()), (out, T.BinaryType())).fields if f.name != text])
+    at, names = df.columns.index(text), schema.names
+    n = len(names) - 1
+    middle, kept = [*names[:-1], fresh(df, "token_starts")], list(range(n))
 
     def run(batches):
-        decoder = _of(Decoder, rank_file)
-        for batch in batches:
-            for lo, hi, data, offsets in K.chunks(batch.column(at), CHUNK):
-                rows = batch.slice(lo, hi - lo)
-                got = np.frombuffer(data.tobytes(), "<u4")
-                lengths = decoder.lengths[got]
-                sums = np.concatenate(([0], np.cumsum(lengths)))
-                sizes = np.diff(sums[offsets // 4])
-                begin = None
-                if place is not None:
-                    begin = np.frombuffer(K.buffers(rows.column(place))[0].tobytes(), "<u4").astype(np.int64) + np.repeat(np.cumsum(sizes) - sizes, np.diff(offsets // 4))
-                columns = [rows.column(i) for i in kept]
-                yield pa.RecordBatch.from_arrays([*columns, K.binary_column(decoder.decode(got, begin), sizes)], names=names)
+        coder = _of(Encoder, rank_file)
+        yield from _decoded(coder, _encoded(coder, batches, at, False, middle), n - 1, n, kept, names)
 
     return df.mapInArrow(K.task(run), schema)
 

@@ -99,12 +99,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every whole text of documents."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = byte_bpe.encode(docs, path, keep_text=False)
-    decoded = byte_bpe.decode(encoded.withColumn("kept_ids", F.col("ids")), path)
-    return decoded.select(
+    return byte_bpe.round_trip(docs, path).select(
         "doc_id",
-        byte_bpe.n_tokens(F.col("kept_ids")).alias("n_tokens"),
-        F.sha2("kept_ids", 256).alias("ids_sha256"),
+        byte_bpe.n_tokens(F.col("ids")).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 

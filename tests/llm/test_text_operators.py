@@ -76,6 +76,15 @@ def test_bpe_round_trip_and_offsets(odd):
         assert starts == np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(int).tolist() if ids else starts == []
 
 
+def test_bpe_round_trip_in_one_task(odd):
+    df = odd.withColumn("ids", F.lit("taken")).withColumn("token_starts", F.lit(1)).withColumn("decoded", F.lit(None))
+    got = byte_bpe.round_trip(df.withColumn("same", F.col("text")), RANKS)
+    assert got.columns == ["doc_id", "ids", "token_starts", "decoded", "same", "_ids", "_decoded"]
+    for r in got.collect():
+        assert np.frombuffer(bytes(r._ids), "<u4").tolist() == TIK.encode_ordinary(r.same or "") and bytes(r._decoded) == (r.same or "").encode()
+    assert byte_bpe.round_trip(odd.limit(0), RANKS).count() == 0
+
+
 def test_op10(spark, sf, texts):
     for r in queries.op10_byte_bpe(spark, sf).collect():
         ids = TIK.encode_ordinary(texts[r.doc_id])
