@@ -54,9 +54,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, checked by decoding them."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, keep_text=False)
-    decoded = byte_bpe.decode(encoded.withColumn("token_ids", F.col("ids")), path)
-    return decoded.select(
+    found = byte_bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), path, ids="token_ids")
+    return found.select(
         "doc_id",
         "lang",
         "source",
