@@ -16,7 +16,9 @@ arrays under Zstandard, 5 to 6 bytes a distinct key.
 
 Defined results: a null or empty text is one end event; a row whose id is null
 counts as training text; repeated rows are texts of their own; with no
-training texts every count is zero and the model is uniform.
+training texts every count is zero and the model is uniform.  Ids must be integers
+or cast to them; other columns are not read.  A very long text is a block of its
+own, held whole by one task, with some 150 bytes a word.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from . import kernels as K
 from .shared import drop, parts, written
 
 #: A block has about so many bytes of text.
-BLOCK_BYTES = 14 << 20
+BLOCK_BYTES = 10 << 20
 #: Contexts fall in buckets 0 (unseen) to BUCKETS - 1 by the logarithm of their frequency.
 BUCKETS = 41
 #: EM events are gathered in cells of 1 / GRID of an octave of either estimate.

@@ -17,7 +17,9 @@ bytes to the same names.
 Defined results: a null html is an empty payload; a null url leaves the header
 out; a null ``page_id`` is a response if no record of that payload has an id,
 else a revisit; rows that repeat the largest id are all responses; an empty
-table writes nothing and reads as no rows.  Other columns are not read.
+table writes nothing and reads as no rows.  Other columns are not read.  A record
+is one frame at least, held whole by one task; one of 4 GiB or more is an error,
+as the seek table has 32 bits for its size.
 """
 
 from __future__ import annotations

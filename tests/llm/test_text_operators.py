@@ -266,6 +266,54 @@ def test_language_id(spark, sf, docs):
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
 
 
+def brute_grams(text):
+    """Buckets of all n-grams of 1 to 4 bytes, by plain integers."""
+    low, out, most = lower(text).encode(), collections.Counter(), (1 << 32) - 1
+    for n in (1, 2, 3, 4):
+        for i in range(len(low) - n + 1):
+            gram = 0
+            for byte in low[i : i + n]:
+                gram = (gram * 257 + byte + 1) & most
+            h = (gram ^ (n * 0x9E3779B1 & most)) * 0x85EBCA6B & most
+            h = (h ^ (h >> 15)) * 0xC2B2AE35 & most
+            out[h >> 17] += 1
+    return out
+
+
+def test_language_equals_brute_force(spark, docs):
+    some = docs.where("doc_id < 40").select("doc_id", F.substring("text", 1, 400).alias("text"), "lang").collect()
+    data = [(r.doc_id, r.text, r.lang) for r in some] + [(100, None, "en"), (101, "abc", None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = language.fit(df)
+    seen = collections.defaultdict(collections.Counter)
+    for _, t, lang in data:
+        if t is not None and lang is not None:
+            seen[lang] += brute_grams(t)
+    names = sorted(seen)
+    assert model.languages == tuple(names)
+    p = {lang: {b: (c[b] + 0.5) / (c.total() + 0.5 * language.BUCKETS) for b in range(language.BUCKETS)} for lang, c in seen.items()}
+    splits = range(1, 1 << (len(names) - 1)) if 1 < len(names) <= 6 else None
+    assert splits is not None
+    code = {lang: [1 if s >> k & 1 else -1 for s in splits] for k, lang in enumerate(names)}
+    odds = []
+    for s in range(len(splits)):
+        plus, minus = [lang for lang in names if code[lang][s] > 0], [lang for lang in names if code[lang][s] < 0]
+        odds.append({b: math.log(sum(p[x][b] for x in plus) / len(plus)) - math.log(sum(p[x][b] for x in minus) / len(minus)) for b in range(language.BUCKETS)})
+    weights = [max(min(code[x][s] * sum(p[x][b] * o[b] for b in o) for x in names), 0.02) for s, o in enumerate(odds)]
+    weights = [w / sum(weights) for w in weights]
+    for r in language.predict(df, model).collect():
+        grams = brute_grams(r.text or "")
+        if not any(c.isalpha() for c in r.text or ""):
+            assert r.lang_pred == "und"
+            continue
+        margins = [sum(n * o[b] for b, n in grams.items()) / grams.total() for o in odds]
+        loss = {x: sum(w * math.log1p(math.exp(-language.SCALE * m * c)) for w, m, c in zip(weights, margins, code[x], strict=True)) for x in names}
+        near = {x: math.exp((min(loss.values()) - v) * len(weights)) for x, v in loss.items()}
+        best = min(names, key=lambda x: (loss[x], x))
+        assert r.lang_pred == best and abs(r.score - near[best] / sum(near.values())) < 1e-3
+        assert r.ambiguous == (sorted(near.values())[-2] >= language.NEAR * near[best])
+
+
 def test_language_odd_rows(odd, docs):
     model = language.fit(docs)
     rows = language.predict(odd.withColumn("score", F.lit(0)), model).collect()
