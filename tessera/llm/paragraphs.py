@@ -151,7 +151,7 @@ def line_signatures(words: np.ndarray, a: np.ndarray, b: np.ndarray, n_bands: in
     return out
 
 
-UNITS = "kind int, key long, whole long, doc_id long, text_key long, first_word int, end_word int, start_byte int, end_byte int, bands array<long>"
+UNITS = "kind int, key long, whole long, doc_id long, text_key long, first_word int, end_word int, bands array<long>"
 
 
 def _read(data: np.ndarray, offsets: np.ndarray):
@@ -183,7 +183,7 @@ def units(df: DataFrame, n_bands: int) -> DataFrame:
                 signature = line_signatures(words, la, lb, n_bands) if n_line else np.zeros((0, n_bands), np.uint64)
                 offs = np.concatenate((np.arange(n_line + 1) * n_bands, np.full(n_pass + n_text, n_line * n_bands))).astype(np.int32)
                 ints = lambda *x: pa.array(np.concatenate(x).astype(np.int32))
-                own, none = bounds[:-1], np.zeros(n_pass + n_text)
+                own, none = bounds[:-1], np.zeros(n_pass)
                 keys = lambda *x: pa.array(np.concatenate(x).view(np.int64))
                 zeros = np.zeros(n_text, np.uint64)
                 rows = batch.slice(lo, hi - lo)
@@ -192,8 +192,7 @@ def units(df: DataFrame, n_bands: int) -> DataFrame:
                         pa.array(np.repeat(np.array([PARAGRAPH, ANCHOR, TEXT], np.int32), [n_line, n_pass, n_text])),
                         keys(_of_words(prefix, la, lb), jh, zeros), keys(np.zeros(n_line, np.uint64), _of_words(prefix, ja, jb), zeros),
                         rows.column(0).take(pa.array(row)), rows.column(1).take(pa.array(row)),
-                        ints(la - own[owner[la]], ja - own[owner[ja]], many), ints(lb - own[owner[la]], jb - own[owner[ja]], np.diff(bounds)),
-                        ints(starts[la] - offsets[owner[la]], none), ints(ends[lb - 1] - offsets[owner[la]], none),
+                        ints(la - own[owner[la]], none, many), ints(lb - own[owner[la]], none, np.diff(bounds)),
                         pa.ListArray.from_arrays(pa.array(offs), pa.array(signature.ravel().view(np.int64))),
                     ],
                     names=names,
@@ -202,28 +201,32 @@ def units(df: DataFrame, n_bands: int) -> DataFrame:
     return df.mapInArrow(K.task(run), UNITS)
 
 
-MARKS = "kind int, key long, doc_id long, text_key long, first_word int, end_word int, start_byte int, end_byte int, keeper long, high long, shingles array<long>"
+MARKS = "kind int, key long, doc_id long, text_key long, first_word int, end_word int, keeper long, high long, shingles array<long>"
 
 
 def _marks(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """What is asked of the texts at ``places``, ranges of words of (doc_id,
-    text_key): the shingle set of a PARAGRAPH; of a unit (ANCHOR) its bytes, and if
-    its document is the keeper of all like it, every RUN in its place."""
-    by_text = places.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("kind", "key", "first_word", "end_word", "keeper", "high")).alias("places"))
-    joined = docs.join(by_text, ["doc_id", "text_key"]).select("doc_id", "text_key", "places", "text")
+    """The shingle sets of wanted paragraphs, the places of repeated units, and
+    each run of those units that their document keeps.
+
+    ``places`` has (doc_id, kind, key, text_key, first_word, end_word, keeper,
+    high): the words of a PARAGRAPH in one text of the document, or a unit's hash
+    (ANCHOR) with the first and last document of all that are equal to it.
+    """
+    by_doc = places.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "key", "text_key", "first_word", "end_word", "keeper", "high")).alias("places"))
+    joined = docs.join(by_doc, "doc_id").select("doc_id", "text_key", "places", "text")
 
     def run(batches):
         names = [f.split()[0] for f in MARKS.split(", ")]
         for batch in batches:
             for lo, hi, data, offsets in K.chunks(batch.column(3), 1 << 20):
-                starts, ends, words, bounds, _ = _read(data, offsets)
+                starts, _, words, bounds, word_ends = _read(data, offsets)
+                prefix = _prefix(words)
                 rows = batch.slice(lo, hi - lo)
                 nested = rows.column(2)
-                kind, key, first, end, keeper, high = (c.to_numpy(zero_copy_only=False) for c in nested.flatten().flatten())
+                kind, key, of_text, first, end, keeper, high = (c.to_numpy(zero_copy_only=False) for c in nested.flatten().flatten())
                 row = np.repeat(np.arange(hi - lo), nested.value_lengths().to_numpy(zero_copy_only=False))
-                first, end = first + bounds[row], end + bounds[row]
-                line = kind == PARAGRAPH
-                a, b = first[line], end[line]
+                line = np.flatnonzero((kind == PARAGRAPH) & (of_text == rows.column(1).to_numpy(zero_copy_only=False)[row]))
+                a, b = bounds[row[line]] + first[line], bounds[row[line]] + end[line]
                 sizes = b - a - SHINGLE + 1
                 grams, of = K.ngram_hashes(words, SHINGLE)[K.ranges(a, sizes)], np.repeat(np.arange(len(a)), sizes)
                 order = np.lexsort((grams, of))
@@ -231,22 +234,33 @@ def _marks(docs: DataFrame, places: DataFrame) -> DataFrame:
                 new = np.ones(len(of), bool)
                 new[1:] = (grams[1:] != grams[:-1]) | (of[1:] != of[:-1])
                 grams, of = grams[new], of[new]
-                kept = keeper == rows.column(0).to_numpy(zero_copy_only=False)[row]
-                copies, units = np.flatnonzero(~line & ~kept), np.flatnonzero(~line & kept)
-                many = end[units] - RUN + 1 - first[units]
-                unit, begin = np.repeat(units, many), K.ranges(first[units], many)
+                # the texts' own units, by the hash of text and unit
+                ja, jb, _ = anchors(prefix, word_ends, len(words))
+                text = np.searchsorted(bounds, ja, "right") - 1
+                asked = np.flatnonzero(kind == ANCHOR)
+                names_of = K.pair(row[asked].astype(np.uint64), key[asked].view(np.uint64))
+                asked = asked[np.argsort(names_of, kind="stable")]
+                names_of = np.sort(names_of)
+                mine = K.pair(text.astype(np.uint64), _of_words(prefix, ja, jb))
+                at = np.minimum(np.searchsorted(names_of, mine), max(len(names_of) - 1, 0))
+                some = np.flatnonzero(names_of[at] == mine) if len(asked) else np.zeros(0, np.int64)
+                ja, jb, text, asked = ja[some], jb[some], text[some], asked[at[some]] if len(asked) else asked
+                kept = keeper[asked] == rows.column(0).to_numpy(zero_copy_only=False)[text]
+                many = np.where(kept, jb - RUN + 1 - ja, 0)
+                unit, begin = np.repeat(np.arange(len(ja)), many), K.ranges(ja, many)
+                copy = np.flatnonzero(~kept)
                 # one row a paragraph, a copy and a run
-                place = np.concatenate((np.flatnonzero(line), copies, unit))
-                n_set, n_run = len(a), len(begin)
-                x, y = np.concatenate((a, first[copies], begin)), np.concatenate((b, end[copies], begin + RUN))
-                hashes = np.concatenate((key[line], key[copies], _of_words(_prefix(words), begin, begin + RUN).view(np.int64)))
-                offs = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=n_set)), np.full(len(place) - n_set, len(grams)))).astype(np.int32)
-                ids, base, byte = pa.array(row[place]), bounds[row[place]], offsets[row[place]]
+                x, y = np.concatenate((a, ja[copy], begin)), np.concatenate((b, jb[copy], begin + RUN))
+                owner = np.concatenate((row[line], text[copy], text[unit]))
+                place = np.concatenate((line, asked[copy], asked[unit]))
+                hashes = np.concatenate((key[line], key[asked[copy]], _of_words(prefix, begin, begin + RUN).view(np.int64)))
+                offs = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(a))), np.full(len(place) - len(a), len(grams)))).astype(np.int32)
+                ids = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.repeat(np.array([PARAGRAPH, ANCHOR, RUNS], np.int32), [n_set, len(copies), n_run])), pa.array(hashes),
+                        pa.array(np.repeat(np.array([PARAGRAPH, ANCHOR, RUNS], np.int32), [len(a), len(copy), len(begin)])), pa.array(hashes),
                         rows.column(0).take(ids), rows.column(1).take(ids),
-                        *(pa.array(v.astype(np.int32)) for v in (x - base, y - base, starts[x] - byte, ends[y - 1] - byte)),
+                        *(pa.array((v - bounds[owner]).astype(np.int32)) for v in (x, y)),
                         pa.array(keeper[place]), pa.array(high[place]),
                         pa.ListArray.from_arrays(pa.array(offs), pa.array(grams.view(np.int64))),
                     ],
@@ -426,7 +440,7 @@ def paragraph_links(paragraphs: DataFrame, docs: DataFrame, threshold: float = T
     return paragraph_components(members, sets, threshold, group)
 
 
-_SPANS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("first_word", "end_word", "start_byte", "end_byte")])
+_SPANS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("first_word", "end_word")])
 
 
 def _union_spans(df: DataFrame) -> DataFrame:
@@ -442,7 +456,7 @@ def _union_spans(df: DataFrame) -> DataFrame:
         reach = np.maximum.accumulate(s[1])
         cut = np.concatenate(([True], s[0][1:] > reach[:-1]))[: len(reach)]
         last = np.append(np.flatnonzero(cut)[1:] - 1, len(reach) - 1)[: cut.sum()]
-        return np.stack([s[0][cut], reach[last], s[2][cut], np.maximum.accumulate(s[3])[last]], axis=1)
+        return np.stack([s[0][cut], reach[last]], axis=1)
 
     def run(batches):
         for batch in batches:
@@ -475,18 +489,19 @@ def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: f
     every = written(units(docs, bands(threshold, recall)), "paragraph-units")
     paragraphs, by = every.where(F.col("kind") == PARAGRAPH), ["doc_id", "text_key"]
     reps, members = candidates(paragraphs)
-    units_of = every.where(F.col("kind") == ANCHOR).select("key", "whole", *by, "first_word", "end_word")
+    units_of = every.where(F.col("kind") == ANCHOR).select("key", "whole", "doc_id")
     # units of repeated anchors, and the first and last document of all that are equal
     anchored = written(_back(units_of, _repeated(units_of).select("key"), "key").drop("key"), "paragraph-units-repeated")
     ends = anchored.groupBy("whole").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("high"))
-    places = _back(anchored, ends, "whole").withColumnRenamed("whole", "key").withColumn("kind", F.lit(ANCHOR))
+    zero = F.lit(0)
+    places = _back(anchored, ends, "whole").select("doc_id", F.lit(ANCHOR).alias("kind"), F.col("whole").alias("key"), zero.cast("long").alias("text_key"), zero.alias("first_word"), zero.alias("end_word"), "keeper", "high")
     marks = written(_marks(docs, places.unionByName(_wanted(reps, members))), "paragraph-marks")
     drop(anchored)
     drop(reps)
     sets = marks.where(F.col("kind") == PARAGRAPH).select("key", "shingles").dropDuplicates(["key"])
     linked = paragraph_components(members, sets, threshold)
 
-    place = ["first_word", "end_word", "start_byte", "end_byte"]
+    place = ["first_word", "end_word"]
     slim = paragraphs.select("key", *by, *place)
     classed = slim.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).join(linked, "key", "left").withColumn("class", F.coalesce("component", "key"))
     keepers = classed.groupBy("class").agg(F.min("low").alias("keeper"), F.max("high").alias("high")).where("keeper < high")
@@ -498,7 +513,7 @@ def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: f
     # overlapping runs are one passage: their first words follow each other
     order = Window.partitionBy(*by, "keeper").orderBy("first_word")
     islands = again.withColumn("island", F.col("first_word") - F.dense_rank().over(order)).groupBy(*by, "keeper", "island")
-    passages = islands.agg(F.min("first_word").alias("first_word"), (F.max("first_word") + RUN).alias("end_word"), F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte")).drop("island")
+    passages = islands.agg(F.min("first_word").alias("first_word"), (F.max("first_word") + RUN).alias("end_word")).drop("island")
     copies = marks.where(F.col("kind") == ANCHOR).select(*by, *place, "keeper")
     found = written(alike.unionByName(passages.unionByName(copies).withColumn("run", F.lit(True))), "paragraph-repeats")
     drop(marks)
@@ -539,9 +554,11 @@ def remove(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options)
             for t, spans in zip(batch.column(at), batch.column(place), strict=True):
                 if spans.is_valid:
                     raw, end, kept = t.as_py().encode(), 0, []
+                    inside = K.GRAPHIC[np.frombuffer(raw, np.uint8)]
+                    starts, ends = K.spans(inside, np.array([0, len(raw)]))
                     for s in spans.as_py():
-                        kept.append(raw[end : s["start_byte"]])
-                        end = s["end_byte"]
+                        kept.append(raw[end : starts[s["first_word"]]])
+                        end = ends[s["end_word"] - 1]
                     texts.append(b"".join([*kept, raw[end:]]).decode())
                 else:
                     texts.append(t.as_py())
