@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import pointwise as P
 from tessera.graph import Graph, to_vectors
@@ -56,17 +59,30 @@ def matrix(w: Sequence[Sequence[float]]):
     return F.array(*(F.array(*(F.lit(float(row[j])) for row in w)) for j in range(len(w[0]))))
 
 
+def _product(vectors: DataFrame, w: np.ndarray) -> DataFrame:
+    shared = vectors.sparkSession.sparkContext.broadcast(w)
+    schema = T.StructType([vectors.schema["id"], T.StructField("vec", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        w = shared.value
+        for batch in batches:
+            ids, vec = batch.columns
+            x = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vec), len(w))
+            places = np.arange(len(vec) + 1, dtype=np.int32) * w.shape[1]
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(places), pa.array((x @ w).ravel()))], names=["id", "vec"])
+
+    return vectors.mapInArrow(run, schema)
+
+
 def ffn(vectors: DataFrame, w: Sequence[Sequence[float]], bias: Sequence[float] | None = None) -> DataFrame:
-    """X W (+ b): a projection without a shuffle while W is small; else a join
-    with W's rows, whose number is the model's and not the data's."""
+    """X W (+ b), one row in and one row out, without a shuffle: a projection
+    while W is small, else a matrix product of each Arrow batch with W, which is
+    broadcast and of the model's size."""
     rows, cols = len(w), len(w[0])
     if rows * cols <= LITERAL:
         out = vectors.select("id", F.transform(matrix(w), lambda c: P.dot(F.col("vec"), c)).alias("vec"))
     else:
-        table = vectors.sparkSession.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(w)], "k int, row array<double>")
-        long = vectors.select("id", F.posexplode("vec").alias("k", "x")).join(F.broadcast(table), "k")
-        parts = long.select("id", F.posexplode("row").alias("j", "y"), "x")
-        out = to_vectors(parts.groupBy("id", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v")))
+        out = _product(vectors.select("id", "vec"), np.array(w, np.float64))
     if bias is not None:
         b = F.array(*(F.lit(float(x)) for x in bias))
         out = out.select("id", P.add(F.col("vec"), b).alias("vec"))

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Nodes whose numbers are this near are numbered together.
+BLOCK = 1 << 16
+
+
 def permute(edges: DataFrame, perm: DataFrame, rows: bool = True, columns: bool = True) -> DataFrame:
     """Edges with ends renamed by perm(old, new)."""
     rest = [c for c in edges.columns if c not in ("dst", "src")]
@@ -40,12 +44,13 @@ def listed_first(edges: DataFrame, listed: DataFrame) -> DataFrame:
 
 def by_degree(edges: DataFrame) -> DataFrame:
     """perm(old, new): senders numbered by frequency, the most frequent first;
-    equals by their number.  Ranks come from counts of counts, so that only one
-    row for each distinct frequency is put in one order."""
-    freq = edges.groupBy(F.col("src").alias("old")).agg(F.count("*").alias("n"))
-    levels = freq.groupBy("n").agg(F.count("*").alias("size"))
-    start = levels.select("n", (F.sum("size").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("start"))
-    return freq.join(start, "n").select("old", (F.col("start") + F.row_number().over(Window.partitionBy("n").orderBy("old")) - 1).alias("new"))
+    equals by their number.  Ranks come from counts of blocks of equal frequency
+    and near numbers, so that only one row for each block is put in one order."""
+    freq = edges.groupBy(F.col("src").alias("old")).agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("old") / BLOCK))
+    levels = freq.groupBy("n", "block").agg(F.count("*").alias("size"))
+    order = Window.orderBy(F.desc("n"), "block").rowsBetween(Window.unboundedPreceding, 0)
+    start = levels.select("n", "block", (F.sum("size").over(order) - F.col("size")).alias("start"))
+    return freq.join(start, ["n", "block"]).select("old", (F.col("start") + F.row_number().over(Window.partitionBy("n", "block").orderBy("old")) - 1).alias("new"))
 
 
 def dense_columns(edges: DataFrame, threshold: int) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .reorder import BLOCK
+
 
 def receptive_field(edges: DataFrame, nodes: DataFrame, hops: int) -> list[DataFrame]:
     """For each hop, from the output inwards, the edges whose receivers are needed.
@@ -32,14 +34,17 @@ def row_range(edges: DataFrame, low: int, high: int) -> DataFrame:
 
 def percent_of_nodes(masks: DataFrame, percent: float) -> DataFrame:
     """(id): of each of train, valid and test the first ``percent`` of its nodes,
-    and the last ``percent`` of all others.  Groups are counted first; places in
-    a group are numbered by ``id``."""
-    from pyspark.sql import Window
-
+    and the last ``percent`` of all others.  Blocks of near ids are counted first;
+    places are numbered by ``id`` within a block and follow on from its start."""
     kind = F.when(F.col("train"), 0).when(F.col("valid"), 1).when(F.col("test"), 2).otherwise(3)
     typed = masks.select("id", kind.alias("kind"))
     sizes = typed.groupBy("kind").agg(F.floor(F.count("*") * percent / 100).alias("n"), F.count("*").alias("total"))
-    ranked = typed.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy("id"))).join(F.broadcast(sizes), "kind")
+    placed = typed.withColumn("block", F.floor(F.col("id") / BLOCK))
+    blocks = placed.groupBy("kind", "block").agg(F.count("*").alias("size"))
+    order = Window.partitionBy("kind").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    start = blocks.select("kind", "block", (F.sum("size").over(order) - F.col("size")).alias("start"))
+    own = F.row_number().over(Window.partitionBy("kind", "block").orderBy("id"))
+    ranked = placed.withColumn("own", own).join(start, ["kind", "block"]).withColumn("place", F.col("start") + F.col("own")).join(F.broadcast(sizes), "kind")
     return ranked.where(F.when(F.col("kind") < 3, F.col("place") <= F.col("n")).otherwise(F.col("place") > F.col("total") - F.col("n"))).select("id")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .reorder import BLOCK
+
 
 def column_tiles(edges: DataFrame, size: int) -> DataFrame:
     """edges with ``tile``; receivers without edges in a tile have no row there."""
@@ -13,9 +15,13 @@ def column_tiles(edges: DataFrame, size: int) -> DataFrame:
 
 def tile_bounds(edges: DataFrame, size: int) -> DataFrame:
     """(tile, dst, begin, end): places of each tile's rows in the tile's order."""
-    counts = column_tiles(edges, size).groupBy("tile", "dst").agg(F.count("*").alias("n"))
-    end = F.sum("n").over(Window.partitionBy("tile").orderBy("dst").rowsBetween(Window.unboundedPreceding, 0))
-    return counts.select("tile", "dst", (end - F.col("n")).alias("begin"), end.alias("end"))
+    counts = column_tiles(edges, size).groupBy("tile", "dst").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("dst") / BLOCK))
+    blocks = counts.groupBy("tile", "block").agg(F.sum("n").alias("size"))
+    upto = lambda c, by, order: F.sum(c).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    start = blocks.select("tile", "block", (upto("size", ["tile"], "block") - F.col("size")).alias("start"))
+    end = F.col("start") + F.col("own")
+    own = counts.withColumn("own", upto("n", ["tile", "block"], "dst"))
+    return own.join(start, ["tile", "block"]).select("tile", "dst", (end - F.col("n")).alias("begin"), end.alias("end"))
 
 
 def tiled_aggregate(edges: DataFrame, vectors: DataFrame, size: int, width: int) -> DataFrame:

@@ -23,7 +23,7 @@ from tessera.operators import statistics as T
 from . import lower
 from . import spec as S
 from .spec import ModelSpec
-from .training import Adam, _kept, outer_sum
+from .training import Adam, _drop, _kept, outer_sum
 
 EDGE_VALUES = {S.EDGE_SUM, S.EDGE_MUL, S.LEAKY_RELU, S.SOFTMAX}
 SCALARS = {S.DEGREES, S.POWER, S.CONSTANT, S.ATTEN}
@@ -130,21 +130,23 @@ def train(m: ModelSpec, graph: Graph, features: DataFrame, labels: DataFrame, ma
     """(weights, history) of full-graph training of any program.
 
     Invariant operations are evaluated once.  Values of a step are written as
-    Parquet, so that forward and backward read them and lineage stays short."""
+    Parquet, so that forward and backward read them and lineage stays short, and
+    deleted when the weights are updated."""
     rng = np.random.default_rng(seed)
     w = {k: rng.uniform(-1, 1, s) / np.sqrt(s[0]) for k, s in m.weights().items()}
-    live, dims, adam, history = trainable(m), widths(m, width), Adam(rate, decay), []
+    live, dims, adam, history, paths = trainable(m), widths(m, width), Adam(rate, decay), [], []
     fixed = lower.execute(m.with_ops([op for op in m.ops if op.out not in live]), graph, features, {}, width)
     fixed = {k: _kept(v, "train-fixed") for k, v in fixed.items() if k != "features"}
     train_ids, test_ids = masks.where("train").select("id"), masks.where("test").select("id")
     own, n = labels.join(train_ids, "id", "left_semi"), train_ids.count()
     for step in range(1, (iterations or m.iterations) + 1):
         now = {k: v.tolist() for k, v in w.items()}
-        env = lower.execute(m, graph, features, now, width, known=fixed, keep=lambda op, df: _kept(df, "train-value") if op.kind in (S.AGGREGATE, S.FFN, S.SOFTMAX) else df)
+        env = lower.execute(m, graph, features, now, width, known=fixed, keep=lambda op, df: _kept(df, "train-value", paths) if op.kind in (S.AGGREGATE, S.FFN, S.SOFTMAX) else df)
         logits = env[m.result]
         row = {"step": step, "loss": float(T.cross_entropy(logits, labels, train_ids).first().loss), "accuracy": None}
         if step % max(1, m.validation_step) == 0:
             row["accuracy"] = T.accuracy(logits, labels, test_ids).first().accuracy
-        w = adam.update(w, backward(m, graph, env, now, dims, loss_gradient(logits, own, n), lambda g: _kept(g, "train-grad")))
+        w = adam.update(w, backward(m, graph, env, now, dims, loss_gradient(logits, own, n), lambda g: _kept(g, "train-grad", paths)))
+        _drop(features.sparkSession, paths)
         history.append(row)
     return w, history

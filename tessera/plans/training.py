@@ -13,6 +13,7 @@ import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,19 +47,42 @@ class Adam:
         return out
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """Written to the folder in ``spark.checkpoint.dir`` (a temporary one where it is unset) and read again."""
+def _kept(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """Written to the folder in ``spark.checkpoint.dir`` and read again; ``paths``
+    gets the path, for ``_drop``.  A temporary folder serves local masters only."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    path = f"{(root or f'file://{tempfile.gettempdir()}').rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _drop(spark, paths: list[str]) -> None:
+    """Deletes what a step wrote, once the next no longer reads it."""
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    paths.clear()
+
+
 def outer_sum(a: DataFrame, b: DataFrame, rows: int, cols: int) -> np.ndarray:
-    """The sum over nodes of a[v] b[v]^T: combined before the shuffle, rows x cols numbers to the driver."""
-    pairs = a.select("id", F.posexplode("vec").alias("i", "x")).join(b.select("id", F.col("vec").alias("g")), "id")
-    cells = pairs.select("i", "x", F.posexplode("g").alias("j", "y")).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+    """The sum over nodes of a[v] b[v]^T: each task adds up one matrix of its nodes
+    by products of whole Arrow batches; rows x cols numbers reach the driver."""
+    pairs = a.join(b.select("id", F.col("vec").alias("g")), "id").select("vec", "g")
+
+    def run(batches):
+        total = np.zeros((rows, cols))
+        for batch in batches:
+            x, g = (c.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(c), n) for c, n in zip(batch.columns, (rows, cols), strict=True))
+            total += x.T @ g
+        i, j = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], names=["i", "j", "v"])
+
+    cells = pairs.mapInArrow(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
     out = np.zeros((rows, cols))
     for r in cells.collect():
         out[r.i, r.j] = r.v
@@ -83,11 +107,11 @@ def train_gcn(graph: Graph, features: DataFrame, labels: DataFrame, masks: DataF
     train, test = masks.where("train").select("id"), masks.where("test").select("id")
     n = train.count()
     target = labels.join(train, "id", "left_semi")
-    adam, history = Adam(rate, decay), []
+    adam, history, paths = Adam(rate, decay), [], []
     for step in range(1, iterations + 1):
         began = time.perf_counter()
         hidden = N.ffn(fixed, w["w0"].tolist())
-        mixed = _kept(N.aggregate(graph, N.pointwise(hidden, P.relu), "sum", h, edges), "train-hidden")
+        mixed = _kept(N.aggregate(graph, N.pointwise(hidden, P.relu), "sum", h, edges), "train-hidden", paths)
         logits = N.ffn(mixed, w["w1"].tolist())
         loss = T.cross_entropy(logits, labels, train).first().loss
         both = N.log_softmax(logits).join(target, "id").select("id", F.transform("vec", lambda x: F.exp(x)).alias("p"), "label")
@@ -99,6 +123,7 @@ def train_gcn(graph: Graph, features: DataFrame, labels: DataFrame, masks: DataF
         if step % validation_step == 0:
             row["accuracy"] = T.accuracy(logits, labels, test).first().accuracy
         w = adam.update(w, grads)
+        _drop(graph.edges.sparkSession, paths)
         row["seconds"] = time.perf_counter() - began
         history.append(row)
     return w, history
