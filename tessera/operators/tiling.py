@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.graph import to_vectors
+
 from .reorder import BLOCK
 
 
@@ -24,12 +26,24 @@ def tile_bounds(edges: DataFrame, size: int) -> DataFrame:
     return own.join(start, ["tile", "block"]).select("tile", "dst", (end - F.col("n")).alias("begin"), end.alias("end"))
 
 
-def tiled_aggregate(edges: DataFrame, vectors: DataFrame, size: int, width: int) -> DataFrame:
-    """A sum by tiles: a partial sum for each (tile, receiver), then one for each receiver."""
-    joined = column_tiles(edges, size).join(vectors.select(F.col("id").alias("src"), "vec"), "src")
-    partial = joined.groupBy("tile", "dst").agg(*(F.sum(F.col("vec")[j]).alias(f"v{j}") for j in range(width)))
-    final = partial.groupBy(F.col("dst").alias("id")).agg(*(F.sum(f"v{j}").alias(f"v{j}") for j in range(width)))
-    return final.select("id", F.array(*(F.col(f"v{j}") for j in range(width))).alias("vec"))
+def tiled_aggregate(edges: DataFrame, vectors: DataFrame, size: int, width: int | None = None, fn: str = "sum", wide: int = 64) -> DataFrame:
+    """``fn`` (sum, mean or max) by tiles: a partial value for each (tile,
+    receiver), then one for each receiver.  A column ``w`` of the edges multiplies
+    the vectors (max ignores it).  Up to ``wide`` values are columns of one
+    group-by, wider vectors (or ones of unknown width) go through the long form."""
+    weighted = "w" in edges.columns and fn != "max"
+    tiles = column_tiles(edges.select("dst", "src", *(["w"] if weighted else [])), size)
+    joined = tiles.join(vectors.select(F.col("id").alias("src"), "vec"), "src")
+    value = (lambda x: F.col("w") * x) if weighted else (lambda x: x)
+    fold, seen = (F.max if fn == "max" else F.sum), F.count("*").alias("seen")
+    whole = (lambda c: F.sum(c) / F.sum("seen")) if fn == "mean" else fold
+    if width is not None and width <= wide:
+        partial = joined.groupBy("tile", "dst").agg(seen, *(fold(value(F.col("vec")[j])).alias(f"v{j}") for j in range(width)))
+        final = partial.groupBy(F.col("dst").alias("id")).agg(*(whole(f"v{j}").alias(f"v{j}") for j in range(width)))
+        return final.select("id", F.array(*(F.col(f"v{j}") for j in range(width))).alias("vec"))
+    long = joined.select("tile", "dst", *(["w"] if weighted else []), F.posexplode("vec").alias("j", "x"))
+    partial = long.groupBy("tile", "dst", "j").agg(seen, fold(value(F.col("x"))).alias("x"))
+    return to_vectors(partial.groupBy(F.col("dst").alias("id"), "j").agg(whole("x").alias("v")))
 
 
 def work_mask(edges: DataFrame, size: int) -> DataFrame:

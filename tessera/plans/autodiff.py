@@ -23,7 +23,7 @@ from tessera.operators import statistics as T
 from . import lower
 from . import spec as S
 from .spec import ModelSpec
-from .training import Adam, _drop, _kept, outer_sum
+from .training import Adam, _bytes, _drop, _kept, outer_sum
 
 EDGE_VALUES = {S.EDGE_SUM, S.EDGE_MUL, S.LEAKY_RELU, S.SOFTMAX}
 SCALARS = {S.DEGREES, S.POWER, S.CONSTANT, S.ATTEN}
@@ -55,8 +55,9 @@ def _total(grads: list[DataFrame]) -> DataFrame:
     return to_vectors(long)
 
 
-def backward(m: ModelSpec, graph: Graph, env: Mapping[str, DataFrame], weights: Mapping[str, list], dims: Mapping[str, int], grad: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda x: x) -> dict[str, np.ndarray]:
-    """The gradient of every parameter, given that of the program's result."""
+def backward(m: ModelSpec, graph: Graph, env: Mapping[str, DataFrame], weights: Mapping[str, list], dims: Mapping[str, int], grad: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda x: x, drawn: Mapping[str, DataFrame] | None = None) -> dict[str, np.ndarray]:
+    """The gradient of every parameter, given that of the program's result.
+    ``drawn`` has the sampled edges that an aggregate read, repeats included."""
     live, grads, out = trainable(m), {m.result: [grad]}, {}
 
     def push(name: str, g: DataFrame) -> None:
@@ -74,25 +75,37 @@ def backward(m: ModelSpec, graph: Graph, env: Mapping[str, DataFrame], weights:
         if op.kind == S.FFN:
             w = np.array(weights[op.weight])
             learn(op.weight, outer_sum(x[0], g, *w.shape))
+            if op.bias:
+                learn(m.biases()[op.weight], column_sums(g, w.shape[1])[None])
             push(op.inputs[0], N.ffn(g, w.T.tolist()))
         elif op.kind == S.AGGREGATE and len(x) == 2:
-            width = dims[op.inputs[1]]
-            push(op.inputs[1], N.aggregate(graph, g, "sum", width, transpose(x[0])))
+            width, own = dims[op.inputs[1]], (drawn or {}).get(op.out)
+            values = x[0] if own is None else x[0].join(own, ["dst", "src"])
+            if op.fn == "mean":
+                g = N.row_scale(N.norm(N.degrees(values), -1), g)
+            push(op.inputs[1], N.aggregate(graph, g, "sum", width, transpose(values)))
             if op.inputs[0] in live:
-                push(op.inputs[0], E.sddmm_dot(graph.edges, g, x[1]))
+                dots = E.sddmm_dot(graph.edges if own is None else own, g, x[1])
+                push(op.inputs[0], dots if own is None else dots.groupBy("dst", "src").agg(F.sum("w").alias("w")))
         elif op.kind == S.AGGREGATE:
             if op.fn == "max":
                 raise ValueError("a maximum has no gradient here")
+            own = (drawn or {}).get(op.out, graph.edges)
             if op.fn == "mean":
-                g = N.row_scale(N.norm(N.degrees(graph.edges), -1), g)
-            push(op.inputs[0], N.aggregate(graph.with_edges(transpose(graph.edges)), g, "sum", dims[op.inputs[0]]))
+                g = N.row_scale(N.norm(N.degrees(own), -1), g)
+            push(op.inputs[0], N.aggregate(graph.with_edges(transpose(own)), g, "sum", dims[op.inputs[0]]))
         elif op.kind == S.ROW_SCALE:
             push(op.inputs[1], N.row_scale(x[0], g))
         elif op.kind == S.ADD:
             for i in op.inputs:
                 push(i, g)
         elif op.kind == S.EPS_SCALE:
-            push(op.inputs[0], N.pointwise(g, lambda v, eps=op.value: P.scale_by_eps(v, eps)))
+            eps = op.value
+            if op.weight in weights:
+                eps = weights[op.weight][0][0]
+                both = x[0].join(g.select("id", F.col("vec").alias("g")), "id")
+                learn(op.weight, np.array([[both.agg(F.sum(P.dot(F.col("vec"), F.col("g"))).alias("s")).first().s or 0.0]]))
+            push(op.inputs[0], N.pointwise(g, lambda v, eps=eps: P.scale_by_eps(v, eps)))
         elif op.kind == S.RELU:
             gate = g.join(x[0].select("id", F.col("vec").alias("pre")), "id")
             push(op.inputs[0], gate.select("id", F.zip_with("vec", "pre", lambda d, v: F.when(v > 0, d).otherwise(0.0)).alias("vec")))
@@ -113,6 +126,14 @@ def backward(m: ModelSpec, graph: Graph, env: Mapping[str, DataFrame], weights:
     return out
 
 
+def column_sums(vectors: DataFrame, width: int) -> np.ndarray:
+    """The sum of all vectors."""
+    out = np.zeros(width)
+    for r in vectors.select(F.posexplode("vec").alias("j", "x")).groupBy("j").agg(F.sum("x").alias("x")).collect():
+        out[r.j] = r.x
+    return out
+
+
 def widths(m: ModelSpec, width: int) -> dict[str, int]:
     dims = {"features": width}
     for op in m.ops:
@@ -126,27 +147,68 @@ def loss_gradient(logits: DataFrame, labels: DataFrame, n: int) -> DataFrame:
     return p.select("id", F.transform("vec", lambda x, j: (F.exp(x) - F.when(j == F.col("label"), 1.0).otherwise(0.0)) / n).alias("vec"))
 
 
-def train(m: ModelSpec, graph: Graph, features: DataFrame, labels: DataFrame, masks: DataFrame, width: int, iterations: int | None = None, rate: float = 0.01, decay: float = 5e-4, seed: int = 0) -> tuple[dict[str, np.ndarray], list[dict]]:
+def initial(m: ModelSpec, seed: int = 0) -> dict[str, np.ndarray]:
+    """Random weights, biases of zero and every epsilon at its own value."""
+    rng = np.random.default_rng(seed)
+    eps = {op.weight: op.value for op in m.ops if op.kind == S.EPS_SCALE and op.weight}
+    w = {k: np.array([[eps[k]]]) if k in eps else rng.uniform(-1, 1, s) / np.sqrt(s[0]) for k, s in m.weights().items()}
+    return w | {bias: np.zeros((1, w[k].shape[1])) for k, bias in m.biases().items()}
+
+
+def biases_of(m: ModelSpec, weights: Mapping[str, list]) -> dict[str, list]:
+    return {k: weights[bias][0] for k, bias in m.biases().items()}
+
+
+def train(m: ModelSpec, graph: Graph, features: DataFrame, labels: DataFrame, masks: DataFrame, width: int, iterations: int | None = None, rate: float = 0.01, decay: float = 5e-4, seed: int = 0, weights: Mapping[str, list] | None = None, schedule: S.Schedule | None = None) -> tuple[dict[str, np.ndarray], list[dict]]:
     """(weights, history) of full-graph training of any program.
 
-    Invariant operations are evaluated once.  Values of a step are written as
-    Parquet, so that forward and backward read them and lineage stays short, and
-    deleted when the weights are updated."""
-    rng = np.random.default_rng(seed)
-    w = {k: rng.uniform(-1, 1, s) / np.sqrt(s[0]) for k, s in m.weights().items()}
-    live, dims, adam, history, paths = trainable(m), widths(m, width), Adam(rate, decay), [], []
-    fixed = lower.execute(m.with_ops([op for op in m.ops if op.out not in live]), graph, features, {}, width)
-    fixed = {k: _kept(v, "train-fixed") for k, v in fixed.items() if k != "features"}
+    Values of a step are written as Parquet, so that forward and backward read
+    them and lineage stays short, and deleted when the weights are updated; the
+    history has their bytes.  Operations that no parameter reaches are evaluated
+    once.  Under a ``schedule`` aggregates are tiled or sampled (backward reads
+    the edges that forward drew; ``dynamic`` draws anew in each step, so that
+    nothing behind an aggregate is invariant), ``training_subgraph`` reads the
+    receptive field of the training nodes for the loss, and accuracy, over the
+    whole graph, is made only if ``print_accuracy`` or ``eval`` asks for it."""
+    rng, spark = np.random.default_rng(seed), features.sparkSession
+    w = initial(m, seed) | {k: np.array(v, dtype=float) for k, v in (weights or {}).items()}
+    live, dims, adam, history, paths, held = trainable(m), widths(m, width), Adam(rate, decay), [], [], []
+    sample, dynamic = (schedule.kernel_sample, schedule.dynamic) if schedule else (None, False)
+    aggregates = [op.out for op in m.ops if op.kind == S.AGGREGATE]
+    drawn: dict[str, DataFrame] = {}
+    if sample and not dynamic:
+        drawn = dict.fromkeys(aggregates, _kept(lower.sampled(graph.edges, schedule), "train-drawn", held))
+    moving = set(live)
+    if sample and dynamic:
+        for op in m.ops:
+            if op.kind == S.AGGREGATE or moving & set(op.inputs):
+                moving.add(op.out)
+    fixed: dict[str, DataFrame] = {}
+    if schedule is None or schedule.code_motion:
+        made = lower.execute(m.with_ops([op for op in m.ops if op.out not in moving]), graph, features, {}, width, schedule=schedule, drawn=drawn)
+        fixed = {k: _kept(v, "train-fixed", held) for k, v in made.items() if k != "features"}
     train_ids, test_ids = masks.where("train").select("id"), masks.where("test").select("id")
     own, n = labels.join(train_ids, "id", "left_semi"), train_ids.count()
+    rows = train_ids if schedule and schedule.training_subgraph and any(op.hop for op in m.ops) else None
+    wanted = schedule is None or schedule.print_accuracy or m.evaluate
     for step in range(1, (iterations or m.iterations) + 1):
         now = {k: v.tolist() for k, v in w.items()}
-        env = lower.execute(m, graph, features, now, width, known=fixed, keep=lambda op, df: _kept(df, "train-value", paths) if op.kind in (S.AGGREGATE, S.FFN, S.SOFTMAX) else df)
+        if sample and dynamic:
+            drawn = {k: _kept(lower.sampled(graph.edges, schedule, rng), "train-drawn", paths) for k in aggregates}
+
+        def forward(of, now=now, drawn=drawn):
+            kinds = (S.AGGREGATE, S.FFN, S.SOFTMAX)
+            return lower.execute(m, graph, features, now, width, rows=of, known=fixed, biases=biases_of(m, now), schedule=schedule, drawn=drawn, keep=lambda op, df: _kept(df, "train-value", paths) if op.kind in kinds else df)
+
+        env = forward(rows)
         logits = env[m.result]
         row = {"step": step, "loss": float(T.cross_entropy(logits, labels, train_ids).first().loss), "accuracy": None}
-        if step % max(1, m.validation_step) == 0:
-            row["accuracy"] = T.accuracy(logits, labels, test_ids).first().accuracy
-        w = adam.update(w, backward(m, graph, env, now, dims, loss_gradient(logits, own, n), lambda g: _kept(g, "train-grad", paths)))
-        _drop(features.sparkSession, paths)
+        if wanted and step % max(1, m.validation_step) == 0:
+            every = logits if rows is None else forward(None)[m.result]
+            row["accuracy"] = T.accuracy(every, labels, test_ids).first().accuracy
+        w |= adam.update(w, backward(m, graph, env, now, dims, loss_gradient(logits, own, n), lambda g: _kept(g, "train-grad", paths), drawn))
+        row["bytes"] = _bytes(spark, paths)
+        _drop(spark, paths)
         history.append(row)
+    _drop(spark, held)
     return w, history

@@ -20,14 +20,15 @@ from .spec import ModelSpec, Op, Schedule
 Matrix = Sequence[Sequence[float]]
 
 
-def execute(m: ModelSpec, graph: Graph, features: DataFrame, weights: Mapping[str, Matrix], width: int, rows: DataFrame | None = None, known: Mapping[str, DataFrame] | None = None, biases: Mapping[str, Sequence[float]] | None = None, schedule: Schedule | None = None, rng: np.random.Generator | None = None, keep: Callable[[Op, DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+def execute(m: ModelSpec, graph: Graph, features: DataFrame, weights: Mapping[str, Matrix], width: int, rows: DataFrame | None = None, known: Mapping[str, DataFrame] | None = None, biases: Mapping[str, Sequence[float]] | None = None, schedule: Schedule | None = None, rng: np.random.Generator | None = None, keep: Callable[[Op, DataFrame], DataFrame] | None = None, drawn: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """Every named value of the program.
 
     ``rows`` names the nodes whose results are wanted; aggregates that carry a
     hop then read that receptive field only (Spark does not push a semi-join
     through an aggregate).  ``known`` has values made before, such as those of
     invariant operations.  ``schedule`` asks for sampled or tiled aggregates;
-    ``keep`` may materialise each value as it is made.
+    ``keep`` may materialise each value as it is made.  ``drawn`` has the sampled
+    edges of aggregates that were drawn before, by the name of their output.
     """
     sample, tile = (schedule.kernel_sample, schedule.col_tile) if schedule else (None, None)
     env: dict[str, DataFrame] = {"features": features, **(known or {})}
@@ -55,10 +56,15 @@ def execute(m: ModelSpec, graph: Graph, features: DataFrame, weights: Mapping[st
                 values = x[0] if own is graph else x[0].join(own.edges.select("dst", "src"), ["dst", "src"], "left_semi")
             width_in = dims[op.inputs[-1]]
             if sample:
-                own = own.with_edges(sampled(own.edges, schedule, rng))
+                if drawn and op.out in drawn:
+                    edges = drawn[op.out]
+                    own = own.with_edges(edges if own is graph else edges.join(own.edges.select("dst").distinct(), "dst", "left_semi"))
+                else:
+                    own = own.with_edges(sampled(own.edges, schedule, rng))
                 values = values.join(own.edges, ["dst", "src"]) if values is not None else None
-            if tile and values is None and not own.weighted and op.fn == "sum" and width_in <= N.WIDE:
-                out = tiling.tiled_aggregate(own.edges, x[-1], tile, width_in)
+            if tile:
+                edges = own.edges if own.weighted else own.edges.select("dst", "src")
+                out = tiling.tiled_aggregate(edges if values is None else values.select("dst", "src", "w"), x[-1], tile, width_in, op.fn, N.WIDE)
             else:
                 out = N.aggregate(own, x[-1], op.fn, width_in, values)
         elif op.kind == S.FFN:
@@ -66,7 +72,8 @@ def execute(m: ModelSpec, graph: Graph, features: DataFrame, weights: Mapping[st
         elif op.kind == S.ADD:
             out = N.add(*x)
         elif op.kind == S.EPS_SCALE:
-            out = N.pointwise(x[0], lambda v, eps=op.value: P.scale_by_eps(v, eps))
+            eps = weights[op.weight][0][0] if op.weight in weights else op.value
+            out = N.pointwise(x[0], lambda v, eps=eps: P.scale_by_eps(v, eps))
         elif op.kind == S.RELU:
             out = N.pointwise(x[0], P.relu)
         elif op.kind == S.ATTEN:

@@ -10,6 +10,9 @@ DEGREES, POWER, CONSTANT = "degrees", "power", "constant"
 ROW_SCALE, AGGREGATE, FFN, ADD, EPS_SCALE, RELU = "row_scale", "aggregate", "ffn", "add", "eps_scale", "relu"
 ATTEN, EDGE_SUM, EDGE_MUL, LEAKY_RELU, SOFTMAX = "atten", "edge_sum", "edge_mul", "leaky_relu", "softmax"
 
+#: Sizes that only the data give.
+OPEN_FEATURES, OPEN_LABELS = -2, -3
+
 #: Linear in their vector input, so a dense layer without bias commutes with them.
 LINEAR = {ROW_SCALE, AGGREGATE, ADD, EPS_SCALE}
 
@@ -17,7 +20,7 @@ LINEAR = {ROW_SCALE, AGGREGATE, ADD, EPS_SCALE}
 @dataclass(frozen=True)
 class Op:
     """``out = kind(inputs)``.  Vector inputs come last; ``weight`` names a
-    parameter of in_dim x out_dim; ``fn`` is an aggregate's function; ``hop`` is
+    parameter of in_dim x out_dim (1 x 1 and ``value`` at first for an epsilon); ``fn`` is an aggregate's function; ``hop`` is
     the receptive field that restricts an aggregate (0: the whole graph)."""
 
     kind: str
@@ -72,9 +75,22 @@ class ModelSpec:
         return replace(self, ops=tuple(ops))
 
     def weights(self) -> dict[str, tuple[int, int]]:
-        """The shape of every parameter."""
+        """The shape of every parameter but biases."""
         return {op.weight: (op.in_dim, op.out_dim) for op in self.ops if op.weight and op.in_dim and op.out_dim}
 
+    def biases(self) -> dict[str, str]:
+        """The name of the bias of every dense layer that has one, by its weight."""
+        return {op.weight: f"{op.weight}_bias" for op in self.ops if op.kind == FFN and op.bias}
+
+    def biased(self) -> ModelSpec:
+        """The program with a learnable bias in every dense layer."""
+        return self.with_ops([replace(op, bias=True) if op.kind == FFN else op for op in self.ops])
+
+    def sized(self, features: int, labels: int) -> ModelSpec:
+        """The program with the sizes of its data in place of those left open."""
+        size = {OPEN_FEATURES: features, OPEN_LABELS: labels}
+        return self.with_ops([replace(op, in_dim=size.get(op.in_dim, op.in_dim), out_dim=size.get(op.out_dim, op.out_dim)) for op in self.ops])
+
 
 class Builder:
     """Appends operations and names their outputs."""
@@ -104,7 +120,7 @@ def gat(b: Builder, x: str, i: int, o: int, k: int, relu: bool, norm: str | None
 
 
 def gin(b: Builder, x: str, i: int, o: int, k: int, relu: bool, norm: str | None = None) -> str:
-    h = b.add(ADD, b.add(EPS_SCALE, x, value=1.0), b.add(AGGREGATE, x))
+    h = b.add(ADD, b.add(EPS_SCALE, x, value=1.0, weight=f"eps{k}", in_dim=1, out_dim=1), b.add(AGGREGATE, x))
     h = b.add(FFN, h, weight=f"w{k}", in_dim=i, out_dim=o)
     return b.add(RELU, h) if relu else h
 

@@ -61,11 +61,22 @@ def _kept(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _drop(spark, paths: list[str]) -> None:
-    """Deletes what a step wrote, once the next no longer reads it."""
+def _places(spark, paths: list[str]):
+    """(file system, path) of each of ``paths``."""
     for path in paths:
         place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        yield place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def _bytes(spark, paths: list[str]) -> int:
+    """What the tables at ``paths`` take."""
+    return sum(fs.getContentSummary(place).getLength() for fs, place in _places(spark, paths))
+
+
+def _drop(spark, paths: list[str]) -> None:
+    """Deletes what a step wrote, once the next no longer reads it."""
+    for fs, place in _places(spark, paths):
+        fs.delete(place, True)
     paths.clear()
 
 

@@ -19,7 +19,7 @@ from tessera.graph import Graph, to_long, transpose, undirected, with_self_loops
 from tessera.operators import edges as E
 from tessera.operators import generate, reorder, sampling, statistics, subgraphs, tiling
 from tessera.operators import nodes as N
-from tessera.plans import autodiff, dsl, lower, rewrites, training
+from tessera.plans import autodiff, dsl, lower, programs, rewrites, training
 from tessera.plans import spec as S
 from tessera.sources import matrix_market, npy
 from tessera.sources import tables as D
@@ -423,11 +423,11 @@ def gcn_hoisted(spark, sf):
     return to_long(lower.run(m, g, x, parameters("gcn", (64, H)), 64, known=env))
 
 
-@query(with_("n edges feat w h deg norm gcn", LONG + "gcn WHERE id % 50 = 0"))
+@query(with_("n edges feat w h deg norm gcn mask", LONG + "gcn WHERE id IN (SELECT id FROM mask WHERE train)"))
 def gcn_train_rows(spark, sf):
-    """The receptive field of some rows only."""
+    """The receptive field of the training rows only."""
     m = rewrites.restrict(rewrites.optimise(S.model("gcn", (64, H), last_relu=True)))
-    return to_long(program(spark, sf, m, "gcn", (64, H), rows=D.features(spark, sf).where("id % 50 = 0")))
+    return to_long(program(spark, sf, m, "gcn", (64, H), rows=D.masks(spark, sf).where("train")))
 
 
 @query(with_("n edges feat", f"SELECT dst AS id, b.j::INT AS j, {r('sum(x * (((k * 7 + b.j * 3) % 11 - 5)::DOUBLE / 10))')} AS v FROM edges JOIN (SELECT * FROM feat WHERE k < 4) f ON f.id = src, range(8) b(j) GROUP BY dst, b.j"))
@@ -475,9 +475,9 @@ def sampled_aggregate(spark, sf):
     return to_long(N.aggregate(Graph(e), hidden(spark, sf), "sum", H))
 
 
-@query(with_("n edges", "SELECT dst, src FROM edges WHERE dst IN (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0 UNION SELECT src FROM edges WHERE dst % 50 = 0)"))
+@query(with_("n edges mask", "SELECT dst, src FROM edges WHERE dst IN (SELECT id FROM mask WHERE train UNION SELECT src FROM edges JOIN mask ON id = dst WHERE train)"))
 def khop_subgraph(spark, sf):
-    return subgraphs.receptive_field(D.edges(spark, sf), D.features(spark, sf).where("id % 50 = 0"), 2)[1]
+    return subgraphs.receptive_field(D.edges(spark, sf), D.masks(spark, sf).where("train"), 2)[1]
 
 
 @query(with_("n edges", "SELECT dst, src FROM edges WHERE dst % 3 = 0 AND src % 3 = 0"))
@@ -768,6 +768,84 @@ def train_gat(spark, sf):
     return spark.createDataFrame([(r["step"], r["loss"], r["accuracy"]) for r in history], "step int, loss double, accuracy double")
 
 
+# programs from text to results
+
+
+def trained(kind: str, *lines: str, iters: int = 2) -> str:
+    """A program of one layer whose outputs are the labels' logits."""
+    text = PROGRAM.format(fn="mul_sum", body=BODIES[kind]).replace("L(G, 8, non_ln, ", "L(G, G.labels.size(), null, ").replace("iters=1", f"iters={iters}")
+    return text + "\n".join(("print_accuracy(true);", *lines))
+
+
+def outcome(spark: SparkSession, sf: str, text: str) -> programs.Outcome:
+    return programs.run(spark, text, {"derived": lambda s: D.load(s, sf)}, bind)[0]
+
+
+def steps(spark: SparkSession, sf: str, text: str) -> DataFrame:
+    done = outcome(spark, sf, text).steps(spark)
+    return done.select("step", q6(F.col("loss"), "loss"), q6(F.col("accuracy"), "accuracy"))
+
+
+def _measured(step: int, z: str) -> str:
+    """Loss over training nodes and accuracy over test nodes of logits ``z``."""
+    return f"""SELECT CAST({step} AS INT) AS step, (SELECT {r('avg(l - v)')} FROM (SELECT id, ln(sum(exp(v))) AS l FROM {z} GROUP BY id) a JOIN embeddings ON vec_id = a.id JOIN {z} b ON b.id = a.id AND b.j = label WHERE a.id % 10 <= 6) AS loss,
+      (SELECT {r('100.0 * avg(CAST(pred = label AS DOUBLE))')} FROM (SELECT id, arg_max(j, (v, -j)) AS pred FROM {z} GROUP BY id) JOIN embeddings ON vec_id = id WHERE id % 10 >= 8) AS accuracy"""
+
+
+def _two_steps(prefix: str) -> str:
+    """Two steps of softmax regression on ``p`` (id, k, x): the first moves every
+    weight by the rate against its gradient's sign, as the optimiser's first does."""
+    return f"""{prefix},
+      w1 AS (SELECT CAST(a.k AS INT) AS k, CAST(b.j AS INT) AS j, CAST((a.k * 7 + b.j * 3) % 11 - 5 AS DOUBLE) / 10 AS w FROM range(64) a(k), range(10) b(j)),
+      z1 AS (SELECT id, j, sum(x * w) AS v FROM p JOIN w1 USING (k) GROUP BY id, j),
+      d1 AS (SELECT id, j, exp(v) / sum(exp(v)) OVER (PARTITION BY id) - CASE WHEN j = label THEN 1.0::DOUBLE ELSE 0 END AS d FROM z1 JOIN embeddings ON vec_id = id WHERE id % 10 <= 6),
+      g1 AS (SELECT k, j, sum(x * d) / (SELECT count(*) FROM embeddings WHERE vec_id % 10 <= 6) + 5e-4 * any_value(w) AS g FROM p JOIN d1 USING (id) JOIN w1 USING (k, j) GROUP BY k, j),
+      w2 AS (SELECT k, j, w - 0.01::DOUBLE * g / (abs(g) + 1e-8) AS w FROM w1 JOIN g1 USING (k, j)),
+      z2 AS (SELECT id, j, sum(x * w) AS v FROM p JOIN w2 USING (k) GROUP BY id, j)
+      {_measured(1, 'z1')} UNION ALL {_measured(2, 'z2')}"""
+
+
+@query(_two_steps(with_("n edges feat deg norm", "").rstrip() + ",\np AS (SELECT dst AS id, k, a.s * sum(b.s * x) AS x FROM edges JOIN norm b ON b.id = src JOIN feat f ON f.id = src JOIN norm a ON a.id = dst GROUP BY dst, k, a.s)"))
+def dsl_train_gcn(spark, sf):
+    """A parsed program trained: the invariant prefix once, losses from the
+    receptive field of the training nodes."""
+    return steps(spark, sf, trained("gcn", "training_subgraph(true);", "train_code_motion(true);"))
+
+
+@query(_two_steps(with_("n edges feat", "").rstrip() + f""",
+      p AS (SELECT s.dst AS id, k, sum(x) / 20 AS x FROM ({_sampled(5, 7, 20).split(CTE['edges'])[1]}) s JOIN feat f ON f.id = s.src GROUP BY s.dst, k)"""))
+def dsl_train_gcn_sampled(spark, sf):
+    """Trained on sampled edges in tiles, without code motion."""
+    return steps(spark, sf, trained("gcn", "aggrFn=aggrFn.sample(20);", "G=G.col_tile(100);", "G=G.is_sparser(false);", "train_code_motion(false);"))
+
+
+@query(with_("n edges feat", f"""w10 AS (SELECT CAST(a.k AS INT) AS k, CAST(b.j AS INT) AS j, CAST((a.k * 7 + b.j * 3) % 11 - 5 AS DOUBLE) / 10 AS w FROM range(64) a(k), range(10) b(j)),
+      h10 AS (SELECT id, j, sum(x * w) AS v FROM feat JOIN w10 USING (k) GROUP BY id, j),
+      s10 AS (SELECT id, sum(v * CAST((j * 5) % 7 - 3 AS DOUBLE) / 10) AS l, sum(v * CAST((j * 5 + 2) % 7 - 3 AS DOUBLE) / 10) AS r FROM h10 GROUP BY id),
+      e10 AS (SELECT dst, src, a.l + b.r AS z FROM edges JOIN s10 a ON a.id = dst JOIN s10 b ON b.id = src),
+      x10 AS (SELECT dst, src, least(exp(CASE WHEN z >= 0 THEN z ELSE 0.2::DOUBLE * z END), 1e12) AS x FROM e10),
+      a10 AS (SELECT dst, src, x / (sum(x) OVER (PARTITION BY dst) + 1e-12) AS w FROM x10),
+      z1 AS (SELECT dst AS id, j, sum(w * v) AS v FROM a10 JOIN h10 ON id = src GROUP BY dst, j)
+      {_measured(1, 'z1')}""").replace(CTE["feat"] + "\n", CTE["feat"] + ",\n"))
+def dsl_train_gat(spark, sf):
+    """The first step of an attention program, in tiles; its attention vectors by ``init_weight``."""
+    text = trained("gat", "G=G.col_tile(100);", iters=1)
+    for end, name in (("src", "attnL"), ("dst", "attnR")):
+        text = text.replace(f"{name} = dsl.nn.ffn(res, out=1)", f"{name} = dsl.nn.init_weight() * res.{end}")
+    return steps(spark, sf, text)
+
+
+_MIRRORED = CTE["edges"].replace("edges AS", "e0 AS", 1) + ",\nedges AS (SELECT dst, src FROM e0 UNION SELECT src, dst FROM e0)"
+
+
+@query(with_("n edges feat w h deg norm gcn", f"SELECT id, j, {r('v')} AS v, (SELECT CASE WHEN count(*) > 0.001 * c * c THEN c // 5 ELSE -1 END FROM e0, n GROUP BY c) AS col_tile FROM gcn").replace(CTE["edges"], _MIRRORED))
+def dsl_opt_input(spark, sf):
+    """A program without sizes; its schedule is chosen from its input."""
+    lines = [line for line in PROGRAM.format(fn="mul_sum", body=BODIES["gcn"]).splitlines() if not line.startswith(("G=G.", "feature_size", "label_size", "aggrFn=", "m.train"))]
+    done = outcome(spark, sf, "\n".join(lines) + '\nG=G.opt_input("derived");')
+    return to_long(done.result).withColumn("col_tile", F.lit(done.spec.schedule.col_tile or -1).cast("long"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -9,7 +9,7 @@ from tessera.graph import Graph, to_long, to_vectors, transpose
 from tessera.operators import edges as E
 from tessera.operators import generate, reorder, sampling, subgraphs, tiling
 from tessera.operators import nodes as N
-from tessera.plans import dsl, lower, rewrites, schedule, training
+from tessera.plans import autodiff, dsl, lower, programs, rewrites, schedule, training
 from tessera.plans import spec as S
 from tessera.queries import BODIES, PROGRAM, bind
 from tessera.sources import matrix_market, npy
@@ -58,7 +58,7 @@ def numpy_model(m, w):
         elif op.kind == S.ADD:
             out = x[0] + x[1]
         elif op.kind == S.EPS_SCALE:
-            out = (1 + op.value) * x[0]
+            out = (1 + (np.array(w[op.weight])[0, 0] if op.weight in w else op.value)) * x[0]
         elif op.kind == S.RELU:
             out = np.maximum(x[0], 0)
         elif op.kind == S.ATTEN:
@@ -185,6 +185,10 @@ def test_parser_options_and_errors():
     for bad in ("res = a - b;", "res = a / b;"):
         with pytest.raises(dsl.DslError, match="no operation"):
             dsl.parse(head + layer % bad + tail)
+    with pytest.raises(dsl.DslError, match="rez is never set"):
+        dsl.parse(head + layer % "res = dsl.nn.ffn(G.node.feats, out=hs); G.node.feats = rez;" + tail)
+    with pytest.raises(dsl.DslError, match="attention weights need a vector"):
+        dsl.parse(head + layer % "d = G.graphs.degrees(); res = dsl.nn.init_weight() * d;" + tail)
     with pytest.raises(dsl.DslError, match="schedule"):
         dsl.parse(head)
     with pytest.raises(dsl.DslError, match="line 1"):
@@ -291,3 +295,115 @@ def test_gradients_of_every_model(spark, small, kind):
             up[k][i] += 1e-6
             down[k][i] -= 1e-6
             assert abs(got[k][i] - (loss(up) - loss(down)) / 2e-6) < 1e-6
+
+
+def labelled(spark, x):
+    y = spark.createDataFrame([(i, i % 3) for i in range(NODES)], "id long, label int")
+    return y, x.select("id", (F.col("id") < 4).alias("train"), F.lit(False).alias("valid"), (F.col("id") >= 9).alias("test"))
+
+
+def loss_of(z, rows):
+    z = z[rows]
+    p = z - np.log(np.exp(z).sum(1, keepdims=True))
+    return -p[np.arange(len(rows)), np.array(rows) % 3].mean()
+
+
+@pytest.mark.parametrize("kind", ["gat", "gcn", "gin"])
+def test_training_by_schedule(spark, small, kind):
+    """Receptive fields, tiles and code motion change no weight and no loss."""
+    g, x = small
+    y, masks = labelled(spark, x)
+    m = S.model(kind, (WIDTH, 4, 3))
+    plain, history = autodiff.train(m, g, x, y, masks, WIDTH, 2)
+    s = S.Schedule(col_tile=5, training_subgraph=True, code_motion=kind != "gin", print_accuracy=True)
+    tuned, again = autodiff.train(rewrites.restrict(m), g, x, y, masks, WIDTH, 2, schedule=s)
+    for k in plain:
+        np.testing.assert_allclose(tuned[k], plain[k], atol=1e-9)
+    for k in ("loss", "accuracy"):
+        assert [r[k] for r in again] == pytest.approx([r[k] for r in history])
+    assert again[0]["bytes"] > 0
+    if kind == "gin":
+        assert abs(plain["eps0"][0, 0] - 1.0) > 1e-4  # it is learned
+
+
+def test_training_on_sampled_edges(spark, small):
+    """Backward reads the edges that forward drew, each as often."""
+    g, x = small
+    y, masks = labelled(spark, x)
+    b = S.Builder()
+    out = b.add(S.FFN, b.add(S.AGGREGATE, b.add(S.RELU, b.add(S.FFN, "features", weight="w0", in_dim=WIDTH, out_dim=4))), weight="w1", in_dim=4, out_dim=3)
+    m = S.ModelSpec(tuple(b.ops), out).biased()
+    w = autodiff.initial(m, 3) | {"w0_bias": np.full((1, 4), 0.1)}
+    a = np.zeros((NODES, NODES))
+    for r in sampling.affine(g.edges, 3).collect():
+        a[r.dst, r.src] += 1
+    forward = lambda w: a @ np.maximum(X @ w["w0"] + w["w0_bias"], 0) @ w["w1"] + w["w1_bias"]
+    rows = list(range(4))
+    grads = {}
+    for k in w:
+        grads[k] = np.zeros_like(w[k])
+        for i in np.ndindex(w[k].shape):
+            up, down = {**w, k: w[k].copy()}, {**w, k: w[k].copy()}
+            up[k][i] += 1e-6
+            down[k][i] -= 1e-6
+            grads[k][i] = (loss_of(forward(up), rows) - loss_of(forward(down), rows)) / 2e-6
+    want = training.Adam(0.01, 5e-4).update(w, grads)
+    got, history = autodiff.train(m, g, x, y, masks, WIDTH, 1, weights=w, schedule=S.Schedule(kernel_sample=3))
+    assert history[0]["loss"] == pytest.approx(loss_of(forward(w), rows)) and history[0]["accuracy"] is None
+    for k in w:
+        np.testing.assert_allclose(got[k], want[k], atol=1e-5)
+    moved, _ = autodiff.train(m, g, x, y, masks, WIDTH, 2, weights=w, schedule=S.Schedule(kernel_sample=3, dynamic=True))
+    assert all(np.isfinite(v).all() for v in moved.values())
+
+
+@pytest.mark.parametrize("fn", ["sum", "mean", "max"])
+@pytest.mark.parametrize("wide", [64, 2])
+def test_tiles_of_every_aggregate(small, fn, wide):
+    g, x = small
+    weighted = g.edges.withColumn("w", (F.col("dst") * 3 + F.col("src") * 5) % 7 + 1.0)
+    for edges in (g.edges, weighted):
+        own = Graph(edges, unweighted="w" not in edges.columns)
+        np.testing.assert_allclose(dense(tiling.tiled_aggregate(edges, x, 5, WIDTH, fn, wide)), dense(N.aggregate(own, x, fn, WIDTH)), atol=1e-9)
+
+
+def test_programs_from_text(spark, small):
+    g, x = small
+    y, masks = labelled(spark, x)
+    data = {"derived": lambda s: (g, x, y, masks)}
+    text = PROGRAM.replace("feature_size(64);\nlabel_size(10);\n", "print_memory(true);\n").format(fn="mul_sum", body=BODIES["gcn"])
+    text = text.replace("L(G, 8, non_ln, ", "L(G, G.labels.size(), null, ")
+    done = programs.run(spark, text, data)[0]
+    assert list(done.spec.weights().values()) == [(WIDTH, 3)] and len(done.history) == 1
+    row = done.steps(spark).first()
+    assert row.bytes > 0 and row.accuracy is not None  # eval() asks for it
+    assert done.result.count() == NODES
+    quiet = programs.run(spark, text.replace("r = m.eval();", "").replace("print_memory(true);", ""), data)[0]
+    row = quiet.steps(spark).first()
+    assert (row.bytes, row.accuracy, quiet.result) == (None, None, None)
+    with pytest.raises(ValueError, match="feature_size"):
+        programs.run(spark, text + "feature_size(99);", data)
+    with pytest.raises(dsl.DslError, match="no such dataset"):
+        programs.run(spark, text, {})
+
+
+def test_rmat_against_its_hashes(spark):
+    """Every edge descends by the draws that the docstring states."""
+    import xxhash
+
+    scale, n, seed = 6, 300, 27491095
+
+    def draw(i, level):
+        h = 42
+        for value, size in ((i, 8), (level, 4), (seed, 4)):
+            h = xxhash.xxh64(value.to_bytes(size, "little"), seed=h).intdigest()
+        return (h % (1 << 30)) / (1 << 30)
+
+    want = set()
+    for i in range(n):
+        dst = src = 0
+        for level in range(scale):
+            u = draw(i, level)
+            quadrant = 0 if u < 0.57 else 1 if u < 0.57 + 0.19 else 2 if u < 0.57 + 0.19 + 0.19 else 3
+            dst, src = dst * 2 + quadrant // 2, src * 2 + quadrant % 2
+        want |= {(dst, src), (src, dst)}
+    assert sorted((r.dst, r.src) for r in generate.rmat(spark, scale, n, mirrored=True).collect()) == sorted(want)
