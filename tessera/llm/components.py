@@ -4,9 +4,9 @@ Each round hangs every node's larger neighbours, then its smaller ones, on the
 node's smallest neighbour; O(log^2 n) rounds turn a component into one star.
 A round aggregates (combined before the shuffle) and joins the minimum back to
 the edges, so that a node of very high degree is a skewed join key, which
-adaptive execution splits, and never a group held in one task.  Rounds are
-written to the shared folder: lineage stays short and lost executors cost a
-round at most.
+adaptive execution splits, and never a group held in one task.  Rounds end as
+soon as all pairs are stars, and are written to the shared folder: lineage stays
+short and lost executors cost a round at most.
 """
 
 from __future__ import annotations
@@ -27,17 +27,21 @@ def _hang(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("key", F.bitwise_not("u")).join(least, "key").select("u", "v", "m")
 
 
+def _stars(pairs: DataFrame) -> bool:
+    """Whether distinct pairs u > v are stars: no u has two v or is one itself."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("up")), F.struct(F.col("v").alias("id"), F.lit(0).alias("up")))).alias("e"))
+    nodes = ends.groupBy("e.id").agg(F.sum("e.up").alias("up"), F.min("e.up").alias("low"))
+    return nodes.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("low") == 0))).count() == 0
+
+
 def connected_components(edges: DataFrame, u: str, v: str, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """(id, component) of every node of ``edges``; component is the smallest id
     reachable.  Loops, repeats and either order of a pair change nothing; pairs
     with a null are left out; no edges give no rows."""
     now = written(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"), F.col(u).alias("a"), F.col(v).alias("b")).where("a is not null and b is not null and u <> v").select("u", "v").distinct(), name)
-    state = None
     for _ in range(max_rounds):
-        seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if seen == state or not seen.n:
+        if _stars(now):
             break
-        state = seen
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _hang(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         hung = _hang(large)
