@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, interpolation, language, licenses, paragraphs, repetition, simhash, warc
+from . import byte_bpe, chat, decontaminate, interpolation, language, licenses, paragraphs, repetition, simhash, spelling, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -107,8 +107,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups the spelling variants among the words of all documents."""
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_deleted_interpolation, op2_warc_seekable, op3_paragraph_minhash, op4_license_setjoin, op5_chat_format, op6_language_id, op7_suffix_repetition, op8_decontamination, op9_simhash_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_deleted_interpolation, op2_warc_seekable, op3_paragraph_minhash, op4_license_setjoin, op5_chat_format, op6_language_id, op7_suffix_repetition, op8_decontamination, op9_simhash_dedup, op10_byte_bpe, op11_spelling_variants)}
 
 
 OP2_SQL = r"""
