@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, interpolation, language, licenses, paragraphs, repetition, simhash, spelling, warc
+from . import byte_bpe, chat, decontaminate, extraction, interpolation, language, licenses, paragraphs, repetition, simhash, spelling, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -112,8 +112,13 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(read(spark, sf_dir, "documents"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracts the main text of every page."""
+    return extraction.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"), keep_html=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_deleted_interpolation, op2_warc_seekable, op3_paragraph_minhash, op4_license_setjoin, op5_chat_format, op6_language_id, op7_suffix_repetition, op8_decontamination, op9_simhash_dedup, op10_byte_bpe, op11_spelling_variants)}
+    return {f.__name__: f for f in (op1_deleted_interpolation, op2_warc_seekable, op3_paragraph_minhash, op4_license_setjoin, op5_chat_format, op6_language_id, op7_suffix_repetition, op8_decontamination, op9_simhash_dedup, op10_byte_bpe, op11_spelling_variants, op13_html_extraction)}
 
 
 OP2_SQL = r"""
@@ -141,6 +146,16 @@ FROM c GROUP BY conv_id
 """
 
 
+#: For the given pages, whose article is one element of that name.
+OP13_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(?:p|h1)>') AS p FROM pages),
+b AS (SELECT page_id, url, generate_subscripts(p, 1) AS i, regexp_replace(replace(unnest(p), '<br>', ' '), '<[^>]*>', '', 'g') AS x FROM a),
+c AS (SELECT page_id, url, i, trim(regexp_replace(regexp_replace(replace(x, '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS x FROM b),
+t AS (SELECT page_id, url, coalesce(string_agg(x, chr(10) || chr(10) ORDER BY i) FILTER (x <> ''), '') AS text FROM c GROUP BY page_id, url)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The queries that SQL can express; the others are tested against brute force."""
-    return {"op2_warc_seekable": OP2_SQL, "op5_chat_format": OP5_SQL}
+    return {"op2_warc_seekable": OP2_SQL, "op5_chat_format": OP5_SQL, "op13_html_extraction": OP13_SQL}
