@@ -220,16 +220,21 @@ def _furniture(page: Page) -> list[bool]:
     """Which elements are cut, by themselves or with one above them."""
     tag, parent, n = page.tag, page.parent, len(page.tag)
     words = [words_of(a) if a else set() for a in page.attrs]
-    length = [0] * n
-    for at, _, text, link in page.pieces:
-        if not link:
-            length[page.block[at]] += len(text.strip())
-    holds, articles = [t in ("h1", "main") for t in tag], [t == "article" and not words[i] & COMMENTS for i, t in enumerate(tag)]
-    articles = list(map(int, articles))
+    length, texts, last = [0] * n, [0] * n, -1
+    for at, number, text, link in page.pieces:
+        if not link and (size := len(text.strip())):
+            length[page.block[at]] += size
+            texts[page.block[at]] += number != last
+            last = number
+    holds = [t in ("h1", "main") for t in tag]
+    articles = [int(t == "article" and not words[i] & COMMENTS) for i, t in enumerate(tag)]
     for i in range(n - 1, 0, -1):
-        holds[parent[i]] |= holds[i]
-        articles[parent[i]] += articles[i]
-        length[parent[i]] += length[i]
+        up = parent[i]
+        holds[up] |= holds[i]
+        articles[up] += articles[i]
+        length[up] += length[i]
+        texts[up] += texts[i]
+    unmarked = not articles[0] and "main" not in tag
     cut, inside = [False] * n, [False] * n
     for i in range(1, n):
         up = parent[i]
@@ -252,7 +257,7 @@ def _furniture(page: Page) -> list[bool]:
         elif marked & COMMENTS:
             cut[i] = not holds[i]
         elif marked:
-            cut[i] = not wraps and (2 * length[i] <= length[0] or inside[up])
+            cut[i] = not wraps and not (unmarked and texts[i] > 2 and 2 * length[i] > length[0])
     return cut
 
 
@@ -296,15 +301,12 @@ def main_blocks(source: str) -> list[str]:
         titled[parent[i]] |= titled[i]
     share = [linked[i] / letters[i] if letters[i] else 0.0 for i in range(n)]
     for i in range(n):
-        if points[i] > 0:
-            named = words_of(page.attrs[i])
-            points[i] += 25 if tag[i] in ("article", "main") or named & GOOD else 0
-            points[i] *= 1 - share[i]
-    best = max(range(n), key=lambda i: points[i])
-    if points[best] <= 0:  # short blocks only: those of a marked article, or all
-        best = next((i for i in range(n) if tag[i] in ("article", "main") and letters[i] > linked[i] and not cut[i]), 0)
-        if letters[best] == linked[best]:
-            return []
+        if tag[i] in ("article", "main") or (points[i] > 0 and words_of(page.attrs[i]) & GOOD):
+            points[i] += 25 * (letters[i] > linked[i])
+        points[i] *= 1 - share[i]
+    best = max(range(n), key=lambda i: points[i])  # the whole page if it has short blocks only
+    if letters[best] == linked[best]:
+        return []
 
     region = next((i for kind in ("article", "main") for i in _line(best, parent) if tag[i] == kind), None)
     kept = {best if region is None else region}
