@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, extraction, interpolation, language, licenses, paragraphs, repetition, simhash, spelling, warc
+from . import byte_bpe, chat, decontaminate, extraction, interpolation, language, licenses, paragraphs, prefix_trie, repetition, simhash, spelling, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -112,13 +112,18 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(read(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Builds the prefix trie of all rebuilt conversations."""
+    return prefix_trie.prefix_nodes(read(spark, sf_dir, "conversations"))
+
+
 def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extracts the main text of every page."""
     return extraction.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"), keep_html=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_deleted_interpolation, op2_warc_seekable, op3_paragraph_minhash, op4_license_setjoin, op5_chat_format, op6_language_id, op7_suffix_repetition, op8_decontamination, op9_simhash_dedup, op10_byte_bpe, op11_spelling_variants, op13_html_extraction)}
+    return {f.__name__: f for f in (op1_deleted_interpolation, op2_warc_seekable, op3_paragraph_minhash, op4_license_setjoin, op5_chat_format, op6_language_id, op7_suffix_repetition, op8_decontamination, op9_simhash_dedup, op10_byte_bpe, op11_spelling_variants, op12_prefix_trie, op13_html_extraction)}
 
 
 OP2_SQL = r"""
@@ -146,6 +151,25 @@ FROM c GROUP BY conv_id
 """
 
 
+OP12_SQL = r"""
+WITH o AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, md5(CONCAT(octet_length(encode(coalesce(role, ''))), ':', coalesce(role, ''), coalesce(text, ''))) AS t,
+    strlen(coalesce(text, '')) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT DISTINCT conv_id FROM o),
+bits AS (SELECT conv_id, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: [CAST(ascii(d) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])) AS b FROM c),
+h AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce(b, lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, CAST(4294967295 AS BIGINT)), 4294967295) % 9 AS h FROM bits),
+r AS (SELECT h.conv_id, 0 AS part, o.* EXCLUDE (conv_id) FROM h JOIN o ON o.conv_id = h.base AND o.i <= h.h
+  UNION ALL SELECT h.conv_id, 1, o.* EXCLUDE (conv_id) FROM h JOIN o ON o.conv_id = h.conv_id AND o.i > h.h),
+p AS (SELECT conv_id, row_number() OVER w AS depth, string_agg(t, '') OVER w AS k, size FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, i)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+n AS (SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, min(size) AS size FROM p GROUP BY depth, k),
+kids AS (SELECT left(k, length(k) - 32) AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (k)),
+below AS (SELECT a.k, sum(CAST(x.n_children = 0 AS INT)) AS n_leaves, sum((x.n_convs - 1) * x.size) AS saved_tokens FROM m x JOIN p a ON a.conv_id = x.conv_id AND a.depth <= x.depth GROUP BY a.k),
+e AS (SELECT k, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, arg_max(k, depth) AS k FROM p GROUP BY conv_id) GROUP BY k)
+SELECT m.conv_id, CAST(m.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, m.n_convs, m.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM m JOIN below USING (k) LEFT JOIN e USING (k) LEFT JOIN n up ON m.depth > 0 AND up.k = left(m.k, greatest(length(m.k) - 32, 0))
+"""
+
 #: For the given pages, whose article is one element of that name.
 OP13_SQL = r"""
 WITH a AS (SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(?:p|h1)>') AS p FROM pages),
@@ -158,4 +182,4 @@ SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
 
 def oracle_sql() -> dict[str, str]:
     """The queries that SQL can express; the others are tested against brute force."""
-    return {"op2_warc_seekable": OP2_SQL, "op5_chat_format": OP5_SQL, "op13_html_extraction": OP13_SQL}
+    return {"op2_warc_seekable": OP2_SQL, "op5_chat_format": OP5_SQL, "op12_prefix_trie": OP12_SQL, "op13_html_extraction": OP13_SQL}
