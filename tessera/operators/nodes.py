@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import pointwise as P
-from tessera.graph import Graph, to_vectors
+from tessera.graph import Graph
 
-#: Vectors up to this width are aggregated as columns of one group-by.
+#: Vectors up to this width are aggregated as columns of one group-by, wider ones in chunks of it.
 WIDE = 64
 #: Weight matrices up to this many cells are literals of a projection.
 LITERAL = 4096
@@ -33,25 +33,39 @@ def row_scale(scalars: DataFrame, vectors: DataFrame) -> DataFrame:
     return vectors.join(scalars, "id").select("id", F.transform("vec", lambda x: x * F.col("s")).alias("vec"))
 
 
-def aggregate(graph: Graph, vectors: DataFrame, fn: str = "sum", width: int | None = None, weights: DataFrame | None = None) -> DataFrame:
+def slices(vectors: DataFrame, chunk: int) -> DataFrame:
+    """(src, c, v, size): vectors in pieces of up to ``chunk`` values."""
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("vec") / chunk).cast("int") - 1, F.lit(0))), lambda c: F.struct(c.alias("c"), F.slice("vec", c * chunk + 1, F.lit(chunk)).alias("v")))
+    return vectors.select(F.col("id").alias("src"), F.size("vec").alias("size"), F.explode(pieces).alias("p")).select("src", "size", "p.c", "p.v")
+
+
+def assembled(pieces: DataFrame, names: list[str]) -> DataFrame:
+    """(id, vec) of (id, c, size, a value for each of ``names``)."""
+    whole = pieces.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", F.array(*names).alias("v")))).alias("t"), F.max("size").alias("size"))
+    return whole.select("id", F.slice(F.flatten("t.v"), F.lit(1), F.col("size")).alias("vec"))
+
+
+def aggregate(graph: Graph, vectors: DataFrame, fn: str = "sum", width: int | None = None, weights: DataFrame | None = None, chunk: int = WIDE) -> DataFrame:
     """For each receiver, ``fn`` (sum, mean or max) over its senders' vectors.
 
     An equi-join on the sender and a group-by on the receiver, combined before
     the shuffle.  Edge weights multiply the vectors (max ignores them); on an
-    unweighted graph the column is never read.  Up to ``WIDE`` values the vector
-    is one row with a sum for each value; wider ones go through the long form.
+    unweighted graph the column is never read.  Up to ``chunk`` values a vector is
+    one row with a sum for each value; wider ones (or ones of unknown width) are
+    cut into chunks before the join, and an edge is a row for each chunk.
     """
     edges = graph.edges if weights is None else weights
     weighted = (weights is not None or graph.weighted) and fn != "max"
     edges = edges.select("dst", "src", "w") if weighted else edges.select("dst", "src")
-    joined = edges.join(vectors.select(F.col("id").alias("src"), "vec"), "src")
     f = {"sum": F.sum, "mean": F.avg, "max": F.max}[fn]
     value = (lambda x: F.col("w") * x) if weighted else (lambda x: x)
-    if width is not None and width <= WIDE:
+    if width is not None and width <= chunk:
+        joined = edges.join(vectors.select(F.col("id").alias("src"), "vec"), "src")
         out = joined.groupBy(F.col("dst").alias("id")).agg(*(f(value(F.col("vec")[j])).alias(f"v{j}") for j in range(width)))
         return out.select("id", F.array(*(F.col(f"v{j}") for j in range(width))).alias("vec"))
-    long = joined.select("dst", *(["w"] if weighted else []), F.posexplode("vec").alias("j", "x"))
-    return to_vectors(long.groupBy(F.col("dst").alias("id"), "j").agg(f(value(F.col("x"))).alias("v")))
+    names = [f"v{j}" for j in range(chunk)]
+    pieces = edges.join(slices(vectors, chunk), "src").groupBy(F.col("dst").alias("id"), "c")
+    return assembled(pieces.agg(F.max("size").alias("size"), *(f(value(F.get("v", F.lit(j)))).alias(names[j]) for j in range(chunk))), names)
 
 
 def matrix(w: Sequence[Sequence[float]]):

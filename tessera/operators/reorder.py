@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.graph import transpose
+
+from . import adjacency
 
 #: Nodes whose numbers are this near are numbered together.
 BLOCK = 1 << 16
@@ -35,11 +38,13 @@ def reversed_order(nodes: DataFrame, n: int) -> DataFrame:
     return nodes.select(F.col("id").alias("old"), (F.lit(n - 1) - F.col("id")).alias("new"))
 
 
-def listed_first(edges: DataFrame, listed: DataFrame) -> DataFrame:
+def listed_first(edges: DataFrame, listed: DataFrame, chunk: int = adjacency.CHUNK) -> DataFrame:
     """(dst, src, place): each receiver's edges, senders of listed(id, rank) first."""
-    ranked = edges.join(listed.select(F.col("id").alias("src"), "rank"), "src", "left")
-    place = F.row_number().over(Window.partitionBy("dst").orderBy(F.col("rank").asc_nulls_last(), "src")) - 1
-    return ranked.select("dst", "src", place.cast("long").alias("place"))
+    ranked = edges.select("dst", "src").join(listed.select(F.col("id").alias("src"), F.col("rank").cast("long").alias("rank")), "src", "left")
+    # listed senders by blocks of ranks, the others behind them by blocks of numbers
+    block = F.when(F.col("rank").isNull(), F.lit(1 << 62) + adjacency.sender_block()).otherwise(F.floor(F.col("rank") / adjacency.BLOCK)).cast("long")
+    packed = adjacency.rows(ranked, [F.col("rank").isNull(), F.col("rank")], block, chunk)
+    return adjacency.edges_of(packed).select("dst", "src", "place")
 
 
 def by_degree(edges: DataFrame) -> DataFrame:
@@ -64,11 +69,13 @@ def boundary_rows(edges: DataFrame, mark: int = -1) -> DataFrame:
 
 
 def row_order(edges: DataFrame) -> DataFrame:
-    return edges.orderBy("dst", "src")
+    """Edges by receiver, then sender, with their ``place``."""
+    return adjacency.ordered(edges)
 
 
 def column_order(edges: DataFrame) -> DataFrame:
-    return edges.orderBy("src", "dst")
+    """Edges by sender, then receiver, with their ``place``."""
+    return transpose(adjacency.ordered(transpose(edges)))
 
 
 def same_edges(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -78,10 +85,32 @@ def same_edges(a: DataFrame, b: DataFrame) -> DataFrame:
     return counts.agg(F.coalesce(F.sum(F.greatest(m - n, F.lit(0))), F.lit(0)).alias("only_a"), F.coalesce(F.sum(F.greatest(n - m, F.lit(0))), F.lit(0)).alias("only_b"))
 
 
-def morton(x, y, bits: int = 16):
-    """The Z-order code of two columns: their bits, alternating."""
-    code = F.lit(0).cast("long")
-    for k in range(bits):
-        for value, shift in ((x, 2 * k), (y, 2 * k + 1)):
-            code = code.bitwiseOR(F.shiftleft(F.shiftright(value.cast("long"), k).bitwiseAND(F.lit(1).cast("long")), shift))
-    return code
+#: Shifts and masks that spread the bits of a 32-bit number to every second bit.
+SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
+
+
+def _spread(x):
+    x = x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    for shift, mask in SPREAD:
+        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask))
+    return x
+
+
+def morton(row, column):
+    """The Z-order code of two 32-bit columns: the row's bits in the odd places,
+    the column's in the even ones.  Rows from 2**31 on make it negative: compare
+    it as unsigned, or by ``morton_key``."""
+    return F.shiftleft(_spread(row), 1).bitwiseOR(_spread(column))
+
+
+def morton_key(row, column):
+    """``morton`` with its top bit turned, so that signed order is Z-order."""
+    return morton(row, column).bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def morton_layout(edges: DataFrame, parts: int) -> DataFrame:
+    """Edges in ranges of their Z-order, sorted within: each of ``parts`` files
+    written from it covers few, near ranges of receivers and senders, so that the
+    reader's own statistics skip the files of other tiles."""
+    key = morton_key(F.col("dst"), F.col("src"))
+    return edges.withColumn("code", key).repartitionByRange(parts, "code").sortWithinPartitions("code").drop("code")

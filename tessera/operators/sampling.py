@@ -1,30 +1,22 @@
-"""Neighbour sampling."""
+"""Neighbour sampling, by lookup in adjacency rows."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import adjacency
+
 #: Factors of the fixed sample: the i-th edge taken is number (5 i + 7) mod degree.
 FACTOR, SHIFT = 5, 7
 
 
-def numbered(edges: DataFrame, order=None) -> DataFrame:
-    """edges with ``place`` (from 0, by sender unless ``order`` says else) and ``deg``."""
-    order = F.col("src") if order is None else order
-    degree = edges.groupBy("dst").agg(F.count("*").alias("deg"))
-    place = (F.row_number().over(Window.partitionBy("dst").orderBy(order)) - 1).alias("place")
-    return edges.select("dst", "src", place).join(degree, "dst")
-
-
-def affine(edges: DataFrame, n: int, factor: int = FACTOR, shift: int = SHIFT) -> DataFrame:
+def affine(edges: DataFrame, n: int, factor: int = FACTOR, shift: int = SHIFT, chunk: int = adjacency.CHUNK) -> DataFrame:
     """Exactly ``n`` edges of every receiver, repeats allowed; receivers without
     edges have no row, so no degree is zero."""
-    places = numbered(edges)
-    wanted = edges.groupBy("dst").agg(F.count("*").alias("deg")).select("dst", "deg", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
-    wanted = wanted.select("dst", "i", ((F.col("i") * factor + shift) % F.col("deg")).alias("place"))
-    return wanted.join(places.select("dst", "src", "place"), ["dst", "place"]).select("dst", "src", "i")
+    packed = adjacency.rows(edges.select("dst", "src"), chunk=chunk)
+    return adjacency.picked(packed, n, lambda i: (i * factor + shift) % F.col("deg"))
 
 
 def dynamic(edges: DataFrame, n: int, rng: np.random.Generator) -> DataFrame:
@@ -33,10 +25,11 @@ def dynamic(edges: DataFrame, n: int, rng: np.random.Generator) -> DataFrame:
     return affine(edges, n, int(factor), int(shift))
 
 
-def shuffled(edges: DataFrame, n: int, seed: int = 0) -> DataFrame:
+def shuffled(edges: DataFrame, n: int, seed: int = 0, chunk: int = adjacency.CHUNK) -> DataFrame:
     """``n`` edges in a random order of each receiver's, wrapping around: every
     neighbour once before any repeats.  The order is a hash of the edge and the
-    seed, so a task that runs again draws the same."""
-    places = numbered(edges, F.xxhash64("dst", "src", F.lit(seed)))
-    wanted = edges.groupBy("dst").agg(F.count("*").alias("deg")).select("dst", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), "deg")
-    return wanted.select("dst", "i", (F.col("i") % F.col("deg")).alias("place")).join(places.select("dst", "src", "place"), ["dst", "place"]).select("dst", "src", "i")
+    seed, so a task that runs again draws the same; a hub's blocks are ranges of
+    that hash."""
+    order = F.xxhash64("dst", "src", F.lit(seed))
+    packed = adjacency.rows(edges.select("dst", "src"), [order], F.shiftright(order, 48), chunk)
+    return adjacency.picked(packed, n, lambda i: i % F.col("deg"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import adjacency
 from .nodes import degrees
 
 
@@ -38,9 +39,11 @@ def degree_histogram_entropy(edges: DataFrame, percent: float, n_nodes: int) ->
 
 def locality(edges: DataFrame) -> DataFrame:
     """(distance, gap): roots of the mean distance of an edge's ends, and of the
-    mean gap between neighbours that follow each other."""
-    gap = F.col("src") - F.lag("src").over(Window.partitionBy("dst").orderBy("src"))
-    return edges.select(F.abs(F.col("dst") - F.col("src")).alias("d"), gap.alias("g")).agg(F.sqrt(F.avg("d")).alias("distance"), F.sqrt(F.avg("g")).alias("gap"))
+    mean gap between neighbours that follow each other.  A receiver's gaps add up
+    to its greatest sender less its smallest, so no order is made."""
+    per = edges.groupBy("dst").agg(F.sum(F.abs(F.col("dst") - F.col("src"))).alias("d"), (F.max("src") - F.min("src")).alias("g"), F.count("*").alias("n"))
+    gaps = F.sum(F.col("n") - 1)
+    return per.agg(F.sqrt(F.sum("d") / F.sum("n")).alias("distance"), F.sqrt(F.when(gaps > 0, F.sum("g") / gaps)).alias("gap"))
 
 
 def spread(values: DataFrame, column: str) -> DataFrame:
@@ -63,11 +66,10 @@ def distribution(edges: DataFrame) -> DataFrame:
     return both.agg(at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"), (F.max("d") - F.min("d")).alias("spread"), (F.sum(weight * F.col("d")) / (F.max("n") * F.max("e"))).alias("gini"), (F.sum(top) / F.max("e")).alias("top_share"))
 
 
-def locality_ratios(edges: DataFrame, sizes: tuple[int, ...] = (1, 4, 8, 16, 32, 64)) -> DataFrame:
+def locality_ratios(edges: DataFrame, sizes: tuple[int, ...] = (1, 4, 8, 16, 32, 64), chunk: int = adjacency.CHUNK) -> DataFrame:
     """For each block size the share of a receiver's edges that begin a new block of senders."""
-    prev = F.lag("src").over(Window.partitionBy("dst").orderBy("src"))
-    cols = [F.when(prev.isNull() | (F.floor(F.col("src") / s) != F.floor(prev / s)), 1.0).otherwise(0.0).alias(f"b{s}") for s in sizes]
-    return edges.select(*cols).agg(*(F.avg(f"b{s}").alias(f"ratio_{s}") for s in sizes))
+    found = adjacency.block_changes(adjacency.rows(edges.select("dst", "src"), chunk=chunk), sizes)
+    return found.select(*((F.col(f"c{s}") / F.col("e")).alias(f"ratio_{s}") for s in sizes))
 
 
 # losses and predictions

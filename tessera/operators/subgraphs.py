@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .reorder import BLOCK
+from tessera.graph import Graph
+
+from .reorder import BLOCK, permute, permute_nodes
 
 
 def receptive_field(edges: DataFrame, nodes: DataFrame, hops: int) -> list[DataFrame]:
@@ -48,7 +50,46 @@ def percent_of_nodes(masks: DataFrame, percent: float) -> DataFrame:
     return ranked.where(F.when(F.col("kind") < 3, F.col("place") <= F.col("n")).otherwise(F.col("place") > F.col("total") - F.col("n"))).select("id")
 
 
-def random_masks(nodes: DataFrame, seed: int = 0, train: float = 0.7, valid: float = 0.15) -> DataFrame:
-    """Masks for a dataset without any, by a hash of the node and the seed."""
-    u = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) / 1e6
-    return nodes.select("id", (u < train).alias("train"), ((u >= train) & (u < train + valid)).alias("valid"), (u >= train + valid).alias("test"))
+def _ranked(rows: DataFrame, block, order: list[str]) -> DataFrame:
+    """rows with ``rank``, from 0, in an order that the blocks never cross: counts
+    of blocks are put in one order, rows only within their block."""
+    placed = rows.withColumn("block", block)
+    sizes = placed.groupBy("block").agg(F.count("*").alias("size"))
+    upto = F.sum("size").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
+    start = sizes.select("block", (upto - F.col("size")).alias("start"))
+    own = F.row_number().over(Window.partitionBy("block").orderBy(*order)) - 1
+    return placed.withColumn("own", own).join(start, "block").withColumn("rank", F.col("start") + F.col("own")).drop("block", "own", "start")
+
+
+def dense_numbers(nodes: DataFrame) -> DataFrame:
+    """perm(old, new): the nodes numbered 0, 1, 2, ... in order of their ids."""
+    ranked = _ranked(nodes.select("id").distinct(), F.floor(F.col("id") / BLOCK), ["id"])
+    return ranked.select(F.col("id").alias("old"), F.col("rank").cast("long").alias("new"))
+
+
+def exact_masks(nodes: DataFrame, seed: int = 0, train: float = 0.7, valid: float = 0.15) -> DataFrame:
+    """Masks of exactly floor(train n) and floor(valid n) nodes, the rest test: a
+    random permutation of the nodes, by a hash of the node and the seed, cut in
+    three."""
+    ids = nodes.select("id").distinct().withColumn("h", F.xxhash64("id", F.lit(seed)))
+    ranked = _ranked(ids, F.shiftright("h", 48), ["h", "id"])
+    total = ids.agg(F.count("*").alias("n"))
+    # one row
+    both = ranked.join(F.broadcast(total), F.lit(True))
+    first = F.floor(F.col("n") * F.lit(train))
+    second = first + F.floor(F.col("n") * F.lit(valid))
+    return both.select("id", (F.col("rank") < first).alias("train"), ((F.col("rank") >= first) & (F.col("rank") < second)).alias("valid"), (F.col("rank") >= second).alias("test"))
+
+
+def renumbered(graph: Graph, nodes: DataFrame, *data: DataFrame) -> tuple[Graph, DataFrame, list[DataFrame]]:
+    """The subgraph that ``nodes`` induce and the data of these nodes, all under
+    new numbers without gaps, with perm(old, new)."""
+    perm = dense_numbers(nodes)
+    # a name that perm lacks drops out, so renaming both ends induces the subgraph
+    return graph.with_edges(permute(graph.edges, perm)), perm, [permute_nodes(d, perm) for d in data]
+
+
+def sampled_dataset(graph: Graph, features: DataFrame, labels: DataFrame, masks: DataFrame, percent: float) -> tuple[Graph, DataFrame, DataFrame, DataFrame]:
+    """A dataset of ``percent_of_nodes``, renumbered."""
+    own, _, (x, y, m) = renumbered(graph, percent_of_nodes(masks, percent), features, labels, masks)
+    return own, x, y, m

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.graph import to_vectors
-
+from .adjacency import offsets as offsets
+from .adjacency import running_edges
+from .nodes import assembled, slices
 from .reorder import BLOCK
 
 
@@ -30,20 +31,21 @@ def tiled_aggregate(edges: DataFrame, vectors: DataFrame, size: int, width: int
     """``fn`` (sum, mean or max) by tiles: a partial value for each (tile,
     receiver), then one for each receiver.  A column ``w`` of the edges multiplies
     the vectors (max ignores it).  Up to ``wide`` values are columns of one
-    group-by, wider vectors (or ones of unknown width) go through the long form."""
+    group-by, wider vectors (or ones of unknown width) are cut into chunks of it."""
     weighted = "w" in edges.columns and fn != "max"
     tiles = column_tiles(edges.select("dst", "src", *(["w"] if weighted else [])), size)
-    joined = tiles.join(vectors.select(F.col("id").alias("src"), "vec"), "src")
     value = (lambda x: F.col("w") * x) if weighted else (lambda x: x)
     fold, seen = (F.max if fn == "max" else F.sum), F.count("*").alias("seen")
     whole = (lambda c: F.sum(c) / F.sum("seen")) if fn == "mean" else fold
     if width is not None and width <= wide:
+        joined = tiles.join(vectors.select(F.col("id").alias("src"), "vec"), "src")
         partial = joined.groupBy("tile", "dst").agg(seen, *(fold(value(F.col("vec")[j])).alias(f"v{j}") for j in range(width)))
         final = partial.groupBy(F.col("dst").alias("id")).agg(*(whole(f"v{j}").alias(f"v{j}") for j in range(width)))
         return final.select("id", F.array(*(F.col(f"v{j}") for j in range(width))).alias("vec"))
-    long = joined.select("tile", "dst", *(["w"] if weighted else []), F.posexplode("vec").alias("j", "x"))
-    partial = long.groupBy("tile", "dst", "j").agg(seen, fold(value(F.col("x"))).alias("x"))
-    return to_vectors(partial.groupBy(F.col("dst").alias("id"), "j").agg(whole("x").alias("v")))
+    names, size = [f"v{j}" for j in range(wide)], F.max("size").alias("size")
+    pieces = tiles.join(slices(vectors, wide), "src").groupBy("tile", "dst", "c")
+    partial = pieces.agg(seen, size, *(fold(value(F.get("v", F.lit(j)))).alias(names[j]) for j in range(wide)))
+    return assembled(partial.groupBy(F.col("dst").alias("id"), "c").agg(size, *(whole(v).alias(v) for v in names)), names)
 
 
 def work_mask(edges: DataFrame, size: int) -> DataFrame:
@@ -59,22 +61,6 @@ def row_tiles(edges: DataFrame, rows: int) -> DataFrame:
     return edges.groupBy(F.floor(F.col("dst") / rows).cast("long").alias("tile")).agg(F.countDistinct("dst").alias("rows"), F.count("*").alias("n"))
 
 
-def running_edges(edges: DataFrame, block: int = 4096) -> DataFrame:
-    """(dst, n, before): received edges of each node, and those of all smaller
-    nodes.  Blocks of nodes are summed apart and only block sums are put in one
-    order, so that no window holds all nodes."""
-    counts = edges.groupBy("dst").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("dst") / block))
-    blocks = counts.groupBy("block").agg(F.sum("n").alias("n"))
-    start = blocks.select("block", (F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("start"))
-    own = F.sum("n").over(Window.partitionBy("block").orderBy("dst").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    return counts.withColumn("own", own).join(start, "block").select("dst", "n", (F.col("start") + F.col("own")).alias("before"))
-
-
-def offsets(edges: DataFrame) -> DataFrame:
-    """(dst, begin, end): each receiver's range in edges ordered by (dst, src)."""
-    return running_edges(edges).select("dst", F.col("before").alias("begin"), (F.col("before") + F.col("n")).alias("end"))
-
-
 def equal_edge_tiles(edges: DataFrame, per_tile: int) -> DataFrame:
     """(tile, low, high, n): runs of receivers with about ``per_tile`` edges."""
     placed = running_edges(edges).withColumn("tile", F.floor(F.col("before") / per_tile).cast("long"))
@@ -82,17 +68,32 @@ def equal_edge_tiles(edges: DataFrame, per_tile: int) -> DataFrame:
 
 
 def tiles_by_size(edges: DataFrame, rows: int) -> DataFrame:
-    """``row_tiles``, the largest first: (place, tile, n)."""
-    w = Window.orderBy(F.desc("n"), "tile")
-    return row_tiles(edges, rows).select((F.row_number().over(w) - 1).cast("long").alias("place"), "tile", "n")
+    """``row_tiles``, the largest first: (place, tile, n).  Places come from counts
+    of blocks of equal size and near numbers, as in ``reorder.by_degree``."""
+    tiles = row_tiles(edges, rows).withColumn("block", F.floor(F.col("tile") / BLOCK))
+    levels = tiles.groupBy("n", "block").agg(F.count("*").alias("size"))
+    order = Window.orderBy(F.desc("n"), "block").rowsBetween(Window.unboundedPreceding, 0)
+    start = levels.select("n", "block", (F.sum("size").over(order) - F.col("size")).alias("start"))
+    own = F.row_number().over(Window.partitionBy("n", "block").orderBy("tile")) - 1
+    return tiles.join(start, ["n", "block"]).select((F.col("start") + own).cast("long").alias("place"), "tile", "n")
 
 
 def padded(edges: DataFrame, rows: int, multiple: int) -> DataFrame:
-    """(tile, n, padding): entries of zero that fill each row tile to a multiple;
-    they change no sum, so nothing is added to the edges themselves."""
+    """(tile, n, padding): entries of zero that fill each row tile to a multiple."""
     return row_tiles(edges, rows).select("tile", "n", F.pmod(-F.col("n"), F.lit(multiple)).alias("padding"))
 
 
+def padded_edges(edges: DataFrame, rows: int, multiple: int) -> DataFrame:
+    """(dst, src, w, padding): the edges of each row tile, filled to a multiple by
+    repeats of its last edge with weight 0, which change no sum."""
+    value = F.col("w") if "w" in edges.columns else F.lit(1.0)
+    own = edges.select("dst", "src", value.cast("double").alias("w"), F.lit(False).alias("padding"))
+    last = edges.groupBy(F.floor(F.col("dst") / rows).cast("long").alias("tile")).agg(F.max(F.struct("dst", "src")).alias("e"), F.count("*").alias("n"))
+    lack = F.pmod(-F.col("n"), F.lit(multiple)).cast("int")
+    extra = last.select("e", F.explode(F.array_repeat(F.lit(0.0), lack)).alias("w"))
+    return own.unionByName(extra.select("e.dst", "e.src", "w", F.lit(True).alias("padding")))
+
+
 def dense_slice(vectors: DataFrame, begin: int, width: int) -> DataFrame:
     """Columns begin .. begin + width - 1 of every vector."""
     return vectors.select("id", F.slice("vec", begin + 1, width).alias("vec"))

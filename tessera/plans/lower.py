@@ -18,6 +18,8 @@ from . import spec as S
 from .spec import ModelSpec, Op, Schedule
 
 Matrix = Sequence[Sequence[float]]
+#: Values that one step of coarsening adds to an aggregate's row.
+SLICE = 32
 
 
 def execute(m: ModelSpec, graph: Graph, features: DataFrame, weights: Mapping[str, Matrix], width: int, rows: DataFrame | None = None, known: Mapping[str, DataFrame] | None = None, biases: Mapping[str, Sequence[float]] | None = None, schedule: Schedule | None = None, rng: np.random.Generator | None = None, keep: Callable[[Op, DataFrame], DataFrame] | None = None, drawn: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
@@ -31,6 +33,7 @@ def execute(m: ModelSpec, graph: Graph, features: DataFrame, weights: Mapping[st
     edges of aggregates that were drawn before, by the name of their output.
     """
     sample, tile = (schedule.kernel_sample, schedule.col_tile) if schedule else (None, None)
+    chunk = SLICE * schedule.coarsen if schedule and schedule.coarsen else N.WIDE
     env: dict[str, DataFrame] = {"features": features, **(known or {})}
     dims = {"features": width}
     hops = max((op.hop for op in m.ops), default=0)
@@ -64,9 +67,9 @@ def execute(m: ModelSpec, graph: Graph, features: DataFrame, weights: Mapping[st
                 values = values.join(own.edges, ["dst", "src"]) if values is not None else None
             if tile:
                 edges = own.edges if own.weighted else own.edges.select("dst", "src")
-                out = tiling.tiled_aggregate(edges if values is None else values.select("dst", "src", "w"), x[-1], tile, width_in, op.fn, N.WIDE)
+                out = tiling.tiled_aggregate(edges if values is None else values.select("dst", "src", "w"), x[-1], tile, width_in, op.fn, chunk)
             else:
-                out = N.aggregate(own, x[-1], op.fn, width_in, values)
+                out = N.aggregate(own, x[-1], op.fn, width_in, values, chunk)
         elif op.kind == S.FFN:
             out = N.ffn(x[0], weights[op.weight], (biases or {}).get(op.weight))
         elif op.kind == S.ADD:

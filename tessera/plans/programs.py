@@ -51,7 +51,7 @@ def load(spark: SparkSession, name: str, datasets: Mapping[str, Loader]) -> Data
     if "/" not in name:
         raise dsl.DslError(f"no such dataset: {name}")
     folder = name.rstrip("/")
-    return Graph(npy.edges(spark, folder)), npy.vectors(spark, f"{folder}/Feat.npy"), npy.labels(spark, folder), npy.masks(spark, folder)
+    return npy.load(spark, folder)
 
 
 def fitted(m: ModelSpec, features: DataFrame, labels: DataFrame) -> ModelSpec:

@@ -7,9 +7,7 @@ prefix, the normalised aggregate of the features, is made once and written.
 
 from __future__ import annotations
 
-import tempfile
 import time
-import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -48,35 +46,23 @@ class Adam:
 
 
 def _kept(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
-    """Written to the folder in ``spark.checkpoint.dir`` and read again; ``paths``
-    gets the path, for ``_drop``.  A temporary folder serves local masters only."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    path = f"{(root or f'file://{tempfile.gettempdir()}').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Written to the shared folder and read again; ``paths`` gets the path, for ``_drop``."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     if paths is not None:
         paths.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _places(spark, paths: list[str]):
-    """(file system, path) of each of ``paths``."""
-    for path in paths:
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        yield place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _bytes(spark, paths: list[str]) -> int:
     """What the tables at ``paths`` take."""
-    return sum(fs.getContentSummary(place).getLength() for fs, place in _places(spark, paths))
+    return sum(fs.getContentSummary(found).getLength() for fs, found in (place(spark, p) for p in paths))
 
 
 def _drop(spark, paths: list[str]) -> None:
     """Deletes what a step wrote, once the next no longer reads it."""
-    for fs, place in _places(spark, paths):
-        fs.delete(place, True)
+    for fs, found in (place(spark, p) for p in paths):
+        fs.delete(found, True)
     paths.clear()
 
 

@@ -7,7 +7,6 @@ in another order.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -17,12 +16,13 @@ from pyspark.sql import functions as F
 from tessera.functions import pointwise as P
 from tessera.graph import Graph, to_long, transpose, undirected, with_self_loops
 from tessera.operators import edges as E
-from tessera.operators import generate, reorder, sampling, statistics, subgraphs, tiling
+from tessera.operators import adjacency, generate, reorder, sampling, statistics, subgraphs, tiling
 from tessera.operators import nodes as N
 from tessera.plans import autodiff, dsl, lower, programs, rewrites, training
 from tessera.plans import spec as S
 from tessera.sources import matrix_market, npy
 from tessera.sources import tables as D
+from tessera.storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -132,22 +132,27 @@ def csr_offsets(spark, sf):
     return tiling.offsets(D.edges(spark, sf))
 
 
+@query(with_("n edges", """, b AS (SELECT dst, src // 16 AS b, count(*) AS n FROM edges GROUP BY ALL),
+  s AS (SELECT dst, b, sum(n) OVER (PARTITION BY dst ORDER BY b) - n AS start, sum(n) OVER (PARTITION BY dst) AS deg FROM b)
+  SELECT e.dst, CAST(CASE WHEN deg > 64 THEN start // 64 ELSE 0 END AS BIGINT) AS chunk, row_number() OVER (PARTITION BY e.dst ORDER BY src) - 1 AS place, src, CAST((e.dst * 3 + src) % 7 AS DOUBLE) AS w
+  FROM edges e JOIN s ON s.dst = e.dst AND s.b = e.src // 16"""))
+def csr_rows(spark, sf):
+    """Adjacency rows of some 64 edges, taken apart again to show each edge's place."""
+    e = D.edges(spark, sf).withColumn("w", ((F.col("dst") * 3 + F.col("src")) % 7).cast("double"))
+    packed = adjacency.rows(e, block=adjacency.sender_block(16), chunk=64)
+    each = packed.select("dst", "chunk", "first", F.posexplode(F.arrays_zip("senders", "ws")).alias("at", "x"))
+    return each.select("dst", "chunk", (F.col("first") + F.col("at")).alias("place"), F.col("x.senders").alias("src"), F.col("x.ws").alias("w"))
+
+
 @query(f"SELECT vec_id AS id, label, vec_id % 10 <= 6 AS train, vec_id % 10 = 7 AS valid, vec_id % 10 >= 8 AS test, {r('CAST(embedding[1] AS DOUBLE)')} AS first, CAST(len(embedding) AS INT) AS width FROM embeddings")
 def load_dataset(spark, sf):
     _, x, y, m = D.load(spark, sf)
     return x.join(y, "id").join(m, "id").select("id", "label", "train", "valid", "test", q6(F.col("vec")[0], "first"), F.size("vec").alias("width"))
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query(with_("n edges", "SELECT dst AS row, src AS col, CAST(1 AS DOUBLE) AS val FROM edges"))
 def matrix_market_round_trip(spark, sf):
-    path, e = _scratch(spark, "mtx"), D.edges(spark, sf)
+    path, e = new_path(spark, "mtx"), D.edges(spark, sf)
     n = D.node_count(spark, sf)
     matrix_market.write(e.select(F.col("dst").alias("row"), F.col("src").alias("col"), F.lit(1.0).alias("val")), path, n, n)
     return matrix_market.read_folder(spark, path)
@@ -156,7 +161,7 @@ def matrix_market_round_trip(spark, sf):
 @query(with_("n edges", "SELECT dst AS row, src AS col, CAST(1 AS DOUBLE) AS val FROM edges WHERE dst >= src UNION ALL SELECT src, dst, CAST(1 AS DOUBLE) FROM edges WHERE dst > src"))
 def mtx_mirror(spark, sf):
     """The lower triangle as a symmetric pattern file, read with its mirror."""
-    path = _scratch(spark, "mtx")
+    path = new_path(spark, "mtx")
     low = D.edges(spark, sf).where("dst >= src")
     n, count = D.node_count(spark, sf), low.count()
     head = spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate pattern symmetric"), (1, f"{n} {n} {count}")], "at long, value string")
@@ -165,13 +170,46 @@ def mtx_mirror(spark, sf):
     return matrix_market.read(spark, path)
 
 
+def exported(spark: SparkSession, sf: str, masks: DataFrame | None = None) -> str:
+    """The derived dataset, written as array files."""
+    folder = new_path(spark, "npy")
+    npy.export(D.graph(spark, sf), D.features(spark, sf), D.labels(spark, sf), masks, folder)
+    return folder
+
+
 @query("SELECT vec_id AS id, label FROM embeddings")
 def npy_labels(spark, sf):
     """Labels written as an array file and read again."""
-    folder = _scratch(spark, "npy")
-    y = D.labels(spark, sf).orderBy("id").toPandas()  # a dataset's label file is one array
-    npy.write(y.label.to_numpy(np.int64)[:, None], f"{folder}/Lab.npy")
-    return npy.labels(spark, folder)
+    path = new_path(spark, "npy") + "/Lab.npy"
+    y = D.labels(spark, sf)
+    npy.write(y.select(F.col("id").alias("i"), F.col("label").alias("x")), path, "int64", y.count(), 1)
+    return npy.labels(spark, path.rpartition("/")[0])
+
+
+@query(with_("n edges mask", f"""SELECT vec_id AS id, label, train, valid, test, {r('list_sum([CAST(x AS DOUBLE) FOR x IN embedding])')} AS total, CAST(len(embedding) AS INT) AS width, deg, senders
+  FROM embeddings JOIN mask ON id = vec_id JOIN (SELECT dst, count(*) AS deg, CAST(sum(src) AS BIGINT) AS senders FROM edges GROUP BY dst) d ON d.dst = vec_id"""))
+def npy_dataset(spark, sf):
+    """All files of a dataset written by ranges and read again, a row a node."""
+    g, x, y, m = npy.load(spark, exported(spark, sf, D.masks(spark, sf)))
+    e = g.edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("deg"), F.sum("src").alias("senders"))
+    total = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v)
+    return x.select("id", q6(total, "total"), F.size("vec").alias("width")).join(y, "id").join(m, "id").join(e, "id")
+
+
+@query(with_("n edges", "SELECT dst, src FROM edges"))
+def npy_edges(spark, sf):
+    """Edges written in order of both ends and read again."""
+    folder = new_path(spark, "npy")
+    npy.write_edges(D.edges(spark, sf), folder, D.node_count(spark, sf))
+    return npy.edges(spark, folder)
+
+
+@query("SELECT CAST(floor(count(*) * 0.7::DOUBLE) AS BIGINT) AS train, CAST(floor(count(*) * 0.15::DOUBLE) AS BIGINT) AS valid, count(*) AS nodes, count(*) AS masked FROM embeddings")
+def exact_masks(spark, sf):
+    """Sizes of drawn masks: every node has just one."""
+    m = subgraphs.exact_masks(D.features(spark, sf), 7)
+    one = F.col("train").cast("int") + F.col("valid").cast("int") + F.col("test").cast("int")
+    return m.agg(F.count_if("train").alias("train"), F.count_if("valid").alias("valid"), F.count("*").alias("nodes"), F.count_if(one == 1).alias("masked"))
 
 
 # nodes
@@ -219,6 +257,17 @@ def spmm_long_form(spark, sf):
     return to_long(N.aggregate(D.graph(spark, sf), hidden(spark, sf), "sum"))
 
 
+def widened(x: DataFrame, width: int) -> DataFrame:
+    """Features of ``width`` values: the given ones again and again, scaled."""
+    return x.select("id", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.element_at("vec", k % 64 + 1) * (F.floor(k / 64) + 1)).alias("vec"))
+
+
+@query(with_("n edges feat", f"SELECT dst AS id, CAST(c * 64 + k AS INT) AS j, {r('sum(x * (c + 1))')} AS v FROM edges JOIN feat ON id = src, range(10) t(c) WHERE c * 64 + k < 602 GROUP BY dst, c, k"))
+def spmm_wide_602(spark, sf):
+    """Vectors of 602 values, in chunks of 64."""
+    return to_long(N.aggregate(D.graph(spark, sf), widened(D.features(spark, sf), 602), "sum", 602))
+
+
 @query(with_("n edges feat deg norm", f"SELECT id, k AS j, {r('s * x')} AS v FROM feat JOIN norm USING (id)"))
 def row_broadcast(spark, sf):
     return to_long(N.row_scale(N.norm(N.degrees(D.edges(spark, sf)), -0.5), D.features(spark, sf)))
@@ -493,6 +542,24 @@ def node_percent_sample(spark, sf):
     return subgraphs.percent_of_nodes(m, 20)
 
 
+KEPT = """, kept AS (SELECT id FROM (SELECT id, kind, row_number() OVER (PARTITION BY kind ORDER BY id) AS i, count(*) OVER (PARTITION BY kind) AS c FROM (SELECT id, CASE WHEN train THEN 0 WHEN valid THEN 1 WHEN test THEN 2 ELSE 3 END AS kind FROM mask)) WHERE CASE WHEN kind < 3 THEN i <= floor(c * 20 / 100) ELSE i > c - floor(c * 20 / 100) END),
+  perm AS (SELECT id AS old, row_number() OVER (ORDER BY id) - 1 AS new FROM kept)"""
+
+
+@query(with_("n mask", KEPT + f"""
+  SELECT new AS id, label, train, valid, test, {r('CAST(embedding[1] AS DOUBLE)')} AS first FROM perm JOIN embeddings ON vec_id = old JOIN mask ON id = old"""))
+def sampled_dataset(spark, sf):
+    """A fifth of each kind of nodes, numbered anew: their labels, masks and features."""
+    _, x, y, m = subgraphs.sampled_dataset(*D.load(spark, sf), 20)
+    return x.select("id", q6(F.col("vec")[0], "first")).join(y, "id").join(m, "id")
+
+
+@query(with_("n edges mask", KEPT + " SELECT a.new AS dst, b.new AS src FROM edges JOIN perm a ON a.old = dst JOIN perm b ON b.old = src"))
+def sampled_dataset_edges(spark, sf):
+    """The edges among these nodes, under the new numbers."""
+    return subgraphs.sampled_dataset(*D.load(spark, sf), 20)[0].edges
+
+
 @query(with_("n edges", "SELECT dst, src FROM edges WHERE dst >= 100 AND dst < 250"))
 def row_range(spark, sf):
     return subgraphs.row_range(D.edges(spark, sf), 100, 250)
@@ -536,6 +603,13 @@ def padded_tiles(spark, sf):
     return tiling.padded(D.edges(spark, sf), 64, 32)
 
 
+@query(with_("n edges", """, t AS (SELECT dst // 64 AS tile, max((dst, src)) AS e, (32 - count(*) % 32) % 32 AS lack FROM edges GROUP BY 1)
+  SELECT dst, src, CAST(1 AS DOUBLE) AS w, false AS padding FROM edges
+  UNION ALL SELECT e[1], e[2], CAST(0 AS DOUBLE), true FROM (SELECT e, unnest(range(lack)) FROM t)"""))
+def padded_tile_edges(spark, sf):
+    return tiling.padded_edges(D.edges(spark, sf), 64, 32)
+
+
 @query(with_("feat", f"SELECT id, CAST(k - 16 AS INT) AS j, {r('x')} AS v FROM feat WHERE k >= 16 AND k < 24"))
 def dense_slice(spark, sf):
     return to_long(tiling.dense_slice(D.features(spark, sf), 16, 8))
@@ -646,19 +720,23 @@ def graph_equal(spark, sf):
     return reorder.same_edges(e.where("dst % 7 <> 0"), e)
 
 
-@query(with_("n edges", "SELECT dst, src FROM edges"))
+@query(with_("n edges", "SELECT dst, src, row_number() OVER (ORDER BY dst, src) - 1 AS place FROM edges"))
 def coo_row_order(spark, sf):
     return reorder.row_order(D.edges(spark, sf))
 
 
-@query(with_("n edges", "SELECT dst, src FROM edges"))
+@query(with_("n edges", "SELECT dst, src, row_number() OVER (ORDER BY src, dst) - 1 AS place FROM edges"))
 def coo_column_order(spark, sf):
     return reorder.column_order(D.edges(spark, sf))
 
 
-@query(with_("n edges", "SELECT dst, src, CAST(list_sum([((dst >> k) & 1) << (2 * k) for k in range(16)]) + list_sum([((src >> k) & 1) << (2 * k + 1) for k in range(16)]) AS BIGINT) AS code FROM edges"))
+@query(with_("n edges", """, p AS (SELECT dst * 4000037 AS dst, src * 4000037 AS src FROM edges)
+  SELECT dst, src, CAST(CAST(list_sum([CAST((dst >> k) & 1 AS HUGEINT) << (2 * k + 1) for k in range(32)]) + list_sum([CAST((src >> k) & 1 AS HUGEINT) << (2 * k) for k in range(32)]) AS HUGEINT) AS VARCHAR) AS code FROM p"""))
 def morton(spark, sf):
-    return D.edges(spark, sf).select("dst", "src", reorder.morton(F.col("dst"), F.col("src")).alias("code"))
+    """Z-order codes of numbers of up to 32 bits, as unsigned text."""
+    wide = D.edges(spark, sf).select((F.col("dst") * 4000037).alias("dst"), (F.col("src") * 4000037).alias("src"))
+    code = reorder.morton(F.col("dst"), F.col("src")).cast("decimal(20,0)")
+    return wide.select("dst", "src", F.when(code < 0, code + F.expr("18446744073709551616BD")).otherwise(code).cast("decimal(20,0)").cast("string").alias("code"))
 
 
 @query("""WITH p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)

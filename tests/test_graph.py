@@ -1,5 +1,7 @@
 """Properties of operators, rewrites, the parser, sources and training, on small graphs."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import pointwise as P
 from tessera.graph import Graph, to_long, to_vectors, transpose
 from tessera.operators import edges as E
-from tessera.operators import generate, reorder, sampling, subgraphs, tiling
+from tessera.operators import adjacency, generate, reorder, sampling, statistics, subgraphs, tiling
 from tessera.operators import nodes as N
 from tessera.plans import autodiff, dsl, lower, programs, rewrites, schedule, training
 from tessera.plans import spec as S
@@ -407,3 +409,70 @@ def test_rmat_against_its_hashes(spark):
             dst, src = dst * 2 + quadrant // 2, src * 2 + quadrant % 2
         want |= {(dst, src), (src, dst)}
     assert sorted((r.dst, r.src) for r in generate.rmat(spark, scale, n, mirrored=True).collect()) == sorted(want)
+
+
+# adjacency rows
+
+
+def hub_graph(spark, n=3000):
+    """A receiver of n edges, one of a few, and n of one each."""
+    hub = spark.range(n).select(F.lit(0).cast("long").alias("dst"), (F.col("id") * 7 % 10007).alias("src"))
+    few = spark.range(5).select(F.lit(1).cast("long").alias("dst"), F.col("id").alias("src"))
+    return hub.unionByName(few).unionByName(spark.range(2, n).select(F.col("id").alias("dst"), (F.col("id") * 3).alias("src")))
+
+
+def no_window_by(df, column="dst"):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return not any("Window" in line and re.search(rf"\[{column}#\d+L?\]", line) for line in plan.splitlines())
+
+
+@pytest.mark.parametrize("chunk", [1, 40, 1000])
+def test_adjacency_rows_split_hubs(spark, chunk):
+    e = hub_graph(spark).withColumn("w", F.col("src") * 0.5)
+    packed = adjacency.rows(e, block=adjacency.sender_block(16), chunk=chunk)
+    assert no_window_by(packed)
+    got = packed.collect()
+    assert max(len(r.senders) for r in got) <= chunk + 16
+    assert sum(r.dst == 0 for r in got) >= 3000 // (chunk + 16)
+    for dst in (0, 1, 2):
+        own = sorted((r for r in got if r.dst == dst), key=lambda r: r["first"])
+        senders = [s for r in own for s in r.senders]
+        assert senders == sorted(senders) and {r.deg for r in own} == {len(senders)}
+        assert [r["first"] for r in own] == np.cumsum([0, *(len(r.senders) for r in own)])[:-1].tolist()
+        assert [w for r in own for w in r.ws] == [s * 0.5 for s in senders]
+
+
+def test_operators_on_adjacency_rows_do_not_depend_on_chunks(spark):
+    e = hub_graph(spark)
+    listed = spark.range(0, 10007, 5).select("id", (-F.col("id")).alias("rank"))
+    for f in (
+        lambda c: sampling.affine(e, 20, 37, 11, chunk=c),
+        lambda c: sampling.shuffled(e, 20, 3, chunk=c),
+        lambda c: reorder.listed_first(e, listed, chunk=c),
+        lambda c: statistics.locality_ratios(e, chunk=c),
+        lambda c: adjacency.ordered(e, chunk=c),
+    ):
+        a, b = f(7), f(1 << 20)
+        assert no_window_by(a)
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert no_window_by(statistics.locality(e))
+
+
+def test_a_hub_of_a_million_edges_spans_tasks(spark):
+    e = spark.range(1_000_000).select(F.lit(3).cast("long").alias("dst"), "id").withColumnRenamed("id", "src")
+    packed = adjacency.rows(e, chunk=50_000)
+    got = packed.select(F.size("senders").alias("n"), F.spark_partition_id().alias("p")).collect()
+    assert sum(r.n for r in got) == 1_000_000 and max(r.n for r in got) < 70_000 and len({r.p for r in got}) > 1
+
+
+def test_morton_orders_by_tiles(spark, tmp_path):
+    pairs = [(0, 0), (0, 65536), (65536, 0), (1, 2), (2**32 - 1, 0), (2**31, 5), (12345678, 87654321)]
+    want = {p: sum(((p[0] >> k) & 1) << (2 * k + 1) | ((p[1] >> k) & 1) << (2 * k) for k in range(32)) for p in pairs}
+    df = spark.createDataFrame(pairs, "dst long, src long").select("dst", "src", reorder.morton(F.col("dst"), F.col("src")).alias("code"), reorder.morton_key(F.col("dst"), F.col("src")).alias("key"))
+    got = {(r.dst, r.src): r for r in df.collect()}
+    assert {p: r.code % 2**64 for p, r in got.items()} == want
+    assert sorted(got, key=lambda p: got[p].key) == sorted(want, key=want.get)
+    grid = spark.range(64).select(F.col("id").alias("dst")).join(spark.range(64).select(F.col("id").alias("src")), F.lit(True))
+    reorder.morton_layout(grid, 16).write.parquet(str(tmp_path / "z"))
+    files = spark.read.parquet(str(tmp_path / "z")).groupBy(F.input_file_name().alias("f")).agg((F.max("dst") - F.min("dst")).alias("d"), (F.max("src") - F.min("src")).alias("s")).collect()
+    assert sum(r.d < 32 and r.s < 32 for r in files) >= len(files) / 2
