@@ -167,9 +167,10 @@ def summary(rows: DataFrame) -> Blocks:
                 shared = sum(r["sizes"][:lcp])
                 if r["before"] is None:
                     lcp, shared = -1, 0
-                yield pa.RecordBatch.from_pylist([{**{k: r[k] for k in ("block", "n", "low", "least", "shared", "ended")}, "lcp": lcp, "bytes": shared, "leaf": int(lcp < len(a) // WIDTH), "length": len(r["last"]) // WIDTH}])
+                row = {k: r[k] for k in ("block", "n", "low", "least", "shared", "ended")} | {"lcp": lcp, "bytes": shared, "leaf": int(lcp < len(a) // WIDTH)}
+                yield pa.RecordBatch.from_pylist([row], pa.schema([(k, pa.int64()) for k in row]))
 
-    found = stats.mapInArrow(run, "block long, n long, low long, least long, shared long, ended long, lcp long, bytes long, leaf long, length long").toPandas().sort_values("block")
+    found = stats.mapInArrow(run, "block long, n long, low long, least long, shared long, ended long, lcp long, bytes long, leaf long").toPandas().sort_values("block")
     lcp = found.lcp.to_numpy()
     low = np.minimum(np.where(found.low.isna(), TOP, found.low.fillna(0)).astype(np.int64), lcp)
     sums = lambda x: np.concatenate(([0], np.cumsum(x)))
