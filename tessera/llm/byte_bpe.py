@@ -18,11 +18,11 @@ from __future__ import annotations
 
 import base64
 import heapq
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,21 +41,20 @@ NONE = 1 << 60
 
 # classes of code points
 LETTER, NUMBER, OTHER, SPACE, WHITE = range(5)
-#: Code points with the White_Space property (fixed values of the Unicode standard).
-WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: What the classes are in the pattern's terms, and every code point that texts may have.
+PROPERTIES = ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (WHITE, r"\s"))
+CODE_POINTS = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
 
 
 @lru_cache(1)
 def class_table() -> np.ndarray:
-    """The class of every code point."""
+    """The class of every code point, as the pattern's own engine has it: an
+    encoding of single bytes returns just what a pattern matches.  (Interpreters
+    and other engines know other versions of Unicode.)"""
     table = np.full(0x110000, OTHER, np.uint8)
-    for c in range(0x110000):
-        kind = unicodedata.category(chr(c))[0]
-        if kind == "L":
-            table[c] = LETTER
-        elif kind == "N":
-            table[c] = NUMBER
-    table[WHITE_SPACE] = WHITE
+    for kind, pattern in PROPERTIES:
+        engine = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        table[K.codepoints(np.array(engine.encode_ordinary(CODE_POINTS), np.uint8))] = kind
     table[0x20] = SPACE
     return table
 

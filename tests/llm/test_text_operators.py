@@ -46,6 +46,16 @@ def test_bpe_equals_tiktoken(encoder, texts):
     assert encode(encoder, texts) == [TIK.encode_ordinary(t) for t in texts]
 
 
+def test_every_code_point_is_cut_as_tiktoken_cuts_it(encoder):
+    """Letters end a word before a suffix, numbers and others stand apart, white
+    space goes on: each code point between letters, before a suffix and a digit."""
+    some = [*range(0xD800), *range(0xE000, 0x110000)]
+    assert len(some) == 1_112_064
+    for lo in range(0, len(some), 1 << 16):
+        texts = [f"a{chr(c)}'s {chr(c)}1 {chr(c)}" for c in some[lo : lo + (1 << 16)]]
+        assert encode(encoder, texts) == TIK.encode_ordinary_batch(texts, num_threads=2)
+
+
 def test_bpe_long_pieces_and_small_cache(encoder, monkeypatch):
     texts = ["a" * 4000, "ab" * 900, "'" * 300, " " * 700 + "x", "", "<|endoftext|>"]
     assert encode(encoder, texts) == [TIK.encode_ordinary(t) for t in texts]
