@@ -1,15 +1,18 @@
 """License scans by an exact set-similarity join of text blocks and templates.
 
-A template is the word set of a license notice.  A block is a line of a text, or
-consecutive lines which together have at most ``SLACK`` times the template's
-words and ``MARGIN`` more, so that a notice may be wrapped over lines.  All blocks with
-containment |block & template| / |template| >= threshold are found; of blocks
-that overlap the best is reported, the last to begin among equals.  Tokens are
-put in one global order, rarest first, by their frequency over all texts.  A
-template must share one of its first |T| - ceil(t |T|) + 1 tokens with any such
-block, so only these prefixes are indexed; a text with too few tokens (length
-filter) or with too few left after the shared one (positional filter) has no
-such block and is passed over.  In what remains the blocks are verified exactly.
+A template is the word set of a license notice.  A block is any run of a text's
+words, over lines and of any length, that begins and ends with a template's
+token; blocks with containment |block & template| / |template| >= threshold meet
+it.  Reported are the shortest blocks with the most shared tokens, then those
+with fewer that do not overlap them, down to the threshold; a match has its
+block's first and last word, so that users may ask for dense ones.
+
+Tokens are put in one global order, rarest first, by their frequency over all
+texts.  A template must share one of its first |T| - ceil(t |T|) + 1 tokens with
+any such block, so only these prefixes are indexed; a text with too few tokens
+(length filter) or with too few left after the shared one (positional filter)
+has no such block and is passed over.  In what remains two pointers over the
+places of the template's tokens find the blocks.
 Phrases are templates whose words must stand consecutively, in order.
 
 Only template words matter, so both passes keep a bounded vocabulary; the
@@ -25,6 +28,7 @@ whole by one task, with about 60 bytes a word.
 
 from __future__ import annotations
 
+import bisect
 import math
 from dataclasses import dataclass
 
@@ -38,10 +42,6 @@ from . import kernels as K
 from .shared import fresh
 
 THRESHOLD = 0.9
-#: Lines are joined to blocks of at most so many times a template's words, and
-#: so many more: the lines it begins and ends in may have other words as well.
-SLACK, MARGIN = 2, 24
-
 #: Phrases whose words must stand consecutively, and their labels (fixed values).
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -114,7 +114,6 @@ class Index:
     tokens: tuple[str, ...]
     order: np.ndarray
     needed: np.ndarray
-    most: np.ndarray
     sets: np.ndarray
     postings: tuple[tuple[int, int, int], ...]
     labels: tuple[str, ...]
@@ -170,8 +169,7 @@ def index(counts: dict[str, int], templates: dict[str, str] | None = None, phras
         least = math.ceil(threshold * len(own) - 1e-9)
         needed.append(least)
         postings += [(r, k, place) for place, r in enumerate(own[: len(own) - least + 1])]
-    most = np.array([SLACK * len(t.split()) + MARGIN for t in templates], np.int64)
-    return Index(tokens, _keys(tokens)[1], np.array(needed, np.int64), most, sets, tuple(sorted(postings)), tuple(templates.values()), tuple((tuple(rank[w] for w in p.split()), label) for p, label in phrases.items()))
+    return Index(tokens, _keys(tokens)[1], np.array(needed, np.int64), sets, tuple(sorted(postings)), tuple(templates.values()), tuple((tuple(rank[w] for w in p.split()), label) for p, label in phrases.items()))
 
 
 def join_blocks(block: np.ndarray, token: np.ndarray, ix: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,55 +202,45 @@ def join_blocks(block: np.ndarray, token: np.ndarray, ix: Index) -> tuple[np.nda
     return block[first][b[good]], t[good], shared[good] / size[t[good]]
 
 
-def blocks(word: np.ndarray, token: np.ndarray, line: np.ndarray, begin: np.ndarray, end: np.ndarray, needed: int, most: int) -> list[tuple[int, int]]:
-    """(first word, shared tokens) of the blocks of one text that meet a template.
-
-    ``word``, ``token`` and ``line`` are of the places of the template's tokens,
-    in order; ``begin`` and ``end`` are the first word and the end of each line.
-    A block that begins with a token's line goes as far as ``most`` allows: all
-    shorter ones from there share no more.
-    """
-    place, lines = word.tolist(), line.tolist()
-    begins, reach = begin[line], end[line]
-    # the last line that still fits; the block's own line always does
-    last = np.maximum(np.searchsorted(end, begins + most, "right") - 1, line)
-    stop = np.searchsorted(word, np.maximum(reach, end[last]))
-    out, seen, j = [], {}, 0
-    best, until = None, -1
-    for k in range(len(place)):
-        if k and lines[k] == lines[k - 1]:
-            continue
-        if k:
-            for t in token[before:k].tolist():
-                seen[t] -= 1
-                if not seen[t]:
-                    del seen[t]
-        before = k
-        for t in token[j : stop[k]].tolist():
-            seen[t] = seen.get(t, 0) + 1
-        j = max(j, int(stop[k]))
-        if len(seen) < needed:
-            continue
-        if lines[k] > until and best is not None:
-            out.append(best)
-            best = None
-        if best is None or len(seen) >= best[1]:
-            best = (place[k], len(seen))
-        until = max(until, int(last[k]))
-    return out if best is None else [*out, best]
-
-
-MATCH = T.StructType([T.StructField("label", T.StringType(), False), T.StructField("base", T.BooleanType(), False), T.StructField("first_word", T.LongType(), False), T.StructField("containment", T.DoubleType(), False)])
+def windows(token: list[int], shared: int) -> list[tuple[int, int]]:
+    """(first, last) of the runs of places with ``shared`` distinct tokens that
+    lose one if they begin later or end sooner."""
+    out, seen, i = [], {}, 0
+    for j, t in enumerate(token):
+        seen[t] = seen.get(t, 0) + 1
+        while seen[token[i]] > 1 or len(seen) > shared:
+            seen[token[i]] -= 1
+            if not seen[token[i]]:
+                del seen[token[i]]
+            i += 1
+        if len(seen) == shared and (not out or out[-1][0] != i):
+            out.append((i, j))
+    return out
+
+
+def blocks(word: np.ndarray, token: np.ndarray, needed: int) -> list[tuple[int, int, int]]:
+    """(first word, last word, shared tokens) of the blocks of one text that meet
+    a template, given the places of its tokens in order."""
+    place, tokens, taken = word.tolist(), token.tolist(), []
+    for shared in range(len(set(tokens)), needed - 1, -1):
+        for first, last in sorted(windows(tokens, shared), key=lambda w: (place[w[1]] - place[w[0]], w[0])):
+            at = bisect.bisect(taken, (first,))
+            if (at == 0 or taken[at - 1][1] < first) and (at == len(taken) or taken[at][0] > last):
+                taken.insert(at, (first, last, shared))
+    return [(place[first], place[last], shared) for first, last, shared in taken]
+
+
+MATCH = T.StructType([T.StructField("label", T.StringType(), False), T.StructField("base", T.BooleanType(), False), T.StructField("first_word", T.LongType(), False), T.StructField("last_word", T.LongType(), False), T.StructField("containment", T.DoubleType(), False)])
 
 
 def scan(df: DataFrame, ix: Index, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Adds ``n_words`` and ``matches``: every place of a phrase (``base``) and
-    every block that meets a template, with the place of the first word they share."""
+    every block that meets a template, with the first and the last word they share."""
     n_words, matches = fresh(df, "n_words"), fresh(df, "matches")
     schema = T.StructType([*(f for f in df.schema.fields if keep_text or f.name != text), T.StructField(n_words, T.LongType()), T.StructField(matches, T.ArrayType(MATCH, False))])
     at, columns = df.columns.index(text), schema.names
     shared = df.sparkSession.sparkContext.broadcast(ix)
-    kind = pa.list_(pa.field("element", pa.struct([pa.field("label", pa.string(), False), pa.field("base", pa.bool_(), False), pa.field("first_word", pa.int64(), False), pa.field("containment", pa.float64(), False)]), False))
+    kind = pa.list_(pa.field("element", pa.struct([pa.field("label", pa.string(), False), pa.field("base", pa.bool_(), False), pa.field("first_word", pa.int64(), False), pa.field("last_word", pa.int64(), False), pa.field("containment", pa.float64(), False)]), False))
 
     def run(batches):
         ix = shared.value
@@ -272,22 +260,18 @@ def scan(df: DataFrame, ix: Index, text: str = "text", keep_text: bool = True) -
                         same = ids[first + k] == w
                         first, owner = first[same], owner[same]
                     for f, d in zip(first.tolist(), owner.tolist(), strict=True):
-                        found[d].append({"label": label, "base": True, "first_word": f - int(bounds[d]), "containment": 1.0})
+                        found[d].append({"label": label, "base": True, "first_word": f - int(bounds[d]), "last_word": f - int(bounds[d]) + len(words) - 1, "containment": 1.0})
                 if len(known):
                     owner = np.searchsorted(bounds, known, "right") - 1
                     pair = np.unique(owner * len(ix.tokens) + ids[known])
                     texts, templates, _ = join_blocks(pair // len(ix.tokens), pair % len(ix.tokens), ix)
-                    breaks = np.flatnonzero(data == 0x0A) if len(texts) else None
                     for d, t in zip(texts.tolist(), templates.tolist(), strict=True):
                         a, b = int(bounds[d]), int(bounds[d + 1])
                         own = known[np.searchsorted(known, a) : np.searchsorted(known, b)]
                         own = own[ix.sets[t][ids[own]]]
-                        of_word = np.searchsorted(breaks, starts[a:b])  # no line goes on in the next text
-                        begin = K.runs(of_word)
-                        line = np.searchsorted(begin, own - a, "right") - 1
                         size = int(ix.sets[t].sum())
-                        for first, common in blocks(own - a, ids[own], line, begin, np.append(begin[1:], b - a), int(ix.needed[t]), int(ix.most[t])):
-                            found[d].append({"label": ix.labels[t], "base": False, "first_word": first, "containment": common / size})
+                        for first, last, common in blocks(own - a, ids[own], int(ix.needed[t])):
+                            found[d].append({"label": ix.labels[t], "base": False, "first_word": first, "last_word": last, "containment": common / size})
                 rows = [c for i, c in enumerate(batch.slice(lo, hi - lo).columns) if keep_text or i != at]
                 yield pa.RecordBatch.from_arrays([*rows, pa.array(np.diff(bounds)), pa.array(found, kind)], names=columns)
 

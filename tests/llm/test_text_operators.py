@@ -169,19 +169,25 @@ def test_em_finds_the_better_estimate(spark):
 
 
 def brute_blocks(text, template, threshold):
-    """Greatest containment over all lines and all short runs of lines, or 0."""
+    """Greatest containment over all runs of words, or 0: that of the whole text."""
     own = set(template.split())
-    lines = [w for line in lower(text).split("\n") if (w := alnum(line))]
-    best = 0
-    for i in range(len(lines)):
-        block, n = set(), 0
-        for j in range(i, len(lines)):
-            n += len(lines[j])
-            if j > i and n > licenses.SLACK * len(template.split()) + licenses.MARGIN:
-                break
-            block |= own & set(lines[j])
-            best = max(best, len(block))
-    return best / len(own) if best >= math.ceil(threshold * len(own) - 1e-9) else 0
+    shared = len(own & set(alnum(text)))
+    return shared / len(own) if shared >= math.ceil(threshold * len(own) - 1e-9) else 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=24), st.integers(1, 6))
+def test_reported_blocks_are_the_best_that_do_not_overlap(tokens, needed):
+    places = np.arange(len(tokens)) * 3 + 1
+    got = licenses.blocks(places, np.array(tokens, np.int64), needed)
+    every = [(i, j, len(set(tokens[i : j + 1]))) for i in range(len(tokens)) for j in range(i, len(tokens))]
+    mine = [((a - 1) // 3, (b - 1) // 3, n) for a, b, n in got]
+    assert all(len(set(tokens[a : b + 1])) == n >= needed for a, b, n in mine)
+    assert all(x[1] < y[0] for x, y in zip(mine, mine[1:], strict=False))
+    for i, j, n in every:  # whatever meets the template overlaps a report that shares as much
+        if n >= needed:
+            assert any(a <= j and i <= b and m >= min(n, m) for a, b, m in mine)
+            assert any(m >= n for _, _, m in mine)
 
 
 def test_licenses_equal_brute_force(spark):
@@ -254,6 +260,15 @@ def test_wrapped_notices_are_found(spark):
     assert all(k in labels for k, labels in got.items())
 
 
+@pytest.mark.parametrize("n", [0, 25, 5000])
+def test_notices_among_any_number_of_words(spark, n):
+    rest = "wort " * n
+    df = spark.createDataFrame([(1, f"{rest}released under the\n{rest}mit license{rest}"), (2, f"{rest}released under the\nmit license {rest}"), (3, f"released under the mit {rest}")], "doc_id long, text string")
+    got = {r.doc_id: [(m.label, m.last_word - m.first_word) for m in r.matches] for r in licenses.find(df).collect()}
+    assert got[2] == [("mit", 4)] and got[3] == [] and (n > 0 or got[1] == [("mit", 4)])
+    assert licenses.find(df.limit(0)).count() == 0
+
+
 def test_no_templates_no_matches(spark):
     df = spark.createDataFrame([(1, "cc by the mit license")], "doc_id long, text string")
     assert licenses.scan(df, licenses.index({}, {}, {})).first().matches == []
@@ -265,7 +280,9 @@ def test_op4(spark, sf, texts):
         places = [(k, label) for k in range(len(w)) for p, label in licenses.PHRASES.items() if w[k : k + len(p.split())] == p.split()]
         firsts = [k for k, _ in places]
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(places), min(firsts, default=None), max(firsts, default=None), ",".join(sorted({x for _, x in places})))
-        assert 0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+        met = {label: best for n, label in licenses.TEMPLATES.items() if (best := brute_blocks(texts[r.doc_id], n, licenses.THRESHOLD))}
+        assert r.labels == ",".join(sorted({x for _, x in places} | set(met)))
+        assert r.score == pytest.approx(1.0 if places else max((brute_blocks(texts[r.doc_id], n, licenses.THRESHOLD) for n in licenses.TEMPLATES), default=0))
 
 
 # 6
