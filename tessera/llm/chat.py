@@ -9,13 +9,9 @@ probe text.  Assistant texts under the loss mask follow from these spans.
 
 Rows are dealt by conversation and sorted by turn; tasks stream over them and
 hold one conversation.  Every prefix is rendered and compared with the one
-before, which takes the square of the number of turns.  Only a template that
-declares a ``window`` (a turn's output depends on that many turns before it
-only) is spared that in long conversations: after ``FULL`` turns it is rendered
-over its window, and the whole conversation is rendered whenever it has grown by
-a quarter, and at its end, and compared by digest with all that was put out.  A
-rewrite that lasts is flagged there at the latest; one that is undone before the
-next such turn is not seen.
+before, whatever its length, for a black box may rewrite history at any turn: the
+work is the square of a conversation's turns (a template may keep what it made
+of a turn, as ``MarkedTurns`` does, so that only the joining is repeated).
 
 Defined results: a null text or role is empty; turns are ordered by (turn, role,
 text), nulls first, so ties have one order and repeated rows are turns of their
@@ -28,9 +24,9 @@ outside the loss mask.
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,8 +36,6 @@ from .shared import parts
 
 #: Text that stands in for a turn's own while its place is located.
 PROBE = "\ue000probe\ue000"
-#: Turns whose prefixes are all rendered, whatever window a template declares.
-FULL = 512
 
 
 def escape(text: str) -> str:
@@ -62,14 +56,18 @@ def _unrole(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
+@lru_cache(4096)
+def marked(role: str, text: str) -> str:
+    return f"<|im_start|>{_role(role)}\n{escape(text)}<|im_end|>\n"
+
+
 class MarkedTurns:
     """Turns between start and end marks; control strings in texts are escaped."""
 
-    window = 0
     turn = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 
     def __call__(self, messages: list[tuple[str, str]]) -> str:
-        return "".join(f"<|im_start|>{_role(r)}\n{escape(t)}<|im_end|>\n" for r, t in messages)
+        return "".join(marked(r, t) for r, t in messages)
 
     def read(self, buffer: str) -> tuple[list[tuple[str, str]], str]:
         """(complete turns of an output, what is left of it)."""
@@ -83,41 +81,20 @@ class MarkedTurns:
 class Spans:
     """Renders the successive prefixes of one conversation."""
 
-    def __init__(self, template, full: int = FULL):
-        self.template, self.window, self.full = template, getattr(template, "window", None), full
-        self.messages: list[tuple[str, str]] = []
-        self.output, self.count, self.rewrites = "", 0, False
-        self.digest, self.check = hashlib.sha256(), math.ceil(1.25 * full)
+    def __init__(self, template):
+        self.template, self.messages = template, []
+        self.output, self.rewrites = "", False
 
-    def push(self, role: str, text: str, last: bool = False) -> tuple[str, int, int]:
+    def push(self, role: str, text: str) -> tuple[str, int, int]:
         """(the turn's piece of the output, start and end of its text in the
         piece); start is -1 if the text isn't found there, or if the template
         rewrote what it had rendered: then the piece is the whole output."""
         self.messages.append((role, text))
-        self.count += 1
-        if self.window is None or self.rewrites or self.count <= self.full:
-            near, before = self.messages, self.output
-        else:
-            near = self.messages[-self.window - 1 :]
-            before = self.template(near[:-1])
-        output = self.template(near)
+        before, output = self.output, self.template(self.messages)
         if not output.startswith(before):
             return self._rewritten()
-        piece = output[len(before) :]
-        if near is self.messages:
-            self.output = output
-            if self.window is not None and not self.rewrites:
-                near = self.messages[-self.window - 1 :]
-                before = self.template(near[:-1])
-                if self.template(near) != before + piece:
-                    raise ValueError("the template looks further back than its window")
-        if self.window is not None and not self.rewrites:
-            self.digest.update(piece.encode("utf-8", "surrogatepass"))
-            if self.count > self.full and (last or self.count >= self.check):
-                self.check = math.ceil(1.25 * self.count)
-                if hashlib.sha256(self.template(self.messages).encode("utf-8", "surrogatepass")).digest() != self.digest.digest():
-                    return self._rewritten()
-        probed = self.template([*near[:-1], (role, PROBE)])
+        self.output, piece = output, output[len(before) :]
+        probed = self.template([*self.messages[:-1], (role, PROBE)])
         at = probed.find(PROBE, len(before))
         tail = len(probed) - at - len(PROBE)
         start, end = at - len(before), len(piece) - tail
@@ -145,7 +122,7 @@ def _turns(batches) -> Iterator[tuple]:
         yield *held, True
 
 
-def format_turns(df: DataFrame, template, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_roles: Iterable[str] = ("assistant",), full: int = FULL) -> DataFrame:
+def format_turns(df: DataFrame, template, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_roles: Iterable[str] = ("assistant",)) -> DataFrame:
     """One row a turn: its piece of the conversation's output (the pieces in
     order are the output), the span of its text in the piece, whether that span
     is under the loss mask, whether history was rewritten, and whether a text
@@ -157,8 +134,8 @@ def format_turns(df: DataFrame, template, conv_id: str = "conv_id", turn: str =
     def run(batches):
         spans, out, size = None, [], 0
         for conv, r, t, last in _turns(batches):
-            spans = spans or Spans(template, full)
-            piece, start, end = spans.push(r, t, last)
+            spans = spans or Spans(template)
+            piece, start, end = spans.push(r, t)
             out.append((conv, piece, start, end, r in loss and start >= 0, spans.rewrites, r in loss and start < 0))
             size += len(piece)
             if last:

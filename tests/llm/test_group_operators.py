@@ -108,23 +108,15 @@ def test_escape_is_reversible(text):
 class Verbose:
     """A black box that says at the end how many turns there were."""
 
-    window = None
-
     def __call__(self, messages):
         return "".join(f"[{r}] {t}\n" for r, t in messages) + f"({len(messages)})"
 
 
 class Plain:
-    window = None
-
     def __call__(self, messages):
         return "".join(f"{'BOS' if k == 0 else ''}[{r}] {t}\n" for k, (r, t) in enumerate(messages))
 
 
-class Backward(Plain):
-    window = 0
-
-
 def test_black_box_templates():
     spans = chat.Spans(Plain())
     turns = [("user", "a"), ("assistant", "[user] a\n"), ("user", "")]
@@ -137,44 +129,31 @@ def test_black_box_templates():
     spans = chat.Spans(Verbose())
     assert not spans.rewrites and spans.push("user", "a")[1] >= 0
     assert spans.push("user", "b")[1] == -1 and spans.rewrites
-    with pytest.raises(ValueError, match="window"):
-        s = chat.Spans(Backward())
-        s.push("user", "a")
-        s.push("user", "b")
 
 
 class Forgetful:
-    """Drops its first turn once it has so many, and says it looks back on nothing."""
+    """Drops its first turn while it has ``at`` turns or more, up to ``until``."""
 
-    window = 0
-
-    def __init__(self, at):
-        self.at = at
+    def __init__(self, at, until=1 << 30):
+        self.at, self.until = at, until
 
     def __call__(self, messages):
-        return "".join(f"[{r}] {t}\n" for r, t in (messages[1:] if len(messages) >= self.at else messages))
+        return "".join(f"[{r}] {t}\n" for r, t in (messages[1:] if self.at <= len(messages) < self.until else messages))
 
 
-@pytest.mark.parametrize("at", [6, 40, 100])
-@pytest.mark.parametrize("full", [chat.FULL, 4])
-def test_rewrites_at_any_turn_are_flagged(spark, at, full):
-    data = [(1, k, "assistant" if k % 2 else "user", f"text {k}") for k in range(110)] + [(2, k, "assistant" if k % 2 else "user", f"text {k}") for k in range(at - 1)]
-    got = chat.format_turns(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"), Forgetful(at), full=full).collect()
+@pytest.mark.parametrize("at", [6, 40, 700])
+def test_rewrites_at_any_turn_are_flagged(spark, at):
+    data = [(1, k, "assistant" if k % 2 else "user", f"text {k}") for k in range(at + 10)] + [(2, k, "assistant" if k % 2 else "user", f"text {k}") for k in range(at - 1)]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    got = chat.format_turns(df, Forgetful(at)).collect()
     flags = [r.rewrites for r in got if r.conv_id == 1]
-    assert flags[-1] and not any(flags[: at - 1]) and (flags[at - 1] or full < at)
+    assert flags == [False] * (at - 1) + [True] * 11
     assert not any(r.rewrites for r in got if r.conv_id == 2)
     last = max(k for k, r in enumerate(got) if r.conv_id == 1 and r.rewrites and r.piece.count("\n") > 1)
     rows = [r for r in got[last:] if r.conv_id == 1]
-    assert "".join(r.piece for r in rows) == Forgetful(at)([(r, t) for _, _, r, t in data[:110]])
-
-
-def test_windows_give_the_spans_of_full_prefixes():
-    rng = np.random.default_rng(3)
-    turns = [("assistant" if k % 2 else "user", "".join(rng.choice(list("a<|\\\n>"), rng.integers(0, 9)))) for k in range(80)]
-    short, whole = chat.Spans(chat.MarkedTurns(), full=4), chat.Spans(chat.MarkedTurns())
-    for k, (r, t) in enumerate(turns):
-        assert short.push(r, t, k == 79) == whole.push(r, t, k == 79)
-    assert not short.rewrites and not whole.rewrites
+    assert "".join(r.piece for r in rows) == Forgetful(at)([(r, t) for _, _, r, t in data[: at + 10]])
+    # a rewrite that the next turn undoes is one, too
+    assert any(r.rewrites for r in chat.format_turns(df, Forgetful(at, at + 1)).where("conv_id = 1").collect())
 
 
 class Trimmed:
