@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import pointwise as P
+from tessera.skew import dealt_join
 
 #: The softmax's bounds: exponentials are clamped, row sums begin at the small value.
 CLAMP, SEED = 1e12, 1e-12
@@ -18,7 +19,7 @@ def endpoints(edges: DataFrame, left: DataFrame, right: DataFrame, value: str =
     """edges with ``l`` of the receiver and ``r`` of the sender."""
     a = left.select(F.col("id").alias("dst"), F.col(value).alias("l"))
     b = right.select(F.col("id").alias("src"), F.col(value).alias("r"))
-    return edges.join(a, "dst").join(b, "src")
+    return dealt_join(dealt_join(edges, a, "dst"), b, "src")
 
 
 def apply(edges: DataFrame, left: DataFrame, right: DataFrame, f: Callable[[Column, Column], Column], value: str = "s") -> DataFrame:
@@ -50,14 +51,15 @@ def edge_to_node(weights: DataFrame, seed: float = 0.0, by: str = "dst") -> Data
 
 def node_to_edge(weights: DataFrame, scalars: DataFrame, f: Callable[[Column, Column], Column] = lambda w, s: w * s) -> DataFrame:
     """Edge values combined with the receiver's scalar."""
-    return weights.join(scalars.select(F.col("id").alias("dst"), "s"), "dst").select("dst", "src", f(F.col("w"), F.col("s")).alias("w"))
+    return dealt_join(weights, scalars.select(F.col("id").alias("dst"), "s"), "dst").select("dst", "src", f(F.col("w"), F.col("s")).alias("w"))
 
 
 def softmax(weights: DataFrame, stable: bool = False) -> DataFrame:
     """exp(w), clamped, over the receiver's sum of these.
 
     Sums are a group-by (combined before the shuffle) joined back, so that a
-    receiver of very many edges is a skewed join key and no window.  ``stable``
+    receiver of very many edges is a hot join key, which ``dealt_join`` lets
+    adaptive execution split, and no window.  ``stable``
     first subtracts the receiver's largest value.
     """
     if stable:
@@ -72,7 +74,7 @@ def softmax_grad(alpha: DataFrame, grad: DataFrame) -> DataFrame:
     both = alpha.join(grad.select("dst", "src", F.col("w").alias("g")), ["dst", "src"])
     sds = both.select("dst", "src", "w", (F.col("w") * F.col("g")).alias("sds"))
     total = sds.groupBy("dst").agg(F.sum("sds").alias("total"))
-    return sds.join(total, "dst").select("dst", "src", (F.col("sds") - F.col("w") * F.col("total")).alias("w"))
+    return dealt_join(sds, total, "dst").select("dst", "src", (F.col("sds") - F.col("w") * F.col("total")).alias("w"))
 
 
 def sddmm_sum_grad(grad: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tessera.functions import pointwise as P
 from tessera.graph import Graph
+from tessera.skew import dealt_join
 
 #: Vectors up to this width are aggregated as columns of one group-by, wider ones in chunks of it.
 WIDE = 64
@@ -48,8 +49,8 @@ def assembled(pieces: DataFrame, names: list[str]) -> DataFrame:
 def aggregate(graph: Graph, vectors: DataFrame, fn: str = "sum", width: int | None = None, weights: DataFrame | None = None, chunk: int = WIDE) -> DataFrame:
     """For each receiver, ``fn`` (sum, mean or max) over its senders' vectors.
 
-    An equi-join on the sender and a group-by on the receiver, combined before
-    the shuffle.  Edge weights multiply the vectors (max ignores them); on an
+    An equi-join on the sender (a sender of very many edges can be split) and a
+    group-by on the receiver, combined before the shuffle.  Edge weights multiply the vectors (max ignores them); on an
     unweighted graph the column is never read.  Up to ``chunk`` values a vector is
     one row with a sum for each value; wider ones (or ones of unknown width) are
     cut into chunks before the join, and an edge is a row for each chunk.
@@ -60,11 +61,11 @@ def aggregate(graph: Graph, vectors: DataFrame, fn: str = "sum", width: int | No
     f = {"sum": F.sum, "mean": F.avg, "max": F.max}[fn]
     value = (lambda x: F.col("w") * x) if weighted else (lambda x: x)
     if width is not None and width <= chunk:
-        joined = edges.join(vectors.select(F.col("id").alias("src"), "vec"), "src")
+        joined = dealt_join(edges, vectors.select(F.col("id").alias("src"), "vec"), "src")
         out = joined.groupBy(F.col("dst").alias("id")).agg(*(f(value(F.col("vec")[j])).alias(f"v{j}") for j in range(width)))
         return out.select("id", F.array(*(F.col(f"v{j}") for j in range(width))).alias("vec"))
     names = [f"v{j}" for j in range(chunk)]
-    pieces = edges.join(slices(vectors, chunk), "src").groupBy(F.col("dst").alias("id"), "c")
+    pieces = dealt_join(edges, slices(vectors, chunk), "src").groupBy(F.col("dst").alias("id"), "c")
     return assembled(pieces.agg(F.max("size").alias("size"), *(f(value(F.get("v", F.lit(j)))).alias(names[j]) for j in range(chunk))), names)
 
 

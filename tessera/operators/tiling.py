@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.skew import dealt_join
+
 from .adjacency import offsets as offsets
 from .adjacency import running_edges
 from .nodes import assembled, slices
@@ -38,12 +40,12 @@ def tiled_aggregate(edges: DataFrame, vectors: DataFrame, size: int, width: int
     fold, seen = (F.max if fn == "max" else F.sum), F.count("*").alias("seen")
     whole = (lambda c: F.sum(c) / F.sum("seen")) if fn == "mean" else fold
     if width is not None and width <= wide:
-        joined = tiles.join(vectors.select(F.col("id").alias("src"), "vec"), "src")
+        joined = dealt_join(tiles, vectors.select(F.col("id").alias("src"), "vec"), "src")
         partial = joined.groupBy("tile", "dst").agg(seen, *(fold(value(F.col("vec")[j])).alias(f"v{j}") for j in range(width)))
         final = partial.groupBy(F.col("dst").alias("id")).agg(*(whole(f"v{j}").alias(f"v{j}") for j in range(width)))
         return final.select("id", F.array(*(F.col(f"v{j}") for j in range(width))).alias("vec"))
     names, size = [f"v{j}" for j in range(wide)], F.max("size").alias("size")
-    pieces = tiles.join(slices(vectors, wide), "src").groupBy("tile", "dst", "c")
+    pieces = dealt_join(tiles, slices(vectors, wide), "src").groupBy("tile", "dst", "c")
     partial = pieces.agg(seen, size, *(fold(value(F.get("v", F.lit(j)))).alias(names[j]) for j in range(wide)))
     return assembled(partial.groupBy(F.col("dst").alias("id"), "c").agg(size, *(whole(v).alias(v) for v in names)), names)
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import skew
 from tessera.functions import pointwise as P
 from tessera.graph import Graph, to_long, to_vectors, transpose
 from tessera.operators import edges as E
@@ -15,6 +16,7 @@ from tessera.plans import autodiff, dsl, lower, programs, rewrites, schedule, tr
 from tessera.plans import spec as S
 from tessera.queries import BODIES, PROGRAM, bind
 from tessera.sources import matrix_market, npy
+from tests.plans import small_partitions, split_joins
 
 RNG = np.random.default_rng(5)
 NODES, WIDTH = 12, 6
@@ -476,3 +478,35 @@ def test_morton_orders_by_tiles(spark, tmp_path):
     reorder.morton_layout(grid, 16).write.parquet(str(tmp_path / "z"))
     files = spark.read.parquet(str(tmp_path / "z")).groupBy(F.input_file_name().alias("f")).agg((F.max("dst") - F.min("dst")).alias("d"), (F.max("src") - F.min("src")).alias("s")).collect()
     assert sum(r.d < 32 and r.s < 32 for r in files) >= len(files) / 2
+
+
+# hot keys
+
+
+def skewed_weights(spark, n=6000):
+    """A receiver of n weighted edges, and n of one each, from files of many parts."""
+    e = spark.range(n, numPartitions=8).select(F.lit(0).cast("long").alias("dst"), F.col("id").alias("src"))
+    return e.unionByName(spark.range(1, 40, numPartitions=4).select(F.col("id").alias("dst"), F.col("id").alias("src"))).withColumn("w", F.rand(1))
+
+
+def test_hot_keys_can_be_split(spark):
+    w = skewed_weights(spark)
+    swapped = w.select(F.col("src").alias("dst"), F.col("dst").alias("src"), "w")
+    vec = spark.range(6000).select("id", F.array(F.col("id") * 1.0).alias("vec"))
+    # vectors that are an aggregate themselves, and a sender of very many edges
+    twice = N.aggregate(Graph(swapped, unweighted=False), N.aggregate(Graph(w.select("dst", "src")), vec, "sum", 1), "sum", 1)
+    with small_partitions(spark):
+        assert split_joins(E.softmax(w)) >= 1
+        assert split_joins(E.softmax(w, stable=True)) >= 1
+        assert split_joins(E.softmax_grad(w, w.withColumn("w", F.lit(1.0)))) >= 1
+        assert split_joins(twice) >= 1
+        assert split_joins(skew.dealt_join(w.withColumn("k", F.col("dst").cast("string")), w.groupBy(F.col("dst").cast("string").alias("k")).count(), "k")) >= 1
+
+
+def test_dealt_joins_match_as_plain_ones_do(spark):
+    a = spark.createDataFrame([(1, "x"), (None, "y"), (2, None), (2, "x")], "k long, t string")
+    b = spark.createDataFrame([(1, "x", 7), (None, None, 8), (2, "z", 9)], "k long, t string, v int")
+    for key in ("k", "t"):
+        for how in ("inner", "left"):
+            other = b.select(key, "v")
+            assert sorted(map(str, skew.dealt_join(a, other, key, how).select("k", "t", "v").collect())) == sorted(map(str, a.join(other, key, how).select("k", "t", "v").collect()))
