@@ -14,17 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.skew import dealt_join
+
 from .shared import drop, written
 
 
 def _hang(pairs: DataFrame) -> DataFrame:
-    """(u, v, m): each pair with the smallest v of its u.
-
-    The join's key is the complement of u: the aggregate is not laid out by it,
-    so both sides are dealt anew and adaptive execution can split a hot node.
-    """
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.bitwise_not("u").alias("key"), "m")
-    return pairs.withColumn("key", F.bitwise_not("u")).join(least, "key").select("u", "v", "m")
+    """(u, v, m): each pair with the smallest v of its u."""
+    return dealt_join(pairs, pairs.groupBy("u").agg(F.min("v").alias("m")), "u").select("u", "v", "m")
 
 
 def _stars(pairs: DataFrame) -> bool:

@@ -226,7 +226,8 @@ def _join(docs: DataFrame, every: DataFrame, text: str, names: tuple[str, str, s
     found = by_text.select(F.col("text_one").alias(one), F.col("text_two").alias(two), merged.alias(names[1]), F.array_sort(F.array_distinct(F.flatten(ids))).alias(names[2]))
     words = F.filter(F.split(_lower(text), SEPARATORS), lambda w: w != "")
     out = docs.withColumn(names[0], F.coalesce(F.size(words).cast("long"), F.lit(0).cast("long"))).withColumn(names[0], F.greatest(F.col(names[0]), F.lit(0).cast("long")))
-    joined = out.join(found, (seeded(1) == F.col(one)) & (seeded(2) == F.col(two)), "left").drop(one, two)
+    # both sides are dealt anew, so that a text of very many documents can be split
+    joined = out.join(found, (F.bitwise_not(seeded(1)) == F.bitwise_not(one)) & (F.bitwise_not(seeded(2)) == F.bitwise_not(two)), "left").drop(one, two)
     none = lambda t: F.array().cast(t)
     return joined.withColumn(names[1], F.coalesce(names[1], none(T.ArrayType(SPAN, False)))).withColumn(names[2], F.coalesce(names[2], none(T.ArrayType(id_type))))
 

@@ -46,6 +46,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.skew import dealt_join
+
 from . import kernels as K
 from .components import connected_components
 from .shared import drop, fresh, written
@@ -374,12 +376,6 @@ def _links(found: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([int(u) for u, _ in found], pa.int64()), pa.array([int(v) for _, v in found], pa.int64())], names=["u", "v"])
 
 
-def _back(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """``rows`` joined with ``found``, an aggregate by ``key``.  The complement of
-    the key deals both sides anew, so that adaptive execution can split a hot key."""
-    return rows.withColumn("_back", F.bitwise_not(key)).join(found.withColumn("_back", F.bitwise_not(key)).drop(key), "_back").drop("_back")
-
-
 def candidates(paragraphs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(distinct paragraphs with the place of one occurrence, members of buckets
     with two or more of them); buckets of the same members count once."""
@@ -388,7 +384,7 @@ def candidates(paragraphs: DataFrame) -> tuple[DataFrame, DataFrame]:
     banded = reps.select("key", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     sizes = reps.select("key", (F.col("at.end_word") - F.col("at.first_word")).cast("long").alias("size"))
-    full = written(_back(banded, shared.select("bucket"), "bucket").join(sizes, "key"), "paragraph-buckets")
+    full = written(dealt_join(banded, shared.select("bucket"), "bucket").join(sizes, "key"), "paragraph-buckets")
     same = full.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"), F.bit_xor(F.xxhash64("key")).alias("x"), F.sum("size").alias("weight"))
     once = same.groupBy("n", "low", "high", "x").agg(F.min("bucket").alias("bucket"), F.first("weight").alias("weight"))
     return reps, full.drop("size").join(once.select("bucket", "weight"), "bucket")
@@ -417,7 +413,7 @@ def paragraph_components(members: DataFrame, sets: DataFrame, threshold: float =
         labelled = heavy.join(components.select(F.col("id").alias("key"), "component"), "key", "left").withColumn("label", F.coalesce("component", "key"))
         counted = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.first("weight").alias("weight"))
         main = counted.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"), F.sum("n").alias("all"), F.first("weight").alias("whole")).where("outside > 0")
-        far = labelled.join(main, "bucket")
+        far = dealt_join(labelled, main, "bucket")
         m = F.ceil(F.col("whole") / group)
         s = F.ceil(F.col("whole") * F.col("outside") / F.col("all") / group)
         upto = lambda x: F.explode(F.sequence(F.lit(0).cast("long"), x - 1))
@@ -491,10 +487,10 @@ def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: f
     reps, members = candidates(paragraphs)
     units_of = every.where(F.col("kind") == ANCHOR).select("key", "whole", "doc_id")
     # units of repeated anchors, and the first and last document of all that are equal
-    anchored = written(_back(units_of, _repeated(units_of).select("key"), "key").drop("key"), "paragraph-units-repeated")
+    anchored = written(dealt_join(units_of, _repeated(units_of).select("key"), "key").drop("key"), "paragraph-units-repeated")
     ends = anchored.groupBy("whole").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("high"))
     zero = F.lit(0)
-    places = _back(anchored, ends, "whole").select("doc_id", F.lit(ANCHOR).alias("kind"), F.col("whole").alias("key"), zero.cast("long").alias("text_key"), zero.alias("first_word"), zero.alias("end_word"), "keeper", "high")
+    places = dealt_join(anchored, ends, "whole").select("doc_id", F.lit(ANCHOR).alias("kind"), F.col("whole").alias("key"), zero.cast("long").alias("text_key"), zero.alias("first_word"), zero.alias("end_word"), "keeper", "high")
     marks = written(_marks(docs, places.unionByName(_wanted(reps, members))), "paragraph-marks")
     drop(anchored)
     drop(reps)
@@ -505,11 +501,11 @@ def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: f
     slim = paragraphs.select("key", *by, *place)
     classed = slim.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).join(linked, "key", "left").withColumn("class", F.coalesce("component", "key"))
     keepers = classed.groupBy("class").agg(F.min("low").alias("keeper"), F.max("high").alias("high")).where("keeper < high")
-    alike = _back(slim, classed.select("key", "class").join(keepers, "class").select("key", "keeper"), "key").drop("key").withColumn("run", F.lit(False))
+    alike = dealt_join(slim, dealt_join(classed.select("key", "class"), keepers, "class").select("key", "keeper"), "key").drop("key").withColumn("run", F.lit(False))
 
     runs = marks.where(F.col("kind") == RUNS).drop("kind", "keeper", "shingles", "end_word")
     first = runs.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("high").alias("high")).where("keeper < high").drop("high")
-    again = _back(runs.drop("high"), first, "key").drop("key")
+    again = dealt_join(runs.drop("high"), first, "key").drop("key")
     # overlapping runs are one passage: their first words follow each other
     order = Window.partitionBy(*by, "keeper").orderBy("first_word")
     islands = again.withColumn("island", F.col("first_word") - F.dense_rank().over(order)).groupBy(*by, "keeper", "island")

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.skew import dealt_join
+
 from . import kernels as K
 from .components import connected_components
 from .shared import drop, fresh, parts, written
@@ -274,7 +276,7 @@ def components(prints: DataFrame, fp: str = "fingerprint", doc_id: str = "doc_id
     found = connected_components(links(nodes, "fp", distance), "u", "v", "simhash-components")
     placed = nodes.join(found, nodes.fp == found.id, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    return placed.join(ids, "component").select("fp", "component", "component_id")
+    return dealt_join(placed, ids, "component").select("fp", "component", "component_id")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:

@@ -37,6 +37,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.skew import dealt_join
+
 from .shared import new_path, written
 
 #: Bytes of records in a frame, and compressed bytes in a bundle, after which the next begins.
@@ -143,14 +145,20 @@ def frame(bundle: bytes, entry: tuple[int, int, int]) -> bytes:
 INDEX = "record_id string, page_id long, bundle string, frame int, frame_offset long, length long"
 
 
-def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Writes the bundles of ``pages`` to ``folder`` and returns the index."""
+def revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """(page_id, url, html, refers_to): of pages with equal payloads all but the
+    largest refer to it.  A payload of very many pages is a hot key, which can be
+    split."""
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = rows.withColumn("payload_key", F.concat_ws(":", F.octet_length("html"), F.sha2("html", 256)))
     first = rows.groupBy("payload_key").agg(F.max("page_id").alias("head"))
     refers = F.when(F.col("page_id").eqNullSafe(F.col("head")), F.lit(None)).otherwise(F.col("head"))
-    typed = rows.join(first, "payload_key").select("page_id", "url", "html", refers.alias("refers_to"))
-    dealt = typed.sortWithinPartitions("page_id", "url", "html")
+    return dealt_join(rows, first, "payload_key").select("page_id", "url", "html", refers.alias("refers_to"))
+
+
+def write(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """Writes the bundles of ``pages`` to ``folder`` and returns the index."""
+    dealt = revisits(pages, page_id, url, html).sortWithinPartitions("page_id", "url", "html")
 
     def run(batches):
         from pyspark import TaskContext

@@ -12,9 +12,10 @@ import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, paragraphs, queries, simhash, warc
+from tessera.llm import chat, components, paragraphs, queries, simhash, warc
 from tessera.llm.components import connected_components
 from tessera.llm.shared import new_path
+from tests.plans import small_partitions, split_joins
 
 from .conftest import ODD, graphic, lower
 
@@ -501,3 +502,16 @@ def test_removed_words_are_the_whole_runs(spark, sf, texts):
         assert {x for s in found[i].spans for x in range(s.first_word, s.end_word)} == cut
         assert found[i].removed_words == len(cut)
     assert any(r.removed_words for r in found.values())
+
+
+def test_hot_payloads_and_components_can_be_split(spark):
+    pages = spark.range(4000, numPartitions=8).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a/"), "id").alias("url"), F.when(F.col("id") % 40 == 0, F.col("id").cast("string")).otherwise("").alias("html"))
+    # numbers of 9 bits are one component, the others stand alone
+    prints = spark.range(1000, numPartitions=8).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 512, F.col("id")).otherwise(F.xxhash64("id")).alias("fingerprint"))
+    giant = spark.range(3000).select(F.lit(1).cast("long").alias("u"), (F.col("id") + 2).alias("v"))
+    found = simhash.components(prints)
+    assert found.where("component_id = 0").count() == 512
+    with small_partitions(spark):
+        assert split_joins(warc.revisits(pages)) >= 1
+        assert split_joins(found) >= 1
+        assert split_joins(components._hang(giant.unionByName(giant.selectExpr("v as u", "u as v")))) >= 1
