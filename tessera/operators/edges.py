@@ -80,3 +80,11 @@ def softmax_grad(alpha: DataFrame, grad: DataFrame) -> DataFrame:
 def sddmm_sum_grad(grad: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Gradients of both scalars of ``sddmm_sum``: sums by receiver and by sender."""
     return edge_to_node(grad), edge_to_node(grad, by="src")
+
+
+def sddmm_mul_grad(grad: DataFrame, left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Gradients of both scalars of ``sddmm_mul``: sums of the gradient times the
+    other end's scalar."""
+    both = endpoints(grad.select("dst", "src", "w"), left, right)
+    own = lambda x: both.select("dst", "src", (F.col("w") * F.col(x)).alias("w"))
+    return edge_to_node(own("r")), edge_to_node(own("l"), by="src")

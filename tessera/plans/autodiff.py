@@ -25,7 +25,7 @@ from . import spec as S
 from .spec import ModelSpec
 from .training import Adam, _bytes, _drop, _kept, outer_sum
 
-EDGE_VALUES = {S.EDGE_SUM, S.EDGE_MUL, S.LEAKY_RELU, S.SOFTMAX}
+EDGE_VALUES = {S.EDGE_SUM, S.EDGE_MUL, S.EDGE_DOT, S.LEAKY_RELU, S.SOFTMAX}
 SCALARS = {S.DEGREES, S.POWER, S.CONSTANT, S.ATTEN}
 
 
@@ -116,6 +116,13 @@ def backward(m: ModelSpec, graph: Graph, env: Mapping[str, DataFrame], weights:
         elif op.kind == S.EDGE_SUM:
             for i, s in zip(op.inputs, E.sddmm_sum_grad(g), strict=True):
                 push(i, s)
+        elif op.kind == S.EDGE_MUL:
+            for i, s in zip(op.inputs, E.sddmm_mul_grad(g, *x), strict=True):
+                push(i, s)
+        elif op.kind == S.EDGE_DOT:
+            # each end's gradient is an aggregate of the other end's vectors, weighted by the edge's
+            push(op.inputs[0], N.aggregate(graph, x[1], "sum", dims[op.inputs[1]], g))
+            push(op.inputs[1], N.aggregate(graph, x[0], "sum", dims[op.inputs[0]], transpose(g)))
         elif op.kind == S.LEAKY_RELU:
             both = g.join(x[0].select("dst", "src", F.col("w").alias("z")), ["dst", "src"])
             push(op.inputs[0], both.select("dst", "src", (F.col("w") * F.when(F.col("z") >= 0, 1.0).otherwise(op.value)).alias("w")))

@@ -85,6 +85,8 @@ def execute(m: ModelSpec, graph: Graph, features: DataFrame, weights: Mapping[st
             out = E.sddmm_sum(graph.edges, *x)
         elif op.kind == S.EDGE_MUL:
             out = E.sddmm_mul(graph.edges, *x)
+        elif op.kind == S.EDGE_DOT:
+            out = E.sddmm_dot(graph.edges, *x)
         elif op.kind == S.LEAKY_RELU:
             out = E.leaky_relu(x[0], op.value)
         elif op.kind == S.SOFTMAX:

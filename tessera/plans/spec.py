@@ -8,7 +8,7 @@ from dataclasses import dataclass, field, replace
 # kinds of operations
 DEGREES, POWER, CONSTANT = "degrees", "power", "constant"
 ROW_SCALE, AGGREGATE, FFN, ADD, EPS_SCALE, RELU = "row_scale", "aggregate", "ffn", "add", "eps_scale", "relu"
-ATTEN, EDGE_SUM, EDGE_MUL, LEAKY_RELU, SOFTMAX = "atten", "edge_sum", "edge_mul", "leaky_relu", "softmax"
+ATTEN, EDGE_SUM, EDGE_MUL, EDGE_DOT, LEAKY_RELU, SOFTMAX = "atten", "edge_sum", "edge_mul", "edge_dot", "leaky_relu", "softmax"
 
 #: Sizes that only the data give.
 OPEN_FEATURES, OPEN_LABELS = -2, -3

@@ -20,6 +20,7 @@ from tessera.graph import Graph, transpose
 from tessera.operators import nodes as N
 from tessera.operators import statistics as T
 from tessera.operators.edges import sddmm_mul
+from tessera.storage import new_path, place
 
 
 @dataclass

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.functions import pointwise as P
 from tessera.graph import Graph, to_long, transpose, undirected, with_self_loops
 from tessera.operators import edges as E
-from tessera.operators import adjacency, generate, reorder, sampling, statistics, subgraphs, tiling
+from tessera.operators import adjacency, aggregators, generate, reorder, sampling, statistics, subgraphs, tiling
 from tessera.operators import nodes as N
 from tessera.plans import autodiff, dsl, lower, programs, rewrites, training
 from tessera.plans import spec as S
@@ -251,6 +251,18 @@ def spmm_max(spark, sf):
     return to_long(N.aggregate(D.graph(spark, sf), hidden(spark, sf), "max", H))
 
 
+@query(with_("n edges feat w h", f"SELECT dst AS id, j, {r('ln(sum(exp(v)))')} AS v FROM edges JOIN h ON id = src GROUP BY dst, j"))
+def spmm_log_sum_exp(spark, sf):
+    """An aggregate given by its state, its merge and its result."""
+    return to_long(aggregators.aggregate_by(D.graph(spark, sf), hidden(spark, sf), aggregators.LOG_SUM_EXP))
+
+
+@query(with_("n edges feat w h", f"""SELECT id, CAST(j + 8 * (i - 1) AS INT) AS j, {r('coalesce(vs[i], 0)')} AS v
+  FROM (SELECT dst AS id, j, list(v ORDER BY v DESC) AS vs FROM edges JOIN h ON id = src GROUP BY dst, j), range(1, 3) t(i)"""))
+def spmm_top_two(spark, sf):
+    return to_long(aggregators.aggregate_by(D.graph(spark, sf), hidden(spark, sf), aggregators.top(2, 0.0)))
+
+
 @query(with_("n edges feat w h agg", LONG + "agg"))
 def spmm_long_form(spark, sf):
     """The layout for wide vectors."""
@@ -812,6 +824,29 @@ for _kind in BODIES:
     query(LAYER[_kind], f"dsl_{_kind}")(_program)
 
 
+def edge_function(spark, sf, fn: str, args: str) -> DataFrame:
+    """The attention layer with another function of an edge's ends."""
+    body = BODIES["gat"].replace("edge_fn(G, attnL, attnR)", f"edge_fn(G, {args})")
+    text = PROGRAM.format(fn="mul_sum", body=body).replace("get_edge_aggregate(fn = dsl.fn.sum)", f"get_edge_aggregate(fn = dsl.fn.{fn})")
+    m = rewrites.prune(dsl.parse(text)[0])
+    return to_long(lower.run(m, D.graph(spark, sf), D.features(spark, sf), bind(m), 64))
+
+
+def _attended(z: str, ctes: str) -> str:
+    return with_(f"n edges feat w h {ctes}".strip(), f""", lz AS ({z}), {CTE['alpha']}
+  SELECT dst AS id, j, {r('greatest(0.0, sum(w * v))')} AS v FROM alpha JOIN h ON id = src GROUP BY dst, j""")
+
+
+@query(_attended("SELECT dst, src, al.s * ar.s AS w FROM edges JOIN al ON al.id = dst JOIN ar ON ar.id = src", "al ar"))
+def dsl_edge_mul(spark, sf):
+    return edge_function(spark, sf, "mul", "attnL, attnR")
+
+
+@query(_attended("SELECT dst, src, sum(a.v * b.v) AS w FROM edges JOIN h a ON a.id = dst JOIN h b ON b.id = src AND a.j = b.j GROUP BY dst, src", ""))
+def dsl_edge_dot(spark, sf):
+    return edge_function(spark, sf, "dot", "res, res")
+
+
 def scheduled(spark, sf, kind: str, *lines: str) -> DataFrame:
     text = PROGRAM.format(fn="mul_mean" if kind == "sage" else "mul_sum", body=BODIES[kind]) + "\n".join(lines)
     m = dsl.parse(text)[0]

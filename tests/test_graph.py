@@ -10,7 +10,7 @@ from tessera import skew
 from tessera.functions import pointwise as P
 from tessera.graph import Graph, to_long, to_vectors, transpose
 from tessera.operators import edges as E
-from tessera.operators import adjacency, generate, reorder, sampling, statistics, subgraphs, tiling
+from tessera.operators import adjacency, aggregators, generate, reorder, sampling, statistics, subgraphs, tiling
 from tessera.operators import nodes as N
 from tessera.plans import autodiff, dsl, lower, programs, rewrites, schedule, training
 from tessera.plans import spec as S
@@ -69,6 +69,10 @@ def numpy_model(m, w):
             out = x[0] @ np.array(w[op.weight])[:, 0]
         elif op.kind == S.EDGE_SUM:
             out = (x[0][:, None] + x[1][None]) * a
+        elif op.kind == S.EDGE_MUL:
+            out = np.outer(x[0], x[1]) * a
+        elif op.kind == S.EDGE_DOT:
+            out = (x[0] @ x[1].T) * a
         elif op.kind == S.LEAKY_RELU:
             out = np.where(x[0] >= 0, x[0], op.value * x[0])
         elif op.kind == S.SOFTMAX:
@@ -215,12 +219,14 @@ def test_matrix_market(spark, tmp_path):
 
 def test_npy_dataset(spark, tmp_path):
     folder = f"file://{tmp_path}/set"
+    (tmp_path / "set").mkdir()
+    save = lambda array, name: np.save(tmp_path / "set" / name, array)
     dst, src = np.nonzero(ADJ)
-    npy.write(np.concatenate(([NODES, NODES], dst)).astype(np.uint32), f"{folder}/Adj_src.npy")
-    npy.write(src.astype(np.uint32), f"{folder}/Adj_dst.npy")
-    npy.write(X.astype(np.float32), f"{folder}/Feat.npy")
+    save(np.concatenate(([NODES, NODES], dst)).astype(np.uint32), "Adj_src.npy")
+    save(src.astype(np.uint32), "Adj_dst.npy")
+    save(X.astype(np.float32), "Feat.npy")
     for k, name in enumerate(("TnMsk", "VlMsk", "TsMsk")):
-        npy.write((np.arange(NODES) % 3 == k).astype(np.int32), f"{folder}/{name}.npy")
+        save((np.arange(NODES) % 3 == k).astype(np.int32), f"{name}.npy")
     assert {(r.dst, r.src) for r in npy.edges(spark, folder).collect()} == set(zip(dst.tolist(), src.tolist(), strict=True))
     np.testing.assert_allclose(dense(npy.vectors(spark, f"{folder}/Feat.npy")), X, atol=1e-6)
     assert npy.masks(spark, folder).where("valid").count() == 4
@@ -510,3 +516,148 @@ def test_dealt_joins_match_as_plain_ones_do(spark):
         for how in ("inner", "left"):
             other = b.select(key, "v")
             assert sorted(map(str, skew.dealt_join(a, other, key, how).select("k", "t", "v").collect())) == sorted(map(str, a.join(other, key, how).select("k", "t", "v").collect()))
+
+
+# edge functions and aggregates by name
+
+
+def attended(kind):
+    """An attention layer on products of scalars, or on dot products, then a convolution."""
+    b = S.Builder()
+    h = b.add(S.FFN, "features", weight="w0", in_dim=WIDTH, out_dim=4)
+    if kind == S.EDGE_MUL:
+        ends = [b.add(S.ATTEN, h, weight=f"a{s}", in_dim=4, out_dim=1) for s in "lr"]
+    else:
+        ends = [b.add(S.FFN, h, weight=f"v{s}", in_dim=4, out_dim=4) for s in "lr"]
+    h = b.add(S.AGGREGATE, b.add(S.SOFTMAX, b.add(kind, *ends)), h)
+    result = b.add(S.FFN, b.add(S.RELU, h), weight="w1", in_dim=4, out_dim=3)
+    return S.ModelSpec(tuple(b.ops), result)
+
+
+@pytest.mark.parametrize("kind", [S.EDGE_MUL, S.EDGE_DOT])
+def test_gradients_of_edge_functions(spark, small, kind):
+    g, x = small
+    m = attended(kind)
+    w = {k: np.array(v) / 2 for k, v in weights(m, 3).items()}
+    y = spark.createDataFrame([(i, i % 3) for i in range(9)], "id long, label int")
+
+    def loss(w):
+        z = numpy_model(m, w)[:9]
+        p = z - np.log(np.exp(z).sum(1, keepdims=True))
+        return -p[np.arange(9), np.arange(9) % 3].mean()
+
+    now = {k: v.tolist() for k, v in w.items()}
+    env = lower.execute(m, g, x, now, WIDTH, keep=lambda op, d: training._kept(d, "t-value"))
+    got = autodiff.backward(m, g, env, now, autodiff.widths(m, WIDTH), autodiff.loss_gradient(env[m.result], y, 9), lambda d: training._kept(d, "t-grad"))
+    assert set(got) == set(w)
+    for k in w:
+        for i in np.ndindex(w[k].shape):
+            up, down = {**w, k: w[k].copy()}, {**w, k: w[k].copy()}
+            up[k][i] += 1e-6
+            down[k][i] -= 1e-6
+            assert abs(got[k][i] - (loss(up) - loss(down)) / 2e-6) < 1e-6
+
+
+def test_edge_functions_are_honoured_or_rejected():
+    text = PROGRAM.format(fn="mul_sum", body=BODIES["gat"])
+    kinds = lambda t: {op.kind for op in dsl.parse(t)[0].ops}
+    assert {S.EDGE_SUM, S.LEAKY_RELU} <= kinds(text)
+    mul = text.replace("get_edge_aggregate(fn = dsl.fn.sum)", "get_edge_aggregate(fn = dsl.fn.mul)")
+    assert S.EDGE_MUL in kinds(mul) and not {S.EDGE_SUM, S.LEAKY_RELU} & kinds(mul)
+    for bad in (mul.replace("fn.mul)", "fn.dot)"), mul.replace("edge_fn(G, attnL, attnR)", "edge_fn(G, res, res)"), mul.replace("fn.mul)", "fn.median)")):
+        with pytest.raises(dsl.DslError):
+            dsl.parse(bad)
+
+
+def test_aggregators_do_not_depend_on_batches(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    n = 5000
+    values = rng.normal(size=(n, 2)) * 50
+    x = spark.createDataFrame([(i, values[i].tolist()) for i in range(n)], "id long, vec array<double>")
+    e = spark.range(n, numPartitions=7).select(F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id") % 11 + 1).cast("long").alias("dst"), F.col("id").alias("src"))
+    dst = np.where(np.arange(n) % 2 == 0, 0, np.arange(n) % 11 + 1)
+    for held in (64, aggregators.HELD):
+        monkeypatch.setattr(aggregators, "HELD", held)
+        logs = {r.id: r.vec for r in aggregators.aggregate_by(Graph(e), x, aggregators.LOG_SUM_EXP).collect()}
+        best = {r.id: r.vec for r in aggregators.aggregate_by(Graph(e), x, aggregators.top(3)).collect()}
+        assert set(logs) == set(best) == set(dst.tolist())
+        for d in logs:
+            own = values[dst == d]
+            high = own.max(0)
+            np.testing.assert_allclose(logs[d], high + np.log(np.exp(own - high).sum(0)))
+            np.testing.assert_allclose(best[d], np.sort(own, 0)[::-1][:3].ravel())
+    # weights multiply, and a receiver's own row counts once more
+    w = e.where("src < 6").withColumn("w", F.lit(2.0))
+    own = {r.id: r.vec for r in aggregators.aggregate_by(Graph(w, unweighted=False), x, aggregators.PRODUCT, into=x.where("id = 0")).collect()}
+    np.testing.assert_allclose(own[0], values[0] * np.prod(2 * values[[0, 2, 4]], 0))
+    assert aggregators.aggregate_by(Graph(e.limit(0)), x, aggregators.PRODUCT).count() == 0
+
+
+def test_a_hub_is_reduced_before_the_shuffle(spark):
+    e = spark.range(20000, numPartitions=4).select(F.lit(0).cast("long").alias("dst"), F.col("id").alias("src"))
+    x = spark.range(20000, numPartitions=4).select("id", F.array(F.lit(0.0)).alias("vec"))
+    got = aggregators.aggregate_by(Graph(e), x, aggregators.LOG_SUM_EXP)
+    assert got.first().vec[0] == pytest.approx(np.log(20000))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow partial") == plan.count("MapInArrow final") == 1 and plan.index("MapInArrow final") < plan.index("REPARTITION_BY_COL") < plan.index("MapInArrow partial")
+
+
+# wide vectors and array files
+
+
+@pytest.mark.parametrize("fn", ["sum", "mean", "max"])
+def test_wide_vectors_in_chunks(small, fn):
+    g, x = small
+    want = {"sum": ADJ.astype(float) @ X, "mean": ADJ.astype(float) @ X / ADJ.sum(1)[:, None], "max": np.array([X[r].max(0) for r in ADJ])}[fn]
+    for width, chunk in ((WIDTH, 4), (None, 4), (None, 64), (WIDTH, 1)):
+        np.testing.assert_allclose(dense(N.aggregate(g, x, fn, width, chunk=chunk)), want, atol=1e-12)
+        np.testing.assert_allclose(dense(tiling.tiled_aggregate(g.edges, x, 5, width, fn, chunk)), want, atol=1e-12)
+    plan = N.aggregate(g, x, "sum", 602)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and plan.count("Generate") == 1
+
+
+def test_array_files_of_any_kind(spark, tmp_path):
+    a = np.arange(60, dtype=np.int16).reshape(20, 3)
+    for name, array in (("c", a), ("f", np.asfortranarray(a)), ("big", a.astype(">f4")), ("flat", a.ravel())):
+        np.save(tmp_path / f"{name}.npy", array)
+    for name in ("c", "f", "big"):
+        got = npy.columns(spark, 40, vec=(f"file://{tmp_path}/{name}.npy", "vector"))
+        assert got.rdd.getNumPartitions() > 2
+        assert [r.vec for r in sorted(got.collect())] == a.astype(float).tolist()
+        assert [r.x for r in sorted(npy.values(spark, f"{tmp_path}/{name}.npy").collect())] == a.ravel().astype(float).tolist()
+    both = npy.columns(spark, x=(f"{tmp_path}/flat.npy", "long", 1), y=(f"{tmp_path}/c.npy", "long", 1)).collect()
+    assert [(r.x, r.y) for r in sorted(both)] == [(k, k) for k in range(1, 60)]
+    np.save(tmp_path / "none.npy", np.zeros((0, 3)))
+    assert npy.vectors(spark, f"{tmp_path}/none.npy").count() == 0
+    np.save(tmp_path / "text.npy", np.array(["x"]))
+    (tmp_path / "bad.npy").write_bytes(b"nothing of the kind")
+    for name in ("text", "bad"):
+        with pytest.raises(Exception, match="npy"):
+            npy.values(spark, f"{tmp_path}/{name}.npy").count()
+
+
+def test_datasets_are_exported_and_read_again(spark, small, tmp_path):
+    g, x = small
+    y = spark.createDataFrame([(i, i % 3) for i in range(NODES)], "id long, label int")
+    npy.export(g, x, y, None, str(tmp_path / "d"), seed=5)
+    got, vec, label, masks = npy.load(spark, str(tmp_path / "d"))
+    loops = ADJ | np.eye(NODES, dtype=bool)
+    pairs = sorted((int(d), int(s)) for d, s in zip(*np.nonzero(loops), strict=True))
+    assert np.load(tmp_path / "d" / "Adj_src.npy").tolist() == [NODES, NODES, *(d for d, _ in pairs)]
+    assert np.load(tmp_path / "d" / "Adj_dst.npy").tolist() == [s for _, s in pairs]
+    assert sorted((r.dst, r.src) for r in got.edges.collect()) == pairs
+    np.testing.assert_allclose(dense(vec), X.astype(np.float32))
+    assert sorted((r.id, r.label) for r in label.collect()) == [(i, i % 3) for i in range(NODES)]
+    rows = masks.collect()
+    assert sum(r.train for r in rows) == int(0.7 * NODES) and sum(r.valid for r in rows) == int(0.15 * NODES) and all(r.train + r.valid + r.test == 1 for r in rows)
+    with pytest.raises(npy.NpyError, match="renumbered"):
+        npy.export(g, x.where("id > 3"), y, None, str(tmp_path / "e"))
+
+
+def test_renumbered_subgraphs(spark, small):
+    g, x = small
+    keep = [1, 4, 5, 11]
+    own, perm, (y,) = subgraphs.renumbered(g, x.where(F.col("id").isin(keep)).select("id"), x)
+    assert {r.old: r.new for r in perm.collect()} == {k: i for i, k in enumerate(keep)}
+    assert sorted((r.dst, r.src) for r in own.edges.collect()) == sorted((i, j) for i, a in enumerate(keep) for j, b in enumerate(keep) if ADJ[a, b])
+    assert {r.id: r.vec for r in y.collect()} == {i: X[k].tolist() for i, k in enumerate(keep)}
