@@ -155,18 +155,30 @@ def matrix_market_round_trip(spark, sf):
     path, e = new_path(spark, "mtx"), D.edges(spark, sf)
     n = D.node_count(spark, sf)
     matrix_market.write(e.select(F.col("dst").alias("row"), F.col("src").alias("col"), F.lit(1.0).alias("val")), path, n, n)
-    return matrix_market.read_folder(spark, path)
+    return matrix_market.read(spark, path)
 
 
 @query(with_("n edges", "SELECT dst AS row, src AS col, CAST(1 AS DOUBLE) AS val FROM edges WHERE dst >= src UNION ALL SELECT src, dst, CAST(1 AS DOUBLE) FROM edges WHERE dst > src"))
 def mtx_mirror(spark, sf):
     """The lower triangle as a symmetric pattern file, read with its mirror."""
+    path, n = new_path(spark, "mtx"), D.node_count(spark, sf)
+    low = D.edges(spark, sf).where("dst >= src").select(F.col("dst").alias("row"), F.col("src").alias("col"))
+    matrix_market.write(low, path, n, n, "pattern", "symmetric")
+    return matrix_market.read(spark, path)
+
+
+@query(with_("n edges", """, g AS (SELECT greatest(dst % 200, src % 200) AS a, least(dst % 200, src % 200) AS b, count(*) AS n FROM edges GROUP BY 1, 2)
+  SELECT r.k AS row, c.k AS col, CAST(coalesce(g.n, 0) AS DOUBLE) AS val FROM range(200) r(k), range(200) c(k) LEFT JOIN g ON g.a = greatest(r.k, c.k) AND g.b = least(r.k, c.k)"""))
+def mtx_array_symmetric(spark, sf):
+    """Edges between 200 groups of nodes, as a packed symmetric array."""
     path = new_path(spark, "mtx")
-    low = D.edges(spark, sf).where("dst >= src")
-    n, count = D.node_count(spark, sf), low.count()
-    head = spark.createDataFrame([(0, "%%MatrixMarket matrix coordinate pattern symmetric"), (1, f"{n} {n} {count}")], "at long, value string")
-    body = low.select(F.lit(2).cast("long").alias("at"), F.concat_ws(" ", F.col("dst") + 1, F.col("src") + 1).alias("value"))
-    head.unionByName(body).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    group = lambda f: f(F.col("dst") % 200, F.col("src") % 200)
+    counts = D.edges(spark, sf).groupBy(group(F.greatest).alias("row"), group(F.least).alias("col")).agg(F.count("*").alias("n"))
+    cells = spark.range(200).select(F.col("id").alias("col"), F.explode(F.sequence("id", F.lit(199).cast("long"))).alias("row"))
+    values = cells.join(counts, ["row", "col"], "left").select((F.col("col") * 200 + F.col("row") + 2).alias("at"), F.coalesce("n", F.lit(0)).cast("string").alias("value"))
+    head = spark.createDataFrame([(0, "%%MatrixMarket matrix array real symmetric"), (1, "200 200")], "at long, value string")
+    # a file of a fixed size, 20,102 lines, in order
+    head.unionByName(values).repartition(1).sortWithinPartitions("at").select("value").write.text(path)
     return matrix_market.read(spark, path)
 
 

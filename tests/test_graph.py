@@ -213,6 +213,21 @@ def test_matrix_market(spark, tmp_path):
     assert rows(file("b.mtx", "%%MatrixMarket matrix coordinate pattern symmetric\n2 2 2\n1 1\n2 1\n")) == [(0, 0, 1.0), (0, 1, 1.0), (1, 0, 1.0)]
     assert rows(file("c.mtx", "%%MatrixMarket matrix coordinate integer skew-symmetric\n2 2 1\n2 1 3\n")) == [(0, 1, -3.0), (1, 0, 3.0)]
     assert rows(file("d.mtx", "%%MatrixMarket matrix array real general\n2 2\n1\n2\n3\n4\n")) == [(0, 0, 1.0), (0, 1, 3.0), (1, 0, 2.0), (1, 1, 4.0)]
+    for n in (1, 2, 3, 7, 40):
+        for kind, sign, k in (("symmetric", 1, 0), ("skew-symmetric", -1, 1)):
+            cells = [(r, c) for c in range(n) for r in range(c + k, n)]
+            values = {x: float(i + 1) for i, x in enumerate(cells)}
+            text = f"%%MatrixMarket matrix array real {kind}\n% packed\n{n} {n}\n" + "".join(f"{values[x]}\n" for x in cells)
+            want = values | {(c, r): sign * v for (r, c), v in values.items() if r != c}
+            assert rows(file(f"{kind}{n}.mtx", text)) == sorted((*x, v) for x, v in want.items())
+    big = 3_000_000  # places beyond what a double holds exactly
+    row, col = matrix_market.unpacked(F.col("k"), big, False)
+    for c in (0, 1, 77, big // 2, big - 2, big - 1):
+        first = c * big - c * (c - 1) // 2
+        for k, want in ((first, (c, c)), (first + big - c - 1, (big - 1, c))):
+            assert tuple(spark.createDataFrame([(k,)], "k long").select(row, col).first()) == want
+    with pytest.raises(matrix_market.MatrixMarketError):
+        matrix_market.read(spark, file("g.mtx", "%%MatrixMarket matrix array real symmetric\n2 2\n1\n2\n"))
     with pytest.raises(matrix_market.MatrixMarketError):
         matrix_market.read(spark, file("e.mtx", "%%MatrixMarket matrix coordinate complex general\n1 1 0\n"))
 
