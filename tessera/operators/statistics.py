@@ -66,6 +66,51 @@ def distribution(edges: DataFrame) -> DataFrame:
     return both.agg(at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"), (F.max("d") - F.min("d")).alias("spread"), (F.sum(weight * F.col("d")) / (F.max("n") * F.max("e"))).alias("gini"), (F.sum(top) / F.max("e")).alias("top_share"))
 
 
+#: What entries are counted by, and the grouping's number (a bit for each of row,
+#: column, row block and column block that it leaves out).
+COUNTED = {"row": 0b0111, "column": 0b1011, "row_block": 0b1101, "column_block": 0b1110, "tile": 0b1100}
+
+
+def _described(hist: DataFrame, suffix: str) -> DataFrame:
+    """Statistics of each grouping's values from their histogram (g, v, c): a row
+    for each distinct count, so the windows are short."""
+    every, rising = Window.partitionBy("g"), Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    falling = Window.partitionBy("g").orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, -1)
+    h = hist.select("g", "v", "c", F.sum("c").over(every).alias("n"), F.sum(F.col("v") * F.col("c")).over(every).alias("t"), F.sum("c").over(rising).alias("upto"), F.coalesce(F.sum("c").over(falling), F.lit(0)).alias("above"), F.coalesce(F.sum(F.col("v") * F.col("c")).over(falling), F.lit(0)).alias("sum_above"))
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("v")))  # noqa: E731 (the place-th value, from 0)
+    mean = F.max("t") / F.max("n")
+    variance = F.sum(F.col("c") * (F.col("v") - F.col("t") / F.col("n")) * (F.col("v") - F.col("t") / F.col("n"))) / F.max("n")
+    # the i-th of n sorted values weighs 2 i - n - 1
+    gini = F.sum(F.col("c") * (2 * F.col("upto") - F.col("c") - F.col("n")) * F.col("v")) / (F.max("n") * F.max("t"))
+    # of the largest values the fewest that hold as great a share as they leave out elements
+    more = F.ceil((F.col("t") * (F.col("n") - F.col("above")) - F.col("sum_above") * F.col("n")) / (F.col("v") * F.col("n") + F.col("t")))
+    pratio = F.min(F.when(more <= F.col("c"), F.col("above") + F.greatest(more, F.lit(1)))) / F.max("n")
+    out = {"min": F.min("v"), "max": F.max("v"), "mean": mean, "median": (at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2, "variance": variance, "stddev": F.sqrt(variance), "gini": gini, "pratio": pratio}
+    return h.groupBy("g").agg(*(x.cast("double").alias(f"{k}{suffix}") for k, x in out.items()))
+
+
+def distributions(edges: DataFrame, n_rows: int, n_cols: int, block_rows: int, block_cols: int) -> DataFrame:
+    """One row for rows, columns, row blocks, column blocks and tiles of a matrix:
+    statistics of their numbers of edges, over all of them and (``_nz``) over
+    those with any.
+
+    One pass counts edges for all groupings, one more counts equal counts;
+    everything follows from these histograms.
+    """
+    keyed = edges.select(F.col("dst").alias("r"), F.col("src").alias("k"), F.floor(F.col("dst") / block_rows).alias("rb"), F.floor(F.col("src") / block_cols).alias("cb"))
+    r, k, rb, cb = (F.col(x) for x in ("r", "k", "rb", "cb"))
+    counts = keyed.groupingSets([[r], [k], [rb], [cb], [rb, cb]], r, k, rb, cb).agg(F.count("*").alias("v"), F.grouping_id().alias("g"))
+    some = counts.groupBy("g", "v").agg(F.count("*").alias("c"))
+    rows_of, cols_of = -(-n_rows // block_rows), -(-n_cols // block_cols)
+    sizes = dict(zip(COUNTED.values(), (n_rows, n_cols, rows_of, cols_of, rows_of * cols_of), strict=True))
+    size = F.coalesce(*(F.when(F.col("g") == g, F.lit(n)) for g, n in sizes.items())).cast("long")
+    totals = some.groupBy("g").agg(F.sum("c").alias("nonzero"), F.sum(F.col("v") * F.col("c")).cast("double").alias("sum")).withColumn("nelems", size)
+    none = totals.where(F.col("nelems") > F.col("nonzero")).select("g", F.lit(0).cast("long").alias("v"), (F.col("nelems") - F.col("nonzero")).alias("c"))
+    name = F.coalesce(*(F.when(F.col("g") == g, F.lit(k)) for k, g in COUNTED.items()))
+    out = totals.join(_described(some.unionByName(none), ""), "g").join(_described(some, "_nz"), "g")
+    return out.withColumn("nonzero_ratio", F.col("nonzero") / F.col("nelems")).select(name.alias("counted"), *(c for c in out.columns if c != "g"), "nonzero_ratio")
+
+
 def locality_ratios(edges: DataFrame, sizes: tuple[int, ...] = (1, 4, 8, 16, 32, 64), chunk: int = adjacency.CHUNK) -> DataFrame:
     """For each block size the share of a receiver's edges that begin a new block of senders."""
     found = adjacency.block_changes(adjacency.rows(edges.select("dst", "src"), chunk=chunk), sizes)

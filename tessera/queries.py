@@ -695,6 +695,30 @@ def degree_distribution(spark, sf):
     return statistics.distribution(D.edges(spark, sf)).select("q1", "median", "q3", "spread", q6(F.col("gini"), "gini"), q6(F.col("top_share"), "top_share"))
 
 
+def _described(suffix: str, where: str) -> str:
+    """Statistics over elements, each a row, in SQL of its own."""
+    return f"""(SELECT counted, min(v)::DOUBLE AS min{suffix}, max(v)::DOUBLE AS max{suffix}, {r('avg(v)')} AS mean{suffix}, median(v)::DOUBLE AS median{suffix}, {r('var_pop(v)')} AS variance{suffix}, {r('stddev_pop(v)')} AS stddev{suffix},
+    {r('sum((2 * i - n - 1) * v) / (max(n) * sum(v))')} AS gini{suffix}, {r('min(j) FILTER (held * n >= (n - j) * t) / max(n)')} AS pratio{suffix}
+    FROM (SELECT counted, v, row_number() OVER (PARTITION BY counted ORDER BY v) AS i, row_number() OVER d AS j, sum(v) OVER d AS held, count(*) OVER (PARTITION BY counted) AS n, sum(v) OVER (PARTITION BY counted) AS t
+      FROM x {where} WINDOW d AS (PARTITION BY counted ORDER BY v DESC ROWS UNBOUNDED PRECEDING)) GROUP BY counted)"""
+
+
+@query(with_("n edges", f""", x AS (
+    SELECT 'row' AS counted, id, count(dst) AS v FROM (SELECT unnest(range(c)) AS id FROM n) LEFT JOIN edges ON dst = id GROUP BY ALL
+    UNION ALL SELECT 'column', id, count(src) FROM (SELECT unnest(range(c)) AS id FROM n) LEFT JOIN edges ON src = id GROUP BY ALL
+    UNION ALL SELECT 'row_block', id, count(dst) FROM (SELECT unnest(range((c + 31) // 32)) AS id FROM n) LEFT JOIN edges ON dst // 32 = id GROUP BY ALL
+    UNION ALL SELECT 'column_block', id, count(src) FROM (SELECT unnest(range((c + 15) // 16)) AS id FROM n) LEFT JOIN edges ON src // 16 = id GROUP BY ALL
+    UNION ALL SELECT 'tile', id, count(dst) FROM (SELECT unnest(range(((c + 31) // 32) * ((c + 15) // 16))) AS id, (c + 15) // 16 AS m FROM n) LEFT JOIN edges ON dst // 32 = id // m AND src // 16 = id % m GROUP BY ALL)
+  SELECT t.*, a.* EXCLUDE (counted), b.* EXCLUDE (counted) FROM (SELECT counted, count(*) FILTER (v > 0) AS nonzero, sum(v)::DOUBLE AS sum, count(*) AS nelems, {r('count(*) FILTER (v > 0) / count(*)')} AS nonzero_ratio FROM x GROUP BY counted) t
+  JOIN {_described('', '')} a ON a.counted = t.counted JOIN {_described('_nz', 'WHERE v > 0')} b ON b.counted = t.counted"""))
+def matrix_distributions(spark, sf):
+    """All statistics of rows, columns, blocks and tiles."""
+    n = D.node_count(spark, sf)
+    out = statistics.distributions(D.edges(spark, sf), n, n, 32, 16)
+    exact = {"counted", "nonzero", "nelems", "sum", "min", "max", "median", "min_nz", "max_nz", "median_nz"}
+    return out.select(*(F.col(c) if c in exact else q6(F.col(c), c) for c in out.columns))
+
+
 @query(with_("n edges deg", f"SELECT n.c AS n, CAST(sum(s) AS BIGINT) AS e, CAST(max(s) AS BIGINT) AS max_degree, {r('sum(s) / (n.c * n.c)')} AS density FROM deg, n GROUP BY n.c"))
 def graph_stats(spark, sf):
     return statistics.graph_statistics(D.edges(spark, sf), D.features(spark, sf)).select("n", "e", "max_degree", q6(F.col("density"), "density"))
