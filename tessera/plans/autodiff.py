@@ -19,6 +19,7 @@ from tessera.graph import Graph, transpose
 from tessera.operators import edges as E
 from tessera.operators import nodes as N
 from tessera.operators import statistics as T
+from tessera.operators import tiling
 
 from . import lower
 from . import spec as S
@@ -55,11 +56,20 @@ def _total(grads: list[DataFrame]) -> DataFrame:
     return to_vectors(long)
 
 
-def backward(m: ModelSpec, graph: Graph, env: Mapping[str, DataFrame], weights: Mapping[str, list], dims: Mapping[str, int], grad: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda x: x, drawn: Mapping[str, DataFrame] | None = None) -> dict[str, np.ndarray]:
+def backward(m: ModelSpec, graph: Graph, env: Mapping[str, DataFrame], weights: Mapping[str, list], dims: Mapping[str, int], grad: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda x: x, drawn: Mapping[str, DataFrame] | None = None, tile: int | None = None) -> dict[str, np.ndarray]:
     """The gradient of every parameter, given that of the program's result.
-    ``drawn`` has the sampled edges that an aggregate read, repeats included."""
+    ``drawn`` has the sampled edges that an aggregate read, repeats included.
+    With ``tile`` aggregates go back by tiles of so many receivers, as partial
+    sums of the transposed tiles."""
     live, grads, out = trainable(m), {m.result: [grad]}, {}
 
+    def spread(edges: DataFrame, g: DataFrame, width: int) -> DataFrame:
+        """The receivers' gradients summed by sender."""
+        back = transpose(edges)
+        if tile:
+            return tiling.tiled_aggregate(back, g, tile, width, "sum", N.WIDE)
+        return N.aggregate(Graph(back, unweighted="w" not in back.columns), g, "sum", width)
+
     def push(name: str, g: DataFrame) -> None:
         if name in live:
             grads.setdefault(name, []).append(g)
@@ -83,7 +93,7 @@ def backward(m: ModelSpec, graph: Graph, env: Mapping[str, DataFrame], weights:
             values = x[0] if own is None else x[0].join(own, ["dst", "src"])
             if op.fn == "mean":
                 g = N.row_scale(N.norm(N.degrees(values), -1), g)
-            push(op.inputs[1], N.aggregate(graph, g, "sum", width, transpose(values)))
+            push(op.inputs[1], spread(values.select("dst", "src", "w"), g, width))
             if op.inputs[0] in live:
                 dots = E.sddmm_dot(graph.edges if own is None else own, g, x[1])
                 push(op.inputs[0], dots if own is None else dots.groupBy("dst", "src").agg(F.sum("w").alias("w")))
@@ -93,7 +103,7 @@ def backward(m: ModelSpec, graph: Graph, env: Mapping[str, DataFrame], weights:
             own = (drawn or {}).get(op.out, graph.edges)
             if op.fn == "mean":
                 g = N.row_scale(N.norm(N.degrees(own), -1), g)
-            push(op.inputs[0], N.aggregate(graph.with_edges(transpose(own)), g, "sum", dims[op.inputs[0]]))
+            push(op.inputs[0], spread(own if graph.weighted and "w" in own.columns else own.select("dst", "src"), g, dims[op.inputs[0]]))
         elif op.kind == S.ROW_SCALE:
             push(op.inputs[1], N.row_scale(x[0], g))
         elif op.kind == S.ADD:
@@ -213,7 +223,7 @@ def train(m: ModelSpec, graph: Graph, features: DataFrame, labels: DataFrame, ma
         if wanted and step % max(1, m.validation_step) == 0:
             every = logits if rows is None else forward(None)[m.result]
             row["accuracy"] = T.accuracy(every, labels, test_ids).first().accuracy
-        w |= adam.update(w, backward(m, graph, env, now, dims, loss_gradient(logits, own, n), lambda g: _kept(g, "train-grad", paths), drawn))
+        w |= adam.update(w, backward(m, graph, env, now, dims, loss_gradient(logits, own, n), lambda g: _kept(g, "train-grad", paths), drawn, schedule.col_tile if schedule else None))
         row["bytes"] = _bytes(spark, paths)
         _drop(spark, paths)
         history.append(row)

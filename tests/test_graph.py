@@ -676,3 +676,25 @@ def test_renumbered_subgraphs(spark, small):
     assert {r.old: r.new for r in perm.collect()} == {k: i for i, k in enumerate(keep)}
     assert sorted((r.dst, r.src) for r in own.edges.collect()) == sorted((i, j) for i, a in enumerate(keep) for j, b in enumerate(keep) if ADJ[a, b])
     assert {r.id: r.vec for r in y.collect()} == {i: X[k].tolist() for i, k in enumerate(keep)}
+
+
+@pytest.mark.parametrize("kind", ["gcn", "gat", "sage"])
+def test_gradients_by_tiles(spark, small, kind):
+    g, x = small
+    m = S.model(kind, (WIDTH, 4, 3))
+    now = weights(m, 2)
+    y = spark.createDataFrame([(i, i % 3) for i in range(9)], "id long, label int")
+    env = lower.execute(m, g, x, now, WIDTH, keep=lambda op, d: training._kept(d, "t-value"))
+    seen = []
+
+    def grads(tile):
+        def keep(d):
+            seen.append((tile, d._jdf.queryExecution().optimizedPlan().toString()))
+            return training._kept(d, "t-grad")
+
+        return autodiff.backward(m, g, env, now, autodiff.widths(m, WIDTH), autodiff.loss_gradient(env[m.result], y, 9), keep, tile=tile)
+
+    whole, tiled = grads(None), grads(5)
+    for k in whole:
+        np.testing.assert_allclose(tiled[k], whole[k], atol=1e-12)
+    assert any("tile" in plan for tile, plan in seen if tile) and not any("tile" in plan for tile, plan in seen if not tile)
