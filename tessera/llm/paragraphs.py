@@ -33,7 +33,8 @@ Defined results: null and empty texts have no paragraph; rows with a null
 ``doc_id`` take no part and stay unchanged; rows that share a ``doc_id`` are
 one document, whose own repeats stay; other columns stay as they are, whatever
 their names.  Ids must be integers or cast to them.  A very long text is held
-whole by one task, with about a hundred bytes a word; its rows are not.
+whole by one task, with about a hundred bytes a word; its rows are not.  An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -437,6 +438,8 @@ def paragraph_links(paragraphs: DataFrame, docs: DataFrame, threshold: float = T
 
 
 _SPANS = T.StructType([T.StructField(n, T.IntegerType()) for n in ("first_word", "end_word")])
+#: Spans as they are returned: bytes are positions in the text's UTF-8.
+PLACED = T.StructType([*_SPANS.fields, T.StructField("start_byte", T.IntegerType()), T.StructField("end_byte", T.IntegerType())])
 
 
 def _union_spans(df: DataFrame) -> DataFrame:
@@ -471,17 +474,62 @@ def _union_spans(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def _word_bytes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the end byte of each word of a text."""
+    return K.spans(K.GRAPHIC[raw], np.array([0, len(raw)]))
+
+
+def _placed(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """``found`` with the bytes of its spans, from the texts of the rows that have
+    some; the texts are shuffled once and equal ones of a document are one."""
+    some = F.size("spans") > 0
+    by = ["doc_id", "text_key"]
+    texts = docs.groupBy(*by).agg(F.first("text").alias("text"))
+    joined = found.where(some).join(texts, by).select(*found.columns, "text")
+    at = found.columns.index("spans")
+    schema = T.StructType([T.StructField("spans", T.ArrayType(PLACED)) if f.name == "spans" else f for f in found.schema.fields])
+
+    def run(batches):
+        for batch in batches:
+            spans, texts = batch.column(at), batch.column(batch.num_columns - 1)
+            first, end = (c.to_numpy(zero_copy_only=False) for c in spans.flatten().flatten())
+            cut = np.concatenate(([0], np.cumsum(spans.value_lengths().to_numpy(zero_copy_only=False))))
+            start_byte, end_byte = np.empty(len(first), np.int32), np.empty(len(first), np.int32)
+            for i, text in enumerate(texts):
+                starts, ends = _word_bytes(np.frombuffer(text.as_buffer(), np.uint8))
+                own = slice(cut[i], cut[i + 1])
+                start_byte[own], end_byte[own] = starts[first[own]], ends[end[own] - 1]
+            values = pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in (first, end, start_byte, end_byte)], names=PLACED.names)
+            columns = list(batch.columns)[:-1]
+            columns[at] = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), values)
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    none = F.array().cast(T.ArrayType(PLACED))
+    return joined.mapInArrow(K.task(run), schema).unionByName(found.where(~some).withColumn("spans", none))
+
+
 def _repeated(rows: DataFrame, key: str = "key") -> DataFrame:
     """(key, keeper): the keys of two or more documents and the smallest of these."""
     return rows.groupBy(key).agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("high")).where("keeper < high").drop("high")
 
 
+def _keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, text_key, text) of the rows that have an id."""
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), F.col(text).alias("text")).where("doc_id is not null")
+
+
 def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each distinct (doc_id, text): its words and paragraphs, how
     many repeated passages it has (runs, and paragraphs of ``min_words``), how
     many paragraphs of any length have a like in other documents, its class (the
-    smallest document reachable by repeated passages), and the spans to remove."""
-    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), F.col(text).alias("text")).where("doc_id is not null")
+    smallest document reachable by repeated passages), and the spans to remove,
+    in words and in bytes."""
+    docs = _keyed(df, doc_id, text)
+    return _placed(written(_in_words(docs, threshold, recall, min_words), "paragraph-found"), docs)
+
+
+def _in_words(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, min_words: int = MIN_WORDS) -> DataFrame:
+    """What ``find`` returns, its spans in words only."""
     every = written(units(docs, bands(threshold, recall)), "paragraph-units")
     paragraphs, by = every.where(F.col("kind") == PARAGRAPH), ["doc_id", "text_key"]
     reps, members = candidates(paragraphs)
@@ -536,7 +584,7 @@ def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: f
 def remove(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``df`` without the repeated passages of its texts.  A row whose text has
     words but none left is dropped; all others keep their columns."""
-    found = find(df, doc_id, text, **options).where("removed_words > 0")
+    found = _in_words(_keyed(df, doc_id, text), **options).where("removed_words > 0")
     own, key, cut, words, left = (fresh(df, n) for n in ("_doc", "_key", "_cut", "_words", "_left"))
     spans = found.select(F.col("doc_id").alias(own), F.col("text_key").alias(key), F.col("spans").alias(cut), (F.col("n_words") - F.col("removed_words")).alias(words))
     joined = df.join(spans, (F.col(doc_id).cast("long") == F.col(own)) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(key)), "left").where(F.coalesce(F.col(words), F.lit(1)) > 0).drop(own, key, words)
@@ -550,8 +598,7 @@ def remove(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options)
             for t, spans in zip(batch.column(at), batch.column(place), strict=True):
                 if spans.is_valid:
                     raw, end, kept = t.as_py().encode(), 0, []
-                    inside = K.GRAPHIC[np.frombuffer(raw, np.uint8)]
-                    starts, ends = K.spans(inside, np.array([0, len(raw)]))
+                    starts, ends = _word_bytes(np.frombuffer(raw, np.uint8))
                     for s in spans.as_py():
                         kept.append(raw[end : starts[s["first_word"]]])
                         end = ends[s["end_word"] - 1]

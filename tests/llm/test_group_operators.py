@@ -501,6 +501,10 @@ def test_removed_words_are_the_whole_runs(spark, sf, texts):
         cut = {x for k in range(len(w) - size + 1) if seen[tuple(w[k : k + size])] != i for x in range(k, k + size)}
         assert {x for s in found[i].spans for x in range(s.first_word, s.end_word)} == cut
         assert found[i].removed_words == len(cut)
+        raw = t.encode()
+        for s in found[i].spans:
+            assert graphic(raw[s.start_byte : s.end_byte].decode()) == graphic(t)[s.first_word : s.end_word]
+            assert raw[s.start_byte : s.end_byte].strip(b" \t\n\r\v\f") == raw[s.start_byte : s.end_byte]
     assert any(r.removed_words for r in found.values())
 
 
