@@ -17,8 +17,8 @@ Defined results: ``und`` (score 0, not ambiguous) for a null or empty text, one
 without a letter, and for every text if no label could be learned.  Null labels
 are not learned from.  Rows are independent, so ties and repeats need no rule;
 equal losses go to the first language by name.  Other columns are kept, whatever
-their names.  A very long text is held whole by one task, with about 100 bytes a
-byte of text.
+their names.  A very long text is read by one task in slices, with some 10 bytes
+a byte of text.  An empty table gives no rows, and nothing can be learned from it.
 """
 
 from __future__ import annotations
@@ -47,18 +47,23 @@ NEAR = 0.8
 UND = "und"
 #: Texts scored together; their count table has GROUP x BUCKETS cells.
 GROUP = 64
-
-
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of each n-gram, text of each n-gram), n-grams within one text."""
-    lower = K.LOWER[data].astype(np.uint32)
-    n = len(lower)
-    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(n)  # bytes to the text's end
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    gram = np.zeros(n, np.uint32)
+#: Bytes of text whose n-grams are held at a time.
+SLICE = 1 << 19
+
+
+def features(data: np.ndarray, offsets: np.ndarray, lo: int = 0, hi: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket of each n-gram, text of each n-gram) of the n-grams that begin at
+    the bytes lo <= i < hi, each within one text."""
+    hi = len(data) if hi is None else hi
+    lower = K.LOWER[data[lo : hi + max(ORDERS) - 1]].astype(np.uint32)
+    own = np.diff(np.clip(offsets, lo, hi))
+    left = np.repeat(offsets[1:], own) - np.arange(lo, hi)  # bytes to the text's end
+    text = np.repeat(np.arange(len(own)), own)
+    gram = np.zeros(hi - lo, np.uint32)
     buckets, texts = [], []
     for k in ORDERS:
-        gram[: max(0, n - k + 1)] = gram[: max(0, n - k + 1)] * np.uint32(257) + lower[k - 1 :] + np.uint32(1)
+        n = max(0, min(hi - lo, len(lower) - k + 1))
+        gram[:n] = gram[:n] * np.uint32(257) + lower[k - 1 : k - 1 + n] + np.uint32(1)
         h = (gram ^ np.uint32(k * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
         h ^= h >> np.uint32(15)
         h *= np.uint32(0xC2B2AE35)
@@ -68,6 +73,18 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(buckets), np.concatenate(texts)
 
 
+def gram_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(texts, BUCKETS): how many n-grams of each text fall in each bucket; read
+    in slices of bounded size, so that a long text takes no more than they do."""
+    n = len(offsets) - 1
+    out = None
+    for lo in range(0, max(1, len(data)), SLICE):
+        bucket, owner = features(data, offsets, lo, min(len(data), lo + SLICE))
+        found = np.bincount(owner * BUCKETS + bucket, minlength=n * BUCKETS)
+        out = found if out is None else out + found
+    return out.reshape(n, BUCKETS)
+
+
 def codewords(n: int) -> np.ndarray:
     """n rows of +1 and -1.  Few classes get every split of the classes once;
     many get the rows of a Walsh-Hadamard matrix, half of whose bits differ."""
@@ -105,8 +122,9 @@ def counts(df: DataFrame, text: str, lang: str) -> DataFrame:
                     if len(tables) >= MAX_LANGUAGES:
                         raise ValueError(f"more than {MAX_LANGUAGES} languages")
                     tables[name] = np.zeros(BUCKETS, np.int64)
-                for _, _, raw, offsets in K.chunks(own, 1 << 19):
-                    tables[name] += np.bincount(features(raw, offsets)[0], minlength=BUCKETS)
+                for _, _, raw, offsets in K.chunks(own, SLICE):
+                    for lo in range(0, len(raw), SLICE):
+                        tables[name] += np.bincount(features(raw, offsets, lo, min(len(raw), lo + SLICE))[0], minlength=BUCKETS)
         for name, table in tables.items():
             some = np.flatnonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(table[some])], names=["lang", "bucket", "n"])
@@ -146,13 +164,42 @@ def _decode(margins: np.ndarray, model: Model) -> np.ndarray:
 
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Whether each text has a code point of a letter category."""
+    if not len(data):
+        return np.zeros(len(offsets) - 1, bool)
     letters = ((data >= 65) & (data <= 90)) | ((data >= 97) & (data <= 122))
-    found = np.add.reduceat(np.append(letters, False).astype(np.int64), offsets[:-1]) * (np.diff(offsets) > 0) > 0 if len(data) else np.zeros(len(offsets) - 1, bool)
+    found = np.logical_or.reduceat(np.append(letters, False), offsets[:-1]) & (np.diff(offsets) > 0)
     for i in np.flatnonzero(~found):
-        found[i] = (class_table()[K.codepoints(data[offsets[i] : offsets[i + 1]])] == LETTER).any()
+        lo, end = offsets[i], offsets[i + 1]
+        while lo < end and not found[i]:
+            hi = min(end, lo + SLICE)
+            while hi < end and data[hi] & 0xC0 == 0x80:  # a code point is never cut
+                hi += 1
+            found[i] = (class_table()[K.codepoints(data[lo:hi])] == LETTER).any()
+            lo = hi
     return found
 
 
+def judge(data: np.ndarray, offsets: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the language, behind the last one for none; its share; whether the
+    runner-up is near) of each text."""
+    n = len(offsets) - 1
+    best, share, near = np.full(n, len(model.languages)), np.zeros(n), np.zeros(n, bool)
+    if not model.languages or not len(data):
+        return best, share, near
+    margins = np.zeros((n, model.odds.shape[1]))
+    for a in range(0, n, GROUP):
+        b = min(n, a + GROUP)
+        grams = gram_counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).astype(np.float32)
+        margins[a:b] = grams @ model.odds / np.maximum(grams.sum(axis=1, keepdims=True), 1)
+    shares = _decode(margins, model)
+    some = has_letter(data, offsets)
+    best = np.where(some, shares.argmax(axis=1), best)
+    share = np.where(some, shares.max(axis=1), 0)
+    if len(model.languages) > 1:
+        near = some & (np.partition(shares, -2, axis=1)[:, -2] >= NEAR * share)
+    return best, share, near
+
+
 def predict(df: DataFrame, model: Model, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
     """``df`` with the predicted language, its share (0 to 1) and the ambiguity flag."""
     names = tuple(fresh(df, n) for n in names)
@@ -164,23 +211,9 @@ def predict(df: DataFrame, model: Model, text: str = "text", names: tuple[str, s
         model = shared.value
         labels = np.array([*model.languages, UND], object)
         for batch in batches:
-            for lo, hi, data, offsets in K.chunks(batch.column(at), 1 << 19):
-                n = hi - lo
-                best, share, near = np.full(n, len(model.languages)), np.zeros(n), np.zeros(n, bool)
-                if model.languages and len(data):
-                    margins = np.zeros((n, model.odds.shape[1]))
-                    for a in range(0, n, GROUP):
-                        b = min(n, a + GROUP)
-                        bucket, owner = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                        grams = np.bincount(owner * BUCKETS + bucket, minlength=(b - a) * BUCKETS).reshape(b - a, BUCKETS).astype(np.float32)
-                        margins[a:b] = grams @ model.odds / np.maximum(grams.sum(axis=1, keepdims=True), 1)
-                    shares = _decode(margins, model)
-                    some = has_letter(data, offsets)
-                    best = np.where(some, shares.argmax(axis=1), best)
-                    share = np.where(some, shares.max(axis=1), 0)
-                    if len(model.languages) > 1:
-                        near = some & (np.partition(shares, -2, axis=1)[:, -2] >= NEAR * share)
-                rows = batch.slice(lo, n)
+            for lo, hi, data, offsets in K.chunks(batch.column(at), SLICE):
+                best, share, near = judge(data, offsets, model)
+                rows = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(labels[best], pa.string()), pa.array(share), pa.array(near)], names=columns)
 
     return df.mapInArrow(K.task(run), schema)
