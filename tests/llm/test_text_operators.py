@@ -63,6 +63,21 @@ def test_bpe_long_pieces_and_small_cache(encoder, monkeypatch):
     assert encode(encoder, ["one two three four five six"] * 2) == [TIK.encode_ordinary("one two three four five six")] * 2
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from(ALPHABET + "  \n\u00a0\u3000"), max_size=60), st.integers(4, 9))
+def test_slices_of_a_long_text_have_its_tokens(encoder, text, size):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    before, byte_bpe.CHUNK = byte_bpe.CHUNK, size
+    try:
+        cut = byte_bpe.slices(raw)
+        assert [a for a, _ in cut] == [0, *(b for _, b in cut)][: len(cut)] and (not cut or cut[-1][1] == len(raw))
+        ids, counts = encoder.encode(raw, np.array([0, len(raw)]))
+        assert ids.tolist() == TIK.encode_ordinary(text) and counts.tolist() == [len(ids)]
+        assert encoder.decode(ids).tobytes() == text.encode()
+    finally:
+        byte_bpe.CHUNK = before
+
+
 def test_scan_equals_the_machine_run_in_order():
     rng = np.random.default_rng(0)
     tape = rng.integers(0, 9, 5000).astype(np.uint8)
