@@ -51,6 +51,7 @@ from tessera.skew import dealt_join
 
 from . import kernels as K
 from .components import connected_components
+from .interpolation import _pack, _unpack
 from .shared import drop, fresh, written
 
 SHINGLE = 5
@@ -474,31 +475,39 @@ def _union_spans(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _word_bytes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first and the end byte of each word of a text."""
-    return K.spans(K.GRAPHIC[raw], np.array([0, len(raw)]))
+def _word_gaps(batches):
+    """Task body: for each text the bytes before its words and of its words, packed."""
+    for batch in batches:
+        for lo, hi, data, offsets in K.chunks(batch.column(2)):
+            starts, ends = K.spans(K.GRAPHIC[data], offsets)
+            cut, edges, packed = K.bounds(starts, offsets), np.stack([starts, ends], axis=1).ravel(), []
+            for a, b, base in zip(cut[:-1].tolist(), cut[1:].tolist(), offsets[:-1].tolist(), strict=True):
+                steps = np.diff(edges[2 * a : 2 * b], prepend=base).astype(np.uint32)
+                packed.append(_pack(np.concatenate([steps[::2], steps[1::2]])))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(packed, pa.binary())], names=["doc_id", "text_key", "words"])
 
 
 def _placed(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """``found`` with the bytes of its spans, from the texts of the rows that have
-    some; the texts are shuffled once and equal ones of a document are one."""
+    """``found`` with the bytes of its spans.  No text is shuffled for them, but
+    the packed lengths of its words and gaps, once for equal texts of a document."""
     some = F.size("spans") > 0
     by = ["doc_id", "text_key"]
-    texts = docs.groupBy(*by).agg(F.first("text").alias("text"))
-    joined = found.where(some).join(texts, by).select(*found.columns, "text")
+    gaps = docs.mapInArrow(K.task(_word_gaps), "doc_id long, text_key long, words binary")
+    words = gaps.groupBy(*by).agg(F.first("words").alias("words"))
+    joined = found.where(some).join(words, by).select(*found.columns, "words")
     at = found.columns.index("spans")
     schema = T.StructType([T.StructField("spans", T.ArrayType(PLACED)) if f.name == "spans" else f for f in found.schema.fields])
 
     def run(batches):
         for batch in batches:
-            spans, texts = batch.column(at), batch.column(batch.num_columns - 1)
+            spans, words = batch.column(at), batch.column(batch.num_columns - 1)
             first, end = (c.to_numpy(zero_copy_only=False) for c in spans.flatten().flatten())
             cut = np.concatenate(([0], np.cumsum(spans.value_lengths().to_numpy(zero_copy_only=False))))
             start_byte, end_byte = np.empty(len(first), np.int32), np.empty(len(first), np.int32)
-            for i, text in enumerate(texts):
-                starts, ends = _word_bytes(np.frombuffer(text.as_buffer(), np.uint8))
-                own = slice(cut[i], cut[i + 1])
-                start_byte[own], end_byte[own] = starts[first[own]], ends[end[own] - 1]
+            for i, packed in enumerate(words):
+                gaps, sizes = _unpack(packed.as_py(), np.uint32).astype(np.int64).reshape(2, -1)
+                ends, own = np.cumsum(gaps + sizes), slice(cut[i], cut[i + 1])
+                start_byte[own], end_byte[own] = (ends - sizes)[first[own]], ends[end[own] - 1]
             values = pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in (first, end, start_byte, end_byte)], names=PLACED.names)
             columns = list(batch.columns)[:-1]
             columns[at] = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), values)
@@ -598,7 +607,8 @@ def remove(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options)
             for t, spans in zip(batch.column(at), batch.column(place), strict=True):
                 if spans.is_valid:
                     raw, end, kept = t.as_py().encode(), 0, []
-                    starts, ends = _word_bytes(np.frombuffer(raw, np.uint8))
+                    inside = K.GRAPHIC[np.frombuffer(raw, np.uint8)]
+                    starts, ends = K.spans(inside, np.array([0, len(raw)]))
                     for s in spans.as_py():
                         kept.append(raw[end : starts[s["first_word"]]])
                         end = ends[s["end_word"] - 1]
