@@ -16,8 +16,9 @@ item has no window; windows that several items share report all of them; a
 repeated ``item_id`` counts once, a null one is no item.  Matches of different
 windows are unioned.  Rows are independent, so ties, repeated documents and null
 keys need no rule.  Other columns are kept, and output columns get underscores
-where a name is taken.  A very long text is held whole by one task, with some 60
-bytes a word, and its spans are one row.
+where a name is taken.  A very long text is held whole by one task, with some 45
+bytes a byte of text, and its spans are one row.  An empty
+table gives no rows.
 """
 
 from __future__ import annotations

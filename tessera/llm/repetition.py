@@ -13,7 +13,8 @@ Defined results: null and empty texts have no words, no repeats and zero
 everywhere (so the base rule fails them for being short).  Texts are judged
 one by one, so ties, repeats and null keys need no rule; other columns stay.  A
 very long text is held whole by one task, with some 100 bytes a word and 4 more
-for each doubling of its longest repeat: 10**7 words, all equal, take 2 GB.
+for each doubling of its longest repeat: 10**7 words, all equal, take 2 GB.  An empty
+table gives no rows.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ Defined results: null and empty texts (no words) have fingerprint zero and link
 like any other; fewer words than a shingle give one shingle of all words;
 repeated rows are all returned; rows with a null ``doc_id`` get the smallest id
 of their component, null if it has none.  Other columns may have any names.  A
-very long text is held whole by one task, with some 150 bytes a word.
+very long text is held whole by one task, with some 150 bytes a word.  An empty
+table gives no rows.
 """
 
 from __future__ import annotations
