@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import extraction, prefix_trie, queries, spelling
+from tessera.llm import extraction, prefix_trie, queries, shared, spelling
 
 # 11
 
@@ -97,6 +97,16 @@ def test_checksums_of_any_length():
     assert spelling.checksums(data, starts, lengths, before).tolist() == want
 
 
+def test_spelling_broadcasts_no_table(spark, sf):
+    """Compressed words look small to Spark; their keys in memory are not."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    words = shared.written(spelling.count_words(docs), "spelling-test")
+    for df in (spelling.near_pairs(words), spelling.variants(docs)):
+        df.count()
+        plan = df._jdf.queryExecution().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_spelling_of_one_very_long_text():
     word = "abcdefgh "
     text = np.frombuffer((word * (30_000_000 // len(word))).encode(), np.uint8)
