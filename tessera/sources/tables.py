@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tessera.graph import Graph
 
 
+#: Lines that one task makes distinct edges of.
+LINES = 250_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -18,11 +22,18 @@ def node_count(spark: SparkSession, sf_dir: str) -> int:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """part -> supplier line pairs folded onto the nodes, with one loop a node."""
+    """part -> supplier line pairs folded onto the nodes, with one loop a node.
+
+    Lines are dealt by their pair to a number of tasks that follows theirs (from the
+    footers) and made distinct there: a map-side distinct holds a whole file split's
+    pairs, and adaptive execution would put partitions together up to a size of
+    compressed bytes, so that a task's memory would grow with the table."""
     n = F.lit(max(1, node_count(spark, sf_dir)))
-    lines = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % n).alias("dst"), ((F.col("l_suppkey") * 5 + F.col("l_linenumber")) % n).alias("src"))
+    every = table(spark, sf_dir, "lineitem")
+    parts = 1 + every.count() // LINES
+    lines = every.select((F.col("l_partkey") % n).alias("dst"), ((F.col("l_suppkey") * 5 + F.col("l_linenumber")) % n).alias("src"))
     loops = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("dst"), F.col("vec_id").alias("src"))
-    return lines.where("dst <> src").unionByName(loops).distinct()
+    return lines.where("dst <> src").unionByName(loops).repartition(parts, "dst", "src").distinct()
 
 
 def graph(spark: SparkSession, sf_dir: str, undirected: bool = False) -> Graph:

@@ -16,6 +16,7 @@ from tessera.plans import autodiff, dsl, lower, programs, rewrites, schedule, tr
 from tessera.plans import spec as S
 from tessera.queries import BODIES, PROGRAM, bind
 from tessera.sources import matrix_market, npy
+from tessera.sources import tables as D
 from tests.plans import small_partitions, split_joins
 
 RNG = np.random.default_rng(5)
@@ -698,3 +699,19 @@ def test_gradients_by_tiles(spark, small, kind):
     for k in whole:
         np.testing.assert_allclose(tiled[k], whole[k], atol=1e-12)
     assert any("tile" in plan for tile, plan in seen if tile) and not any("tile" in plan for tile, plan in seen if not tile)
+
+
+# memory of a task
+
+
+def explained(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_are_made_distinct_behind_their_shuffle(spark, sf, monkeypatch):
+    """No map-side distinct of a file split, and as many tasks as lines ask for."""
+    monkeypatch.setattr(D, "LINES", 1000)
+    plan = explained(D.edges(spark, sf))
+    exchange = re.search(r"Exchange hashpartitioning\(dst#\d+L?, src#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)
+    assert exchange and int(exchange[1]) == 1 + D.table(spark, sf, "lineitem").count() // 1000
+    assert "HashAggregate" not in plan[exchange.end() :]
