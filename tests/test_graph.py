@@ -715,3 +715,12 @@ def test_edges_are_made_distinct_behind_their_shuffle(spark, sf, monkeypatch):
     exchange = re.search(r"Exchange hashpartitioning\(dst#\d+L?, src#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)
     assert exchange and int(exchange[1]) == 1 + D.table(spark, sf, "lineitem").count() // 1000
     assert "HashAggregate" not in plan[exchange.end() :]
+
+
+def test_same_edges_is_one_group_by(spark):
+    a = spark.createDataFrame([(1, 2), (1, 2), (3, 4), (None, 1)], "dst long, src long")
+    b = spark.createDataFrame([(1, 2), (5, 6), (None, 1)], "dst long, src long")
+    got = reorder.same_edges(a, b)
+    assert tuple(got.first()) == (2, 1)
+    assert "Join" not in explained(got)
+    assert tuple(reorder.same_edges(a.limit(0), b.limit(0)).first()) == (0, 0)
