@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.skew import spread
+
 #: Edges in a row, about.
 CHUNK = 1 << 14
 #: Senders, by their numbers, that are counted together.
@@ -33,9 +35,8 @@ def sender_block(size: int = BLOCK) -> Column:
 def hub_chunks(edges: DataFrame, chunk: int) -> DataFrame:
     """(dst, block, chunk, start, deg) of receivers of more than ``chunk`` edges,
     from edges with ``block``."""
-    hubs = edges.groupBy("dst").agg(F.count("*").alias("deg")).where(F.col("deg") > chunk)
-    tallies = edges.join(hubs.select("dst"), "dst", "left_semi").groupBy("dst", "block").agg(F.count("*").alias("n"))
-    tables = tallies.groupBy("dst").agg(F.sort_array(F.collect_list(F.struct("block", "n"))).alias("t"))
+    tallies = edges.groupBy("dst", "block").agg(F.count("*").alias("n"))
+    tables = tallies.groupBy("dst").agg(F.sort_array(F.collect_list(F.struct("block", "n"))).alias("t"), F.sum("n").alias("deg")).where(F.col("deg") > chunk).drop("deg")
 
     def run(batches):
         for batch in batches:
@@ -58,9 +59,9 @@ def rows(edges: DataFrame, order: list[Column] | None = None, block: Column | No
     columns ``order``; ``block`` (LONG) must never fall along that order."""
     weighted = "w" in edges.columns
     fields = [*(c.alias(f"o{i}") for i, c in enumerate(order or [])), F.col("src").alias("src"), *([F.col("w").alias("w")] if weighted else [])]
-    own = edges.select("dst", F.struct(*fields).alias("e"), (sender_block() if block is None else block).alias("block"))
-    dealt = own.join(hub_chunks(own, chunk), ["dst", "block"], "left")
-    packed = dealt.groupBy("dst", F.coalesce("chunk", F.lit(0)).cast("long").alias("chunk")).agg(F.sort_array(F.collect_list("e")).alias("e"), F.min("start").alias("start"), F.max("deg").alias("deg"))
+    own = spread(edges.select("dst", F.struct(*fields).alias("e"), (sender_block() if block is None else block).alias("block")), edges, "dst", "block")
+    dealt = own.join(hub_chunks(own, chunk), ["dst", "block"], "left").withColumn("chunk", F.coalesce("chunk", F.lit(0)).cast("long"))
+    packed = spread(dealt, edges, "dst", "chunk").groupBy("dst", "chunk").agg(F.sort_array(F.collect_list("e")).alias("e"), F.min("start").alias("start"), F.max("deg").alias("deg"))
     arrays = [F.col("e.src").alias("senders"), *([F.col("e.w").alias("ws")] if weighted else [])]
     return packed.select("dst", "chunk", F.coalesce("start", F.lit(0)).cast("long").alias("first"), F.coalesce("deg", F.size("e")).cast("long").alias("deg"), *arrays)
 

@@ -1,4 +1,5 @@
-"""Joins whose hot keys adaptive execution can split."""
+"""Joins whose hot keys adaptive execution can split, and shuffles whose number of
+partitions follows their input."""
 
 from __future__ import annotations
 
@@ -28,3 +29,16 @@ def dealt_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     the smaller side, and any hot key is split."""
     a, b = left.withColumn(DEALT, turned(left, key)), right.withColumn(DEALT, turned(right, key)).drop(key)
     return a.join(b, DEALT, how).drop(DEALT)
+
+
+#: Bytes of a plan's estimate for each partition of ``spread``.
+EACH = 1 << 20
+
+
+def spread(df: DataFrame, like: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to a number of partitions that follows Spark's estimate
+    of ``like``: adaptive execution would put partitions together up to a size of
+    compressed bytes, which hold many times as much in memory.  Where the estimate is
+    unknown (a local collection of rows, a join of joins) the plan stays as it is."""
+    size = int(str(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if size >= 1 << 45 else df.repartition(1 + size // EACH, *keys)

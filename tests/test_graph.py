@@ -724,3 +724,15 @@ def test_same_edges_is_one_group_by(spark):
     assert tuple(got.first()) == (2, 1)
     assert "Join" not in explained(got)
     assert tuple(reorder.same_edges(a.limit(0), b.limit(0)).first()) == (0, 0)
+
+
+def test_adjacency_rows_in_partitions_of_their_estimate(spark, sf, monkeypatch):
+    monkeypatch.setattr(skew, "EACH", 4000)
+    e = D.edges(spark, sf)
+    packed = adjacency.rows(e, block=adjacency.sender_block(16), chunk=64)
+    parts = 1 + int(str(e._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // 4000
+    plan = explained(packed)
+    assert parts > 1 and "LeftSemi" not in plan
+    for keys in ("dst", "block"), ("dst", "chunk"):
+        assert re.search(rf"hashpartitioning\({keys[0]}#\d+L?, {keys[1]}#\d+L?, {parts}\), REPARTITION_BY_NUM", plan)
+    assert sorted(adjacency.edges_of(packed).select("dst", "src").collect()) == sorted(e.select("dst", "src").collect())
