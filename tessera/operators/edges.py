@@ -70,8 +70,12 @@ def softmax(weights: DataFrame, stable: bool = False) -> DataFrame:
 
 
 def softmax_grad(alpha: DataFrame, grad: DataFrame) -> DataFrame:
-    """Of a softmax with outputs ``alpha`` and their gradient: sds - alpha * sum(sds)."""
-    both = alpha.join(grad.select("dst", "src", F.col("w").alias("g")), ["dst", "src"])
+    """Of a softmax with outputs ``alpha`` and their gradient: sds - alpha * sum(sds).
+    A gradient that carries the outputs as a column ``alpha`` is not joined with them."""
+    if "alpha" in grad.columns:
+        both = grad.select("dst", "src", F.col("alpha").alias("w"), F.col("w").alias("g"))
+    else:
+        both = alpha.join(grad.select("dst", "src", F.col("w").alias("g")), ["dst", "src"])
     sds = both.select("dst", "src", "w", (F.col("w") * F.col("g")).alias("sds"))
     total = sds.groupBy("dst").agg(F.sum("sds").alias("total"))
     return dealt_join(sds, total, "dst").select("dst", "src", (F.col("sds") - F.col("w") * F.col("total")).alias("w"))

@@ -43,6 +43,8 @@ def _total(grads: list[DataFrame]) -> DataFrame:
     """The sum of gradients of one value: vectors, scalars or edge values."""
     if len(grads) == 1:
         return grads[0]
+    if "w" in grads[0].columns:
+        grads = [g.select("dst", "src", "w") for g in grads]
     every = grads[0]
     for g in grads[1:]:
         every = every.unionByName(g)
@@ -62,6 +64,7 @@ def backward(m: ModelSpec, graph: Graph, env: Mapping[str, DataFrame], weights:
     With ``tile`` aggregates go back by tiles of so many receivers, as partial
     sums of the transposed tiles."""
     live, grads, out = trainable(m), {m.result: [grad]}, {}
+    made = {op.out: op for op in m.ops}
 
     def spread(edges: DataFrame, g: DataFrame, width: int) -> DataFrame:
         """The receivers' gradients summed by sender."""
@@ -95,8 +98,14 @@ def backward(m: ModelSpec, graph: Graph, env: Mapping[str, DataFrame], weights:
                 g = N.row_scale(N.norm(N.degrees(values), -1), g)
             push(op.inputs[1], spread(values.select("dst", "src", "w"), g, width))
             if op.inputs[0] in live:
-                dots = E.sddmm_dot(graph.edges if own is None else own, g, x[1])
-                push(op.inputs[0], dots if own is None else dots.groupBy("dst", "src").agg(F.sum("w").alias("w")))
+                if own is not None:
+                    push(op.inputs[0], E.sddmm_dot(own, g, x[1]).groupBy("dst", "src").agg(F.sum("w").alias("w")))
+                elif made[op.inputs[0]].kind == S.SOFTMAX:
+                    # the softmax's gradient reads its output: it travels along, and no join by edge is needed
+                    both = E.endpoints(x[0].select("dst", "src", F.col("w").alias("alpha")), g, x[1], "vec")
+                    push(op.inputs[0], both.select("dst", "src", P.dot(F.col("l"), F.col("r")).alias("w"), "alpha"))
+                else:
+                    push(op.inputs[0], E.sddmm_dot(graph.edges, g, x[1]))
         elif op.kind == S.AGGREGATE:
             if op.fn == "max":
                 raise ValueError("a maximum has no gradient here")
@@ -134,7 +143,13 @@ def backward(m: ModelSpec, graph: Graph, env: Mapping[str, DataFrame], weights:
             push(op.inputs[0], N.aggregate(graph, x[1], "sum", dims[op.inputs[1]], g))
             push(op.inputs[1], N.aggregate(graph, x[0], "sum", dims[op.inputs[0]], transpose(g)))
         elif op.kind == S.LEAKY_RELU:
-            both = g.join(x[0].select("dst", "src", F.col("w").alias("z")), ["dst", "src"])
+            before = made.get(op.inputs[0])
+            if before and before.kind in (S.EDGE_SUM, S.EDGE_MUL):
+                # the value before it again from both ends, instead of a join by edge
+                l, r = F.col("l"), F.col("r")
+                both = E.endpoints(g.select("dst", "src", "w"), *(env[i] for i in before.inputs)).withColumn("z", l + r if before.kind == S.EDGE_SUM else l * r)
+            else:
+                both = g.join(x[0].select("dst", "src", F.col("w").alias("z")), ["dst", "src"])
             push(op.inputs[0], both.select("dst", "src", (F.col("w") * F.when(F.col("z") >= 0, 1.0).otherwise(op.value)).alias("w")))
         elif op.kind == S.SOFTMAX:
             push(op.inputs[0], E.softmax_grad(env[op.out], g))
@@ -176,10 +191,11 @@ def biases_of(m: ModelSpec, weights: Mapping[str, list]) -> dict[str, list]:
     return {k: weights[bias][0] for k, bias in m.biases().items()}
 
 
-def train(m: ModelSpec, graph: Graph, features: DataFrame, labels: DataFrame, masks: DataFrame, width: int, iterations: int | None = None, rate: float = 0.01, decay: float = 5e-4, seed: int = 0, weights: Mapping[str, list] | None = None, schedule: S.Schedule | None = None) -> tuple[dict[str, np.ndarray], list[dict]]:
+def train(m: ModelSpec, graph: Graph, features: DataFrame, labels: DataFrame, masks: DataFrame, width: int, iterations: int | None = None, rate: float = 0.01, decay: float = 5e-4, seed: int = 0, weights: Mapping[str, list] | None = None, schedule: S.Schedule | None = None, stored: bool = False) -> tuple[dict[str, np.ndarray], list[dict]]:
     """(weights, history) of full-graph training of any program.
 
-    Values of a step are written as Parquet, so that forward and backward read
+    Edges are written once, for every job of every step reads them, unless they are
+    ``stored`` already.  Values of a step are written as Parquet, so that forward and backward read
     them and lineage stays short, and deleted when the weights are updated; the
     history has their bytes.  Operations that no parameter reaches are evaluated
     once.  Under a ``schedule`` aggregates are tiled or sampled (backward reads
@@ -192,6 +208,8 @@ def train(m: ModelSpec, graph: Graph, features: DataFrame, labels: DataFrame, ma
     live, dims, adam, history, paths, held = trainable(m), widths(m, width), Adam(rate, decay), [], [], []
     sample, dynamic = (schedule.kernel_sample, schedule.dynamic) if schedule else (None, False)
     aggregates = [op.out for op in m.ops if op.kind == S.AGGREGATE]
+    if not stored:
+        graph = graph.with_edges(_kept(graph.edges, "train-edges", held))
     drawn: dict[str, DataFrame] = {}
     if sample and not dynamic:
         drawn = dict.fromkeys(aggregates, _kept(lower.sampled(graph.edges, schedule), "train-drawn", held))

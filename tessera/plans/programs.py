@@ -92,7 +92,7 @@ def run(spark: SparkSession, text: str, datasets: Mapping[str, Loader], weights:
         history: list[dict] = []
         if m.iterations:
             ready = ready.with_edges(_kept(ready.edges, "program-edges"))
-            w, history = autodiff.train(plan, ready, features, labels, masks, m.schedule.feature_size, rate=rate, decay=decay, seed=seed, weights=w, schedule=m.schedule)
+            w, history = autodiff.train(plan, ready, features, labels, masks, m.schedule.feature_size, rate=rate, decay=decay, seed=seed, weights=w, schedule=m.schedule, stored=True)
         result = None
         if m.evaluate:
             now = {k: v.tolist() for k, v in w.items()}

@@ -736,3 +736,32 @@ def test_adjacency_rows_in_partitions_of_their_estimate(spark, sf, monkeypatch):
     for keys in ("dst", "block"), ("dst", "chunk"):
         assert re.search(rf"hashpartitioning\({keys[0]}#\d+L?, {keys[1]}#\d+L?, {parts}\), REPARTITION_BY_NUM", plan)
     assert sorted(adjacency.edges_of(packed).select("dst", "src").collect()) == sorted(e.select("dst", "src").collect())
+
+
+def test_training_reads_its_edges_once(spark, small):
+    """Whatever made the edges runs once, and softmax gradients join no edges with edges."""
+    g, x = small
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    own = g.with_edges(g.edges.mapInArrow(count, "dst long, src long"))
+    y = spark.createDataFrame([(i, i % 3) for i in range(NODES)], "id long, label int")
+    masks = spark.createDataFrame([(i, i < 8, i >= 8) for i in range(NODES)], "id long, train boolean, test boolean")
+    autodiff.train(S.model("gat", (WIDTH, 4, 3)), own, x, y, masks, WIDTH, 1)
+    assert seen.value == int(ADJ.sum())
+
+
+def test_softmax_gradient_with_its_outputs_alongside(spark, small):
+    w = small[0].edges.withColumn("w", (F.col("dst") - F.col("src")) / 7.0)
+    alpha = E.softmax(w)
+    grad = w.withColumn("w", F.sin(F.col("w")))
+    both = alpha.withColumnRenamed("w", "alpha").join(grad, ["dst", "src"])
+    rows = lambda df: sorted((r.dst, r.src, round(r.w, 9)) for r in df.collect())
+    carried = spark.createDataFrame(both.collect(), both.schema)
+    got = E.softmax_grad(alpha, carried)
+    assert rows(got) == rows(E.softmax_grad(alpha, grad))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
