@@ -6,12 +6,13 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.functions import pointwise as P
 from tessera.graph import Graph, undirected
 from tessera.operators import edges as E
 from tessera.operators import nodes as N
-from tessera.operators import sampling, tiling
+from tessera.operators import grid, sampling, tiling
 from tessera.operators.subgraphs import receptive_field
 
 from . import spec as S
@@ -20,6 +21,8 @@ from .spec import ModelSpec, Op, Schedule
 Matrix = Sequence[Sequence[float]]
 #: Values that one step of coarsening adds to an aggregate's row.
 SLICE = 32
+#: Functions of both ends that ``grid.attend`` takes.
+FUNCTIONS = {S.EDGE_SUM: "sum", S.EDGE_MUL: "mul", S.EDGE_DOT: "dot"}
 
 
 def execute(m: ModelSpec, graph: Graph, features: DataFrame, weights: Mapping[str, Matrix], width: int, rows: DataFrame | None = None, known: Mapping[str, DataFrame] | None = None, biases: Mapping[str, Sequence[float]] | None = None, schedule: Schedule | None = None, rng: np.random.Generator | None = None, keep: Callable[[Op, DataFrame], DataFrame] | None = None, drawn: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
@@ -65,7 +68,12 @@ def execute(m: ModelSpec, graph: Graph, features: DataFrame, weights: Mapping[st
                 else:
                     own = own.with_edges(sampled(own.edges, schedule, rng))
                 values = values.join(own.edges, ["dst", "src"]) if values is not None else None
-            if tile:
+            attended = None if sample or tile or keep or fields or op.fn != "sum" or width_in > N.WIDE else attention(m, op, known or {})
+            if attended:
+                kind, slope, ends = attended
+                left, right = (env[i] if kind == S.EDGE_DOT else env[i].select("id", F.array("s").alias("vec")) for i in ends)
+                out = grid.attend(graph.edges, left, right, x[-1], FUNCTIONS[kind], slope, E.CLAMP, E.SEED)
+            elif tile:
                 edges = own.edges if own.weighted else own.edges.select("dst", "src")
                 out = tiling.tiled_aggregate(edges if values is None else values.select("dst", "src", "w"), x[-1], tile, width_in, op.fn, chunk)
             else:
@@ -97,6 +105,22 @@ def execute(m: ModelSpec, graph: Graph, features: DataFrame, weights: Mapping[st
     return env
 
 
+def attention(m: ModelSpec, op: Op, known: Mapping[str, DataFrame]) -> tuple[str, float | None, tuple[str, ...]] | None:
+    """The edge function, the slope of its activation and the ends' values, where
+    ``op`` aggregates by a softmax of these that is not made yet: weights of edges are
+    then no table of their own."""
+    made = {o.out: o for o in m.ops}
+    weight = made.get(op.inputs[0]) if len(op.inputs) == 2 else None
+    if weight is None or weight.kind != S.SOFTMAX or weight.out in known:
+        return None
+    score, slope = made.get(weight.inputs[0]), None
+    if score is not None and score.kind == S.LEAKY_RELU and score.out not in known:
+        score, slope = made.get(score.inputs[0]), score.value
+    if score is None or score.kind not in FUNCTIONS or score.out in known:
+        return None
+    return score.kind, slope, score.inputs
+
+
 def sampled(edges: DataFrame, schedule: Schedule, rng: np.random.Generator | None = None) -> DataFrame:
     """The edges an aggregate with in-kernel sampling reads; repeats stay."""
     if schedule.dynamic:
