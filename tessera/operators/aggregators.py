@@ -2,8 +2,8 @@
 
 An aggregator says how a value becomes a state, how states of one receiver
 become one (in any order and grouping), and what a state results in, each for
-whole batches.  Tasks reduce their edges' states before the shuffle, so that a
-hub sends one state a task and not one an edge; behind it states come sorted by
+whole batches.  Edges are folded by the cells of a grid (``grid.fold``), so that a
+receiver sends one state a cell and not one an edge; behind it states come sorted by
 receiver and are reduced in one pass that holds one batch.
 """
 
@@ -13,15 +13,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.graph import Graph
-from tessera.skew import dealt_join
+from tessera.operators import grid
 
-#: States that a task collects before it reduces them once more, and sends what is left.
-HELD = 1 << 16
+#: States of new receivers that a cell collects before it reduces them once more.
+HELD = grid.HELD
 
 Matrix = np.ndarray
 
@@ -77,63 +75,19 @@ def top(k: int, missing: float = -np.inf) -> Aggregator:
     )
 
 
-def _matrix(column) -> Matrix:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-
-
-def _batch(ids: np.ndarray, states: Matrix) -> pa.RecordBatch:
-    places = np.arange(len(ids) + 1, dtype=np.int32) * states.shape[1]
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(places), pa.array(states.ravel()))], names=["id", "vec"])
-
-
-def _reduced(ids: np.ndarray, states: Matrix, merge) -> tuple[np.ndarray, Matrix]:
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-    return ids[first], merge(states[order], first)
-
-
 def aggregate_by(graph: Graph, vectors: DataFrame, how: Aggregator, weights: DataFrame | None = None, into: DataFrame | None = None) -> DataFrame:
     """(id, vec): ``how`` over the senders' vectors of each receiver (times the
     edge's weight), and over the receiver's own row of ``into``, if it has one."""
     edges = graph.edges if weights is None else weights
     weighted = weights is not None or graph.weighted
-    value = F.transform("vec", lambda x: x * F.col("w")) if weighted else F.col("vec")
-    joined = dealt_join(edges.select("dst", "src", *(["w"] if weighted else [])), vectors.select(F.col("id").alias("src"), "vec"), "src")
-    values = joined.select(F.col("dst").alias("id"), value.alias("vec"))
+    edges = edges.select("dst", "src", *(["w"] if weighted else []))
+    states = grid.fold(edges, {"x": vectors}, {}, lambda x, w: how.start(x if w is None else x * w[:, None]), how.merge, grid.side(edges, vectors), HELD)
     if into is not None:
-        values = values.unionByName(into.select("id", "vec"))
-
-    def partial(batches):
-        ids, states, held = [], [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = _reduced(batch.column(0).to_numpy(), how.start(_matrix(batch.column(1))), how.merge)
-            ids.append(own[0])
-            states.append(own[1])
-            held += len(own[0])
-            if held > HELD:
-                own = _reduced(np.concatenate(ids), np.concatenate(states), how.merge)
-                if len(own[0]) > HELD // 2:
-                    yield _batch(*own)
-                    own = own[0][:0], own[1][:0]
-                ids, states, held = [own[0]], [own[1]], len(own[0])
-        if held:
-            yield _batch(*_reduced(np.concatenate(ids), np.concatenate(states), how.merge))
-
-    def final(batches):
-        ids, states = np.zeros(0, np.int64), None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            more = _matrix(batch.column(1))
-            ids, states = _reduced(np.concatenate((ids, batch.column(0).to_numpy())), more if states is None else np.concatenate((states, more)), how.merge)
-            if len(ids) > 1:  # the last receiver may go on in the next batch
-                yield _batch(ids[:-1], how.finish(states[:-1]))
-                ids, states = ids[-1:], states[-1:]
-        if len(ids):
-            yield _batch(ids, how.finish(states))
-
-    kind = "id long, vec array<double>"
-    return values.mapInArrow(partial, kind).repartition("id").sortWithinPartitions("id").mapInArrow(final, kind)
+
+        def started(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    yield grid.batch_of(batch.column(0).to_numpy(), how.start(grid.matrix(batch.column(1))))
+
+        states = states.select("id", "vec").unionByName(into.select("id", "vec").mapInArrow(started, "id long, vec array<double>"))
+    return grid.merged(states, how.merge, how.finish)

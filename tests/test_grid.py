@@ -2,6 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
+from tessera.operators import grid
 from tessera.plans import autodiff, lower
 from tessera.plans import spec as S
 from tests.test_graph import WIDTH, attended, dense, small  # noqa: F401
@@ -17,3 +20,17 @@ def test_attention_makes_no_table_of_edges(small, kind):
     apart = lower.execute(m, g, x, w, WIDTH, keep=lambda op, df: df)[m.result]
     np.testing.assert_allclose(dense(got), dense(apart), atol=1e-9)
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cells_send_one_state_a_receiver(spark):
+    """Not one an edge, and large node numbers are kept."""
+    far = 1 << 40
+    e = spark.range(20000, numPartitions=8).select((F.col("id") % 50 + far).alias("dst"), (F.col("id") % 1999).alias("src"))
+    x = spark.range(1999).select("id", F.array(F.col("id") * 1.0, F.lit(1.0)).alias("vec"))
+    states = grid.fold(e, {"x": x}, {}, lambda x, w: x, grid._sums, 3)
+    assert states.count() <= 3 * 50
+    got = {r.id - far: r.vec for r in grid.total(e, x, 3).collect()}
+    want = np.zeros((50, 2))
+    np.add.at(want, np.arange(20000) % 50, np.stack((np.arange(20000) % 1999, np.ones(20000)), 1))
+    assert set(got) == set(range(50))
+    np.testing.assert_allclose([got[i] for i in range(50)], want)
