@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tessera.functions import pointwise as P
 from tessera.graph import Graph
+from tessera.operators import grid
 from tessera.skew import dealt_join
 
 #: Vectors up to this width are aggregated as columns of one group-by, wider ones in chunks of it.
@@ -52,7 +53,8 @@ def aggregate(graph: Graph, vectors: DataFrame, fn: str = "sum", width: int | No
     An equi-join on the sender (a sender of very many edges can be split) and a
     group-by on the receiver, combined before the shuffle.  Edge weights multiply the vectors (max ignores them); on an
     unweighted graph the column is never read.  Up to ``chunk`` values a vector is
-    one row with a sum for each value; wider ones (or ones of unknown width) are
+    one row with a sum for each value; wider ones are folded by chunks over a grid of
+    node blocks, whose tasks hold one chunk of a block.  Vectors of unknown width are
     cut into chunks before the join, and an edge is a row for each chunk.
     """
     edges = graph.edges if weights is None else weights
@@ -65,6 +67,8 @@ def aggregate(graph: Graph, vectors: DataFrame, fn: str = "sum", width: int | No
         out = joined.groupBy(F.col("dst").alias("id")).agg(*(f(value(F.col("vec")[j])).alias(f"v{j}") for j in range(width)))
         return out.select("id", F.array(*(F.col(f"v{j}") for j in range(width))).alias("vec"))
     names = [f"v{j}" for j in range(chunk)]
+    if width is not None:
+        return assembled(grid.chunked(edges, vectors, fn, width, chunk), names)
     pieces = dealt_join(edges, slices(vectors, chunk), "src").groupBy(F.col("dst").alias("id"), "c")
     return assembled(pieces.agg(F.max("size").alias("size"), *(f(value(F.get("v", F.lit(j)))).alias(names[j]) for j in range(chunk))), names)
 

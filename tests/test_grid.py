@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.graph import Graph
 from tessera.operators import grid
+from tessera.operators import nodes as N
 from tessera.plans import autodiff, lower
 from tessera.plans import spec as S
 from tests.test_graph import WIDTH, attended, dense, small  # noqa: F401
@@ -22,6 +24,17 @@ def test_attention_makes_no_table_of_edges(small, kind):
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_wide_vectors_are_folded_by_chunks(spark):
+    """A task holds a chunk of a block; nulls are left out, vectors that are null have no edges."""
+    e = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (4, 1), (5, 3)], "dst long, src long")
+    x = spark.createDataFrame([(1, [1.0, None, 3.0]), (2, [5.0, None, 7.0]), (3, None)], "id long, vec array<double>")
+    want = {"sum": ([6.0, None, 10.0], [1.0, None, 3.0]), "mean": ([3.0, None, 5.0], [1.0, None, 3.0]), "max": ([5.0, None, 7.0], [1.0, None, 3.0])}
+    for fn, (first, other) in want.items():
+        got = N.aggregate(Graph(e), x, fn, 3, chunk=2)
+        assert {r.id: r.vec for r in got.collect()} == {0: first, 4: other}
+        assert "MapInArrow partial" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cells_send_one_state_a_receiver(spark):
     """Not one an edge, and large node numbers are kept."""
     far = 1 << 40
