@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import pointwise as P
 from tessera.graph import Graph, transpose
+from tessera.operators import grid
 from tessera.operators import nodes as N
 from tessera.operators import statistics as T
 from tessera.operators.edges import sddmm_mul
@@ -99,9 +100,15 @@ def train_gcn(graph: Graph, features: DataFrame, labels: DataFrame, masks: DataF
     f, h, c = dims
     rng = np.random.default_rng(seed)
     w = {"w0": rng.uniform(-1, 1, (f, h)) / np.sqrt(f), "w1": rng.uniform(-1, 1, (h, c)) / np.sqrt(h)}
-    edges = _kept(normalised(graph), "train-edges")
-    back = transpose(edges)
-    fixed = _kept(N.aggregate(graph, features, "sum", f, edges), "train-prefix")
+    edges = _kept(graph.edges.select("dst", "src"), "train-edges")
+    back, blocks = transpose(edges), grid.side(edges, features)
+    scale = _kept(N.norm(N.degrees(edges), -0.5), "train-scale")
+
+    def summed(along: DataFrame, x: DataFrame) -> DataFrame:
+        """Sums over normalised edges: the scales are those of nodes, so that edges need no weights."""
+        return N.row_scale(scale, grid.total(along, N.row_scale(scale, x), blocks))
+
+    fixed = _kept(summed(edges, features), "train-prefix")
     train, test = masks.where("train").select("id"), masks.where("test").select("id")
     n = train.count()
     target = labels.join(train, "id", "left_semi")
@@ -109,12 +116,12 @@ def train_gcn(graph: Graph, features: DataFrame, labels: DataFrame, masks: DataF
     for step in range(1, iterations + 1):
         began = time.perf_counter()
         hidden = N.ffn(fixed, w["w0"].tolist())
-        mixed = _kept(N.aggregate(graph, N.pointwise(hidden, P.relu), "sum", h, edges), "train-hidden", paths)
+        mixed = _kept(summed(edges, N.pointwise(hidden, P.relu)), "train-hidden", paths)
         logits = N.ffn(mixed, w["w1"].tolist())
         loss = T.cross_entropy(logits, labels, train).first().loss
         both = N.log_softmax(logits).join(target, "id").select("id", F.transform("vec", lambda x: F.exp(x)).alias("p"), "label")
         grad = both.select("id", F.transform("p", lambda p, j: (p - F.when(j == F.col("label"), 1.0).otherwise(0.0)) / n).alias("vec"))
-        up = N.aggregate(graph, N.ffn(grad, w["w1"].T.tolist()), "sum", h, back)
+        up = summed(back, N.ffn(grad, w["w1"].T.tolist()))
         gate = up.join(hidden.select("id", F.col("vec").alias("pre")), "id").select("id", F.zip_with("vec", "pre", lambda g, x: F.when(x > 0, g).otherwise(0.0)).alias("vec"))
         grads = {"w1": outer_sum(mixed, grad, h, c), "w0": outer_sum(fixed, gate, f, h)}
         row = {"step": step, "loss": float(loss), "seconds": 0.0, "accuracy": None}

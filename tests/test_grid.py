@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from tessera.graph import Graph
 from tessera.operators import grid
 from tessera.operators import nodes as N
-from tessera.plans import autodiff, lower
+from tessera.plans import autodiff, lower, training
 from tessera.plans import spec as S
-from tests.test_graph import WIDTH, attended, dense, small  # noqa: F401
+from tests.test_graph import NODES, WIDTH, attended, dense, small  # noqa: F401
 
 
 @pytest.mark.parametrize("kind", [S.EDGE_SUM, S.EDGE_MUL, S.EDGE_DOT])
@@ -35,6 +35,16 @@ def test_wide_vectors_are_folded_by_chunks(spark):
         assert "MapInArrow partial" in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_convolution_trains_on_edges_without_weights(small, spark, monkeypatch):
+    g, x = small
+    kept, own = {}, training._kept
+    monkeypatch.setattr(training, "_kept", lambda df, name, paths=None: kept.setdefault(name, df.columns) and own(df, name, paths))
+    y = spark.createDataFrame([(i, i % 3) for i in range(NODES)], "id long, label int")
+    masks = spark.createDataFrame([(i, i < 8, False, i >= 8) for i in range(NODES)], "id long, train boolean, valid boolean, test boolean")
+    training.train_gcn(g, x, y, masks, (WIDTH, 4, 3), 1)
+    assert kept["train-edges"] == ["dst", "src"]
+
+
 def test_cells_send_one_state_a_receiver(spark):
     """Not one an edge, and large node numbers are kept."""
     far = 1 << 40
