@@ -47,14 +47,14 @@ def assembled(pieces: DataFrame, names: list[str]) -> DataFrame:
     return whole.select("id", F.slice(F.flatten("t.v"), F.lit(1), F.col("size")).alias("vec"))
 
 
-def aggregate(graph: Graph, vectors: DataFrame, fn: str = "sum", width: int | None = None, weights: DataFrame | None = None, chunk: int = WIDE) -> DataFrame:
+def aggregate(graph: Graph, vectors: DataFrame, fn: str = "sum", width: int | None = None, weights: DataFrame | None = None, chunk: int = WIDE, blocks: int | None = None) -> DataFrame:
     """For each receiver, ``fn`` (sum, mean or max) over its senders' vectors.
 
     An equi-join on the sender (a sender of very many edges can be split) and a
     group-by on the receiver, combined before the shuffle.  Edge weights multiply the vectors (max ignores them); on an
     unweighted graph the column is never read.  Up to ``chunk`` values a vector is
     one row with a sum for each value; wider ones are folded by chunks over a grid of
-    node blocks, whose tasks hold one chunk of a block.  Vectors of unknown width are
+    node ``blocks``, whose tasks hold one chunk of a block.  Vectors of unknown width are
     cut into chunks before the join, and an edge is a row for each chunk.
     """
     edges = graph.edges if weights is None else weights
@@ -68,7 +68,7 @@ def aggregate(graph: Graph, vectors: DataFrame, fn: str = "sum", width: int | No
         return out.select("id", F.array(*(F.col(f"v{j}") for j in range(width))).alias("vec"))
     names = [f"v{j}" for j in range(chunk)]
     if width is not None:
-        return assembled(grid.chunked(edges, vectors, fn, width, chunk), names)
+        return assembled(grid.chunked(edges, vectors, fn, width, chunk, blocks), names)
     pieces = dealt_join(edges, slices(vectors, chunk), "src").groupBy(F.col("dst").alias("id"), "c")
     return assembled(pieces.agg(F.max("size").alias("size"), *(f(value(F.get("v", F.lit(j)))).alias(names[j]) for j in range(chunk))), names)
 

@@ -72,12 +72,15 @@ def execute(m: ModelSpec, graph: Graph, features: DataFrame, weights: Mapping[st
             if attended:
                 kind, slope, ends = attended
                 left, right = (env[i] if kind == S.EDGE_DOT else env[i].select("id", F.array("s").alias("vec")) for i in ends)
-                out = grid.attend(graph.edges, left, right, x[-1], FUNCTIONS[kind], slope, E.CLAMP, E.SEED)
+                blocks = grid.side(graph.edges, features, times=max(1.0, width_in / width))
+                out = grid.attend(graph.edges, left, right, x[-1], FUNCTIONS[kind], slope, E.CLAMP, E.SEED, blocks)
             elif tile:
                 edges = own.edges if own.weighted else own.edges.select("dst", "src")
                 out = tiling.tiled_aggregate(edges if values is None else values.select("dst", "src", "w"), x[-1], tile, width_in, op.fn, chunk)
             else:
-                out = N.aggregate(own, x[-1], op.fn, width_in, values, chunk)
+                edges = own.edges if values is None else values
+                blocks = grid.side(edges, features, -(-width_in // chunk), max(1.0, width_in / width)) if width_in > chunk else None
+                out = N.aggregate(own, x[-1], op.fn, width_in, values, chunk, blocks)
         elif op.kind == S.FFN:
             out = N.ffn(x[0], weights[op.weight], (biases or {}).get(op.weight))
         elif op.kind == S.ADD:

@@ -69,3 +69,18 @@ def test_packed_edges_take_the_bytes_of_their_numbers(spark):
     x = spark.createDataFrame([(a, [2.0**k]) for k, a in enumerate(ends)], "id long, vec array<double>")
     got = {r.id: r.vec for r in grid.total(far, x, 2).collect()}
     assert got == {a: [float(sum(2**j for j in range(k, len(ends))))] for k, a in enumerate(ends)}
+
+
+@pytest.mark.parametrize("kind, hidden", [("gat", 8), ("gcn", 65)])
+def test_later_layers_have_no_more_blocks(spark, sf, monkeypatch, kind, hidden):
+    """Spark's estimate of a layer's output follows the edges; there are as many vectors as nodes."""
+    from tessera.sources import tables
+
+    seen, own = [], grid.fold
+    monkeypatch.setattr(grid, "fold", lambda *x, **how: seen.append(x[5]) or own(*x, **how))
+    x = tables.features(spark, sf)
+    monkeypatch.setattr(grid, "BLOCK", 2 * grid._estimate(x))
+    m = S.model(kind, (64, hidden, hidden, hidden))
+    w = {k: v.tolist() for k, v in autodiff.initial(m, 3).items()}
+    lower.run(m, tables.graph(spark, sf), x, w, 64)
+    assert len(seen) >= 2 and len(set(seen)) == 1
